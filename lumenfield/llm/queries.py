@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import cooccur, lookalikes, mojibake
+from . import cooccur, knn, lookalikes, mojibake, pieces, sentences
 
 # ---------------------------------------------------------------------------------------------------------------- P1
 
@@ -32,6 +32,48 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_pairs(spark, d).where(strong).select("word_id_a", "word_id_b")
 
 
+# ---------------------------------------------------------------------------------------------------------------- P2
+
+
+def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The five nearest other nodes of every node, with both names."""
+    nodes = table(spark, d, "poincare_data_v3").select("node_id", "px", "py", "ar")
+    named = nodes.select("node_id", "ar").dropDuplicates(["node_id"])
+    near = knn.neighbours(nodes, 5)
+    near = near.join(named, "node_id").join(named.select(F.col("node_id").alias("neighbour_id"), F.col("ar").alias("neighbour_ar")), "neighbour_id")
+    return near.select("node_id", "ar", "neighbour_id", "neighbour_ar", "rank", F.round("distance", 6).alias("distance"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of nodes of which one is among the other's five nearest."""
+    near = knn.neighbours(table(spark, d, "poincare_data_v3").select("node_id", "px", "py"), 5)
+    return near.select(F.least("node_id", "neighbour_id").alias("node_a"), F.greatest("node_id", "neighbour_id").alias("node_b")).distinct()
+
+
+# ---------------------------------------------------------------------------------------------------------------- P3
+
+
+def _whole_passages(spark: SparkSession, d: str) -> DataFrame:
+    """(id, lang, text) of the passages with text that no wrong decoding damaged, each id once."""
+    passages = table(spark, d, "passages").select("id", "lang", "text").where("id is not null and trim(text) <> ''").dropDuplicates(["id"])
+    return mojibake.repaired(passages, "text", "lang").where("not damaged").select("id", "lang", "text")
+
+
+def p3_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """Every sentence of every undamaged passage: number, end and text."""
+    whole = _whole_passages(spark, d)
+    model = sentences.fitted(table(spark, d, "passages"), "id", "text")
+    each = sentences.with_ends(whole, "text", model).select("id", "text", "ends", F.posexplode("ends").alias("number", "end_char"))
+    start = F.when(F.col("number") > 0, F.get("ends", F.col("number") - 1)).otherwise(0)
+    return each.withColumn("start", start).select("id", "number", "end_char", F.expr("trim(BOTH ' \n\t\r' FROM substring(text, start + 1, end_char - start))").alias("sentence"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Ends of the sentences of the undamaged passages."""
+    model = sentences.fitted(table(spark, d, "passages"), "id", "text")
+    return sentences.with_ends(_whole_passages(spark, d), "text", model).select("id", F.explode("ends").alias("end_char"))
+
+
 # ---------------------------------------------------------------------------------------------------------------- P4
 
 
@@ -49,6 +91,29 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_repaired(spark, d).select("tbl", "row_key")
 
 
+# ---------------------------------------------------------------------------------------------------------------- P5
+
+
+def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of every passage longer than the limit of its language."""
+    limits = table(spark, d, "piece_limits")
+    passages = table(spark, d, "passages").select("id", "lang", "text", "start_sentence", "end_sentence").where("id is not null and text is not null")
+    fallback = limits.where("lang = '*'").select(F.col("max_chars").alias("any_max"), F.col("overlap_chars").alias("any_overlap"))
+    own = limits.where("lang <> '*'").select("lang", "max_chars", "overlap_chars")
+    limited = passages.join(F.broadcast(own), "lang", "left").join(F.broadcast(fallback), F.lit(True))  # one row per language, one row
+    limited = limited.withColumns({"limit": F.coalesce("max_chars", "any_max"), "overlap": F.coalesce("overlap_chars", "any_overlap")})
+    large = limited.where(F.length("text") > F.col("limit")).select("id", "text", "limit", "overlap", "start_sentence", "end_sentence").dropDuplicates(["id"])
+    model = sentences.fitted(table(spark, d, "passages"), "id", "text")
+    cut = pieces.with_pieces(large, "text", "limit", "overlap", model, "start_sentence", "end_sentence")
+    each = cut.select("id", "text", F.posexplode_outer("pieces").alias("number", "p"))  # an oversized blank text has no piece, but stays listed
+    return each.select("id", "number", F.col("p.start").alias("start_char"), F.col("p.end").alias("end_char"), F.col("p.first").alias("start_sentence"), F.col("p.last").alias("end_sentence"), F.expr("substring(text, p.start + 1, p.end - p.start)").alias("piece"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of the passages that had to be cut."""
+    return p5_pieces(spark, d).select("id").distinct()
+
+
 # ---------------------------------------------------------------------------------------------------------------- P6
 
 
