@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import cooccur, knn, lookalikes, mojibake, pieces, sentences
+from . import abuse, cooccur, knn, leakage, lookalikes, mojibake, packing, pieces, sentences
 
 # ---------------------------------------------------------------------------------------------------------------- P1
 
@@ -131,6 +131,55 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_spelled(spark, d).select("tbl", "row_key", "field")
 
 
+# ---------------------------------------------------------------------------------------------------------------- P7
+
+
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    """The container of every document, or of every part of a document above the capacity, for every container class."""
+    classes = [(r.container_class, r.capacity_tokens) for r in table(spark, d, "containers").select("container_class", "capacity_tokens").where("capacity_tokens > 0").distinct().orderBy("capacity_tokens", "container_class").limit(packing.MAX_CLASSES + 1).collect()]
+    sized = packing.with_tokens(table(spark, d, "documents").select("doc_id", "text").where("doc_id is not null and text is not null"), "text")
+    return packing.pack(sized, classes)
+
+
+def p7_usage(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers of every class are."""
+    each = p7_packed(spark, d).groupBy("container_class", "capacity_tokens", "container_id").agg(F.sum("tokens").alias("used"), F.count("*").alias("parts"))
+    return each.groupBy("container_class", "capacity_tokens").agg(F.count("*").alias("containers"), F.sum("parts").alias("parts"), F.sum("used").alias("tokens"), F.max("used").alias("most"), F.round(F.sum("used") / (F.count("*") * F.first("capacity_tokens")), 6).alias("filled"))
+
+
+# ---------------------------------------------------------------------------------------------------------------- P8
+
+
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold passages of evaluation items, with the number of words they share in order."""
+    items = [(r.item_id, r.text) for r in table(spark, d, "eval_items").select("item_id", "text").where("item_id is not null and text is not null").collect()]  # the evaluation set is fixed and small
+    return leakage.leaks(leakage.index(table(spark, d, "documents")), items)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and the items that leaked into them."""
+    return p8_leaks(spark, d).select("doc_id", "item_id").distinct()
+
+
+# ---------------------------------------------------------------------------------------------------------------- P9
+
+
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The score of every document."""
+    return abuse.scored(table(spark, d, "documents").select("doc_id", "source", "text"), "text").select("doc_id", "source", "score", "kinds")
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    """The rate of abusive documents of every source."""
+    abusive = F.sum((F.col("score") >= abuse.SCORE).cast("long"))
+    return p9_scores(spark, d).groupBy("source").agg(F.count("*").alias("documents"), abusive.alias("abusive"), F.round(abusive / F.count("*"), 6).alias("rate"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that are abusive."""
+    return p9_scores(spark, d).where(F.col("score") >= abuse.SCORE).select("doc_id").distinct()
+
+
 def queries() -> dict:
     """All registered queries of this subpackage, by name."""
     return {name: f for name, f in sorted(globals().items()) if name[0] == "p" and name[1:2].isdigit() and callable(f)}
