@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .expr import let
+
 #: Fixed values.
 EPS = 1e-9
 MAX_NORM = 1 - 1e-5
@@ -21,11 +23,6 @@ SENTINEL = 9.99
 TIERS = ["Dhāt", "Ṣifāt", "Afʿāl"]
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """An expression over a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def point(x: Column | str | float, y: Column | str | float) -> Column:
     x, y = (F.col(c) if isinstance(c, str) else F.lit(c) if isinstance(c, float) else c for c in (x, y))
     return F.struct(x.alias("x"), y.alias("y"))

@@ -11,6 +11,7 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .expr import let
 from .text import MARKS_NORMAL, nfc, strip_diac, stripped
 
 #: The base letters in numerical order and their values.
@@ -60,12 +61,16 @@ def canonical_form(c: Column, include_article: bool = False) -> Column:
 
 def letter_value_canonical(c: Column, include_article: bool = False) -> Column:
     """struct(value, breakdown, form_used, convention), all from one form, so the breakdown adds up to the value."""
-    form = canonical_form(c, include_article)
     table = mapping(ABJAD_CANONICAL)
-    pairs = F.transform(F.filter(letters(form), lambda x: F.try_element_at(table, x).isNotNull()), lambda x: F.struct(x.alias("letter"), F.try_element_at(table, x).alias("value")))
-    total = F.aggregate(pairs, F.lit(0), lambda acc, p: acc + p["value"])
     name = "article-inclusive" if include_article else "article-free (canonical)"
-    return F.struct(total.alias("value"), pairs.alias("breakdown"), form.alias("form_used"), F.lit(name).alias("convention"))
+
+    def pairs(form: Column) -> Column:
+        return F.transform(F.filter(letters(form), lambda x: F.try_element_at(table, x).isNotNull()), lambda x: F.struct(x.alias("letter"), F.try_element_at(table, x).alias("value")))
+
+    def summed(form: Column, own: Column) -> Column:
+        return F.struct(F.aggregate(own, F.lit(0), lambda acc, p: acc + p["value"]).alias("value"), own.alias("breakdown"), form.alias("form_used"), F.lit(name).alias("convention"))
+
+    return let(canonical_form(c, include_article), lambda form: let(pairs(form), lambda own: summed(form, own)))
 
 
 def gematria_value(c: Column) -> Column:

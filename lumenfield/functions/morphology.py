@@ -10,6 +10,7 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .expr import let
 from .letters import ABJAD, GEMATRIA, letters
 from .text import clean_arabic, clean_hebrew, normalize_term
 
@@ -57,23 +58,29 @@ def _without_suffix(word: Column, suffixes: list[str]) -> Column:
 
 def _skeleton(word: Column, strong: str) -> Column:
     """The first three strong letters, or the empty text if there are fewer."""
-    kept = F.regexp_replace(word, f"[^{strong}]", "")
-    return F.when(F.length(kept) < 3, "").otherwise(F.substring(kept, 1, 3))
+    return let(F.regexp_replace(word, f"[^{strong}]", ""), lambda kept: F.when(F.length(kept) < 3, "").otherwise(F.substring(kept, 1, 3)))
 
 
 def extract_root(c: Column, listed: dict[str, str] = ROOTS_PASSAGES) -> Column:
     """The root of an Arabic word: listed, or the skeleton behind a prefix."""
-    word = clean_arabic(c)
-    known = F.try_element_at(F.create_map(*[F.lit(x) for x in chain.from_iterable(listed.items())]), word)
+    known = F.create_map(*[F.lit(x) for x in chain.from_iterable(listed.items())])
     strong = "".join(ch for ch in ABJAD if ch not in ARABIC_WEAK)
-    return F.when(word == "", "").otherwise(F.coalesce(known, _skeleton(_without_prefix(word, ARABIC_PREFIXES), strong)))
+
+    def root(word: Column) -> Column:
+        return F.when(word == "", "").otherwise(F.coalesce(F.try_element_at(known, word), _skeleton(_without_prefix(word, ARABIC_PREFIXES), strong)))
+
+    return let(clean_arabic(c), root)
 
 
 def root_hebrew(c: Column) -> Column:
     """The root of a Hebrew word: the skeleton without prefix and suffix."""
-    word = clean_hebrew(c)
     strong = "".join(ch for ch in GEMATRIA if ch not in HEBREW_WEAK)
-    return F.when(F.length(word) < 3, "").otherwise(_skeleton(_without_suffix(_without_prefix(word, HEBREW_PREFIXES), HEBREW_SUFFIXES), strong))
+
+    def root(word: Column) -> Column:
+        stem = let(_without_prefix(word, HEBREW_PREFIXES), lambda w: _without_suffix(w, HEBREW_SUFFIXES))
+        return F.when(F.length(word) < 3, "").otherwise(_skeleton(stem, strong))
+
+    return let(clean_hebrew(c), root)
 
 
 def root_relation(a: Column, b: Column) -> Column:
@@ -128,24 +135,26 @@ def pattern_table() -> list[tuple[int, str, str, list[str], bool]]:
 
 def parse_pattern(term: Column) -> Column:
     """struct(query_wazn, query_wazn_status, candidates, radicals, normalized_form) of a term's own pattern."""
-    form = normalize_term(term)
     rows = pattern_table()
-    hits = F.filter(
-        F.array(*[F.when(form.rlike(regex), F.struct(F.lit(skeleton).alias("skeleton"), F.array(*[F.lit(n) for n in names]).alias("names"), F.lit(literal).alias("literal"), F.array(*[F.regexp_extract(form, regex, k + 1) for k in range(skeleton.count("C"))]).alias("radicals"))) for _, skeleton, regex, names, literal in rows]),
-        lambda h: h.isNotNull(),
-    )
-    kept = F.when(F.exists(hits, lambda h: h["literal"]), F.filter(hits, lambda h: h["literal"])).otherwise(hits)
-    names = F.array_distinct(F.flatten(F.transform(kept, lambda h: h["names"])))
-    best = F.get(kept, F.lit(0))
-    status = (
-        F.when(F.size(kept) == 0, "not_parsed")
-        .when(F.size(names) == 1, "parsed")
-        .when((F.size(best["names"]) > 1) & (F.size(kept) == 1), "ambiguous_vocalization")
-        .otherwise("ambiguous_structure")
-    )
-    wazn = F.when(status == "not_parsed", None).when(status == "ambiguous_structure", F.array_join(F.slice(names, 1, 4), " / ")).otherwise(F.array_join(best["names"], " / "))
-    wazn = F.when(status == "parsed", F.get(names, F.lit(0))).otherwise(wazn)
-    return F.struct(wazn.alias("query_wazn"), status.alias("query_wazn_status"), names.alias("candidates"), best["radicals"].alias("radicals"), form.alias("normalized_form"))
+
+    def hits(form: Column) -> Column:
+        each = [F.when(form.rlike(regex), F.struct(F.array(*[F.lit(n) for n in names]).alias("names"), F.lit(literal).alias("literal"), F.array(*[F.regexp_extract(form, regex, k + 1) for k in range(skeleton.count("C"))]).alias("radicals"))) for _, skeleton, regex, names, literal in rows]
+        return F.filter(F.array(*each), lambda h: h.isNotNull())
+
+    def kept(found: Column) -> Column:
+        return F.when(F.exists(found, lambda h: h["literal"]), F.filter(found, lambda h: h["literal"])).otherwise(found)
+
+    def summed(own: Column, form: Column) -> Column:
+        best = F.get(own, F.lit(0))
+        facts = F.struct(F.array_distinct(F.flatten(F.transform(own, lambda h: h["names"]))).alias("names"), best["names"].alias("best"), best["radicals"].alias("radicals"), F.size(own).alias("hits"))
+        return let(facts, lambda f: judged(f, form))
+
+    def judged(f: Column, form: Column) -> Column:
+        status = F.when(f["hits"] == 0, "not_parsed").when(F.size(f["names"]) == 1, "parsed").when((F.size(f["best"]) > 1) & (f["hits"] == 1), "ambiguous_vocalization").otherwise("ambiguous_structure")
+        named = let(status, lambda s: F.struct(F.when(s == "parsed", F.get(f["names"], F.lit(0))).when(s == "ambiguous_vocalization", F.array_join(f["best"], " / ")).when(s == "ambiguous_structure", F.array_join(F.slice(f["names"], 1, 4), " / ")).alias("wazn"), s.alias("status")))
+        return let(named, lambda n: F.struct(n["wazn"].alias("query_wazn"), n["status"].alias("query_wazn_status"), f["names"].alias("candidates"), f["radicals"].alias("radicals"), form.alias("normalized_form")))
+
+    return let(normalize_term(term), lambda form: let(let(hits(form), kept), lambda own: summed(own, form)))
 
 
 #: The first two vowel marks of a word and the pattern stems they leave.
@@ -155,25 +164,32 @@ VOWEL_FAMILIES = {"َْ": ["faʿl"], "ِْ": ["fiʿl"], "ُْ": ["fuʿl"], "ََ
 def narrow_by_vowels(vocalized: Column, candidates: Column) -> Column:
     """Candidates that agree with the first two vowel marks; all of them where the marks say nothing."""
     marks = F.array_join(F.slice(F.filter(letters(vocalized), lambda ch: ch.rlike("^[\\u064B-\\u0652]$")), 1, 2), "")
-    out = None
-    for key, family in VOWEL_FAMILIES.items():
-        kept = F.filter(candidates, lambda n, family=family: n.isin(family) | F.substring(n, 1, 2).isin(sorted({f.split("ʿ")[0][:2] for f in family})))
-        out = F.when(marks == key, kept) if out is None else out.when(marks == key, kept)
-    narrowed = out.otherwise(candidates)
-    return F.when(F.size(narrowed) == 0, candidates).otherwise(narrowed)
+
+    def agreeing(family: list[str], names: Column) -> Column:
+        stems = sorted({f.split("ʿ")[0][:2] for f in family})
+        return F.filter(names, lambda n: n.isin(*family) | F.substring(n, 1, 2).isin(*stems))
+
+    def chosen(key: Column, names: Column) -> Column:
+        out = None
+        for marked, family in VOWEL_FAMILIES.items():
+            kept = agreeing(family, names)
+            out = F.when(key == marked, kept) if out is None else out.when(key == marked, kept)
+        return out.otherwise(names)
+
+    return let(marks, lambda key: let(candidates, lambda names: let(chosen(key, names), lambda kept: F.when(F.size(kept) == 0, names).otherwise(kept))))
 
 
 def parse_vocalized(term: Column, vocalized: Column) -> Column:
     """``parse_pattern`` narrowed by a vocalized form where the term alone leaves more than one pattern."""
-    parsed = parse_pattern(term)
-    names = narrow_by_vowels(vocalized, parsed["candidates"])
-    narrow = vocalized.isNotNull() & ~parsed["query_wazn_status"].isin("parsed", "not_parsed")
-    status = F.when(narrow, F.when(F.size(names) == 1, "parsed").otherwise("ambiguous_vocalization")).otherwise(parsed["query_wazn_status"])
-    wazn = F.when(narrow, F.array_join(names, " / ")).otherwise(parsed["query_wazn"])
-    return F.struct(wazn.alias("query_wazn"), status.alias("query_wazn_status"))
+
+    def narrowed(parsed: Column) -> Column:
+        open_ = vocalized.isNotNull() & ~parsed["query_wazn_status"].isin("parsed", "not_parsed")
+        fewer = let(narrow_by_vowels(vocalized, parsed["candidates"]), lambda names: F.struct(F.array_join(names, " / ").alias("query_wazn"), F.when(F.size(names) == 1, "parsed").otherwise("ambiguous_vocalization").alias("query_wazn_status")))
+        return F.when(open_, fewer).otherwise(F.struct(parsed["query_wazn"].alias("query_wazn"), parsed["query_wazn_status"].alias("query_wazn_status")))
+
+    return let(parse_pattern(term), narrowed)
 
 
 def pattern_fields(term: Column, cluster: Column) -> Column:
     """The term's own pattern and the cluster's pattern, kept apart."""
-    parsed = parse_pattern(term)
-    return F.struct(parsed["query_wazn"].alias("query_wazn"), parsed["query_wazn_status"].alias("query_wazn_status"), cluster.alias("cluster_wazn"))
+    return let(parse_pattern(term), lambda p: F.struct(p["query_wazn"].alias("query_wazn"), p["query_wazn_status"].alias("query_wazn_status"), cluster.alias("cluster_wazn")))
