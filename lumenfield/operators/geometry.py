@@ -226,3 +226,58 @@ def depth_correlation(nodes: DataFrame) -> DataFrame:
     known = nodes.where("level is not null and r is not null").select("node_id", F.least("level", F.lit(2)).alias("tier"), "r")
     ranked = ordinal_ranks(ordinal_ranks(known, ["tier", "node_id"], "rank_level"), ["r", "node_id"], "rank_r")
     return ranked.agg(F.corr(F.col("rank_level").cast("double"), F.col("rank_r").cast("double")).alias("spearman_level_r"))
+
+
+#: Groups whose barycentres the driver follows at once.
+MAX_GROUPS = 10_000
+
+
+def grouped_karcher(points: DataFrame, group: str, rounds: int = 64, tol: float = 1e-7) -> DataFrame:
+    """(group, x, y): weighted barycentres of groups of any size, from (group, px, py, w).
+
+    Equal points are folded first. Every round is one pass in which each task sums the tangent vectors of its own points per
+    group; only those sums travel. More than ``MAX_GROUPS`` groups are refused.
+    """
+    from ..session import written
+
+    spark = points.sparkSession
+    ship(spark)
+    kind = dict(points.dtypes)[group]
+    folded = points.where("px is not null and py is not null").groupBy(group, "px", "py").agg(F.sum(F.greatest("w", F.lit(0.0))).alias("w"), F.count("*").alias("n"))
+    folded = written(folded, "points")
+    start = folded.groupBy(group).agg(F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("px")).alias("sx"), F.sum(F.col("w") * F.col("py")).alias("sy"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("px")).alias("nx"), F.sum(F.col("n") * F.col("py")).alias("ny")).limit(MAX_GROUPS + 1).toPandas()
+    if len(start) > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} groups")
+    flat = start.sw < EPS
+    centre = _clip(np.where(flat, start.nx + 1j * start.ny, start.sx + 1j * start.sy) / np.where(flat, start.n, start.sw.where(~flat, 1)))
+    keys = [None if v != v else v for v in start[group].tolist()] if len(start) else []
+    at = {k: n for n, k in enumerate(keys)}
+    live = np.ones(len(keys), dtype=bool)
+    for _ in range(rounds):
+        if not live.any():
+            break
+        shared = spark.sparkContext.broadcast((at, centre, live, flat.to_numpy()))
+
+        def tangents(batches, shared=shared):
+            at, centre, live, flat = shared.value
+            sums = np.zeros((3, len(centre)))
+            for b in batches:
+                own = np.array([at[None if v != v else v] for v in b[group]], dtype=int)
+                keep = live[own]
+                own, part = own[keep], b[keep]
+                w = np.where(flat[own], part.n, part.w)
+                g = w * log_at(centre[own], part.px.to_numpy() + 1j * part.py.to_numpy())
+                for row, v in enumerate((g.real, g.imag, w)):
+                    sums[row] += np.bincount(own, weights=v, minlength=len(centre))
+            some = np.flatnonzero(sums[2])
+            yield pd.DataFrame({"k": some, "x": sums[0, some], "y": sums[1, some], "w": sums[2, some]})
+
+        moved = folded.mapInPandas(tangents, "k int, x double, y double, w double").groupBy("k").agg(F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum("w").alias("w")).toPandas()
+        g = (moved.x + 1j * moved.y).to_numpy() / moved.w.to_numpy()
+        k = moved.k.to_numpy()
+        going = np.abs(g) >= tol
+        centre[k[going]] = exp_at(centre[k[going]], g[going])
+        live[:] = False
+        live[k[going]] = True
+    rows = [(k, float(c.real), float(c.imag)) for k, c in zip(keys, centre)]
+    return spark.createDataFrame(rows, f"{group} {kind}, x double, y double")
