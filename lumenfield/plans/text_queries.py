@@ -168,6 +168,15 @@ def root_value_check(spark, d):
     return v.select("log_id", "recomputed", (~F.col("abjad_value").eqNullSafe(F.col("recomputed"))).alias("flagged"))
 
 
+@query("""with w as (select word_id, unnest(string_split(form, '')) as letter, case when lang = 'he' then 'gematria' else 'abjad' end as mapping_id from lexicon where lang in ('ar', 'he'))
+ select word_id, sum(coalesce(m.value, 0))::bigint as value from w left join letter_map m using (mapping_id, letter) group by 1""")
+def letter_value_mapped(spark, d):
+    """Values under the mappings of the letter table, which is a broadcast dimension of two short alphabets."""
+    words = table(spark, d, "lexicon").where("lang in ('ar', 'he')").select("word_id", F.when(F.col("lang") == "he", "gematria").otherwise("abjad").alias("mapping_id"), F.explode(L.letters(F.col("form"))).alias("letter"))
+    values = table(spark, d, "letter_map").select("mapping_id", "letter", "value")
+    return words.join(F.broadcast(values), ["mapping_id", "letter"], "left").groupBy("word_id").agg(F.sum(F.coalesce("value", F.lit(0))).alias("value"))
+
+
 # --------------------------------------------------------------------------------------------------------- morphology
 
 
