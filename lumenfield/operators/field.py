@@ -8,6 +8,7 @@ Vectors of another length than the basis and null vectors score null. Ties rank
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expr import let
 from ..session import ship
 from . import geometry as G
 
@@ -71,11 +73,17 @@ def profiles(terms: DataFrame, basis: Basis, key: str = "term", vec: str = "vec"
     return terms.withColumn("sims", F.pandas_udf(score, "array<double>")(F.col(vec)))
 
 
+def constants(basis: Basis) -> Column:
+    """The names as one array literal, folded once by the optimizer however many names there are."""
+    rows = [{"name": int(n), "px": float(x), "py": float(y), "level": int(v), "root": int(r)} for n, x, y, v, r in zip(basis.names, basis.px, basis.py, basis.level, basis.root)]
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<name:bigint,px:double,py:double,level:int,root:int>>")
+
+
 def ranked(sims: Column, basis: Basis, digits: int = 12) -> Column:
-    """The names as structs (sim, at, name, px, py, level, root), most similar first."""
-    fixed = F.array(*[F.struct(F.lit(k).alias("at"), F.lit(n).alias("name"), F.lit(float(x)).alias("px"), F.lit(float(y)).alias("py"), F.lit(int(v)).alias("level"), F.lit(r).alias("root")) for k, (n, x, y, v, r) in enumerate(zip(basis.names, basis.px, basis.py, basis.level, basis.root))])
-    joined = F.zip_with(sims, fixed, lambda s, n: F.struct((-F.round(s, digits)).alias("key"), n["at"].alias("at"), s.alias("sim"), n["name"].alias("name"), n["px"].alias("px"), n["py"].alias("py"), n["level"].alias("level"), n["root"].alias("root")))
-    return F.array_sort(joined)
+    """The names as structs (sim, name, px, py, level, root), most similar first; equals in the order of the names."""
+    fixed = constants(basis)
+    order = F.sort_array(F.transform(sims, lambda s, at: F.struct((-F.round(s, digits)).alias("key"), at.alias("at"), s.alias("sim"))))
+    return F.transform(order, lambda o: let(F.get(fixed, o["at"]), lambda n: F.struct(o["sim"].alias("sim"), n["name"].alias("name"), n["px"].alias("px"), n["py"].alias("py"), n["level"].alias("level"), n["root"].alias("root"))))
 
 
 def vote(top: Column, field: str) -> Column:

@@ -9,13 +9,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.hyperbolic import EPS, MAX_NORM
+from ..functions.hyperbolic import CLAMP, EPS, MAX_NORM
 from ..session import ship
 
 #: Statistics over all pairs of a group are quadratic; larger groups are refused, never cut.
 MAX_GROUP = 5000
-#: Targets that one scan holds in every task; more are scanned in blocks.
-TARGETS = 4096
+#: Points of a block.
+BLOCK = 2048
 
 # ------------------------------------------------------------------------------------------ kernels, on complex arrays
 
@@ -31,6 +31,11 @@ def distance(u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.arccosh(np.maximum(1.0, 1 + 2 * np.abs(u - v) ** 2 / room))
 
 
+def distance_clamped(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    room = (1 - np.minimum(np.abs(u) ** 2, CLAMP)) * (1 - np.minimum(np.abs(v) ** 2, CLAMP))
+    return np.arccosh(np.maximum(1.0, 1 + 2 * np.abs(u - v) ** 2 / room))
+
+
 def _add(u: np.ndarray, v: np.ndarray) -> np.ndarray:
     u, v = _clip(u), _clip(v)
     dot = (u * np.conj(v)).real
@@ -151,45 +156,45 @@ def frechet_statistics(points: DataFrame, group: str, baseline: float | None = N
     return known.select(group, "px", "py").groupBy(group).applyInPandas(measured, f"{group} {kind}, n int, x double, y double, variance double, dispersion double, mean_pairwise double, tightness double")
 
 
-def nearest(candidates: DataFrame, targets: DataFrame, k: int, same: bool = False) -> DataFrame:
+def _blocks(df: DataFrame, key: str, x: str, y: str, names: tuple[str, str, str]) -> DataFrame:
+    """Points gathered into rows of three arrays, as they come in Arrow batches: a block holds a bounded number of them."""
+
+    def gather(batches):
+        for b in batches:
+            for at in range(0, len(b), BLOCK):
+                part = b.iloc[at : at + BLOCK].sort_values(key, kind="stable")
+                yield pd.DataFrame({n: [part[c].to_numpy()] for n, c in zip(names, (key, x, y))})
+
+    return df.select(key, x, y).mapInPandas(gather, f"{names[0]} array<long>, {names[1]} array<double>, {names[2]} array<double>")
+
+
+def nearest(candidates: DataFrame, targets: DataFrame, k: int, same: bool = False, clamped: bool = False) -> DataFrame:
     """(target, id, distance, rank): for each target (target, x, y) its k nearest candidates (id, px, py), ties by id.
 
-    The targets are a stated query set: they are held ``TARGETS`` at a time, every partition of the candidates keeps its
-    own k best per target, and only those are shuffled. With ``same`` a candidate may be the target itself.
+    The targets are a stated query set: blocks of targets meet blocks of candidates as distance matrices, each meeting keeps
+    its own k best per target, and only those are shuffled. With ``same`` a candidate may be the target itself, ``clamped``
+    chooses the distance of clamped norms. Targets and candidates with a null take no part.
     """
-    spark = candidates.sparkSession
-    ship(spark)
-    known = candidates.where("id is not null and px is not null and py is not null").select("id", "px", "py")
-    rows = targets.where("x is not null and y is not null").select("target", "x", "y").toPandas().sort_values("target")
-    out = None
-    for at in range(0, max(1, len(rows)), TARGETS):
-        block = spark.sparkContext.broadcast(rows.iloc[at : at + TARGETS].to_numpy(dtype=float))
-
-        def scan(batches, block=block):
-            t = block.value
-            z = t[:, 1] + 1j * t[:, 2]
-            best = None
-            for b in batches:
-                step = max(1, 4_000_000 // max(1, len(z)))
-                for s in range(0, len(b), step):
-                    part = b.iloc[s : s + step]
-                    ids = part.id.to_numpy()
-                    order = np.argsort(ids, kind="stable")
-                    ids = ids[order]
-                    d = distance(z[:, None], (part.px.to_numpy() + 1j * part.py.to_numpy())[order][None])
-                    if not same:
-                        d = np.where(ids[None] == t[:, :1], np.inf, d)
-                    pick = np.argsort(d, axis=1, kind="stable")[:, :k]
-                    r, c = np.nonzero(np.isfinite(np.take_along_axis(d, pick, axis=1)))
-                    found = pd.DataFrame({"target": t[r, 0].astype("int64"), "id": ids[pick[r, c]], "distance": d[r, pick[r, c]]})
-                    best = found if best is None else pd.concat([best, found]).sort_values(["target", "distance", "id"]).groupby("target").head(k)
-            if best is not None:
-                yield best
-
-        part = known.mapInPandas(scan, "target long, id long, distance double")
-        out = part if out is None else out.unionByName(part)
+    ship(candidates.sparkSession)
+    metric = distance_clamped if clamped else distance
+    own = _blocks(candidates.where("id is not null and px is not null and py is not null"), "id", "px", "py", ("ids", "cx", "cy"))
+    asked = _blocks(targets.where("target is not null and x is not null and y is not null"), "target", "x", "y", ("ts", "tx", "ty"))
+
+    def meet(batches):
+        for batch in batches:
+            for r in batch.itertuples():
+                d = metric((r.tx + 1j * r.ty)[:, None], (r.cx + 1j * r.cy)[None])
+                if not same:
+                    d = np.where(r.ids[None] == r.ts[:, None], np.inf, d)
+                few = min(k, d.shape[1])
+                pick = np.argsort(d, axis=1, kind="stable")[:, :few]
+                best = np.take_along_axis(d, pick, axis=1)
+                t, c = np.nonzero(np.isfinite(best))
+                yield pd.DataFrame({"target": r.ts[t], "id": r.ids[pick[t, c]], "distance": best[t, c]})
+
+    met = own.crossJoin(asked).mapInPandas(meet, "target long, id long, distance double")  # a row per pair of blocks
     order = W.partitionBy("target").orderBy("distance", "id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def tier_statistics(nodes: DataFrame) -> DataFrame:

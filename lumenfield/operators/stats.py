@@ -74,14 +74,14 @@ def binned(pairs: DataFrame, distance: str, outcome: str) -> DataFrame:
     return every.join(F.broadcast(stats), "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def average_ranks(df: DataFrame, column: str, name: str, groups: list[str] | None = None) -> DataFrame:
+def average_ranks(df: DataFrame, column: str, name: str, groups: list[str] | None = None, weight: str | None = None) -> DataFrame:
     """Ranks with ties averaged (from 1), per group or over all rows, without one window over all rows.
 
     Distinct values are counted and sorted into ranges; the rank of a value is the count of the ranges before, of the values
     before it in its own range, and half of its own count.
     """
     groups = groups or []
-    counted = df.groupBy(*groups, column).agg(F.count("*").alias("__c"))
+    counted = df.groupBy(*groups, column).agg((F.sum(weight) if weight else F.count("*")).alias("__c"))
     ranged = counted.repartitionByRange(*groups, column).withColumn("__part", F.spark_partition_id())
     own = W.partitionBy("__part", *groups).orderBy(column).rowsBetween(W.unboundedPreceding, -1)
     ranged = written(ranged.withColumn("__in", F.coalesce(F.sum("__c").over(own), F.lit(0))), "ranges")
@@ -94,9 +94,14 @@ def average_ranks(df: DataFrame, column: str, name: str, groups: list[str] | Non
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """(rho, n): the rank correlation of two columns, rows with a null left out."""
-    known = df.select(a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    ranked = average_ranks(average_ranks(known, a, "ra"), b, "rb")
-    return ranked.agg(F.corr("ra", "rb").alias("rho"), F.count("*").alias("n"))
+    known = df.select(a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count("*").alias("__w"))
+    known = written(known, "rank-pairs")  # equal pairs fold before anything is sorted
+    ranked = average_ranks(average_ranks(known, a, "ra", weight="__w"), b, "rb", weight="__w")
+    w, x, y = F.col("__w"), F.col("ra"), F.col("rb")
+    m = ranked.agg(F.sum(w).alias("n"), F.sum(w * x).alias("x"), F.sum(w * y).alias("y"), F.sum(w * x * y).alias("xy"), F.sum(w * x * x).alias("xx"), F.sum(w * y * y).alias("yy"))
+    spread = lambda s, t: F.col(s) / F.col("n") - (F.col(t) / F.col("n")) ** 2
+    below = F.sqrt(spread("xx", "x") * spread("yy", "y"))
+    return m.select(F.when(below > 0, (F.col("xy") / F.col("n") - F.col("x") * F.col("y") / F.col("n") / F.col("n")) / below).alias("rho"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def ols(df: DataFrame, controls: list[str], targets: list[str]) -> dict[str, np.ndarray]:
@@ -121,7 +126,7 @@ def residual(target: str, controls: list[str], beta: np.ndarray) -> Column:
 def partial_spearman(df: DataFrame, target: str, outcome: str, controls: list[str]) -> DataFrame:
     """(rho, n, p, error): the rank correlation of the residuals of target and outcome on the controls; below 50 rows none."""
     spark = df.sparkSession
-    known = df.select(target, outcome, *controls).dropna()
+    known = written(df.select(target, outcome, *controls).dropna(), "residuals")  # read by the fit and by either ranking
     n = known.count()
     if n < FEWEST:
         return spark.createDataFrame([(None, n, None, "insufficient data")], "rho double, n long, p double, error string")

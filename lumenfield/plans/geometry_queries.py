@@ -189,14 +189,11 @@ def hyperbolic_knn(spark, d):
 @query(cte("nodes", "basis") + """, d as (select n.node_id, b.name, b.level, acosh(greatest(1.0::double, 1 + 2*((n.px-b.px)*(n.px-b.px)+(n.py-b.py)*(n.py-b.py))/((1-least(n.px*n.px+n.py*n.py, 0.9999::double))*(1-least(b.px*b.px+b.py*b.py, 0.9999::double))))) dist from nodes n, basis b where n.px is not null and n.py is not null),
  k as (select *, row_number() over (partition by node_id order by round(dist, 9), name) rn from d) select node_id, rn::int as rank, name, case least(level, 2) when 0 then 'Dhāt' when 1 then 'Ṣifāt' else 'Afʿāl' end as tier, round(dist, 4) as distance from k where rn <= 3""")
 def nearest_basis(spark, d):
-    """The three nearest names of every node; the 99 names are an array literal, so nothing is shuffled."""
-    rows = basis(spark, d).select("name", "px", "py", "level").orderBy("name").collect()  # 99 rows
-    names = F.array(*[F.struct(F.lit(r.name).alias("name"), F.lit(float(r.px)).alias("x"), F.lit(float(r.py)).alias("y"), F.lit(r.level).alias("level")) for r in rows])
-    here = H.point("px", "py")
-    known = nodes(spark, d).where("px is not null and py is not null")
-    scored = F.transform(names, lambda n: F.struct(F.round(H.dist_clamped(here, n), 9).alias("key"), n["name"].alias("name"), n["level"].alias("level")))
-    best = known.select("node_id", F.slice(F.array_sort(scored), 1, 3).alias("best"))
-    return best.select("node_id", F.posexplode("best").alias("at", "b")).select("node_id", (F.col("at") + 1).cast("int").alias("rank"), "b.name", H.tier_label(F.col("b.level")).alias("tier"), F.round("b.key", 4).alias("distance"))
+    """The three nearest names of every node."""
+    targets = nodes(spark, d).select(F.col("node_id").alias("target"), F.col("px").alias("x"), F.col("py").alias("y"))
+    names = basis(spark, d).select(F.col("name").alias("id"), "px", "py", "level")
+    near = G.nearest(names.coalesce(1), targets, 3, same=True, clamped=True).join(F.broadcast(names.select("id", "level")), "id")
+    return near.select(F.col("target").alias("node_id"), "rank", F.col("id").alias("name"), H.tier_label(F.col("level")).alias("tier"), F.round("distance", 4).alias("distance"))
 
 
 @query(cte("nodes") + " select least(level, 2)::int as tier, count(*) as n, round(avg(r), 6) as mean, round(stddev_pop(r), 6) as std, round(min(r), 6) as min, round(max(r), 6) as max from nodes where level is not null and r is not null group by 1")
