@@ -68,7 +68,7 @@ CLASSES = {
 #: Patterns (weight, kind, pattern). ``<class>`` is a word of a class, ``_`` any word, ``?`` ``*`` ``+`` ``{m,n}`` as usual.
 GRAMMAR = [
     # insults
-    (0.85, "insult", "<you> <be> <filler>* <vile>* <insult>"),
+    (0.85, "insult", "<you> <filler>? <be> <filler>* <vile>* <insult>"),
     (0.85, "insult", "<you> <filler>? <vile>+ <insult>"),
     (0.75, "insult", "<you> <insult>"),
     (0.9, "insult", "what a <filler>* <vile>* <insult> <you> <be>"),

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from functools import lru_cache
 
 import pandas as pd
@@ -172,29 +173,59 @@ def _evidence(span: str) -> bool:
     return any(ord(c) < 0x250 and c not in ORDINARY or unicodedata.category(c)[0] not in "LMN" and c not in ORDINARY for c in span)
 
 
+class _Tokens:
+    """The white-space tokens of a text and a fact about each, looked at once."""
+
+    def __init__(self, text: str, fact) -> None:
+        self.text, self.fact = text, fact
+        self.spans = [m.span() for m in _TOKEN.finditer(text)]
+        self.starts = [a for a, _ in self.spans]
+        self.known: dict[int, object] = {}
+
+    def at(self, position: int) -> int:
+        return bisect_right(self.starts, position) - 1
+
+    def facts(self, k: int):
+        if k not in self.known:
+            a, b = self.spans[k] if k >= 0 else (0, 0)
+            self.known[k] = self.fact(self.text[a:b])
+        return self.known[k]
+
+
+_TOKEN = re.compile(r"[^ \t\r\n\f\v]+")
+
+
 def _trusted(text: str, runs: list[list[int]], read: str) -> list[list[int]]:
     """Runs of UTF-8 read as another encoding that count."""
     if read in ("cp1252", "latin-1", "mac_roman"):
         return [run for run in runs if _evidence(text[run[0] : run[1]])]
     if read not in TELLING:
-        out = [run for run in runs if all(ord(c) < 128 or c in ORDINARY for c in _token_at(text, run[0], run[1]).replace(text[run[0] : run[1]], ""))]
+        strange = lambda span: sum(ord(c) > 127 and c not in ORDINARY for c in span)
+        tokens = _Tokens(text, strange)
+        inside: dict[int, int] = {}
+        for start, end, _ in runs:
+            k = tokens.at(start)
+            inside[k] = inside.get(k, 0) + strange(text[start:end])
+        out = [run for run in runs if inside[k := tokens.at(run[0])] >= tokens.facts(k)]
         return out if sum(n for _, _, n in out) >= 3 else []
-    told = [run for run in runs if _evidence(text[run[0] : run[1]])]
-    if sum(n for _, _, n in told) < 2:
+    mixed = _Tokens(text, re.compile("[A-Za-z]").search)  # a letter of another script inside a Latin word tells as well
+    told = [run for run in runs if run[2] >= 4 or _evidence(text[run[0] : run[1]])]
+    if sum(n for _, _, n in told) < 2 and not any(mixed.facts(mixed.at(run[0])) for run in told):
         return []
-    return [run for run in runs if run in told or run[2] >= 2]
+    return [run for run in runs if run[2] >= 2 or _evidence(text[run[0] : run[1]]) or mixed.facts(mixed.at(run[0]))]
 
 
-def _utf8_round(text: str) -> str:
-    """Replace the runs of UTF-8 read as something else; where pairs compete the one that explains most goes first."""
+def _utf8_round(text: str) -> tuple[str, int]:
+    """Replace the runs of UTF-8 read as something else: (text, characters replaced). The pair that explains most goes first."""
     _, pairs = _automaton()
     runs = {pair: good for pair, own in _runs(text).items() if pairs[pair][0] == "utf8" and (good := _trusted(text, own, pairs[pair][2]))}
     order = sorted(runs, key=lambda pair: (-sum(end - start for start, end, _ in runs[pair]), pair))
     taken: list[tuple[int, int, str]] = []
+    used = bytearray(len(text))
     for pair in order:
         for start, end, _ in runs[pair]:
             span = text[start:end]
-            if any(start < e and s < end for s, e, _ in taken):
+            if used.find(1, start, end) >= 0:
                 continue
             raw = _encoded(span, pairs[pair][2])
             try:
@@ -203,13 +234,14 @@ def _utf8_round(text: str) -> str:
                 right = None
             if right:
                 taken.append((start, end, right))
-    return _replaced(text, taken)
+                used[start:end] = b"\1" * (end - start)
+    return _replaced(text, taken), sum(end - start for start, end, _ in taken)
 
 
-def _better_read_otherwise(text: str, before: str, now: str, lang: str | None) -> bool:
-    """Whether a one or two byte pair explains more than twice what UTF-8 explained in the first round."""
-    gone = sum(1 for c in before if ord(c) > 127) - sum(1 for c in now if ord(c) > 127)
-    return any(score > 4 * gone + 2 for score, _, _ in _readings(text, lang)[:1])
+def _better_read_otherwise(text: str, covered: int, lang: str | None) -> bool:
+    """Whether UTF-8 explains little of what looks garbled, and a one or two byte pair more than twice as much."""
+    high = sum(0x80 <= ord(c) < 0x250 or c in _SPECIAL for c in text)
+    return covered < 0.6 * high and any(score > 2 * covered + 2 for score, _, _ in _readings(text, lang)[:1])
 
 
 def _replaced(text: str, taken: list[tuple[int, int, str]]) -> str:
@@ -220,28 +252,27 @@ def _replaced(text: str, taken: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
-_TOKEN = re.compile(r"[^ \t\r\n\f\v]+")
-_THAI_MARK = re.compile("[ัิ-ฺ็-๎]")
 
 
 def _thai_faults(text: str) -> int:
     """Vowel signs and tone marks without a consonant before them, and leading vowels without one behind."""
     faults = len(re.findall("(?<![ก-ฮั-ฺ็-๎])[ัิ-ฺ็-๎]", text))
-    return faults + len(re.findall("[เ-ไ](?![ก-ฮ])", text))
+    return faults + len(re.findall("[เ-ไ](?![ก-ฮ])", text)) + len(re.findall("[ฃฅฤฦ๏-๛]", text))
 
 
 def _readings(text: str, lang: str | None) -> list[tuple[float, str, str]]:
     """Pairs of one and two byte encodings that could explain the text, the best first."""
     _, pairs = _automaton()
     out = []
+    tokens = _Tokens(text, re.compile("[A-Za-z]").search)
     for pair, own in _runs(text).items():
         family, encoding, read = pairs[pair]
         if family == "one":
-            spans = [(s, e) for s, e, _ in own if not re.search("[A-Za-z]", _token_at(text, s, e))]
+            spans = [(s, e) for s, e, _ in own if not tokens.facts(tokens.at(s))]
             if encoding == "cp874":
                 spans = [(s, e) for s, e in spans if _thai_ok(text[s:e], read)]
         elif family == "two":
-            spans = [(s, e) for s, e, n in own if e - s >= 6]
+            spans = [(s, e) for s, e, n in own if e - s >= 6 and sum(ord(c) > 127 for c in text[s:e]) >= 0.6 * (e - s)]
         else:
             continue
         covered = sum(e - s for s, e in spans)
@@ -273,15 +304,6 @@ def _bonus(text: str, spans: list[tuple[int, int]], encoding: str, read: str, la
     return (0.1 if size >= 16 else -0.3) * size if encoding == "cp874" else 0.0
 
 
-def _token_at(text: str, start: int, end: int) -> str:
-    """The run with what surrounds it up to the next white space."""
-    while start and text[start - 1] not in " \t\r\n":
-        start -= 1
-    while end < len(text) and text[end] not in " \t\r\n":
-        end += 1
-    return text[start:end]
-
-
 def _legacy_round(text: str, lang: str | None) -> str:
     """Replace the tokens of the one and two byte pairs; the pair that explains most of the text goes first."""
     for _, encoding, read in _readings(text, lang)[:1]:
@@ -346,10 +368,11 @@ def repair(text: str | None, lang: str | None = None) -> tuple[bool, str | None,
         return False, text, True
     now = text
     for _ in range(ROUNDS):
-        before, now = now, _utf8_round(now)
+        before = now
+        now, covered = _utf8_round(now)
         if now == before:
             break
-        if before is text and _better_read_otherwise(text, before, now, lang):
+        if before is text and _better_read_otherwise(text, covered, lang):
             now = text
             break
     if any("\x80" <= c <= "\xff" or c in _SPECIAL for c in now):
