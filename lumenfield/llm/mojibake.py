@@ -212,7 +212,8 @@ def _trusted(text: str, runs: list[list[int]], read: str) -> list[list[int]]:
     told = [run for run in runs if run[2] >= 4 or _evidence(text[run[0] : run[1]])]
     if sum(n for _, _, n in told) < 2 and not any(mixed.facts(mixed.at(run[0])) for run in told):
         return []
-    return [run for run in runs if run[2] >= 2 or _evidence(text[run[0] : run[1]]) or mixed.facts(mixed.at(run[0]))]
+    sure = any(run[2] >= 4 for run in told)  # then a short word that is nothing but a sequence counts, too
+    return [run for run in runs if run[2] >= 2 or _evidence(text[run[0] : run[1]]) or mixed.facts(mixed.at(run[0])) or sure and tuple(run[:2]) == mixed.spans[mixed.at(run[0])]]
 
 
 def _utf8_round(text: str) -> tuple[str, int]:
