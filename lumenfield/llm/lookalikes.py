@@ -65,7 +65,7 @@ def _decompositions() -> list[tuple[str, list[tuple[str, int, str]]]]:
     out = []
     for code in range(0x110000):
         char = chr(code)
-        if unicodedata.category(char) in ("Cn", "Cs", "Co"):
+        if unicodedata.category(char) in ("Cn", "Cs", "Co") or 0xAC00 <= code <= 0xD7A3:  # Hangul syllables stay composed
             continue
         target = _target(char)
         if target != char or unicodedata.combining(char):
@@ -91,7 +91,7 @@ def _looks() -> list[tuple[str, str, str]]:
 
 @lru_cache(maxsize=1)
 def _compositions() -> dict[str, str]:
-    """base + mark -> composed letter, for all of Unicode but the Hangul syllables, which compose by rule."""
+    """base + mark -> composed letter, for all of Unicode but the Hangul syllables, which are never taken apart."""
     out = {}
     for code in range(0x110000):
         char = chr(code)

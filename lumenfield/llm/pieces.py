@@ -54,8 +54,8 @@ def _boundaries(text: str, limit: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(starts, dtype=np.int64), np.array(ends, dtype=np.int64)
 
 
-def _successors(text: str, limit: int, overlap: int, model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ends, start of the piece behind each end, successor of each end); the first end is a virtual 0."""
+def _successors(text: str, limit: int, overlap: int, model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ends, start of the piece behind each end, successor of each end, word starts); the first end is a virtual 0."""
     starts, words = _boundaries(text, limit)
     ends = np.concatenate([[0], words])
     sentences = np.array(sentence_ends(text, model), dtype=np.int64)
@@ -86,7 +86,7 @@ def _successors(text: str, limit: int, overlap: int, model: dict) -> tuple[np.nd
         reach = np.where((whole > ends) & (whole <= near + limit), whole, reach)
     successor = np.searchsorted(ends, reach)
     successor[-1] = len(ends) - 1
-    return ends, near, np.maximum(successor, np.minimum(np.arange(len(ends)) + 1, len(ends) - 1))
+    return ends, near, np.maximum(successor, np.minimum(np.arange(len(ends)) + 1, len(ends) - 1)), starts
 
 
 def reached(successor: np.ndarray, roots: np.ndarray) -> np.ndarray:
@@ -109,16 +109,20 @@ def cut(texts: list[str], limits: list[int], overlaps: list[int], model: dict) -
     known = [t for t in tables if t is not None]
     if not known:
         return [[] for _ in texts]
-    offsets = np.cumsum([0, *[len(e) for e, _, _ in known]])
-    mark = reached(np.concatenate([s + o for (_, _, s), o in zip(known, offsets)]), offsets[:-1])
+    offsets = np.cumsum([0, *[len(t[0]) for t in known]])
+    mark = reached(np.concatenate([t[2] + o for t, o in zip(known, offsets)]), offsets[:-1])
     out, k = [], 0
     for table in tables:
         if table is None:
             out.append([])
             continue
-        ends, near, _ = table
+        ends, near, _, starts = table
         hit = np.flatnonzero(mark[offsets[k] : offsets[k + 1]])
-        out.append([(int(near[a]), int(ends[b])) for a, b in zip(hit, hit[1:])])
+        begin = near[hit[:-1]]
+        for at in np.flatnonzero(begin[1:] <= begin[:-1]) + 1:  # behind a piece shorter than the overlap: begin one word later
+            if begin[at] <= begin[at - 1]:
+                begin[at] = starts[np.searchsorted(starts, begin[at - 1], side="right")]
+        out.append(list(zip(begin.tolist(), ends[hit[1:]].tolist())))
         k += 1
     return out
 

@@ -43,6 +43,8 @@ ABBREVIATIONS = {
     "Cyrillic": "г гг др проф т е им ул стр см",
     "Devanagari": "डॉ प्रो श्री",
 }
+#: Abbreviations that stand before a number only.
+BEFORE_NUMBERS = frozenset("vol no nos pp fig ca sec ch".split())
 #: Verbs that report a quotation from behind it.
 REPORTING = "سأل قال أجاب صاح همس رد שאל אמר השיב پرسید گفت asked said replied wrote answered diye dedi sordu"
 
@@ -151,7 +153,7 @@ def candidates(text: str) -> list[tuple[int, tuple[str, ...], bool]]:
         token = text[start:at].lower() if at - start <= 12 else ""
         kind = ("." if len(mark) == 1 else "..." if set(mark) == {"."} else "mixed") if "." in mark else "…" if "…" in mark else mark[0]
         ender = _kind(text[at - 1 : at]) if at else "start"
-        short = kind == "." and (token in _abbreviations() or len(token) == 1 and token.isalpha())
+        short = kind == "." and not closed and (token in _abbreviations() or len(token) == 1 and token.isalpha()) and (token not in BEFORE_NUMBERS or following == "digit")
         report = False
         if closed and following not in ("end",):
             word = re.match(r"\w+", text[rest : rest + 20])
