@@ -119,7 +119,8 @@ def cut(texts: list[str], limits: list[int], overlaps: list[int], model: dict) -
         ends, near, _, starts = table
         hit = np.flatnonzero(mark[offsets[k] : offsets[k + 1]])
         begin = near[hit[:-1]]
-        for at in np.flatnonzero(begin[1:] <= begin[:-1]) + 1:  # behind a piece shorter than the overlap: begin one word later
+        late = np.flatnonzero(begin[1:] <= begin[:-1])
+        for at in range(late[0] + 1 if len(late) else len(begin), len(begin)):  # behind a piece shorter than the overlap: one word later
             if begin[at] <= begin[at - 1]:
                 begin[at] = starts[np.searchsorted(starts, begin[at - 1], side="right")]
         out.append(list(zip(begin.tolist(), ends[hit[1:]].tolist())))
