@@ -20,6 +20,7 @@ be found. The items are queries and broadcast: ``MAX_ITEMS`` of them at a time,
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections import Counter
@@ -42,6 +43,8 @@ ERROR = 0.9
 DROP = 2.5
 SEED = 0.9
 SCORE = 2.5
+#: Words of a corpus taken as known besides its own, so that the words of a small one don't pass for common.
+PRIOR = 20_000
 #: Two stretches belong together within NEAR words if either scores PART, at any distance if either scores FAR_PART.
 NEAR = 120
 PART = 3.2
@@ -63,6 +66,7 @@ def segment_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     ids: list[int] = []
     starts: list[int] = []
     tokens: list[int] = []
+    digests: list[bytes] = []
 
     def flush() -> pd.DataFrame:
         token = np.array(tokens, dtype=np.int32)
@@ -70,8 +74,8 @@ def segment_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         order = np.argsort(token[real], kind="stable")
         positions = real[order]
         counts = np.bincount(token[real], minlength=len(vocabulary)).astype(np.int32)
-        row = {"doc_ids": np.array(ids, dtype=np.int64).tobytes(), "starts": np.array(starts, dtype=np.int32).tobytes(), "terms": "\n".join(vocabulary), "counts": counts.tobytes(), "postings": positions.tobytes(), "size": len(tokens)}
-        vocabulary.clear(), ids.clear(), starts.clear(), tokens.clear()
+        row = {"doc_ids": np.array(ids, dtype=np.int64).tobytes(), "starts": np.array(starts, dtype=np.int32).tobytes(), "terms": "\n".join(vocabulary), "counts": counts.tobytes(), "postings": positions.tobytes(), "size": len(tokens), "digests": b"".join(digests)}
+        vocabulary.clear(), ids.clear(), starts.clear(), tokens.clear(), digests.clear()
         return pd.DataFrame([row])
 
     gap = [-1] * GAP
@@ -79,7 +83,9 @@ def segment_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for doc_id, text in zip(batch.doc_id, batch.text):
             ids.append(doc_id)
             starts.append(len(tokens))
-            tokens += [vocabulary.setdefault(w, len(vocabulary)) for w in words(text)]
+            own = words(text)
+            digests.append(hashlib.blake2b(" ".join(own).encode("utf-8", "surrogatepass"), digest_size=8).digest())
+            tokens += [vocabulary.setdefault(w, len(vocabulary)) for w in own]
             tokens += gap
             if len(tokens) >= SEGMENT:
                 yield flush()
@@ -87,7 +93,7 @@ def segment_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield flush()
 
 
-INDEX = "doc_ids binary, starts binary, terms string, counts binary, postings binary, size int"
+INDEX = "doc_ids binary, starts binary, terms string, counts binary, postings binary, size int, digests binary"
 
 
 def index(documents: DataFrame) -> DataFrame:
@@ -115,6 +121,49 @@ class Items:
             self.matrix[k, : len(w)] = [-3 if n < stock else self.vocabulary.setdefault(x, len(self.vocabulary)) for n, x in enumerate(w)]
 
 
+def text_counts(row, vocabulary: dict[str, int]) -> pd.DataFrame:
+    """(digest, n, numbers, counts) of the documents of one segment: all words, and how often each word of the vocabulary occurs."""
+    starts = np.frombuffer(row.starts, dtype=np.int32)
+    counts = np.frombuffer(row.counts, dtype=np.int32)
+    postings = np.frombuffer(row.postings, dtype=np.int32)
+    number = np.array([vocabulary.get(t, -1) for t in (row.terms.split("\n") if row.terms else [])], dtype=np.int64)
+    doc = np.searchsorted(starts, postings, side="right") - 1
+    every = np.repeat(number, counts)
+    held, times = np.unique(doc[every >= 0] * max(1, len(vocabulary)) + every[every >= 0], return_counts=True)
+    ends = np.searchsorted(held, np.arange(len(starts) + 1) * max(1, len(vocabulary)))
+    numbers, times = (held % max(1, len(vocabulary))).astype(np.int32), times.astype(np.int32)
+    cut = list(zip(ends[:-1].tolist(), ends[1:].tolist()))
+    return pd.DataFrame({"digest": np.frombuffer(row.digests, dtype=np.int64), "n": np.bincount(doc, minlength=len(starts)), "numbers": [numbers[i:j].tobytes() for i, j in cut], "counts": [times[i:j].tobytes() for i, j in cut]})
+
+
+def weights(segments: DataFrame, vocabulary: dict[str, int]) -> np.ndarray:
+    """What each word of the vocabulary says, 0 to 1, by its share of all words of the corpus; equal texts count once.
+
+    Counts leave a segment as one row a document and meet by the digest of its words; the driver gets a row a word.
+    """
+    shared = segments.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def each(batches):
+        for batch in batches:
+            for row in batch.itertuples():
+                yield text_counts(row, shared.value)
+
+    def summed(batches):
+        total, n = np.zeros(len(shared.value), dtype=np.int64), 0
+        for batch in batches:
+            n += int(batch.n.sum())
+            numbers = np.frombuffer(b"".join(batch.numbers), dtype=np.int32)
+            total += np.bincount(numbers, np.frombuffer(b"".join(batch.counts), dtype=np.int32), minlength=len(total)).astype(np.int64)
+        seen = np.flatnonzero(total)
+        yield pd.DataFrame({"number": np.append(seen, -1), "n": np.append(total[seen], n)})
+
+    texts = segments.mapInPandas(each, "digest long, n long, numbers binary, counts binary").dropDuplicates(["digest"])
+    counted = {r.number: r.n for r in texts.mapInPandas(summed, "number long, n long").groupBy("number").agg(F.sum("n").alias("n")).collect()}
+    share = np.array([counted.get(k, 0) for k in range(len(vocabulary))]) / (counted.get(-1, 0) + PRIOR)
+    gain = np.clip((-np.log2(np.maximum(share, 2.0**-20)) - 4) / 5, 0, 1)  # very common words say little: 1/16 of all words nothing
+    return np.concatenate([gain, np.zeros(3)])  # masked words say nothing
+
+
 def _extended(token: np.ndarray, matrix: np.ndarray, gain: np.ndarray, item: np.ndarray, at: np.ndarray, pos: np.ndarray, step: int) -> tuple[np.ndarray, ...]:
     """Extend from item word ``at`` at position ``pos`` in direction ``step``: (words matched, item word and position of the farthest match, score)."""
     n = len(item)
@@ -146,7 +195,7 @@ def _extended(token: np.ndarray, matrix: np.ndarray, gain: np.ndarray, item: np.
     return best_matched, far_at, far_pos, best
 
 
-def stretches(row, items: Items) -> pd.DataFrame:
+def stretches(row, items: Items, gain: np.ndarray) -> pd.DataFrame:
     """Stretches of items in one segment: doc_id, item, first and last word, first and last position, words matched."""
     starts = np.frombuffer(row.starts, dtype=np.int32)
     counts = np.frombuffer(row.counts, dtype=np.int32)
@@ -159,8 +208,6 @@ def stretches(row, items: Items) -> pd.DataFrame:
         if number is not None:
             lists[number] = postings[bounds[k] : bounds[k + 1]]
             token[lists[number] + GAP] = number
-    share = np.array([len(lists.get(x, ())) for x in range(len(items.vocabulary))] + [1.0, 1.0, 1.0]) / max(1, len(postings))
-    gain = np.clip((-np.log2(np.maximum(share, 2.0**-20)) - 4) / 5, 0, 1)  # very common words say little: 1/16 of all words nothing
     empty = np.zeros(0, dtype=np.int32)
     seen: dict[tuple, np.ndarray] = {}
     seeds = []
@@ -221,16 +268,18 @@ def leaks(segments: DataFrame, items: list[tuple[int, str]], least: int = WORDS)
     spark = segments.sparkSession
     out = None
     for at in range(0, max(1, len(items)), MAX_ITEMS):
-        shared = spark.sparkContext.broadcast(Items(items[at : at + MAX_ITEMS]))
+        own = Items(items[at : at + MAX_ITEMS])
+        shared = spark.sparkContext.broadcast((own, weights(segments, own.vocabulary)))
 
         def match(batches, shared=shared):
+            asked, gain = shared.value
             for batch in batches:
                 for row in batch.itertuples():
-                    found = stretches(row, shared.value)
+                    found = stretches(row, asked, gain)
                     if len(found):
                         held = joined(found)
                         held = held[held.words >= least]
-                        yield pd.DataFrame({"doc_id": held.doc_id, "item_id": shared.value.ids[held["item"].to_numpy(dtype=np.int64)], "words": held.words})
+                        yield pd.DataFrame({"doc_id": held.doc_id, "item_id": asked.ids[held["item"].to_numpy(dtype=np.int64)], "words": held.words})
 
         part = segments.mapInPandas(match, "doc_id long, item_id long, words int")
         out = part if out is None else out.unionByName(part)

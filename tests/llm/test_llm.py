@@ -343,6 +343,17 @@ def test_leaks(spark):
     assert leakage.leaks(leakage.index(df), [(1, ""), (2, "a b")]).count() == 0
 
 
+def test_leaks_among_copies(spark):
+    """Weights come from the distinct texts of the whole corpus: copies beside each other, or a lone document, don't make their words common."""
+    rng = random.Random(11)
+    leaked = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(30)]
+    items = [(1, " ".join(leaked + ["zz", "yy"]))]
+    lone = spark.createDataFrame([(7, " ".join(leaked))], "doc_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in leakage.leaks(leakage.index(lone), items).collect()] == [(7, 1)]
+    copies = spark.range(10_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("-"), "id", F.lit(" ".join(leaked))).alias("text"))
+    assert leakage.leaks(leakage.index(copies), items).select("doc_id").distinct().count() == 10_000
+
+
 # ------------------------------------------------------------------------------------------------------------ P9
 
 
