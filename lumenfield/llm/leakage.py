@@ -8,7 +8,8 @@ folder once and can serve any number of evaluation sets. Queries run segment by
   offset-adjusted lists of the other two are intersected with it: exact phrase matches, the seeds;
 * seeds are extended both ways word by word; a word may be replaced, left out or added (the offset shifts), and an
   extension ends where errors outweigh matches: proximity matches, the stretches;
-* a document leaks an item if one stretch, or two in the item's order, hold at least ``WORDS`` of its words.
+* a document leaks an item if one stretch, or two in the item's order at any distance, hold at least ``WORDS`` of its words;
+  two count as no chance by what their words weigh, the shorter may be of three words.
 
 Words are runs of letters after compatibility normalisation, in lower case, without vowel marks and kashida; numbers,
 punctuation, list marks and spacing don't count. Openings that ``STOCK`` or more items share word by word are stock and
@@ -45,10 +46,9 @@ SEED = 0.9
 SCORE = 2.5
 #: Words of a corpus taken as known besides its own, so that the words of a small one don't pass for common.
 PRIOR = 20_000
-#: Two stretches belong together within NEAR words if either scores PART, at any distance if either scores FAR_PART.
-NEAR = 120
+#: Two stretches in order make a pair, at any distance, if each scores PART, or if both together score JOINT and hold five words of six they span.
 PART = 3.2
-FAR_PART = 5.0
+JOINT = 7.0
 DENSE = 0.7
 
 _MARKS = re.compile("[\\u0610-\\u061A\\u064B-\\u065F\\u0670\\u06D6-\\u06ED\\u0640\\u0591-\\u05BD\\u05BF-\\u05C7\\u200B-\\u200F\\u202A-\\u202E\\u2060\\uFEFF\\u00AD\\u0300-\\u036F]")
@@ -195,7 +195,7 @@ def _extended(token: np.ndarray, matrix: np.ndarray, gain: np.ndarray, item: np.
     return best_matched, far_at, far_pos, best
 
 
-def stretches(row, items: Items, gain: np.ndarray) -> pd.DataFrame:
+def stretches(row, items: Items, gain: np.ndarray, least: int = WORDS) -> pd.DataFrame:
     """Stretches of items in one segment: doc_id, item, first and last word, first and last position, words matched."""
     starts = np.frombuffer(row.starts, dtype=np.int32)
     counts = np.frombuffer(row.counts, dtype=np.int32)
@@ -241,25 +241,30 @@ def stretches(row, items: Items, gain: np.ndarray) -> pd.DataFrame:
     left, a, p, less = _extended(token, items.matrix, gain, item, at, pos, -1)
     n = right + left + 3
     score = more + less + sum(gain[items.matrix[item, at + j]] for j in range(3))
-    keep = (n >= STRETCH) & (score >= SCORE) & (n >= DENSE * (np.maximum(b - a, q - p) + 1))
-    doc = np.searchsorted(starts, p[keep] - GAP, side="right") - 1
+    keep = n >= DENSE * (np.maximum(b - a, q - p) + 1)
+    doc = np.searchsorted(starts, p - GAP, side="right") - 1
+    held = doc * len(items.ids) + item
+    keep &= np.isin(held, held[keep & (2 * n >= least)])  # of two stretches that hold enough words the longer holds half of them
+    doc = doc[keep]
     out = pd.DataFrame({"doc_id": np.frombuffer(row.doc_ids, dtype=np.int64)[doc], "item": item[keep], "a": a[keep], "b": b[keep], "p": p[keep], "q": q[keep], "n": n[keep], "score": score[keep]})
     return out.drop_duplicates()
 
 
 def joined(found: pd.DataFrame) -> pd.DataFrame:
-    """The most words one stretch, or two in order, hold of each (doc_id, item)."""
-    best = found.groupby(["doc_id", "item"], sort=False).n.agg(["max", "size"]).reset_index()
-    single = dict(zip(zip(best.doc_id, best["item"]), best["max"]))
-    several = best[(best["size"] > 1) & (best["max"] < 1000)]
+    """The most words one stretch, or two in order at any distance, hold of each (doc_id, item)."""
+    alone = found[(found.n >= STRETCH) & (found.score >= SCORE)].groupby(["doc_id", "item"], sort=False).n.max()
+    single = alone.to_dict()
+    several = found.groupby(["doc_id", "item"], sort=False).n.agg(["max", "size"]).reset_index()
+    several = several[(several["size"] > 1) & (several["max"] < 1000)]
     pairs = found.merge(several[["doc_id", "item"]], on=["doc_id", "item"])
     for key, own in pairs.groupby(["doc_id", "item"], sort=False):
         a, b, p, q, n, score = (own[c].to_numpy() for c in ("a", "b", "p", "q", "n", "score"))
-        gap = p[None, :] - q[:, None]
-        least = np.minimum(score[None, :], score[:, None])
-        behind = (a[None, :] > b[:, None]) & (gap > 0) & ((gap <= NEAR) & (least >= PART) | (least >= FAR_PART))
+        span = np.maximum(b - a, q - p) + 1
+        both = n[:, None] + n[None, :]
+        sure = (np.minimum(score[None, :], score[:, None]) >= PART) | (score[None, :] + score[:, None] >= JOINT) & (6 * both >= 5 * (span[:, None] + span[None, :]))
+        behind = (a[None, :] > b[:, None]) & (p[None, :] > q[:, None]) & sure
         if behind.any():
-            single[key] = max(single[key], int((n[:, None] + n[None, :])[behind].max()))
+            single[key] = max(single.get(key, 0), int(both[behind].max()))
     return pd.DataFrame([(d, i, int(w)) for (d, i), w in single.items()], columns=["doc_id", "item", "words"])
 
 
@@ -275,7 +280,7 @@ def leaks(segments: DataFrame, items: list[tuple[int, str]], least: int = WORDS)
             asked, gain = shared.value
             for batch in batches:
                 for row in batch.itertuples():
-                    found = stretches(row, asked, gain)
+                    found = stretches(row, asked, gain, least)
                     if len(found):
                         held = joined(found)
                         held = held[held.words >= least]

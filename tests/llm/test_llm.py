@@ -354,6 +354,19 @@ def test_leaks_among_copies(spark):
     assert leakage.leaks(leakage.index(copies), items).select("doc_id").distinct().count() == 10_000
 
 
+def test_leaks_in_two_distant_stretches(spark):
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(900)]
+    say = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = {k: say(40) for k in range(8)}
+    far = [say(50) + items[k][5 : 8 + k] + say(400) + items[k][10 + k : 20] + say(50) for k in range(8)]  # 3 + 10 to 10 + 3 words
+    turned = [say(50) + items[k][10 + k : 20] + say(400) + items[k][5 : 8 + k] + say(50) for k in range(8)]  # not in order: no case
+    short = [say(50) + items[k][5:9] + say(400) + items[k][12:17] + say(50) for k in range(8)]  # nine words: no case
+    df = spark.createDataFrame([(n, " ".join(w)) for n, w in enumerate(far + turned + short)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in leakage.leaks(leakage.index(df), [(k, " ".join(w)) for k, w in items.items()]).collect()}
+    assert got == {(k, k) for k in range(8)}
+
+
 # ------------------------------------------------------------------------------------------------------------ P9
 
 
