@@ -20,6 +20,8 @@ WINDOW, STEP, LEAST = 40, 20, 2
 BINS = [(10, "<=10"), (25, "11-25"), (50, "26-50"), (100, "51-100"), (200, "101-200")]
 LAST_BIN = ">200"
 FEWEST = 50
+#: Folded pairs that are broadcast to the permutations; more are ranked by shuffles.
+FOLDED = 1_000_000
 
 
 def lift(texts: DataFrame, tokens: Column, vocabulary: DataFrame, window: int = WINDOW, step: int = STEP, least: int = LEAST) -> DataFrame:
@@ -255,6 +257,112 @@ def permutation_null(pairs: DataFrame, mappings: list[dict[str, int]], outcome:
     return out
 
 
+def letter_differences(words_i: pd.Series, words_j: pd.Series) -> np.ndarray:
+    """Counts of the base letters of one word less those of the other, a row a pair, the first that differs counted up."""
+    from ..functions.letters import ABJAD_VARIANTS
+
+    place = {c: k for k, c in enumerate(ABJAD_BASE)} | {v: list(ABJAD_BASE).index(b) for v, b in {**ABJAD_VARIANTS, "ٱ": "ا"}.items()}
+    codes, distinct = pd.factorize(pd.concat([words_i, words_j], ignore_index=True))
+    counts = np.zeros((len(distinct), len(ABJAD_BASE)), dtype=np.int16)
+    for row, word in enumerate(distinct):
+        for c in word:
+            k = place.get(c)
+            if k is not None:
+                counts[row, k] += 1
+    out = counts[codes[: len(words_i)]] - counts[codes[len(words_i) :]]
+    first = out[np.arange(len(out)), (out != 0).argmax(axis=1)] if len(out) else out[:, 0]
+    return np.where(first[:, None] < 0, -out, out)
+
+
+def _weighted_rho(r: np.ndarray, c: np.ndarray, s: np.ndarray, squares: float) -> float | None:
+    """The rank correlation of values, each for ``c`` rows whose ranks of the other side sum to ``s``; ``squares``: the sum of their squares."""
+    order = np.argsort(r)
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(r[order]) != 0]))
+    c, s = np.add.reduceat(c[order], starts), np.add.reduceat(s[order], starts)
+    n, rank = c.sum(), np.cumsum(c) - c + (c + 1) / 2
+    mean = (n + 1) / 2
+    below = (squares / n - mean * mean) * ((c * rank * rank).sum() / n - mean * mean)
+    return float(((rank * s).sum() / n - mean * mean) / math.sqrt(below)) if below > 1e-12 else None
+
+
+def partial_null(pairs: DataFrame, mappings: list[dict[str, int]], controls: list[str], outcome: str = "mean_attention", most: int = FOLDED, block: int = 50) -> DataFrame:
+    """(perm, rho): the partial rank correlation of permuted distances with an outcome given controls (rows with nulls left out).
+
+    The outcome's residual ranks are made once. A distance depends on the difference of two words' letters alone, so pairs of
+    equal difference and controls fold to one row. Up to ``most`` such rows are broadcast and permutations are the tasks; more
+    are ranked by shuffles, a block of permutations at a time. Below 50 pairs every rho is null.
+    """
+    spark = pairs.sparkSession
+    ship(spark)
+    known = pairs.select("word_i", "word_j", outcome, *[F.col(c).cast("double").alias(c) for c in controls]).dropna()
+    if known.count() < FEWEST:
+        return spark.range(len(mappings)).select(F.col("id").cast("int").alias("perm"), F.lit(None).cast("double").alias("rho"))
+    beta = ols(known, controls, [outcome])[outcome]
+    ranked = average_ranks(known.select("word_i", "word_j", *controls, residual(outcome, controls, beta).alias("__o")), "__o", "rank")
+    equal = ranked.groupBy("word_i", "word_j", *controls).agg(F.count("*").alias("c"), F.sum("rank").alias("s"), F.sum(F.col("rank") * F.col("rank")).alias("q"))
+
+    def lettered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[[*controls, "c", "s", "q"]].assign(letters=[x.tobytes() for x in letter_differences(b.word_i, b.word_j)])
+
+    folded = equal.mapInPandas(lettered, ", ".join(f"{c} double" for c in controls) + ", c long, s double, q double, letters binary")
+    folded = written(folded.groupBy("letters", *controls).agg(F.sum("c").alias("c"), F.sum("s").alias("s"), F.sum("q").alias("q")), "folded-pairs")
+    squares = float(folded.agg(F.sum("q")).first()[0])
+    values = np.array([[m[c] for m in mappings] for c in ABJAD_BASE], dtype=np.float32)
+
+    def arrays(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        letters = np.frombuffer(b"".join(b.letters), dtype=np.int16).reshape(-1, len(ABJAD_BASE)).astype(np.float32)
+        return letters, np.column_stack([np.ones(len(b)), *[b[c].to_numpy() for c in controls]]), b.c.to_numpy(dtype=float), b.s.to_numpy()
+
+    if folded.count() <= most:
+        shared = spark.sparkContext.broadcast(arrays(folded.toPandas()))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            letters, x, c, s = shared.value
+            gram = (x * c[:, None]).T @ x
+            for b in batches:
+                rows = []
+                for k in b.id.tolist():
+                    d = np.abs(letters @ values[:, k]).astype(float)
+                    fit = np.linalg.lstsq(gram, (x * c[:, None]).T @ d, rcond=None)[0]
+                    rows.append((k, _weighted_rho(np.round(d - x @ fit, 12), c, s, squares)))
+                yield pd.DataFrame(rows, columns=["perm", "rho"])
+
+        tasks = min(len(mappings), 8 * spark.sparkContext.defaultParallelism)
+        return written(spark.range(0, len(mappings), 1, max(1, tasks)).mapInPandas(run, "perm int, rho double"), "nulls")
+
+    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            letters, x, c, _ = arrays(b)
+            sums = np.abs(letters @ values).astype(float).T @ (x * c[:, None])
+            yield pd.DataFrame({"perm": np.repeat(np.arange(len(sums)), x.shape[1]), "i": np.tile(np.arange(x.shape[1]), len(sums)), "t": sums.ravel()})
+
+    right = np.zeros((len(mappings), len(controls) + 1))
+    for row in folded.mapInPandas(moments, "perm int, i int, t double").groupBy("perm", "i").agg(F.sum("t").alias("t")).collect():  # a few numbers a permutation
+        right[row.perm, row.i] = row.t
+    x = [F.lit(1.0), *[F.col(c) for c in controls]]
+    sums = folded.agg(*[F.sum(F.col("c") * a * b) for a in x for b in x]).first()
+    fits = np.linalg.lstsq(np.array(sums, dtype=float).reshape(len(x), len(x)), right.T, rcond=None)[0]
+
+    def spread(batches: Iterator[pd.DataFrame], at: int) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            letters, x, c, s = arrays(b)
+            for k in range(at, min(at + block, len(mappings))):
+                yield pd.DataFrame({"perm": k, "r": np.round(np.abs(letters @ values[:, k]).astype(float) - x @ fits[:, k], 12), "c": c, "s": s})
+
+    out = None
+    for at in range(0, len(mappings), block):
+        per = folded.mapInPandas(lambda batches, at=at: spread(batches, at), "perm int, r double, c double, s double").groupBy("perm", "r").agg(F.sum("c").alias("c"), F.sum("s").alias("s"))
+        own = W.partitionBy("perm").orderBy("r").rowsBetween(W.unboundedPreceding, -1)
+        placed = per.withColumn("rank", F.coalesce(F.sum("c").over(own), F.lit(0.0)) + (F.col("c") + 1) / 2)
+        n = F.sum("c")
+        mean = (n + 1) / 2
+        below = (F.lit(squares) / n - mean * mean) * (F.sum(F.col("c") * F.col("rank") * F.col("rank")) / n - mean * mean)
+        part = written(placed.groupBy("perm").agg(F.when(below > 1e-12, (F.sum(F.col("rank") * F.col("s")) / n - mean * mean) / F.sqrt(below)).alias("rho")), "nulls")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def null_summary(nulls: DataFrame, observed: float, plus_one: bool = False) -> DataFrame:
     """(n, mean, sd, p, low, high, passed): observed against a null; with ``plus_one`` p is (k + 1)/(n + 1), sd ddof 0, passed p < .05."""
     hit = F.sum((F.abs("rho") >= abs(observed)).cast("int"))
@@ -264,8 +372,8 @@ def null_summary(nulls: DataFrame, observed: float, plus_one: bool = False) -> D
     return out.withColumn("passed", F.col("p") < 0.05 if plus_one else F.lit(abs(observed)) > F.col("edge")).drop("edge")
 
 
-def resumed(nulls_path: str, mappings: list[dict[str, int]], pairs: DataFrame) -> DataFrame:
-    """Permutations that a table of results still lacks are run and appended to it; then all results."""
+def resumed(nulls_path: str, mappings: list[dict[str, int]], pairs: DataFrame, controls: list[str] | None = None) -> DataFrame:
+    """Permutations (partial ones with controls) that a table of results still lacks are run and appended to it; then all results."""
     spark = pairs.sparkSession
     try:
         done = {r[0] for r in spark.read.parquet(nulls_path).select("perm").distinct().collect()}  # one number a permutation
@@ -273,21 +381,28 @@ def resumed(nulls_path: str, mappings: list[dict[str, int]], pairs: DataFrame) -
         done = set()
     left = [k for k in range(len(mappings)) if k not in done]
     if left:
-        fresh = permutation_null(pairs, [mappings[k] for k in left])
+        own = [mappings[k] for k in left]
+        fresh = partial_null(pairs, own, controls) if controls else permutation_null(pairs, own)
         number = F.array(*[F.lit(k) for k in left])
         fresh.select(F.get(number, F.col("perm")).alias("perm"), "rho").write.mode("append").parquet(nulls_path)
     return spark.read.parquet(nulls_path)
 
 
 def scrambled(pairs: DataFrame, seed: int = 42) -> DataFrame:
-    """Pairs with the second word of another row: rows are set off against each other by a seeded order, one shift apart."""
+    """Pairs with the second word of another row and a position distance drawn evenly from the range of all.
+
+    Rows are set off against each other by a seeded order, one shift apart.
+    """
     from .geometry import ordinal_ranks
 
     keyed = pairs.withColumn("__h", F.xxhash64(F.lit(seed), "pair_id"))
     placed = ordinal_ranks(keyed.select("pair_id", "word_i", "mean_attention", "pos_distance", "__h"), ["__h", "pair_id"], "__k")
     others = ordinal_ranks(keyed.select("pair_id", "word_j", "__h"), ["__h", "pair_id"], "__k")
     n = others.count()
-    return placed.join(others.select(F.pmod(F.col("__k") + 1, F.lit(max(1, n))).alias("__k"), "word_j"), "__k").drop("__k", "__h")
+    ends = pairs.agg(F.min("pos_distance"), F.max("pos_distance")).first()
+    low, high = ends[0] or 0, ends[1] or 0
+    drawn = placed.withColumn("pos_distance", (F.pmod(F.xxhash64(F.lit(seed + 1), "pair_id"), F.lit(high - low + 1)) + low).cast("int"))
+    return drawn.join(others.select(F.pmod(F.col("__k") + 1, F.lit(max(1, n))).alias("__k"), "word_j"), "__k").drop("__k", "__h")
 
 
 # ---------------------------------------------------------------------------------------------------- tests on vectors

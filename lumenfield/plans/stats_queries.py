@@ -92,10 +92,23 @@ def _cross(spark, d) -> DataFrame:
     return pairs(spark, d).where("root_relation = 'different'")
 
 
+DRAWS = 1000
+CONTROLS = ["pos_distance", "cooc"]
+
+
+def _controlled(spark, d) -> DataFrame:
+    """Pairs across roots with their lift, written once for the observed value and the null."""
+    return written(S.with_lift(_cross(spark, d), _lift(spark, d)).select("word_i", "word_j", "value_distance", "mean_attention", *CONTROLS), "controlled-pairs")
+
+
+def _observed(known: DataFrame):
+    return S.partial_spearman(known, "value_distance", "mean_attention", CONTROLS).first()
+
+
 @query()
 def permutation_null(spark, d):
-    """Rank correlations under fifty permutations of the letter values."""
-    return S.permutation_null(_cross(spark, d), S.permuted_mappings(50)).select("perm", F.round("rho", 6).alias("rho"))
+    """Partial rank correlations under a thousand permutations of the letter values."""
+    return S.partial_null(_controlled(spark, d), S.permuted_mappings(DRAWS), CONTROLS).select("perm", F.round("rho", 6).alias("rho"))
 
 
 @query(f"""with w as (select distinct word_i as w from pairs where word_i is not null), c as (select letter, count(*) n from (select unnest(string_split(translate(w, 'أإآىةؤئٱـ', 'ااايتويا'), '')) as letter from w) group by 1), a as (select unnest([{', '.join(repr(c) for c in L.ABJAD_BASE)}]) as letter, unnest(range(28)) as place)
@@ -110,35 +123,37 @@ def freq_matched_null(spark, d):
     bins: dict[int, list[str]] = {}
     for r in freq_tier_bins(spark, d).orderBy("bin", F.col("n").desc(), "letter").collect():  # 28 letters
         bins.setdefault(r.bin, []).append(r.letter)
-    observed = S.spearman(_cross(spark, d), "value_distance", "mean_attention").first()[0] or 0.0
-    nulls = S.permutation_null(_cross(spark, d), S.permuted_mappings(50, bins=list(bins.values())))
+    known = _controlled(spark, d)
+    nulls = S.partial_null(known, S.permuted_mappings(DRAWS, bins=list(bins.values())), CONTROLS)
+    observed = _observed(known).rho or 0.0
     return S.null_summary(nulls, observed, plus_one=True)
 
 
 @query()
 def null_summary(spark, d):
     """The unrestricted null summed up."""
-    observed = S.spearman(_cross(spark, d), "value_distance", "mean_attention").first()[0] or 0.0
-    return S.null_summary(S.permutation_null(_cross(spark, d), S.permuted_mappings(50)), observed)
+    known = _controlled(spark, d)
+    return S.null_summary(S.partial_null(known, S.permuted_mappings(DRAWS), CONTROLS), _observed(known).rho or 0.0)
 
 
 @query()
 def checkpoint_resume(spark, d):
-    """Twenty permutations, of which the first ten are found stored when the second run begins."""
+    """A thousand permutations, of which the first ten are found stored when the second run begins."""
     import uuid
 
     at = f"{shared_folder(spark).rstrip('/')}/nulls-{uuid.uuid4().hex}"
-    S.resumed(at, S.permuted_mappings(20)[:10], _cross(spark, d))
-    return S.resumed(at, S.permuted_mappings(20), _cross(spark, d)).select("perm", F.round("rho", 6).alias("rho"))
+    known = _controlled(spark, d)
+    S.resumed(at, S.permuted_mappings(DRAWS)[:10], known, CONTROLS)
+    return S.resumed(at, S.permuted_mappings(DRAWS), known, CONTROLS).select("perm", F.round("rho", 6).alias("rho"))
 
 
 @query()
 def scrambled_baseline(spark, d):
-    """The correlation after the second words were redrawn."""
+    """The partial correlation after second words and position distances were redrawn; a constant lift controls nothing."""
     p = S.scrambled(_cross(spark, d))
     value = L.letter_value_variants
     again = p.where("word_i is not null and word_j is not null").withColumn("value_distance", F.abs(value(F.col("word_i")) - value(F.col("word_j"))))
-    return S.spearman(again, "value_distance", "mean_attention").select(F.round("rho", 6).alias("rho"), "n")
+    return S.partial_spearman(again, "value_distance", "mean_attention", ["pos_distance"]).select(F.round("rho", 6).alias("rho"), "n")
 
 
 @query(_RANKS + " select case when c is null then 'insufficient' when abs(c)*sqrt(n) >= 1.96 and c < 0 then 'positive' when abs(c)*sqrt(n) >= 1.96 and c > 0 then 'falsifying' else 'null' end as verdict, n from (select corr(ra, rb) c, count(*) n from r)")
@@ -147,6 +162,13 @@ def verdict(spark, d):
     return spark.createDataFrame([(r.rho, S.spearman_p(r.rho, r.n), r.n)], "rho double, p double, n long").select(S.verdict(F.col("rho"), F.col("p")).alias("verdict"), "n")
 
 
+@query()
+def verdict_partial(spark, d):
+    """The verdict on the partial correlation, as the reference gives it; ``verdict`` is that of the raw one."""
+    r = _observed(_controlled(spark, d))
+    return spark.createDataFrame([(r.rho, r.p, r.n)], "rho double, p double, n long").select(S.verdict(F.col("rho"), F.col("p")).alias("verdict"), "n")
+
+
 # ------------------------------------------------------------------------------------------------------------ vectors
 
 

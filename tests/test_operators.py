@@ -4,6 +4,7 @@ import json
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,6 +133,45 @@ def test_retrieval_edges(spark):
     assert "نور" in R.report(R.explained(R.bm25(p, q), p, q), "نور")
 
 
+def test_partial_null_against_brute_force(spark):
+    """Distances and outcome both follow the position here, so the raw correlation is another number; either path gives the same."""
+    rng = np.random.default_rng(4)
+    letters = list(S.ABJAD_BASE)
+    rows = []
+    for _ in range(120):
+        x = int(rng.integers(1, 12))
+        i, j = letters[int(rng.integers(28))], "".join(str(c) for c in rng.choice(letters, x))
+        rows.append((i, j, float(x + rng.integers(0, 4)), x, float(rng.choice([0.0, 1.5, 3.0]))))
+    rows += rows[:15] + [("ا", None, 1.0, 1, 0.0)]
+    df = spark.createDataFrame(rows, "word_i string, word_j string, mean_attention double, pos_distance int, cooc double")
+    maps = S.permuted_mappings(4)
+    known = [r for r in rows if r[1]]
+    x = np.array([[1, r[3], r[4]] for r in known], dtype=float)
+    left = lambda t: np.round(t - x @ np.linalg.lstsq(x, t, rcond=None)[0], 9)
+    rank = lambda v: pd.Series(v).rank().to_numpy()
+    o = np.array([r[2] for r in known])
+    for most in (1000, 0):
+        got = {r.perm: r.rho for r in S.partial_null(df, maps, ["pos_distance", "cooc"], most=most, block=3).collect()}
+        assert sorted(got) == [0, 1, 2, 3]
+        for k, m in enumerate(maps):
+            d = np.array([abs(sum(m[c] for c in r[0]) - sum(m[c] for c in r[1])) for r in known], dtype=float)
+            assert got[k] == pytest.approx(np.corrcoef(rank(left(d)), rank(left(o)))[0, 1], abs=1e-6)
+            assert abs(got[k] - np.corrcoef(rank(d), rank(o))[0, 1]) > 0.01
+    assert [r.rho for r in S.partial_null(df.limit(9), maps[:1], ["pos_distance", "cooc"]).collect()] == [None]
+
+
+def test_scramble_draws_positions(spark):
+    df = spark.range(200).selectExpr("id as pair_id", "'w' as word_i", "'v' as word_j", "0.5 as mean_attention", "cast(if(id = 0, 9, 1) as int) as pos_distance")
+    drawn = {r.pos_distance for r in S.scrambled(df).collect()}
+    assert drawn == set(range(1, 10))
+
+
+def test_nulls_are_of_the_references_size():
+    from lumenfield.plans import stats_queries as Q
+
+    assert Q.DRAWS == 1000 and Q.CONTROLS == ["pos_distance", "cooc"]
+
+
 def test_scrambled_keeps_every_row(spark):
     df = spark.createDataFrame([(k, f"a{k}", f"b{k}", 0.1, 1) for k in range(20)], "pair_id long, word_i string, word_j string, mean_attention double, pos_distance int")
     rows = S.scrambled(df).collect()
