@@ -20,16 +20,27 @@ def _lexicon_cells(spark: SparkSession, d: str) -> DataFrame:
     return cells.join(lookalikes.sized(known, "lexicon-words"), "word").select("basket", "grp", "item")
 
 
+def _word_cells(spark: SparkSession, d: str) -> DataFrame:
+    """(basket, grp, item) of all cells of ``pairs``: sentence, one group, the word in plain spelling."""
+    pairs = table(spark, d, "pairs").select("sentence_id", "word_i", "word_j").where("sentence_id is not null")
+    cells = pairs.select(F.col("sentence_id").alias("basket"), F.explode(F.array("word_i", "word_j")).alias("word")).where("word is not null")
+    plain = lookalikes.plain_spelling(cells, "word").select("word", F.col("plain").alias("item")).where("item <> ''")
+    return cells.join(lookalikes.sized(plain, "plain-words"), "word").select("basket", F.lit("").alias("grp"), "item")
+
+
+def _scores(spark: SparkSession, cells: DataFrame) -> DataFrame:
+    return cooccur.PairTable(spark).apply(cooccur.changes(None, cooccur.baskets(cells))).scores()
+
+
 def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Every pair of lexicon words of one language that share a sentence, with counts and lift."""
-    state = cooccur.PairTable(spark).apply(cooccur.changes(None, cooccur.baskets(_lexicon_cells(spark, d))))
-    return state.scores().select(F.col("a").alias("word_id_a"), F.col("b").alias("word_id_b"), F.col("grp").alias("lang"), "n_ab", "n_a", "n_b", "n_all", F.round("lift", 6).alias("lift"))
+    """Every two words that share a sentence, in plain spelling, with counts and lift over all sentences."""
+    return _scores(spark, _word_cells(spark, d)).select(F.col("a").alias("word_a"), F.col("b").alias("word_b"), "n_ab", "n_a", "n_b", "n_all", F.round("lift", 6).alias("lift"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Word pairs that belong together."""
+    """Pairs of lexicon words of one language that belong together."""
     strong = (F.col("n_ab") >= 4) & (F.col("n_ab") * 500 >= F.col("n_all")) & (F.col("n_ab") * F.col("n_all") >= 4 * F.col("n_a") * F.col("n_b"))
-    return p1_pairs(spark, d).where(strong).select("word_id_a", "word_id_b")
+    return _scores(spark, _lexicon_cells(spark, d)).where(strong).select(F.col("a").alias("word_id_a"), F.col("b").alias("word_id_b"))
 
 
 # ---------------------------------------------------------------------------------------------------------------- P2

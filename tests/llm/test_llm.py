@@ -50,6 +50,21 @@ def test_pairs_of_an_empty_table(spark):
     assert cooccur.PairTable(spark).apply(cooccur.changes(None, cooccur.baskets(empty))).scores().count() == 0
 
 
+def test_pairs_of_all_words(spark, data):
+    """Words outside the lexicon count too; equal to brute force over the plain spellings."""
+    p = spark.read.parquet(f"{data}/pairs.parquet").select("sentence_id", "word_i", "word_j")
+    plain = {r.word: r.plain for r in lookalikes.plain_spelling(p.select(F.explode(F.array("word_i", "word_j")).alias("word")), "word").collect()}
+    held = {}
+    for r in p.where("sentence_id is not null").collect():
+        held.setdefault(r.sentence_id, set()).update(plain[w] for w in (r.word_i, r.word_j) if w is not None)
+    got = {("", r.word_a, r.word_b): (r.n_ab, r.n_a, r.n_b, r.n_all) for r in queries.p1_pairs(spark, data).collect()}
+    want = brute_pairs([("", {w for w in s if w}) for s in held.values()])
+    assert {frozenset(k): v[0] for k, v in got.items()} == {frozenset(k): v[0] for k, v in want.items()}
+    assert {(g, a, b): v for (g, a, b), v in got.items() if a < b} == want
+    forms = {r.form for r in spark.read.parquet(f"{data}/lexicon.parquet").collect()}
+    assert {w for _, a, b in got for w in (a, b)} - forms
+
+
 # ------------------------------------------------------------------------------------------------------------ P2
 
 
