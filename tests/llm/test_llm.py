@@ -78,8 +78,9 @@ def brute_neighbours(x, y, ids, k):
 
 
 def test_neighbours_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(knn, "LEAF", 60)
-    monkeypatch.setattr(knn, "BLOCK", 50)
+    monkeypatch.setattr(knn, "LEAF", 30)
+    monkeypatch.setattr(knn, "CELL", 100)
+    monkeypatch.setattr(knn, "HOT", 10)
     rng = np.random.default_rng(4)
     r, t = np.sqrt(rng.uniform(0, 1, 700)) * 0.9999, rng.uniform(0, 6.28, 700)
     x, y = r * np.cos(t), r * np.sin(t)
@@ -103,6 +104,38 @@ def test_few_nodes(spark):
     assert knn.neighbours(df.where("false"), 5).count() == 0
 
 
+def test_boxes_bound_their_distances():
+    """No position of a box is nearer than the bound says, also on the rim and beside a position."""
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        r = 1 - 10.0 ** -rng.uniform(0.01, 11, 60)
+        a = rng.uniform(-np.pi, np.pi) + rng.uniform(0, 10.0 ** -rng.uniform(0, 9), 60)
+        a = (a + np.pi) % (2 * np.pi) - np.pi
+        x, y = r * np.cos(a), r * np.sin(a)
+        pr, pa = knn.polar(x, y)
+        low = knn.least_chord(pr[:30], pa[:30], (pr[30:].min(), pr[30:].max(), pa[30:].min(), pa[30:].max()))
+        true = knn.chord(x[:30, None], y[:30, None], x[None, 30:], y[None, 30:]).min(axis=1)
+        assert (low <= true).all()
+
+
+def test_scanned_points_do_not_grow(monkeypatch):
+    """Ten times the positions, about the same number of leaves probed by each."""
+    probed = []
+    scan = knn.Leaf.scan
+    monkeypatch.setattr(knn.Leaf, "scan", lambda self, x, *rest: probed.append(len(x)) or scan(self, x, *rest))
+    rng = np.random.default_rng(6)
+    mean = []
+    for n in (3000, 30_000):
+        r = np.concatenate([rng.normal(0.3, 0.01, n // 3), rng.normal(0.55, 0.01, n // 3), rng.normal(0.78, 0.01, n // 3), 1 - 10.0 ** -rng.uniform(3, 9, n // 300)])
+        a = rng.uniform(-np.pi, np.pi, len(r))
+        x, y = r * np.cos(a), r * np.sin(a)
+        probed.clear()
+        score, near = np.full((len(x), 5), np.inf), np.full((len(x), 5), knn.NOBODY)
+        knn.Points(x, y, np.arange(len(x))).improve(x, y, np.arange(len(x)), score, near, True)
+        mean.append(sum(probed) / len(x))
+    assert mean[1] < 1.25 * mean[0] + 0.5
+
+
 def test_codes_bound_their_error():
     rng = np.random.default_rng(0)
     parts = rng.normal(size=(500, 3))
