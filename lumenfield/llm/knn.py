@@ -36,6 +36,7 @@ from ..session import ship, written
 SAMPLE = 262_144
 CELL = 2048
 MAX_CELLS = 65_536
+MOST_PARTS = 16_384
 LEAF = 256
 ETA = 4.0
 CODES = 16
@@ -339,13 +340,16 @@ def neighbours(nodes: DataFrame, k: int = 5) -> DataFrame:
             return pd.DataFrame({"node_id": ids, "px": x, "py": y, **_lists(score, near), "cells": pd.Series([[]] * len(x), dtype=object)})
         return answered(asked, score, near, [np.full(len(x), int(key[0])), asked.home.to_numpy()])
 
+    # explicit, as the work of a cell is far more than its bytes, by which partitions would be merged
+    parts = min(len(held), MOST_PARTS)
+    points = points.repartition(parts, "cell")
     first = written(points.groupBy("cell").applyInPandas(own_cell, schema), "own-cell")
     # the own cell is skipped in every later round, so it travels along
     asked = first.where(F.size("cells") > 0).join(points.select("node_id", F.col("cell").alias("home")), "node_id")
     asked = asked.select("node_id", "px", "py", *columns[3:-1], "home", F.col("cells")[0].alias("cell"))
-    second = written(asked.groupBy("cell").cogroup(points.groupBy("cell")).applyInPandas(other_cell, schema), "next-cell")
+    second = written(asked.repartition(parts, "cell").groupBy("cell").cogroup(points.groupBy("cell")).applyInPandas(other_cell, schema), "next-cell")
     late = second.where(F.size("cells") > 0).select("node_id", "px", "py", *columns[3:-1], F.explode("cells").alias("cell"))
-    third = late.groupBy("cell").cogroup(points.groupBy("cell")).applyInPandas(other_cell, schema)
+    third = late.repartition(parts, "cell").groupBy("cell").cogroup(points.groupBy("cell")).applyInPandas(other_cell, schema)
     lists = F.array(*[F.struct(F.col(f"s{j}").alias("score"), F.col(f"n{j}").alias("id")) for j in range(k)])
     rows = lambda df: df.select("node_id", F.filter(lists, lambda s: s["id"] != F.lit(int(NOBODY))).alias("near"))
     merged = rows(third).groupBy("node_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"))  # a row a cell that was asked
