@@ -46,13 +46,35 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it is removed when the application ends, or by ``release``."""
+    context = spark.sparkContext
+    folder = getattr(context, "_lumenfield_folder", None)
+    if not folder:
+        folder = f"{shared_folder(spark).rstrip('/')}/lumenfield-{context.applicationId}"
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        context._lumenfield_folder = folder
+    return folder
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all tables ``written`` so far; no data frame made of them may be read afterwards."""
+    context = spark.sparkContext
+    if getattr(context, "_lumenfield_folder", None):
+        path = context._jvm.org.apache.hadoop.fs.Path(context._lumenfield_folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage of ``df``: write it as a table into the shared folder and read that table.
 
     Unlike a cached or locally checkpointed frame the table survives the loss of executors.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
