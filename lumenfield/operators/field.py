@@ -51,26 +51,72 @@ class Basis:
         return (s.sum(axis=1) - np.diag(s)) / max(1, len(s) - 1)
 
 
+#: How many attractors place a term.
+PLACED = 5
+
+
 def profiles(terms: DataFrame, basis: Basis, key: str = "term", vec: str = "vec") -> DataFrame:
     """Add ``sims``: the similarities with the names, in the order of the basis."""
+    return _scored(terms, basis, vec, False)
+
+
+def placed_profiles(terms: DataFrame, basis: Basis, key: str = "term", vec: str = "vec") -> DataFrame:
+    """Add ``sims`` and ``place`` (x, y, r): the barycentre of the first names, weighted by positive similarity, the origin if there
+    is none. Both are made in one step, so that no Python function waits for the result of another."""
+    return _scored(terms, basis, vec, True)
+
+
+def _scored(terms: DataFrame, basis: Basis, vec: str, place: bool) -> DataFrame:
     spark = terms.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(basis)
 
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         b = shared.value
         width = b.matrix.shape[1]
+        at = b.px + 1j * b.py
         for batch in batches:
-            good = np.array([v is not None and len(v) == width for v in batch])
-            out: list = [None] * len(batch)
+            good = np.array([v is not None and len(v) == width for v in batch], dtype=bool)
+            sims: list = [None] * len(batch)
+            spots = np.full(len(batch), np.nan, dtype=complex)
             if good.any():
                 s = b.centered(np.stack(batch[good].to_list()).astype(float))
-                for at, row in zip(np.flatnonzero(good), s):
-                    out[at] = row
-            yield pd.Series(out, dtype=object)
-
-    score.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return terms.withColumn("sims", F.pandas_udf(score, "array<double>")(F.col(vec)))
+                for k, row in zip(np.flatnonzero(good), s):
+                    sims[k] = row
+                if place:
+                    first = np.argsort(-np.round(s, 12), axis=1, kind="stable")[:, :PLACED]
+                    weights = np.maximum(np.take_along_axis(s, first, axis=1), 0.0)
+                    spots[good] = np.where((weights > 0).any(axis=1), G.karcher(at[first], weights), 0)
+            frame = pd.DataFrame({"sims": pd.Series(sims, dtype=object)})
+            yield frame.assign(x=spots.real, y=spots.imag, r=np.abs(spots)) if place else frame
+
+    score.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    made = F.pandas_udf(score, "sims array<double>" + (", x double, y double, r double" if place else ""))(F.col(vec))
+    out = terms.withColumn("__scored", made).withColumn("sims", F.col("__scored.sims"))
+    if place:
+        some = F.col("sims").isNotNull()
+        out = out.withColumn("place", F.when(some, F.struct("__scored.x", "__scored.y", "__scored.r")))
+    return out.drop("__scored")
+
+
+def profile_gram(scored: DataFrame, width: int) -> np.ndarray:
+    """Products of the columns of ``sims`` over all rows, with a column of ones last: summed per batch, then (width + 1)^2 numbers."""
+
+    def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((width + 1, width + 1))
+        for b in batches:
+            rows = [np.append(x, 1.0) for x in b.sims]
+            if rows:
+                m = np.stack(rows)
+                total += m.T @ m
+        yield pd.DataFrame({"g": [total.ravel()]})
+
+    parts = scored.where("sims is not null").select("sims").mapInPandas(grams, "g array<double>")
+    summed = parts.select(F.posexplode("g").alias("at", "g")).groupBy("at").agg(F.sum("g").alias("g")).collect()
+    out = np.zeros((width + 1) ** 2)
+    for r in summed:
+        out[r["at"]] = r.g
+    return out.reshape(width + 1, width + 1)
 
 
 def constants(basis: Basis) -> Column:
@@ -93,14 +139,6 @@ def vote(top: Column, field: str) -> Column:
     return F.array_max(summed)["value"]
 
 
-def placed(top: Column) -> Column:
-    """The barycentre of the top names weighted by positive similarity; the origin if there is none."""
-    weights = F.transform(top["sim"], lambda s: F.greatest(s, F.lit(0.0)))
-    some = F.exists(weights, lambda w: w > 0)
-    p = G.karcher_mean(top["px"], top["py"], weights)
-    return F.struct(F.when(some, p["x"]).otherwise(0.0).alias("x"), F.when(some, p["y"]).otherwise(0.0).alias("y"))
-
-
 def placed_euclid(top: Column) -> Column:
     """The flat weighted mean instead."""
     weight = F.aggregate(top, F.lit(0.0), lambda acc, t: acc + F.greatest(t["sim"], F.lit(0.0)))

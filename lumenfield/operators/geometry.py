@@ -235,6 +235,8 @@ def depth_correlation(nodes: DataFrame) -> DataFrame:
 
 #: Groups whose barycentres the driver follows at once.
 MAX_GROUPS = 10_000
+#: Up to this many folded points are gathered once, as a pass over so few takes less time than it takes to begin it.
+GATHERED = 100_000
 
 
 def grouped_karcher(points: DataFrame, group: str, rounds: int = 64, tol: float = 1e-7) -> DataFrame:
@@ -258,13 +260,15 @@ def grouped_karcher(points: DataFrame, group: str, rounds: int = 64, tol: float
     keys = [None if v != v else v for v in start[group].tolist()] if len(start) else []
     at = {k: n for n, k in enumerate(keys)}
     live = np.ones(len(keys), dtype=bool)
+    few = folded.toPandas() if folded.count() <= GATHERED else None
     for _ in range(rounds):
         if not live.any():
             break
-        shared = spark.sparkContext.broadcast((at, centre, live, flat.to_numpy()))
+        state = (at, centre, live, flat.to_numpy())
+        shared = spark.sparkContext.broadcast(state) if few is None else None
 
-        def tangents(batches, shared=shared):
-            at, centre, live, flat = shared.value
+        def tangents(batches, shared=shared, state=None):
+            at, centre, live, flat = state or shared.value
             sums = np.zeros((3, len(centre)))
             for b in batches:
                 own = np.array([at[None if v != v else v] for v in b[group]], dtype=int)
@@ -277,7 +281,10 @@ def grouped_karcher(points: DataFrame, group: str, rounds: int = 64, tol: float
             some = np.flatnonzero(sums[2])
             yield pd.DataFrame({"k": some, "x": sums[0, some], "y": sums[1, some], "w": sums[2, some]})
 
-        moved = folded.mapInPandas(tangents, "k int, x double, y double, w double").groupBy("k").agg(F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum("w").alias("w")).toPandas()
+        if few is None:
+            moved = folded.mapInPandas(tangents, "k int, x double, y double, w double").groupBy("k").agg(F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum("w").alias("w")).toPandas()
+        else:
+            moved = next(tangents([few], state=state))
         g = (moved.x + 1j * moved.y).to_numpy() / moved.w.to_numpy()
         k = moved.k.to_numpy()
         going = np.abs(g) >= tol

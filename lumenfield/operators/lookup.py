@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hyperbolic as H
+from ..functions import letters as L
+from ..functions import text as T
 from ..functions.expr import let
 from . import field as E
 from . import geometry as G
@@ -20,14 +22,14 @@ def lookup(terms: DataFrame, basis: E.Basis, mu: list[float], key: str = "term")
     Positions are rounded to 4 digits, except for the distance to the primary name, which takes the placement as it is.
     ``bottom_names`` keeps descending order, so the most repelled name is the last.
     """
-    scored = E.profiles(terms, basis, key).where("sims is not null")
+    scored = E.placed_profiles(terms, basis, key).where("sims is not null")
     zero = F.array(*[F.lit(float(m)) for m in mu])
-    wide = scored.select(key, E.ranked(F.col("sims"), basis).alias("order"), E.ranked(F.zip_with("sims", zero, lambda s, m: s - m), basis).alias("centered"))
-    wide = wide.select(key, F.slice("order", 1, TOP).alias("top"), F.slice("order", -BOTTOM, BOTTOM).alias("bottom"), F.slice("centered", 1, TOP).alias("top_centered"), F.slice("centered", -BOTTOM, BOTTOM).alias("bottom_centered"))
-    wide = wide.withColumn("place", E.placed(F.col("top"))).withColumn("level", E.vote(F.col("top"), "level")).withColumn("cluster", E.vote(F.col("top"), "root"))
+    wide = scored.select(key, "place", E.ranked(F.col("sims"), basis).alias("order"), E.ranked(F.zip_with("sims", zero, lambda s, m: s - m), basis).alias("centered"))
+    wide = wide.select(key, "place", F.slice("order", 1, TOP).alias("top"), F.slice("order", -BOTTOM, BOTTOM).alias("bottom"), F.slice("centered", 1, TOP).alias("top_centered"), F.slice("centered", -BOTTOM, BOTTOM).alias("bottom_centered"))
+    wide = wide.withColumn("level", E.vote(F.col("top"), "level")).withColumn("cluster", E.vote(F.col("top"), "root"))
     short = lambda c: F.transform(c, lambda t: F.struct(t["name"].alias("name"), F.round(t["sim"], 4).alias("sim")))
     primary = F.col("top")[0]
-    position = F.struct(F.round("place.x", 4).alias("px"), F.round("place.y", 4).alias("py"), F.round(H.norm(F.col("place")), 4).alias("r"), F.col("level"), H.tier_label(F.col("level")).alias("level_label"))
+    position = F.struct(F.round("place.x", 4).alias("px"), F.round("place.y", 4).alias("py"), F.round("place.r", 4).alias("r"), F.col("level"), H.tier_label(F.col("level")).alias("level_label"))
     return wide.select(
         key, short("top").alias("top_names"), short("bottom").alias("bottom_names"), position.alias("position"), F.col("cluster").alias("cluster_pattern"),
         short("top_centered").alias("attractors_centered"), short("bottom_centered").alias("repelled_centered"),
@@ -35,15 +37,20 @@ def lookup(terms: DataFrame, basis: E.Basis, mu: list[float], key: str = "term")
     )
 
 
-def log_records(log: DataFrame) -> DataFrame:
-    """(log_id, key, term_ar, px, py, r, level_label, attractors, bottoms) of the log, first record of each key in arrival order."""
+def letters_of(term: Column) -> Column:
+    """struct(value, breakdown) of a term without its vowel marks; null for null."""
+    return let(T.strip_diac(term), lambda t: F.struct(F.when(t.isNotNull(), L.letter_value(t).cast("long")).alias("value"), L.breakdown(t).alias("breakdown")))
+
+
+def log_records(log: DataFrame, *more: str) -> DataFrame:
+    """(log_id, key, term_ar, px, py, r, level_label, attractors, bottoms, and ``more`` columns) of the log, first record of each key in arrival order."""
     from pyspark.sql import Window as W
 
     key = F.coalesce("term_undiacritized", F.regexp_replace("term_ar", "[\\u064B-\\u065F\\u0670\\u0640]", ""))
     rows = log.withColumn("key", key).where("key is not null")
     first = rows.withColumn("n", F.row_number().over(W.partitionBy("key").orderBy("log_id"))).where("n = 1")
     p = F.col("estimated_position")
-    return first.select("log_id", "key", "term_ar", p["px"].alias("px"), p["py"].alias("py"), p["r"].alias("r"), p["level_label"].alias("level_label"), F.col("top_name_attractors.ar").alias("attractors"), F.col("bottom_names.ar").alias("bottoms"))
+    return first.select("log_id", "key", "term_ar", *more, p["px"].alias("px"), p["py"].alias("py"), p["r"].alias("r"), p["level_label"].alias("level_label"), F.col("top_name_attractors.ar").alias("attractors"), F.col("bottom_names.ar").alias("bottoms"))
 
 
 def neighbours(records: DataFrame, targets: DataFrame, k: int = 10, least: float = 0.1, most: float = 0.95) -> DataFrame:
@@ -66,17 +73,18 @@ def compared(a: Column, b: Column) -> Column:
     )
 
 
-def projected(candidates: DataFrame, context: DataFrame) -> DataFrame:
-    """(concept, form, fit, rank) of candidates (concept, form, px, py) by closeness to the barycentre of the context.
+def projected(candidates: DataFrame, context: DataFrame) -> tuple[DataFrame, tuple[float, float] | None]:
+    """(concept, form, fit, rank, and all other columns) of candidates (concept, form, px, py, ...) by closeness to the barycentre of
+    the context, and that barycentre.
 
-    The context is (px, py, r); without any row the fit is null and candidates keep their order of form.
+    The context is (px, py, r), of any size; without any row the fit is null and candidates keep their order of form.
     """
-    rows = context.where("px is not null and py is not null").agg(F.collect_list(F.struct("px", "py", "r")).alias("s")).where(F.size("s") > 0)
-    centre = rows.select(G.karcher_mean(F.col("s.px"), F.col("s.py"), F.transform("s.r", lambda r: F.greatest(r, F.lit(1e-3)))).alias("c")).collect()
     from pyspark.sql import Window as W
 
+    whole = G.grouped_karcher(context.select(F.lit(1).alias("g"), "px", "py", F.greatest("r", F.lit(1e-3)).alias("w")), "g").collect()  # one row
+    centre = (float(whole[0].x), float(whole[0].y)) if whole else None
     fit = F.lit(None).cast("double")
     if centre:
-        fit = F.round(1 / (1 + H.dist_clamped(H.point("px", "py"), H.point(float(centre[0].c.x), float(centre[0].c.y)))), 4)
+        fit = F.round(1 / (1 + H.dist_clamped(H.point("px", "py"), H.point(*centre))), 4)
     order = W.partitionBy("concept").orderBy(F.col("fit").desc_nulls_last(), "form")
-    return candidates.select("concept", "form", fit.alias("fit")).withColumn("rank", F.row_number().over(order))
+    return candidates.withColumn("fit", fit).withColumn("rank", F.row_number().over(order)), centre

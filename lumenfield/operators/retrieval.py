@@ -14,6 +14,7 @@ from ..functions import letters as L
 from ..functions import morphology as M
 from ..functions import text as T
 from ..functions.expr import let
+from ..session import sized, written
 
 K1, B = 1.5, 0.75
 
@@ -41,15 +42,17 @@ def _best(scored: DataFrame, k: int) -> DataFrame:
 def bm25(passages: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query, id, score, rank): the k best passages of every query; a token asked twice counts twice."""
     asked = queries.select("query", F.explode(T.tokenize("text")).alias("token")).groupBy("query", "token").agg(F.count("*").alias("times"))
-    sized = passages.select("id", T.tokenize("text").alias("tokens")).withColumn("length", F.size("tokens"))
-    whole = sized.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    vocabulary = asked.select("token").distinct()
-    tf = sized.select("id", "length", F.explode("tokens").alias("token")).join(F.broadcast(vocabulary), "token", "left_semi").groupBy("id", "length", "token").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("token").agg(F.count("*").alias("df"))
-    weighted = tf.join(F.broadcast(df), "token").join(F.broadcast(whole), F.lit(True))  # a row per asked token; one row
+    lengths = passages.select("id", T.tokenize("text").alias("tokens")).withColumn("length", F.size("tokens"))
+    whole = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    asked = written(asked, "asked-tokens")
+    vocabulary = sized(written(asked.select("token").distinct(), "vocabulary"))
+    tf = lengths.select("id", "length", F.explode("tokens").alias("token")).join(vocabulary, "token", "left_semi").groupBy("id", "length", "token").agg(F.count("*").alias("tf"))
+    tf = written(tf, "asked-frequencies")
+    df = written(tf.groupBy("token").agg(F.count("*").alias("df")), "document-frequencies")
+    weighted = tf.join(sized(df), "token").join(F.broadcast(whole), F.lit(True))  # a row per asked token; one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     gain = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.greatest("mean", F.lit(1.0))))
-    scored = weighted.select("id", "token", gain.alias("gain")).join(F.broadcast(asked), "token").groupBy("query", "id").agg(F.sum(F.col("gain") * F.col("times")).alias("score"))
+    scored = weighted.select("id", "token", gain.alias("gain")).join(sized(asked), "token").groupBy("query", "id").agg(F.sum(F.col("gain") * F.col("times")).alias("score"))
     return _best(scored, k)
 
 
@@ -61,15 +64,18 @@ def _grams(words: Column) -> Column:
 def tfidf(passages: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query, id, score, rank): cosine of sublinear TF-IDF over words and word pairs; passages are split at white space as they are, queries are cleaned."""
     words = F.filter(F.split("text", "\\s+"), lambda t: t != "")
+    asked = queries.select("query", F.explode(_grams(T.tokenize("text"))).alias("gram")).groupBy("query", "gram").agg((1 + F.log(F.count("*"))).alias("qtf"))
     tf = passages.where("text is not null").select("id", F.explode(_grams(words)).alias("gram")).groupBy("id", "gram").agg((1 + F.log(F.count("*"))).alias("tf"))
+    tf = written(tf, "term-frequencies")
     n = passages.count()
-    df = tf.groupBy("gram").agg(F.count("*").alias("df")).withColumn("idf", F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)
-    asked = queries.select("query", F.explode(_grams(T.tokenize("text"))).alias("gram")).groupBy("query", "gram").agg((1 + F.log(F.count("*"))).alias("qtf"))
-    known = asked.join(df.select("gram", "idf"), "gram").withColumn("q", F.col("qtf") * F.col("idf"))
-    known = known.withColumn("q", F.col("q") / F.sqrt(F.sum(F.col("q") * F.col("q")).over(W.partitionBy("query")))).select("query", "gram", "q", "idf")
-    weight = tf.join(df.select("gram", "idf"), "gram").withColumn("w", F.col("tf") * F.col("idf"))
-    norms = weight.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    hits = tf.join(F.broadcast(known), "gram").groupBy("query", "id").agg(F.sum(F.col("tf") * F.col("idf") * F.col("q")).alias("dot"))
+    df = written(tf.groupBy("gram").agg(F.count("*").alias("df")).withColumn("idf", F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).select("gram", "idf"), "inverse-frequencies")
+    known = asked.join(df, "gram").withColumn("q", F.col("qtf") * F.col("idf"))
+    known = written(known.withColumn("q", F.col("q") / F.sqrt(F.sum(F.col("q") * F.col("q")).over(W.partitionBy("query")))).select("query", "gram", "q", "idf"), "asked-grams")
+    hits = tf.join(sized(known), "gram").groupBy("query", "id").agg(F.sum(F.col("tf") * F.col("idf") * F.col("q")).alias("dot"))
+    hits = written(hits, "hits")
+    # norms are needed of the passages that were hit alone; a hot gram is one row of the weights, so the side that is joined is small
+    held = tf.join(hits.select("id").distinct(), "id", "left_semi")
+    norms = held.join(sized(df), "gram").groupBy("id").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("norm"))
     return _best(hits.join(norms, "id").select("query", "id", (F.col("dot") / F.col("norm")).alias("score")), k)
 
 
@@ -107,9 +113,17 @@ def explained(found: DataFrame, passages: DataFrame, queries: DataFrame) -> Data
     return tokens.select("query", "id", "rank", F.round("score", 6).alias("score"), F.array_sort(F.array_intersect("q", "p")).alias("token_overlap"), shared_root_hits(F.col("q"), F.col("p")).alias("shared_root_hits"), nearest_value_links(F.col("q"), F.col("p")).alias("links"), "text")
 
 
+def reported(results: DataFrame) -> DataFrame:
+    """(query, report): a Markdown report of the results of every query; a top-k list, so a report is small."""
+    hits = F.array_join(F.transform("shared_root_hits", lambda h: F.concat_ws(":", h["token"], h["root"])), ", ")
+    links = F.array_join(F.transform("links", lambda x: F.concat(F.lit("- "), x["query_token"], F.lit("("), x["query_value"].cast("string"), F.lit(") -> "), x["passage_token"], F.lit("("), x["passage_value"].cast("string"), F.lit("), delta="), x["delta"].cast("string"))), "\n")
+    none = lambda c: F.when(c == "", "none").otherwise(c)
+    part = F.concat_ws("\n", F.concat(F.lit("## "), F.col("rank").cast("string"), F.lit(". "), "id"), F.lit(""), F.concat(F.lit("Token overlap: "), none(F.array_join("token_overlap", ", "))), F.lit(""), F.concat(F.lit("Shared root hits: "), none(hits)), F.lit(""), F.lit("Nearest value links:"), links, F.lit(""), "text", F.lit(""))
+    per = results.select("query", "rank", part.alias("part")).groupBy("query").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "part"))), lambda p: p["part"]), "\n").alias("body"))
+    return per.select("query", F.concat(F.lit("# "), F.col("query").cast("string"), F.lit("\n\n"), "body").alias("report"))
+
+
 def report(results: DataFrame, query: str) -> str:
-    """A Markdown report of the results of one query (a top-k list, so it is small)."""
-    lines = [f"# {query}", ""]
-    for r in results.orderBy("rank").collect():
-        lines += [f"## {r['rank']}. {r['id']}", f"score {r['score']}", "", "shared: " + (", ".join(r["token_overlap"]) or "none"), "", r["text"], ""]
-    return "\n".join(lines)
+    """The report of the results of one query under a title."""
+    found = reported(results).first()
+    return f"# {query}\n" + (found.report.split("\n", 1)[1] if found else "")

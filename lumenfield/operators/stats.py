@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 from collections.abc import Iterator
@@ -13,13 +14,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.letters import ABJAD_BASE
-from ..session import ship, written
+from ..session import ship, sized, written
 
 WINDOW, STEP, LEAST = 40, 20, 2
 #: Upper ends of the distance bins and their names.
 BINS = [(10, "<=10"), (25, "11-25"), (50, "26-50"), (100, "51-100"), (200, "101-200")]
 LAST_BIN = ">200"
 FEWEST = 50
+#: A vocabulary of at most this many words is a set of constants in the plan.
+LISTED = 20_000
 #: Folded pairs that are broadcast to the permutations; more are ranked by shuffles.
 FOLDED = 1_000_000
 
@@ -32,12 +35,18 @@ def lift(texts: DataFrame, tokens: Column, vocabulary: DataFrame, window: int =
     """
     whole = texts.select(tokens.alias("t")).where(F.size("t") > window)
     at = whole.select("t", F.explode(F.sequence(F.lit(0), F.floor((F.size("t") - window - 1) / step).cast("int"))).alias("k"))
-    held = at.select(F.monotonically_increasing_id().alias("w"), F.array_distinct(F.slice("t", F.col("k") * step + 1, window)).alias("words"))
-    held = written(held, "windows")
-    n = held.count()
-    known = held.select("w", F.explode("words").alias("word")).join(F.broadcast(vocabulary.select("word").distinct()), "word", "left_semi")
-    sets = known.groupBy("w").agg(F.sort_array(F.collect_list("word")).alias("words"))
-    single = known.groupBy("word").agg(F.count("*").alias("n"))
+    words = F.array_distinct(F.slice("t", F.col("k") * step + 1, window))
+    known = written(vocabulary.select("word").where("word is not null").distinct(), "vocabulary")
+    if known.count() <= LISTED:  # a set of constants: windows are reduced where they are made, nothing is shuffled before pairs are counted
+        listed = ", ".join("'" + r.word.replace("\\", "\\\\").replace("'", "\\'") + "'" for r in known.collect())
+        sets = at.select(words.alias("words")).select(F.sort_array(F.expr(f"filter(words, x -> x in ({listed}))") if listed else F.array().cast("array<string>")).alias("words"))
+        sets = written(sets, "windows")
+        n = sets.count()
+    else:
+        held = written(at.select(F.monotonically_increasing_id().alias("w"), words.alias("words")), "windows")
+        n = held.count()
+        sets = held.select("w", F.explode("words").alias("word")).join(sized(known), "word", "left_semi").groupBy("w").agg(F.sort_array(F.collect_list("word")).alias("words"))
+    single = sets.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     first = sets.select("words", F.posexplode("words").alias("i", "w1"))
     pairs = first.select("w1", F.explode(F.slice("words", F.col("i") + 2, F.size("words"))).alias("w2")).groupBy("w1", "w2").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     both = pairs.join(single.select(F.col("word").alias("w1"), F.col("n").alias("n1")), "w1").join(single.select(F.col("word").alias("w2"), F.col("n").alias("n2")), "w2")
@@ -372,11 +381,27 @@ def null_summary(nulls: DataFrame, observed: float, plus_one: bool = False) -> D
     return out.withColumn("passed", F.col("p") < 0.05 if plus_one else F.lit(abs(observed)) > F.col("edge")).drop("edge")
 
 
+def mapping_digest(mapping: dict[str, int]) -> str:
+    return hashlib.md5(" ".join(f"{c}{v}" for c, v in sorted(mapping.items())).encode()).hexdigest()
+
+
 def resumed(nulls_path: str, mappings: list[dict[str, int]], pairs: DataFrame, controls: list[str] | None = None) -> DataFrame:
-    """Permutations (partial ones with controls) that a table of results still lacks are run and appended to it; then all results."""
+    """(perm, rho): permutations (partial ones with controls) that a table of results still lacks are run and appended; then all results.
+
+    A stored result counts only if it was made with the same mapping (so the same seed), the same number of pairs and the same
+    controls; others stay in the table but are neither trusted nor returned.
+    """
     spark = pairs.sparkSession
+    run = f"{pairs.count()} {' '.join(controls or [])}"
+    wanted = spark.createDataFrame([(k, mapping_digest(m)) for k, m in enumerate(mappings)], "perm int, mapping string")
+    schema = "perm int, rho double, mapping string, run string"
+
+    def stored() -> DataFrame:
+        known = spark.read.schema(schema).parquet(nulls_path).where(F.col("run") == run)
+        return known.join(F.broadcast(wanted), ["perm", "mapping"]).dropDuplicates(["perm"])
+
     try:
-        done = {r[0] for r in spark.read.parquet(nulls_path).select("perm").distinct().collect()}  # one number a permutation
+        done = {r[0] for r in stored().select("perm").collect()}  # one number a permutation
     except Exception:  # noqa: BLE001 - no table yet
         done = set()
     left = [k for k in range(len(mappings)) if k not in done]
@@ -384,8 +409,9 @@ def resumed(nulls_path: str, mappings: list[dict[str, int]], pairs: DataFrame, c
         own = [mappings[k] for k in left]
         fresh = partial_null(pairs, own, controls) if controls else permutation_null(pairs, own)
         number = F.array(*[F.lit(k) for k in left])
-        fresh.select(F.get(number, F.col("perm")).alias("perm"), "rho").write.mode("append").parquet(nulls_path)
-    return spark.read.parquet(nulls_path)
+        named = fresh.select(F.get(number, F.col("perm")).alias("perm"), "rho").join(F.broadcast(wanted), "perm")
+        named.select("perm", "rho", "mapping", F.lit(run).alias("run")).write.mode("append").parquet(nulls_path)
+    return stored().select("perm", "rho")
 
 
 def scrambled(pairs: DataFrame, seed: int = 42) -> DataFrame:
@@ -410,19 +436,24 @@ def scrambled(pairs: DataFrame, seed: int = 42) -> DataFrame:
 BLOCK = 512
 
 
-def pairwise(vectors: DataFrame, group: str, key: str, vec: str) -> DataFrame:
+def pairwise(vectors: DataFrame, group: str, key: str, vec: str, against: dict | None = None) -> DataFrame:
     """(group, pairs, mean, std, min, max) of the cosines of all pairs of a group.
 
     A group is cut into blocks of about ``BLOCK`` vectors; every two blocks meet once as a matrix product in one task that
-    returns sums, so no pair is emitted and no task holds a group.
+    returns sums, so no pair is emitted and no task holds a group. With ``against`` (group, or None for all -> a bounded list
+    of values) ``u`` is added: for how many pairs and values the pair is greater, half for equals.
     """
     spark = vectors.sparkSession
     ship(spark)
     known = vectors.where(f"{group} is not null and {vec} is not null").select(group, key, vec)
-    sizes = known.groupBy(group).agg(F.count("*").alias("__n"))
-    blocked = known.join(F.broadcast(sizes), group).withColumn("__b", F.pmod(F.xxhash64(key), F.greatest(F.lit(1), F.ceil(F.col("__n") / BLOCK)))).groupBy(group, "__b").agg(F.collect_list(vec).alias("v"))
+    sizes = written(known.groupBy(group).agg(F.count("*").alias("__n")), "group-sizes").withColumn("__blocks", F.greatest(F.lit(1), F.ceil(F.col("__n") / BLOCK)).cast("long"))
+    blocked = known.join(sized(sizes), group).withColumn("__b", F.pmod(F.xxhash64(key), "__blocks")).groupBy(group, "__b").agg(F.collect_list(vec).alias("v"), F.first("__blocks").alias("__blocks"))
     blocked = written(blocked, "blocks")
-    both = blocked.select(F.col(group).alias("g"), F.col("__b").alias("i"), F.col("v").alias("a")).join(blocked.select(F.col(group).alias("g"), F.col("__b").alias("j"), F.col("v").alias("b")), "g").where("i <= j")
+    one = F.col("__b")
+    left = blocked.select(F.col(group).alias("g"), one.alias("i"), F.explode(F.sequence(one, F.col("__blocks") - 1)).alias("j"), F.col("v").alias("a"))
+    right = blocked.select(F.col(group).alias("g"), F.explode(F.sequence(F.lit(0), one)).alias("i"), one.alias("j"), F.col("v").alias("b"))
+    both = left.join(right, ["g", "i", "j"])  # by block pair, so a hot group is spread
+    shared = spark.sparkContext.broadcast({k: np.sort(v) for k, v in (against or {}).items()})
 
     def unit(v) -> np.ndarray:
         m = np.stack([np.asarray(x, dtype=float) for x in v])
@@ -430,20 +461,125 @@ def pairwise(vectors: DataFrame, group: str, key: str, vec: str) -> DataFrame:
         return np.where(n == 0, 0, m / np.where(n == 0, 1, n))
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        values = shared.value
         for batch in batches:
             rows = []
             for r in batch.itertuples():
                 s = unit(r.a) @ unit(r.b).T
                 s = s[np.triu_indices(len(s), 1)] if r.i == r.j else s.ravel()
                 if len(s):
-                    rows.append((r.g, len(s), s.sum(), (s * s).sum(), s.min(), s.max()))
-            yield pd.DataFrame(rows, columns=["g", "n", "s", "q", "lo", "hi"])
+                    other = values.get(None, values.get(r.g, np.zeros(0)))
+                    u = (np.searchsorted(other, s, side="left").sum() + np.searchsorted(other, s, side="right").sum()) / 2
+                    rows.append((r.g, len(s), s.sum(), (s * s).sum(), s.min(), s.max(), u))
+            yield pd.DataFrame(rows, columns=["g", "n", "s", "q", "lo", "hi", "u"])
 
     kind = dict(vectors.dtypes)[group]
-    met = both.mapInPandas(meet, f"g {kind}, n long, s double, q double, lo double, hi double")
-    total = met.groupBy(F.col("g").alias(group)).agg(F.sum("n").alias("pairs"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.min("lo").alias("min"), F.max("hi").alias("max"))
+    met = both.mapInPandas(meet, f"g {kind}, n long, s double, q double, lo double, hi double, u double")
+    total = met.groupBy(F.col("g").alias(group)).agg(F.sum("n").alias("pairs"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.min("lo").alias("min"), F.max("hi").alias("max"), F.sum("u").alias("u"))
     mean = F.col("s") / F.col("pairs")
-    return total.select(group, "pairs", mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.col("pairs") - mean * mean)).alias("std"), "min", "max")
+    return total.select(group, "pairs", mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.col("pairs") - mean * mean)).alias("std"), "min", "max", *(["u"] if against is not None else []))
+
+
+def greater_p(u: float, n1: int, n2: int) -> tuple[float, float]:
+    """(z, p) that values of the first sample tend to be greater, by normal approximation, continuity corrected; p = 1 below 3 values."""
+    sd = math.sqrt(n1 * n2 * (n1 + n2 + 1) / 12)
+    z = (u - n1 * n2 / 2 - 0.5) / sd if sd else 0.0
+    return z, 0.5 * math.erfc(z / math.sqrt(2)) if n1 >= 3 and n2 >= 3 else 1.0
+
+
+def sims_at(vectors: DataFrame, order: list[str], vec: str, drawn: list[tuple[int, int]]) -> list[float]:
+    """The cosines of drawn pairs of rows, given by their places in an order; a bounded list, so the driver gets it."""
+    from .geometry import ordinal_ranks
+
+    spark = vectors.sparkSession
+    placed = ordinal_ranks(vectors.select(*order, vec), order, "__place").select("__place", vec)
+    asked = spark.createDataFrame([(k, int(a), int(b)) for k, (a, b) in enumerate(drawn)], "k int, a long, b long")
+    ends = asked.select("k", F.lit(0).alias("side"), F.col("a").alias("__place")).unionByName(asked.select("k", F.lit(1).alias("side"), F.col("b").alias("__place")))
+    found = placed.join(F.broadcast(ends), "__place").groupBy("k").pivot("side", [0, 1]).agg(F.first(vec))
+    from .field import cosine
+
+    rows = found.select("k", cosine(F.col("0"), F.col("1")).alias("s")).collect()
+    return [r.s for r in sorted(rows)]
+
+
+def crossed(sizes: dict, count: int, name: str = "cross") -> list[tuple[int, int]]:
+    """Seeded draws of two rows of different groups, as places in the order of group and key; none below two groups."""
+    groups = sorted(sizes)
+    start, at = {}, 0
+    for g in groups:
+        start[g] = at
+        at += sizes[g]
+    out = []
+    for k in range(count if len(groups) > 1 else 0):
+        x, y = seeded(f"{name}-{k}-a") % len(groups), seeded(f"{name}-{k}-b") % (len(groups) - 1)
+        a, b = groups[x], groups[y + (y >= x)]
+        out.append((start[a] + seeded(f"{name}-{k}-pa") % sizes[a], start[b] + seeded(f"{name}-{k}-pb") % sizes[b]))
+    return out
+
+
+DRAWN = 1000
+
+
+def density(vectors: DataFrame, group: str, key: str, vec: str) -> dict:
+    """How much closer vectors of a group are than vectors of two: all pairs within against seeded draws across.
+
+    Draws: three for a pair within, ``DRAWN`` at most. Null vectors lower the coverage and take no part.
+    """
+    whole = vectors.where(f"{group} is not null").agg(F.count("*").alias("n"), F.count(vec).alias("known")).first()
+    known = vectors.where(f"{group} is not null and {vec} is not null")
+    sizes = {r[0]: r[1] for r in known.groupBy(group).count().collect()}  # a row a group
+    within = sum(n * (n - 1) // 2 for n in sizes.values())
+    cross = np.array(sims_at(known, [group, key], vec, crossed(sizes, min(DRAWN, 3 * within))))
+    s = pairwise(known, group, key, vec, {None: cross})
+    row = s.agg(F.sum("pairs").alias("n"), F.sum(F.col("mean") * F.col("pairs")).alias("s"), F.sum((F.col("std") ** 2 + F.col("mean") ** 2) * F.col("pairs")).alias("q"), F.sum("u").alias("u")).first()
+    n = int(row.n or 0)
+    out = {"families": len(sizes), "coverage_pct": 100.0 * whole.known / whole.n if whole.n else 0.0, "intra_pairs": n, "cross_pairs": len(cross)}
+    mean = row.s / n if n else None
+    std = math.sqrt(max(0.0, row.q / n - mean * mean)) if n else None
+    both = bool(n and len(cross))
+    gap = mean - float(cross.mean()) if both else None
+    pooled = math.sqrt((std**2 + float(cross.std()) ** 2) / 2) if both else 0.0
+    z, p = greater_p(float(row.u), n, len(cross)) if both else (None, 1.0)
+    return out | {"intra_mean": mean, "intra_std": std, "cross_mean": float(cross.mean()) if both else None, "cross_std": float(cross.std()) if both else None, "gap": gap, "cohen_d": (gap / pooled if pooled else 0.0) if both else None, "z": z, "p": p, "significant": p < 0.05}
+
+
+def attention_pool(weights: DataFrame) -> DataFrame:
+    """(sentence, i, j, attention) with i < j, from (sentence, layer, head, i, j, weight): the mean over layers and heads of either
+    direction, then of both; a direction that is missing or null takes no part, a word with itself neither."""
+    known = weights.where("i <> j and weight is not null")
+    ways = known.groupBy("sentence", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), (F.col("i") < F.col("j")).alias("onward")).agg(F.avg("weight").alias("w"))
+    return ways.groupBy("sentence", F.col("a").alias("i"), F.col("b").alias("j")).agg(F.avg("w").alias("attention"))
+
+
+def ranks_among(guesses: DataFrame, every: DataFrame, digits: int = 9) -> DataFrame:
+    """(key, rank) for guesses (key, vec, sim): one more than the number of vectors (vec) of greater cosine, compared at ``digits``.
+
+    Blocks of guesses meet blocks of vectors as matrix products that return a count a guess.
+    """
+    ship(guesses.sparkSession)
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), BLOCK):
+                part = b.iloc[at : at + BLOCK]
+                yield pd.DataFrame({c: [[x for x in part[c]]] for c in part.columns})
+
+    asked = written(guesses.select("key", "vec", "sim").mapInPandas(gather, "key array<long>, vec array<array<double>>, sim array<double>"), "guesses")
+    held = every.select(F.col("vec").alias("other")).mapInPandas(gather, "other array<array<double>>")
+
+    def unit(v) -> np.ndarray:
+        m = np.stack([np.asarray(x, dtype=float) for x in v])
+        n = np.linalg.norm(m, axis=1, keepdims=True)
+        return np.where(n == 0, 0, m / np.where(n == 0, 1, n))
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples():
+                s = np.round(unit(r.vec) @ unit(r.other).T, digits)
+                yield pd.DataFrame({"key": r.key, "n": (s > np.round(np.asarray(r.sim, dtype=float), digits)[:, None]).sum(axis=1)})
+
+    met = held.crossJoin(asked).mapInPandas(meet, "key long, n long")  # a row a pair of blocks
+    return met.groupBy("key").agg((F.sum("n") + 1).alias("rank"))
 
 
 def mann_whitney_greater(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
@@ -466,12 +602,11 @@ def mann_whitney_greater(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     return a.sparkSession.createDataFrame([(u, p, n1, n2)], "u double, p double, n1 long, n2 long")
 
 
-def draw_pairs(families: dict[int, int], count: int, seed: int = 42) -> list[tuple[int, int, int, int]]:
-    """Seeded draws of two different families and one place in each: (family_a, place_a, family_b, place_b)."""
-    rng = random.Random(seed)
-    names = sorted(families)
-    out = []
-    for _ in range(count if len(names) > 1 else 0):
-        a, b = rng.sample(names, 2)
-        out.append((a, rng.randrange(families[a]), b, rng.randrange(families[b])))
-    return out
+def seeded(text: str) -> int:
+    """A draw that any engine with MD5 can repeat: the first 32 bits of the digest of a name."""
+    return int(hashlib.md5(text.encode()).hexdigest()[:8], 16)
+
+
+def seeded_column(text: Column) -> Column:
+    """The same as an expression."""
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import hyperbolic as H
+from ..functions import letters as L
+from ..functions import morphology as M
 from ..operators import field as E
 from ..operators import lookup as Q
-from .inputs import basis, cte, terms
+from .inputs import basis, cte, nodes, terms
+from .recursive import karcher, recursive
 from .registry import query
+from .text_queries import _letters, _pattern_sql, _re, _sum
 
 _S = (
     cte("basis", "terms")
@@ -20,6 +23,8 @@ _S = (
 )
 _MU = ", bs as (select a.name a, b.name b, list_dot_product(a.vec, b.vec)/(sqrt(list_dot_product(a.vec, a.vec))*sqrt(list_dot_product(b.vec, b.vec))) s from cb a, cb b where a.name <> b.name), fz as (select a as name, avg(s) mu from bs group by 1)"
 
+_PLACE = ", tops as (select term as key, px as x, py as y, sim as w from rk where rn <= 5 and term in (select term from rk where rn <= 5 group by 1 having max(sim) > 0)), " + karcher("tops", "kp") + ", placed as (select t.term, coalesce(kp.x, 0) as x, coalesce(kp.y, 0) as y from (select distinct term from rk) t left join kp on kp.key = t.term)"
+
 
 def _scored(spark, d):
     b = E.Basis(basis(spark, d))
@@ -130,12 +135,11 @@ def pattern_vote(spark, d):
     return s.select("term", F.slice(E.ranked(F.col("sims"), b), 1, 5).alias("top")).select("term", E.vote(F.col("top"), "root").alias("pattern"))
 
 
-@query()
+@query(recursive(_S) + _PLACE + " select term, round(x, 4) + 0 as px, round(y, 4) + 0 as py, round(sqrt(x*x+y*y), 4) as r from placed")
 def place_term(spark, d):
     """The barycentre of the attractors of every term."""
-    b, s = _scored(spark, d)
-    p = s.select("term", E.placed(F.slice(E.ranked(F.col("sims"), b), 1, 5)).alias("p"))
-    return p.select("term", F.round("p.x", 4).alias("px"), F.round("p.y", 4).alias("py"), F.round(H.norm(F.col("p")), 4).alias("r"))
+    p = E.placed_profiles(terms(spark, d), E.Basis(basis(spark, d)))
+    return p.select("term", (F.round("place.x", 4) + 0.0).alias("px"), (F.round("place.y", 4) + 0.0).alias("py"), F.round("place.r", 4).alias("r"))
 
 
 @query(_S + ", w as (select term, sum(greatest(sim, 0)) t, sum(greatest(sim, 0)*px) x, sum(greatest(sim, 0)*py) y from rk where rn <= 5 group by 1) select term, round(case when t > 0 then x/t else 0 end, 5) as px, round(case when t > 0 then y/t else 0 end, 5) as py from w")
@@ -145,23 +149,61 @@ def place_term_euclid(spark, d):
     return p.select("term", F.round("p.x", 5).alias("px"), F.round("p.y", 5).alias("py"))
 
 
-@query()
+_SENTINEL = "case when (1-(p.x*p.x+p.y*p.y))*(1-(f.px*f.px+f.py*f.py)) <= 1e-10::double then 9.99::double else acosh(greatest(1.0::double, 1+2*((p.x-f.px)*(p.x-f.px)+(p.y-f.py)*(p.y-f.py))/((1-(p.x*p.x+p.y*p.y))*(1-(f.px*f.px+f.py*f.py))))) end"
+
+
+def _lookup(spark, d):
+    b = E.Basis(basis(spark, d))
+    return Q.lookup(terms(spark, d), b, b.field_zero().tolist())
+
+
+@query(recursive(_S) + _PLACE + f" select p.term, round({_SENTINEL}, 4) as dist_to_primary from placed p join rk f on f.term = p.term and f.rn = 1")
 def dist_to_primary(spark, d):
     """The distance from a term's place to its first attractor."""
-    return philological_lookup(spark, d).select("term", "dist_to_primary")
+    return _lookup(spark, d).select("term", "dist_to_primary")
+
+
+_OWN = "own as (select e.vec_id as log_id, n.ar as term_ar from embeddings e left join nodes n on n.node_id = e.vec_id where e.vec_id >= 99)"
+_BREAK = f"""array_to_string(list_transform(list_filter({_letters('bare')}, lambda x: list_contains([{', '.join(repr(k) for k in L.ABJAD)}], x)), lambda x: x || '=' || list_extract([{', '.join(str(v) for v in L.ABJAD.values())}], list_position([{', '.join(repr(k) for k in L.ABJAD)}], x))::varchar), ' + ') || ' = ' || {_sum('bare', L.ABJAD)}::varchar"""
+_FULL_MARKS = r"[\x{064B}-\x{065F}\x{0670}\x{0640}]"
+_LOOKUP = (
+    recursive(_S) + _MU + _PLACE + ", nodes as (select distinct node_id, ar from poincare_data_v3), " + _OWN + _pattern_sql("own", "")
+    + """, ce as (select term, name, sim - mu as c, row_number() over (partition by term order by round(sim - mu, 12) desc, name) rn, row_number() over (partition by term order by round(sim - mu, 12), name desc) rb from sims join fz using (name)),
+ ra as (select term, list(name order by rn) filter (where rn <= 5) as top_names, list(name order by rb desc) filter (where rb <= 3) as bottom_names, list(round(sim, 4) + 0 order by rn) filter (where rn <= 5) as top_sims from rk group by 1),
+ ca as (select term, list(name order by rn) filter (where rn <= 5) as attractors_centered, list(name order by rb desc) filter (where rb <= 3) as repelled_centered from ce group by 1),
+ lv as (select term, level from (select *, row_number() over (partition by term order by votes desc, first) k from (select term, level, sum(greatest(sim, 0)) votes, min(rn) first from rk where rn <= 5 group by 1, 2)) where k = 1),
+ rv as (select term, root from (select *, row_number() over (partition by term order by votes desc, first) k from (select term, root, sum(greatest(sim, 0)) votes, min(rn) first from rk where rn <= 5 group by 1, 2)) where k = 1),
+ mn as (select sqrt(sum(mu*mu)) z from fz)"""
+    + f""", tx as (select log_id, term_ar, {_re('term_ar', _FULL_MARKS)} as bare from own)
+ select p.term, tx.term_ar, case when term_ar is null then null else {_sum('bare', L.ABJAD)} end as value, {_BREAK} as breakdown, s.status as query_wazn_status,
+  case s.status when 'parsed' then cand[1] when 'ambiguous_vocalization' then array_to_string(best, ' / ') when 'ambiguous_structure' then array_to_string(cand[1:4], ' / ') end as query_wazn,
+  ra.top_names, ra.top_sims, ra.bottom_names, ca.attractors_centered, ca.repelled_centered, round(p.x, 4) + 0 as px, round(p.y, 4) + 0 as py, round(sqrt(p.x*p.x+p.y*p.y), 4) as r, lv.level,
+  case lv.level when 0 then 'Dhāt' when 1 then 'Ṣifāt' else 'Afʿāl' end as level_label, rv.root as cluster_pattern, round({_SENTINEL}, 4) as dist_to_primary, round(mn.z, 6) as mu_norm
+ from placed p join rk f on f.term = p.term and f.rn = 1 join ra on ra.term = p.term join ca on ca.term = p.term join lv on lv.term = p.term join rv on rv.term = p.term join tx on tx.log_id = p.term left join s on s.log_id = p.term, mn"""
+)
 
 
-@query()
+@query(_LOOKUP)
 def philological_lookup(spark, d):
-    """The whole profile of every term."""
+    """The whole profile of every term: its own letters and pattern, its attractors raw and centered, its place; a term's text is the name of the node of its id."""
     b = E.Basis(basis(spark, d))
-    return Q.lookup(terms(spark, d), b, b.field_zero().tolist())
+    mu = b.field_zero()
+    found = Q.lookup(terms(spark, d), b, mu.tolist())
+    texts = nodes(spark, d).select(F.col("node_id").alias("term"), F.col("ar").alias("term_ar"))
+    own = found.join(texts, "term", "left").withColumns({"letters": Q.letters_of(F.col("term_ar")), "own": M.parse_pattern(F.col("term_ar"))})
+    named = lambda c: F.transform(c, lambda t: t["name"])
+    place = F.col("position")
+    return own.select(
+        "term", "term_ar", F.col("letters.value").alias("value"), F.col("letters.breakdown").alias("breakdown"), F.when(F.col("term_ar").isNotNull(), F.col("own.query_wazn_status")).alias("query_wazn_status"), F.when(F.col("term_ar").isNotNull(), F.col("own.query_wazn")).alias("query_wazn"),
+        named("top_names").alias("top_names"), F.transform("top_names", lambda t: t["sim"] + 0.0).alias("top_sims"), named("bottom_names").alias("bottom_names"), named("attractors_centered").alias("attractors_centered"), named("repelled_centered").alias("repelled_centered"),
+        (place["px"] + 0.0).alias("px"), (place["py"] + 0.0).alias("py"), place["r"].alias("r"), place["level"].alias("level"), place["level_label"].alias("level_label"), "cluster_pattern", "dist_to_primary", F.lit(round(float((mu**2).sum() ** 0.5), 6)).alias("mu_norm"),
+    )
 
 
 @query()
 def reproject_all(spark, d):
     """Every term scored again, in the form of log records; unscorable vectors are left out."""
-    found = philological_lookup(spark, d)
+    found = _lookup(spark, d)
     return found.select(F.col("term").cast("string").alias("term_ar"), F.transform("top_names", lambda t: F.struct(t["name"].cast("string").alias("ar"), t["sim"].alias("sim"))).alias("top_name_attractors"), F.transform(F.reverse("bottom_names"), lambda t: F.struct(t["name"].cast("string").alias("ar"), t["sim"].alias("sim"))).alias("bottom_names"), F.col("position").alias("estimated_position"), F.col("cluster_pattern").cast("string").alias("cluster_wazn"), F.col("dist_to_primary").alias("poincare_dist_to_primary"), F.lit("v3-regen").alias("pipeline"))
 
 
@@ -202,12 +244,28 @@ def knn_repulsion_lists(spark, d):
     return spark.createDataFrame(rows, "name long, other long, kind string, weight double")
 
 
-@query()
+def _fit_sql() -> str:
+    import numpy as np
+
+    from ..operators.layout import LEAST_PULL, PUSH, RADII, RATE, SEED, SPREAD, STEPS
+
+    rng = np.random.default_rng(SEED)
+    start = ", ".join(repr(float(x)) + "::double" for x in rng.uniform(0, 2 * np.pi, 99))
+    spread = ", ".join(repr(float(x)) + "::double" for x in rng.random(99))
+    return recursive(_S) + f""", ns as (select a.name a, b.name b, list_dot_product(a.vec, b.vec)/((sqrt(list_dot_product(a.vec, a.vec)))*(sqrt(list_dot_product(b.vec, b.vec)))) s from cb a, cb b where a.name <> b.name), rk2 as (select *, row_number() over (partition by a order by round(s, 12) desc, b) rn, row_number() over (partition by a order by round(s, 12), b desc) rb from ns),
+ ed as (select a, list({{'b': b + 1, 'w': case when rn <= 5 then greatest(s, {LEAST_PULL}::double) else -{PUSH}::double end}} order by rn) as e from rk2 where rn <= 5 or rb <= 3 group by 1), el as (select list(e order by a) as es from ed),
+ st as (select [{start}] as t, 0 as it union all select list_transform(range(1, 100), lambda i: t[i] + {RATE}::double*list_sum(list_transform(es[i], lambda x: x.w*sin(t[x.b]-t[i])))) as t, it + 1 as it from st, el where it < {STEPS}),
+ en as (select arg_max(t, it) as t from st), ps as (select name, least(level, 2) as level, t[name + 1] as t, [{', '.join(f'{r}::double' for r in RADII)}][least(level, 2) + 1] + {SPREAD}::double*([{spread}][name + 1] - 0.5::double) as r from basis, en)
+ select name, round(round(r*cos(t), 4), 3) + 0 as px, round(round(r*sin(t), 4), 3) + 0 as py, round(r, 4) as r, level from ps"""
+
+
+@query(_fit_sql())
 def fit_disk(spark, d):
     """Angles fitted so that similar names lie close, at the fixed radii of their levels."""
     from ..operators.layout import fitted
 
-    return fitted(spark, E.Basis(basis(spark, d)))
+    placed = fitted(spark, E.Basis(basis(spark, d)))
+    return placed.select("name", (F.round("px", 3) + 0.0).alias("px"), (F.round("py", 3) + 0.0).alias("py"), "r", "level")
 
 
 @query(_S + ", w as (select term, sum(greatest(sim, 0)) t, sum(greatest(sim, 0)*px) x, sum(greatest(sim, 0)*py) y from rk where rn <= 5 group by 1), p as (select term, case when t > 0 then x/t else 0 end px, case when t > 0 then y/t else 0 end py from w), o as (select name, px, py from basis), j as (select b.name, sqrt((o.px-b.px2)*(o.px-b.px2)+(o.py-b.py2)*(o.py-b.py2)) as moved from (select (term % 99) as name, avg(px) px2, avg(py) py2 from p group by 1) b join o using (name)) select name, round(moved, 5) as moved from j")
@@ -220,15 +278,55 @@ def disk_movement(spark, d):
     return new.join(F.broadcast(old), "name").select("name", F.round(F.sqrt((F.col("px") - F.col("x")) ** 2 + (F.col("py") - F.col("y")) ** 2), 5).alias("moved"))
 
 
-@query()
-def opposition_stats(spark, d):
-    """Opposition edges (each name to its least similar name): in-degree of every name that has one."""
-    from pyspark.sql import Window as W
+_OPP = _S + ", ns as (select a.name a, b.name b, list_dot_product(a.vec, b.vec)/((sqrt(list_dot_product(a.vec, a.vec))+1e-12::double)*(sqrt(list_dot_product(b.vec, b.vec))+1e-12::double)) s from cb a, cb b where a.name <> b.name), op as (select a, b, s from (select *, row_number() over (partition by a order by round(s, 12), b desc) rb from ns) where rb <= 3)"
 
+
+@query(_OPP + " select b as other, count(*) as in_degree from op group by 1")
+def opposition_stats(spark, d):
+    """Opposition edges (each name to its least similar names): in-degree of every name that has one."""
     e = knn_repulsion_lists(spark, d).where("kind = 'oppose'")
     return e.groupBy("other").agg(F.count("*").alias("in_degree"))
 
 
+_OTHERS = ", pick as (select k, ('0x' || substr(md5('opposed-' || k || '-a'), 1, 8))::bigint % m as x, ('0x' || substr(md5('opposed-' || k || '-b'), 1, 8))::bigint % (m - 1) as y from range(1000) t(k), (select count(*) m from basis)), od as (select name, row_number() over (order by name) - 1 as at from basis), rd as (select p.name as a, q.name as b from pick join od p on p.at = x join od q on q.at = y + (y >= x)::int)"
+_TURN = "case when abs(atan2(p.py, p.px)-atan2(q.py, q.px)) > pi() then 2*pi()-abs(atan2(p.py, p.px)-atan2(q.py, q.px)) else abs(atan2(p.py, p.px)-atan2(q.py, q.px)) end"
+
+
+@query(_OPP + _OTHERS + f""", al as (select 'opposed' as kind, a, b from op union all select 'random', a, b from rd), pc as (select x.name as a, y.name as b, corr(x.sim, y.sim) c from sims x join sims y using (term) where x.name <> y.name group by 1, 2)
+ select kind, count(*) as pairs, round(avg(degrees({_TURN})), 3) as mean_angle, round(avg(pc.c), 5) as profile_correlation, round(avg(ns.s), 5) as mean_similarity from al join basis p on p.name = al.a join basis q on q.name = al.b join pc using (a, b) join ns using (a, b) group by 1""")
+def opposition_angles(spark, d):
+    """Opposed names against a thousand seeded pairs of names: angle on the disk, correlation of their columns of term profiles, similarity.
+
+    Correlations come from one matrix of sums over all terms, made per batch; names are the 99 of the basis.
+    """
+    import numpy as np
+
+    from ..operators.layout import edges
+    from ..operators.stats import seeded
+
+    b, s = _scored(spark, d)
+    n = len(b.names)
+    gram = E.profile_gram(s, n)  # sums, products and count of the columns
+    count, total, product = gram[-1, -1], gram[-1, :-1], gram[:-1, :-1]
+    cov = product / count - np.outer(total, total) / count**2
+    spread = np.sqrt(np.diag(cov))
+    corr = cov / np.outer(spread, spread)
+    sims = b.centered(b.matrix)
+    turn = np.abs(np.subtract.outer(np.arctan2(b.py, b.px), np.arctan2(b.py, b.px)))
+    turn = np.degrees(np.where(turn > np.pi, 2 * np.pi - turn, turn))
+    opposed = [(i, j) for i, j, kind, _ in edges(sims) if kind == "oppose"]
+    drawn = []
+    for k in range(1000 if n > 1 else 0):
+        x, y = seeded(f"opposed-{k}-a") % n, seeded(f"opposed-{k}-b") % (n - 1)
+        drawn.append((x, y + (y >= x)))
+    rows = []
+    for kind, listed in (("opposed", opposed), ("random", drawn)):
+        i, j = np.array(listed, dtype=int).reshape(-1, 2).T
+        if len(i):
+            rows.append((kind, len(i), round(float(turn[i, j].mean()), 3), round(float(corr[i, j].mean()), 5), round(float(sims[i, j].mean()), 5)))
+    return spark.createDataFrame(rows, "kind string, pairs long, mean_angle double, profile_correlation double, mean_similarity double")
+
+
 @query(_S + ", s as (select term, max(sim) filter (where name = 0) a, max(sim) filter (where name = 1) b, max(sim) filter (where name = 2) c, max(sim) filter (where name = 3) e from sims group by 1) select term, round(a - b, 6) as axis_1, round(c - e, 6) as axis_2 from s")
 def profile_axis_projection(spark, d):
     """Terms on two axes, each the difference of two names."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import hyperbolic as H
 from ..operators import geometry as G
 from .inputs import basis, cte, nodes
+from .recursive import clip, frechet, karcher, recursive
 from .registry import query
 
 
@@ -18,11 +19,16 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, "node_id")
 
 
-_PAIRS = cte("nodes") + """, pair as (select a.node_id, a.px ux, a.py uy, b.px vx, b.py vy from nodes a join nodes b on b.node_id = a.node_id + 1),
+def pair_sql(start: str, pairs: str) -> str:
+    """Expressions that end in ``c3``: the pairs (node_id, ux, uy, vx, vy) of a query as they are (o) and pulled back to the disk (a, b), with their products."""
+    return start + f""", pair as ({pairs}),
 c1 as (select *, sqrt(ux*ux+uy*uy) nu, sqrt(vx*vx+vy*vy) nv from pair),
 c2 as (select node_id, ux oux, uy ouy, vx ovx, vy ovy, case when nu >= 0.99999::double then ux*(0.99999::double/nu) else ux end ax, case when nu >= 0.99999::double then uy*(0.99999::double/nu) else uy end ay,
   case when nv >= 0.99999::double then vx*(0.99999::double/nv) else vx end bx, case when nv >= 0.99999::double then vy*(0.99999::double/nv) else vy end by_ from c1),
 c3 as (select *, (ax-bx)*(ax-bx)+(ay-by_)*(ay-by_) g2, ax*ax+ay*ay na, bx*bx+by_*by_ nb, ax*bx+ay*by_ dot from c2)"""
+
+
+_PAIRS = pair_sql(cte("nodes"), "select a.node_id, a.px ux, a.py uy, b.px vx, b.py vy from nodes a join nodes b on b.node_id = a.node_id + 1")
 _DIST = "acosh(greatest(1.0::double, 1 + 2*g2/greatest((1-na)*(1-nb), 1e-9::double)))"
 
 
@@ -62,34 +68,41 @@ def exp0_log0(spark, d):
     return known.select("node_id", "t", H.exp0(F.col("t")).alias("p")).select("node_id", F.round("t.x", 6).alias("tx"), F.round("t.y", 6).alias("ty"), F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
 
 
-@query()
+_LOGX = _PAIRS + """, q as (select node_id, ax, ay, na, bx, by_, ((1-2*dot+nb)*(-ax)+(1-na)*bx)/greatest(1-2*dot+na*nb, 1e-9::double) qx, ((1-2*dot+nb)*(-ay)+(1-na)*by_)/greatest(1-2*dot+na*nb, 1e-9::double) qy from c3 where dot is not null),
+ t as (select *, case when sqrt(qx*qx+qy*qy) < 1e-9 then 0 else (1-na)*atanh(least(sqrt(qx*qx+qy*qy), 0.99999::double))*qx/sqrt(qx*qx+qy*qy) end tx, case when sqrt(qx*qx+qy*qy) < 1e-9 then 0 else (1-na)*atanh(least(sqrt(qx*qx+qy*qy), 0.99999::double))*qy/sqrt(qx*qx+qy*qy) end ty from q),
+ s as (select *, case when sqrt(tx*tx+ty*ty) < 1e-9 then 0 else tanh(sqrt(tx*tx+ty*ty)/(1-na))*tx/sqrt(tx*tx+ty*ty) end sx, case when sqrt(tx*tx+ty*ty) < 1e-9 then 0 else tanh(sqrt(tx*tx+ty*ty)/(1-na))*ty/sqrt(tx*tx+ty*ty) end sy from t),
+ m as (select *, ((1+2*(ax*sx+ay*sy)+sx*sx+sy*sy)*ax+(1-na)*sx)/greatest(1+2*(ax*sx+ay*sy)+na*(sx*sx+sy*sy), 1e-9::double) x, ((1+2*(ax*sx+ay*sy)+sx*sx+sy*sy)*ay+(1-na)*sy)/greatest(1+2*(ax*sx+ay*sy)+na*(sx*sx+sy*sy), 1e-9::double) y from s)"""
+
+
+@query(_LOGX + f" select node_id, round(tx, 5) + 0 as tx, round(ty, 5) + 0 as ty, round(sqrt((cx-bx)*(cx-bx)+(cy-by_)*(cy-by_)), 4) as error from (select *, {clip('x', 'y')[0]} cx, {clip('x', 'y')[1]} cy from m)")
 def log_x_exp_x(spark, d):
-    """Tangent from one point to the next and the point it leads back to (valid positions)."""
-    valid = _pairs(spark, d).where("u.x * u.x + u.y * u.y < 0.98 and v.x * v.x + v.y * v.y < 0.98")
-    there = valid.select("node_id", "u", "v", H.log_x(F.col("u"), F.col("v")).alias("t")).select("node_id", "v", "t", H.exp_x(F.col("u"), F.col("t")).alias("p"))
-    return there.select("node_id", F.round("t.x", 5).alias("tx"), F.round("t.y", 5).alias("ty"), F.round(F.sqrt(H.gap(F.col("p"), F.col("v"))), 6).alias("error"))
+    """Tangent from one point to the next and how far from the next, pulled back to the disk, it leads."""
+    known = _pairs(spark, d).where("u.x is not null and u.y is not null and v.x is not null and v.y is not null")
+    there = known.select("node_id", H.clip(F.col("u")).alias("u"), H.clip(F.col("v")).alias("v"))
+    there = there.select("node_id", "v", "u", H.log_x(F.col("u"), F.col("v")).alias("t")).select("node_id", "v", "t", H.exp_x(F.col("u"), F.col("t")).alias("p"))
+    return there.select("node_id", (F.round("t.x", 5) + 0.0).alias("tx"), (F.round("t.y", 5) + 0.0).alias("ty"), F.round(F.sqrt(H.gap(F.col("p"), F.col("v"))), 4).alias("error"))
 
 
-_MID = _PAIRS + """, q as (select node_id, ax, ay, na, g2, ((1-2*dot+nb)*(-ax)+(1-na)*bx)/greatest(1-2*dot+na*nb, 1e-9::double) qx, ((1-2*dot+nb)*(-ay)+(1-na)*by_)/greatest(1-2*dot+na*nb, 1e-9::double) qy from c3 where na < 0.98 and nb < 0.98),
+MID = """, q as (select node_id, ax, ay, na, g2, ((1-2*dot+nb)*(-ax)+(1-na)*bx)/greatest(1-2*dot+na*nb, 1e-9::double) qx, ((1-2*dot+nb)*(-ay)+(1-na)*by_)/greatest(1-2*dot+na*nb, 1e-9::double) qy from c3 where dot is not null),
  t as (select *, 2/greatest(1-na, 1e-9::double) lam, sqrt(qx*qx+qy*qy) nq from q),
  h as (select node_id, ax, ay, na, g2, case when nq < 1e-9 then 0 else tanh(atanh(least(nq, 0.99999::double))/2)*qx/nq end sx, case when nq < 1e-9 then 0 else tanh(atanh(least(nq, 0.99999::double))/2)*qy/nq end sy from t),
  m as (select node_id, case when sqrt(g2) < 1e-9 or sx*sx+sy*sy = 0 then ax else ((1+2*(ax*sx+ay*sy)+sx*sx+sy*sy)*ax+(1-na)*sx)/(1+2*(ax*sx+ay*sy)+na*(sx*sx+sy*sy)) end x,
   case when sqrt(g2) < 1e-9 or sx*sx+sy*sy = 0 then ay else ((1+2*(ax*sx+ay*sy)+sx*sx+sy*sy)*ay+(1-na)*sy)/(1+2*(ax*sx+ay*sy)+na*(sx*sx+sy*sy)) end y from h)"""
 
 
-@query(_MID + " select node_id, round(x, 4) as px, round(y, 4) as py, round(sqrt(x*x+y*y), 4) as r from m")
+@query(_PAIRS + MID + " select node_id, round(x, 4) as px, round(y, 4) as py, round(sqrt(x*x+y*y), 4) as r from m")
 def geodesic_midpoint(spark, d):
-    valid = _pairs(spark, d).where("u.x * u.x + u.y * u.y < 0.98 and v.x * v.x + v.y * v.y < 0.98")
-    return valid.select("node_id", H.midpoint(F.col("u"), F.col("v")).alias("m")).select("node_id", F.round("m.x", 4).alias("px"), F.round("m.y", 4).alias("py"), F.round(H.norm(F.col("m")), 4).alias("r"))
+    known = _pairs(spark, d).where("u.x is not null and u.y is not null and v.x is not null and v.y is not null")
+    return known.select("node_id", H.midpoint(F.col("u"), F.col("v")).alias("m")).select("node_id", F.round("m.x", 4).alias("px"), F.round("m.y", 4).alias("py"), F.round(H.norm(F.col("m")), 4).alias("r"))
 
 
-_LEGS = _PAIRS + f""", a as (select *, least(sqrt(na), 0.99999::double) r1, least(sqrt(nb), 0.99999::double) r2, abs(atan2(ay, ax) - atan2(by_, bx)) raw from c3 where dot is not null),
+LEGS = f""", a as (select *, least(sqrt(na), 0.99999::double) r1, least(sqrt(nb), 0.99999::double) r2, abs(atan2(ay, ax) - atan2(by_, bx)) raw from c3 where dot is not null),
  b as (select *, abs(2*atanh(r1)-2*atanh(r2)) radial, case when raw > pi() then 2*pi()-raw else raw end ang, least(r1, r2) low from a),
  e as (select *, acosh(greatest(1.0::double, 1 + 2*(low-low*cos(ang))*(low-low*cos(ang))/greatest((1-low*low)*(1-low*low), 1e-9::double) + 2*(low*sin(ang))*(low*sin(ang))/greatest((1-low*low)*(1-low*low), 1e-9::double))) angular from b),
  f as (select node_id, radial, angular, case when radial+angular < 1e-9 then null else radial/(radial+angular) end rs, case when radial+angular < 1e-9 then null else angular/(radial+angular) end "as_", degrees(ang) deg, {_DIST} geo from e)"""
 
 
-@query(_LEGS + ' select node_id, round(radial, 4) as radial, round(angular, 4) as angular, round(rs, 3) as radial_share, round("as_", 3) as angular_share, round(deg, 1) as delta_theta_deg, round(radial+angular, 4) as path_length, round(geo, 4) as geodesic from f')
+@query(_PAIRS + LEGS + ' select node_id, round(radial, 4) as radial, round(angular, 4) as angular, round(rs, 3) as radial_share, round("as_", 3) as angular_share, round(deg, 1) as delta_theta_deg, round(radial+angular, 4) as path_length, round(geo, 4) as geodesic from f')
 def radial_angular_legs(spark, d):
     known = _pairs(spark, d).where("u.x is not null and u.y is not null and v.x is not null and v.y is not null")
     m = known.select("node_id", H.legs(F.col("u"), F.col("v")).alias("m"))
@@ -97,7 +110,7 @@ def radial_angular_legs(spark, d):
     return m.select("node_id", *[F.round(f"m.{c}", n).alias(c) for c, n in digits.items()])
 
 
-@query(_LEGS + """ select node_id, case when rs is null then 'coincident positions' when round(rs,3) >= 0.65::double then 'depth-dominated: same field, different differentiation'
+@query(_PAIRS + LEGS + """ select node_id, case when rs is null then 'coincident positions' when round(rs,3) >= 0.65::double then 'depth-dominated: same field, different differentiation'
  when round("as_",3) >= 0.65::double then 'field-dominated: comparable depth, different semantic field' else 'mixed: separation runs through both depth and field' end as gloss from f""")
 def decomposition_gloss(spark, d):
     known = _pairs(spark, d).where("u.x is not null and u.y is not null and v.x is not null and v.y is not null")
@@ -140,7 +153,10 @@ def mean_pairwise(spark, d):
     return pairs.groupBy("a.level").agg(F.count("*").alias("pairs"), F.round(F.avg(H.dist(F.col("a.p"), F.col("b.p"))), 6).alias("mean_pairwise"))
 
 
-@query()
+_ATTRACTED = recursive(cte("basis", "log")) + ", nm as (select ar, min_by({'x': px, 'y': py}, name) spot from basis where ar is not null group by 1), src as (select log_id as key, nm.spot.x as x, nm.spot.y as y, sim as w from (select log_id, a.ar, a.sim from (select log_id, unnest(top_name_attractors) as a from log)) join nm using (ar)), " + karcher("src")
+
+
+@query(_ATTRACTED + " select key as log_id, round(x, 4) + 0 as px, round(y, 4) + 0 as py from placed")
 def karcher_mean(spark, d):
     """The barycentre of the first five attractors of every logged lookup, weighted by similarity."""
     from .inputs import log
@@ -149,28 +165,47 @@ def karcher_mean(spark, d):
     each = log(spark, d).select("log_id", F.explode("top_name_attractors").alias("a")).select("log_id", "a.ar", "a.sim").join(F.broadcast(b), "ar")
     sets = each.groupBy("log_id").agg(F.sort_array(F.collect_list(F.struct(F.col("sim"), F.col("at.px").alias("px"), F.col("at.py").alias("py"))), asc=False).alias("s"))
     m = sets.select("log_id", G.karcher_mean(F.col("s.px"), F.col("s.py"), F.transform("s.sim", lambda s: F.greatest(s, F.lit(0.0)))).alias("m"))
-    return m.select("log_id", F.round("m.x", 4).alias("px"), F.round("m.y", 4).alias("py"))
+    return m.select("log_id", (F.round("m.x", 4) + 0.0).alias("px"), (F.round("m.y", 4) + 0.0).alias("py"))
 
 
-@query()
+def _measured(group: str) -> str:
+    """Means and statistics of the basis by a column, and the mean pairwise distance of the whole field."""
+    gap = "acosh(greatest(1.0::double, 1+2*((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))/greatest((1-(a.x*a.x+a.y*a.y))*(1-(b.x*b.x+b.y*b.y)), 1e-9::double)))"
+    x, y = clip("px", "py")
+    return recursive(cte("basis")) + f""", src as (select {group} as key, px as x, py as y from basis), {frechet("src")},
+ va as (select key, avg(pow({gap}, 2)) as variance from (select key, {{'x': m.x, 'y': m.y}} as a, unnest(pts) as b from means m) group by key),
+ el as (select {group} as key, name, {x} as x, {y} as y from basis), pw as (select a.key, avg({gap}) as mean_pairwise from el a join el b on a.key is not distinct from b.key and a.name < b.name group by 1), fb as (select avg({gap}) as base from el a join el b on a.name < b.name),
+ st as (select m.key, m.n::int as n, m.x, m.y, variance, sqrt(variance) as dispersion, coalesce(mean_pairwise, 0) as mean_pairwise, coalesce(mean_pairwise, 0)/base as tightness from means m join va on va.key is not distinct from m.key left join pw on pw.key is not distinct from m.key, fb)"""
+
+
+@query(_measured("level") + " select key as level, n, round(x, 4) + 0 as x, round(y, 4) + 0 as y, round(variance, 5) as variance, round(dispersion, 5) as dispersion, round(mean_pairwise, 5) as mean_pairwise, round(tightness, 5) as tightness from st")
 def frechet_statistics(spark, d):
     """Centre, variance, dispersion, mean pairwise distance and tightness of the basis by level."""
     m = G.frechet_statistics(basis(spark, d), "level", field_baseline(spark, d))
-    return m.select("level", "n", *[F.round(c, 5).alias(c) for c in ("x", "y", "variance", "dispersion", "mean_pairwise", "tightness")])
+    return m.select("level", "n", *[(F.round(c, 4) + 0.0).alias(c) for c in ("x", "y")], *[F.round(c, 5).alias(c) for c in ("variance", "dispersion", "mean_pairwise", "tightness")])
 
 
-@query()
+@query(_measured("root") + " select key as root, round(x, 4) + 0 as x, round(y, 4) + 0 as y from st")
 def frechet_mean(spark, d):
     """The intrinsic mean of the basis by root."""
-    return G.frechet_statistics(basis(spark, d), "root").select("root", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"))
+    return G.frechet_statistics(basis(spark, d), "root").select("root", (F.round("x", 4) + 0.0).alias("x"), (F.round("y", 4) + 0.0).alias("y"))
+
+
+def clusters(spark: SparkSession, d: str) -> DataFrame:
+    """(root, n, px, py, r, variance, dispersion, mean_pairwise, field_mean_pairwise, tightness) of the roots of two names or more."""
+    base = field_baseline(spark, d)
+    m = G.frechet_statistics(basis(spark, d), "root", base).where("n >= 2")
+    r = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y"))
+    return m.select("root", "n", (F.round("x", 4) + 0.0).alias("px"), (F.round("y", 4) + 0.0).alias("py"), F.round(r, 4).alias("r"), *[F.round(c, 4).alias(c) for c in ("variance", "dispersion", "mean_pairwise")], F.lit(round(base, 4)).alias("field_mean_pairwise"), F.round("tightness", 3).alias("tightness"))
+
 
+_CLUSTERS = _measured("root") + ", cl as (select key as root, n, round(x, 4) + 0 as px, round(y, 4) + 0 as py, round(sqrt(x*x+y*y), 4) as r, round(variance, 4) as variance, round(dispersion, 4) as dispersion, round(mean_pairwise, 4) as mean_pairwise, round(base, 4) as field_mean_pairwise, round(tightness, 3) as tightness from st, fb where n >= 2)"
 
-@query()
+
+@query(_CLUSTERS + " select * exclude (field_mean_pairwise) from cl")
 def root_cluster_geometry(spark, d):
     """Cluster statistics of the names that share a root, for roots of two names or more."""
-    m = G.frechet_statistics(basis(spark, d), "root", field_baseline(spark, d)).where("n >= 2")
-    r = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y"))
-    return m.select("root", "n", F.round("x", 4).alias("px"), F.round("y", 4).alias("py"), F.round(r, 4).alias("r"), *[F.round(c, 4).alias(c) for c in ("variance", "dispersion", "mean_pairwise")], F.round("tightness", 3).alias("tightness"))
+    return clusters(spark, d).drop("field_mean_pairwise")
 
 
 _KNN = cte("nodes") + """, c as (select node_id, case when n >= 0.99999::double then px*(0.99999::double/n) else px end px, case when n >= 0.99999::double then py*(0.99999::double/n) else py end py from (select *, sqrt(px*px+py*py) n from nodes where px is not null and py is not null)),"""

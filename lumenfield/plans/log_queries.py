@@ -5,17 +5,22 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import hyperbolic as H
+from ..functions import letters as L
+from ..functions import morphology as M
 from ..functions import text as T
 from ..operators import geometry as G
 from ..operators import hygiene as Y
 from ..operators import lookup as Q
 from ..session import table
-from .geometry_queries import field_baseline
+from .geometry_queries import LEGS, MID, clusters, pair_sql
+from .geometry_queries import _CLUSTERS as CLUSTERS
 from .inputs import basis, cte, log, nodes
+from .recursive import karcher, recursive
 from .registry import query
+from .text_queries import _letters, _pattern_sql, _re, _sum
 
 _REC = cte("log") + """, keyed as (select *, coalesce(term_undiacritized, regexp_replace(term_ar, '[\\x{064B}-\\x{065F}\\x{0670}\\x{0640}]', '', 'g')) as key from log),
- rec as (select log_id, key, term_ar, estimated_position.px as px, estimated_position.py as py, estimated_position.r as r, estimated_position.level_label as level_label, list_transform(top_name_attractors, lambda x: x.ar) as attractors, list_transform(bottom_names, lambda x: x.ar) as bottoms from (select *, row_number() over (partition by key order by log_id) n from keyed where key is not null) where n = 1)"""
+ rec as (select log_id, key, term_ar, estimated_position.px as px, estimated_position.py as py, estimated_position.r as r, estimated_position.level_label as level_label, abjad_value, poincare_dist_to_primary, list_transform(top_name_attractors, lambda x: x.ar) as attractors, list_transform(bottom_names, lambda x: x.ar) as bottoms from (select *, row_number() over (partition by key order by log_id) n from keyed where key is not null) where n = 1)"""
 
 
 def _d(a: str, b: str, rule: str = "clamped") -> str:
@@ -53,30 +58,59 @@ def semantic_neighbors(spark, d):
     return _near(spark, d, 10, 0.1, 0.95, 3)
 
 
-@query(_near_sql(5, 0.15, 0.92, 2))
+_BARE = r"[\x{064B}-\x{065F}\x{0670}\x{0640}]"
+_WAZN = "case s.status when 'parsed' then cand[1] when 'ambiguous_vocalization' then array_to_string(best, ' / ') when 'ambiguous_structure' then array_to_string(cand[1:4], ' / ') end"
+
+
+def _breakdown_sql(text: str) -> str:
+    keys, values = ", ".join(repr(k) for k in L.ABJAD), ", ".join(str(v) for v in L.ABJAD.values())
+    return f"array_to_string(list_transform(list_filter({_letters(text)}, lambda x: list_contains([{keys}], x)), lambda x: x || '=' || list_extract([{values}], list_position([{keys}], x))::varchar), ' + ') || ' = ' || {_sum(text, L.ABJAD)}::varchar"
+
+
+_PROFILE = _near_sql(5, 0.15, 0.92, 2)
+
+
+@query(_pattern_sql("rec", _PROFILE[: _PROFILE.rindex(" select log_id, id")]).replace(" k as (select *, row_number", " kn as (select *, row_number", 1) + f""", bare as (select log_id, {_re('term_ar', _BARE)} as b from rec) select n.log_id, n.id, n.rn::int as rank, round(n.dist, 4) as distance, n.attractors[1:2] as neighbour_attractors, r.key as term_clean, {_sum('b', L.ABJAD)} as value, {_breakdown_sql('b')} as breakdown,
+ round(r.px, 4) + 0 as px, round(r.py, 4) + 0 as py, round(r.r, 4) as r, r.level_label as tier, {_WAZN} as query_wazn, s.status as query_wazn_status, round(r.poincare_dist_to_primary, 4) as dist_to_primary, r.attractors as attractors, r.bottoms as repelled
+ from kn n join rec r using (log_id) join bare using (log_id) left join s using (log_id) where n.rn <= 5""")
 def full_profile(spark, d):
-    """The neighbours a full profile shows: five, in a narrower band."""
-    return _near(spark, d, 5, 0.15, 0.92, 2)
+    """The whole profile of every term asked for: letters, pattern, place, attractors, repelled names, and its five neighbours in a narrower band, a row each."""
+    near = _near(spark, d, 5, 0.15, 0.92, 2).withColumnRenamed("attractors", "neighbour_attractors")
+    rec = Q.log_records(log(spark, d), "poincare_dist_to_primary").where("term_ar is not null")
+    own = rec.withColumns({"letters": Q.letters_of(F.col("term_ar")), "own": M.parse_pattern(F.col("term_ar"))})
+    own = own.select("log_id", F.col("key").alias("term_clean"), "letters.value", "letters.breakdown", *[(F.round(c, 4) + 0.0).alias(c) for c in ("px", "py")], F.round("r", 4).alias("r"), F.col("level_label").alias("tier"), "own.query_wazn", "own.query_wazn_status", F.round("poincare_dist_to_primary", 4).alias("dist_to_primary"), "attractors", F.col("bottoms").alias("repelled"))
+    return near.join(own, "log_id")
 
 
-_CMP = _REC + ", p as (select a.log_id as log_id, a, b from rec a join rec b on b.log_id = a.log_id + 1)"
+_CMP = pair_sql(_REC, "select a.log_id as node_id, a.px ux, a.py uy, b.px vx, b.py vy from rec a join rec b on b.log_id = a.log_id + 1") + MID + LEGS + """, p as (select a.log_id as log_id, a, b from rec a join rec b on b.log_id = a.log_id + 1),
+ mr as (select node_id, round(x, 4) + 0 as px, round(y, 4) + 0 as py, round(sqrt(x*x+y*y), 4) as r from m where x is not null)"""
+_NEAREST = _d("mr", "o")
 
 
-@query(_CMP + f""" select log_id, list_sort(list_distinct(list_filter(a.attractors, lambda x: list_contains(b.attractors, x)))) as shared, list_sort(list_distinct(list_filter(a.attractors, lambda x: not list_contains(b.attractors, x)))) as only_1,
- list_sort(list_distinct(list_filter(b.attractors, lambda x: not list_contains(a.attractors, x)))) as only_2, list_sort(list_distinct(list_concat(list_filter(a.attractors, lambda x: list_contains(b.bottoms, x)), list_filter(b.attractors, lambda x: list_contains(a.bottoms, x))))) as opposing,
- round(sqrt((a.px-b.px)*(a.px-b.px)+(a.py-b.py)*(a.py-b.py)), 4) as distance_euclidean, round({_d('a', 'b')}, 4) as distance_hyperbolic, case when sqrt((a.px-b.px)*(a.px-b.px)+(a.py-b.py)*(a.py-b.py)) > 1e-6 then round({_d('a', 'b')}/sqrt((a.px-b.px)*(a.px-b.px)+(a.py-b.py)*(a.py-b.py)), 3) end as hierarchy_load from p""")
+@query(_CMP + ", basis as (" + cte("basis").removeprefix("with basis as (").rstrip()[:-1] + f""" ), nn as (select node_id, list(name order by rn) as near from (select mr.node_id, o.name, row_number() over (partition by mr.node_id order by round({_NEAREST}, 9), o.name) rn from mr, basis o) where rn <= 3 group by 1)
+ select log_id, list_sort(list_distinct(list_filter(p.a.attractors, lambda x: list_contains(p.b.attractors, x)))) as shared, list_sort(list_distinct(list_filter(p.a.attractors, lambda x: not list_contains(p.b.attractors, x)))) as only_1,
+ list_sort(list_distinct(list_filter(p.b.attractors, lambda x: not list_contains(p.a.attractors, x)))) as only_2, list_sort(list_distinct(list_concat(list_filter(p.a.attractors, lambda x: list_contains(p.b.bottoms, x)), list_filter(p.b.attractors, lambda x: list_contains(p.a.bottoms, x))))) as opposing,
+ round(sqrt((p.a.px-p.b.px)*(p.a.px-p.b.px)+(p.a.py-p.b.py)*(p.a.py-p.b.py)), 4) as distance_euclidean, round({_d('p.a', 'p.b')}, 4) as distance_hyperbolic, case when sqrt((p.a.px-p.b.px)*(p.a.px-p.b.px)+(p.a.py-p.b.py)*(p.a.py-p.b.py)) > 1e-6 then round({_d('p.a', 'p.b')}/sqrt((p.a.px-p.b.px)*(p.a.px-p.b.px)+(p.a.py-p.b.py)*(p.a.py-p.b.py)), 3) end as hierarchy_load,
+ mr.px as mid_px, mr.py as mid_py, mr.r as mid_r, nn.near as nearest_names, round(radial, 4) as radial, round(angular, 4) as angular, round(rs, 3) as radial_share, round("as_", 3) as angular_share from p left join mr on mr.node_id = p.log_id left join nn on nn.node_id = p.log_id left join f on f.node_id = p.log_id""")
 def compare_terms(spark, d):
-    """Consecutive records compared."""
+    """Consecutive records compared: attractors, distances, the midpoint with its three nearest names, the path by radius and angle."""
     rec = Q.log_records(log(spark, d)).select("log_id", F.struct("attractors", "bottoms", "px", "py").alias("a"))
     pair = rec.join(rec.select((F.col("log_id") - 1).alias("log_id"), F.col("a").alias("b")), "log_id")
-    return pair.select("log_id", Q.compared(F.col("a"), F.col("b")).alias("c")).select("log_id", "c.*")
+    u, v = H.point("a.px", "a.py"), H.point("b.px", "b.py")
+    known = F.col("a.px").isNotNull() & F.col("a.py").isNotNull() & F.col("b.px").isNotNull() & F.col("b.py").isNotNull()
+    wide = pair.select("log_id", Q.compared(F.col("a"), F.col("b")).alias("c"), F.when(known, H.midpoint(u, v)).alias("m"), F.when(known, H.legs(u, v)).alias("l"))
+    wide = wide.select("log_id", "c.*", (F.round("m.x", 4) + 0.0).alias("mid_px"), (F.round("m.y", 4) + 0.0).alias("mid_py"), F.round(H.norm(F.col("m")), 4).alias("mid_r"), F.round("l.radial", 4).alias("radial"), F.round("l.angular", 4).alias("angular"), F.round("l.radial_share", 3).alias("radial_share"), F.round("l.angular_share", 3).alias("angular_share"))
+    middle = wide.where("mid_px is not null").select(F.col("log_id").alias("target"), F.col("mid_px").alias("x"), F.col("mid_py").alias("y"))
+    names = basis(spark, d).select(F.col("name").alias("id"), "px", "py").coalesce(1)
+    near = G.nearest(names, middle, 3, same=True, clamped=True).groupBy(F.col("target").alias("log_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda n: n["id"]).alias("nearest_names"))
+    return wide.join(near, "log_id", "left")
 
 
-@query()
+@query(recursive(_REC) + ", src as (select level_label as key, px as x, py as y, greatest(r, 0.001::double) as w from rec where px is not null and py is not null), " + karcher("src") + " select key as level_label, round(x, 4) + 0 as px, round(y, 4) + 0 as py from placed")
 def context_centroid(spark, d):
     """The barycentre of the records of each level, weighted by radius (at least 0.001)."""
     rec = Q.log_records(log(spark, d)).where("px is not null and py is not null")
-    return G.grouped_karcher(rec.select(F.col("level_label").alias("g"), "px", "py", F.greatest("r", F.lit(1e-3)).alias("w")), "g").select(F.col("g").alias("level_label"), F.round("x", 4).alias("px"), F.round("y", 4).alias("py"))
+    return G.grouped_karcher(rec.select(F.col("level_label").alias("g"), "px", "py", F.greatest("r", F.lit(1e-3)).alias("w")), "g").select(F.col("g").alias("level_label"), (F.round("x", 4) + 0.0).alias("px"), (F.round("y", 4) + 0.0).alias("py"))
 
 
 @query(_REC + f" select a.log_id, round(1/(1+{_d('a', 'o')}), 4) as fit from rec a, (select 0.1::double as px, 0.2::double as py) o where a.px is not null")
@@ -86,33 +120,75 @@ def geometric_fit(spark, d):
     return rec.select("log_id", F.round(1 / (1 + H.dist_clamped(H.point("px", "py"), H.point(0.1, 0.2))), 4).alias("fit"))
 
 
-@query()
-def semantic_project(spark, d):
-    """Records as candidates of the concept of their level, ranked by fit with the barycentre of the basis."""
-    rec = Q.log_records(log(spark, d)).select(F.col("level_label").alias("concept"), F.col("key").alias("form"), "px", "py")
+_BASIS = cte("basis").removeprefix("with ")
+_PROJECT = recursive(_REC) + ", " + _BASIS + ", src as (select 1 as key, px as x, py as y, greatest(sqrt(px*px+py*py), 0.001::double) as w from basis), " + karcher("src") + f""", ft as (select a.log_id, a.level_label as concept, a.key as form, a.term_ar, a.attractors, round(1/(1+{_d('a', 'o')}), 4) as fit from rec a, (select x as px, y as py from placed) o),
+ pj as (select *, row_number() over (partition by concept order by fit desc nulls last, form)::int as rank from ft)"""
+
+
+def _projected(spark, d):
+    rec = Q.log_records(log(spark, d)).select("log_id", F.col("level_label").alias("concept"), F.col("key").alias("form"), "term_ar", "attractors", "px", "py")
     context = basis(spark, d).select("px", "py", F.sqrt(F.col("px") * F.col("px") + F.col("py") * F.col("py")).alias("r"))
     return Q.projected(rec, context)
 
 
-@query(cte("basis") + ", f as (select *, sum(1) over (partition by root) n from basis) select root, name, n::int as names, round(px, 4) as px, round(py, 4) as py, level from f")
+@query(_PROJECT + " select concept, form, fit, rank from pj")
+def semantic_project(spark, d):
+    """Records as candidates of the concept of their level, ranked by fit with the barycentre of the basis."""
+    return _projected(spark, d)[0].select("concept", "form", "fit", "rank")
+
+
+_BEST = _pattern_sql("one", _PROJECT + ", one as (select * from pj where rank = 1)")
+
+
+@query(_BEST + f""" select one.concept, one.form as recommended, one.fit, {_WAZN} as query_wazn, one.attractors[1] as primary_attractor, round(c.x, 3) + 0 as centre_px, round(c.y, 3) + 0 as centre_py, round(sqrt(c.x*c.x+c.y*c.y), 4) as centre_r,
+ coalesce(one.term_ar, '') || ' scores highest (fit=' || one.fit::varchar || ') — tier: ' || coalesce(one.concept, '') || ', dominant wazn: ' || coalesce({_WAZN}, '?') || ', primary axis: ' || coalesce(one.attractors[1], '—') as justification from one left join s using (log_id), placed c""")
+def semantic_recommend(spark, d):
+    """The recommended form of every concept with its justification and the centre of the context."""
+    ranked, centre = _projected(spark, d)
+    if centre is None:
+        centre = (0.0, 0.0)
+    best = ranked.where("rank = 1").withColumn("query_wazn", F.when(F.col("term_ar").isNotNull(), M.parse_pattern(F.col("term_ar"))["query_wazn"])).withColumn("primary_attractor", F.get("attractors", F.lit(0)))
+    text = F.concat(F.coalesce("term_ar", F.lit("")), F.lit(" scores highest (fit="), F.col("fit").cast("string"), F.lit(") — tier: "), F.coalesce("concept", F.lit("")), F.lit(", dominant wazn: "), F.coalesce("query_wazn", F.lit("?")), F.lit(", primary axis: "), F.coalesce("primary_attractor", F.lit("—")))
+    x, y = centre
+    return best.select("concept", F.col("form").alias("recommended"), "fit", "query_wazn", "primary_attractor", F.lit(round(x, 3) + 0.0).alias("centre_px"), F.lit(round(y, 3) + 0.0).alias("centre_py"), F.lit(round((x * x + y * y) ** 0.5, 4)).alias("centre_r"), text.alias("justification"))
+
+
+_ANALYSIS = CLUSTERS + ", " + _REC.removeprefix("with ") + f""", nm as (select b.*, regexp_replace({_re('b.ar', _BARE)}, '^ال', '') as free, count(*) over (partition by b.root)::int as names from basis b), sv as (select key, any_value(abjad_value) as stored from rec group by 1)
+ select nm.root, nm.name, nm.names, round(nm.px, 4) + 0 as px, round(nm.py, 4) + 0 as py, nm.level, case least(nm.level, 2) when 0 then 'Dhāt' when 1 then 'Ṣifāt' else 'Afʿāl' end as tier, case when nm.ar is not null then {_sum('free', L.ABJAD)} end as value, {_breakdown_sql('free')} as breakdown, sv.stored, sv.stored is not null and sv.stored <> {_sum('free', L.ABJAD)} as flagged,
+ cl.px as cluster_px, cl.py as cluster_py, cl.variance, cl.dispersion, cl.mean_pairwise, cl.field_mean_pairwise, cl.tightness, case when cl.root is not null then case when cl.tightness < 1 then 'tighter than the field at large' else 'no tighter than the field at large' end end as reading
+ from nm left join cl using (root) left join sv on sv.key = {_re('nm.ar', _BARE)}"""
+
+
+@query(_ANALYSIS)
 def root_analysis(spark, d):
-    """The names of every root with how many share it."""
+    """The names of every root: value without the article against the value stored for such a term in the log, and the geometry of the root's names."""
     from pyspark.sql import Window as W
 
-    b = basis(spark, d)
-    return b.select("root", "name", F.count("*").over(W.partitionBy("root")).cast("int").alias("names"), F.round("px", 4).alias("px"), F.round("py", 4).alias("py"), "level")
+    b = basis(spark, d).withColumn("free", F.regexp_replace(T.strip_diac("ar"), "^ال", "")).withColumn("plain", T.strip_diac("ar"))
+    b = b.withColumn("names", F.count("*").over(W.partitionBy("root")).cast("int")).withColumn("letters", Q.letters_of(F.col("free")))
+    stored = Q.log_records(log(spark, d), "abjad_value").select(F.col("key").alias("plain"), F.col("abjad_value").alias("stored"))
+    c = clusters(spark, d).drop("n", "r").withColumnsRenamed({"px": "cluster_px", "py": "cluster_py"})
+    wide = b.join(stored, "plain", "left").join(F.broadcast(c), "root", "left")  # roots of the 99 names
+    flagged = F.coalesce(F.col("stored") != F.col("letters.value"), F.lit(False))
+    reading = F.when(F.col("tightness") < 1, "tighter than the field at large").when(F.col("variance").isNotNull(), "no tighter than the field at large")
+    return wide.select("root", "name", "names", *[(F.round(x, 4) + 0.0).alias(x) for x in ("px", "py")], "level", H.tier_label(F.col("level")).alias("tier"), "letters.value", "letters.breakdown", "stored", flagged.alias("flagged"), "cluster_px", "cluster_py", "variance", "dispersion", "mean_pairwise", "field_mean_pairwise", "tightness", reading.alias("reading"))
 
 
-@query()
+_DIAG = pair_sql(_REC, "select a.log_id as node_id, a.px ux, a.py uy, b.px vx, b.py vy from rec a join rec b on b.log_id = a.log_id + 1") + MID + LEGS + ", " + _BASIS
+_HD = "acosh(greatest(1.0::double, 1+2*((m.x-o.px)*(m.x-o.px)+(m.y-o.py)*(m.y-o.py))/greatest((1-(m.x*m.x+m.y*m.y))*(1-(o.px*o.px+o.py*o.py)), 1e-9::double)))"
+
+
+@query(_DIAG + f""", ob as (select name, case when sqrt(px*px+py*py) >= 0.99999::double then px*(0.99999::double/sqrt(px*px+py*py)) else px end as px, case when sqrt(px*px+py*py) >= 0.99999::double then py*(0.99999::double/sqrt(px*px+py*py)) else py end as py from basis), nn as (select node_id, list(name order by rn) as near from (select m.node_id, o.name, row_number() over (partition by m.node_id order by round({_HD}, 6), o.name) rn from m, ob o where m.x is not null) where rn <= 3 group by 1)
+ select node_id as log_id, round(geo, 4) as distance, round(radial, 4) as radial, round(angular, 4) as angular, round(rs, 3) as radial_share, round(m.x, 4) + 0 as mid_x, round(m.y, 4) + 0 as mid_y, nn.near as nearest from f join m using (node_id) join nn using (node_id)""")
 def geometry_diagnostics(spark, d):
-    """Consecutive records: distance, legs, shares, midpoint, and the three names nearest to the midpoint."""
-    rec = Q.log_records(log(spark, d)).where("px * px + py * py < 0.98").select("log_id", H.point("px", "py").alias("u"))
+    """Consecutive records: distance, legs, shares, midpoint, and the three names nearest to the midpoint; positions outside are pulled back to the disk."""
+    rec = Q.log_records(log(spark, d)).where("px is not null and py is not null").select("log_id", H.point("px", "py").alias("u"))
     pair = rec.join(rec.select((F.col("log_id") - 1).alias("log_id"), F.col("u").alias("v")), "log_id")
     rows = basis(spark, d).select("name", "px", "py").orderBy("name").collect()  # 99 rows
     names = F.array(*[F.struct(F.lit(r.name).alias("name"), F.lit(float(r.px)).alias("x"), F.lit(float(r.py)).alias("y")) for r in rows])
     m = pair.select("log_id", H.legs(F.col("u"), F.col("v")).alias("l"), H.midpoint(F.col("u"), F.col("v")).alias("m"))
-    near = F.slice(F.array_sort(F.transform(names, lambda n: F.struct(F.round(H.dist(F.col("m"), n), 9).alias("d"), n["name"].alias("name")))), 1, 3)
-    return m.select("log_id", F.round("l.geodesic", 4).alias("distance"), F.round("l.radial", 4).alias("radial"), F.round("l.angular", 4).alias("angular"), F.round("l.radial_share", 3).alias("radial_share"), F.round("m.x", 4).alias("mid_x"), F.round("m.y", 4).alias("mid_y"), near["name"].alias("nearest"))
+    near = F.slice(F.array_sort(F.transform(names, lambda n: F.struct(F.round(H.dist(F.col("m"), n), 6).alias("d"), n["name"].alias("name")))), 1, 3)
+    return m.select("log_id", F.round("l.geodesic", 4).alias("distance"), F.round("l.radial", 4).alias("radial"), F.round("l.angular", 4).alias("angular"), F.round("l.radial_share", 3).alias("radial_share"), (F.round("m.x", 4) + 0.0).alias("mid_x"), (F.round("m.y", 4) + 0.0).alias("mid_y"), near["name"].alias("nearest"))
 
 
 @query(cte("nodes", "log") + " select (select count(*) from nodes) as nodes, (select count(*) from log) as records, (select count(*) from nodes where node_id < 99) as names")
@@ -172,6 +248,21 @@ def validate_basis(spark, d):
     return Y.contract(basis(spark, d), 99, ["name", "ar", "px", "py", "level", "root", "vec"], "name", "level")
 
 
+@query(cte("basis") + " select upper(sha256(string_agg(name || chr(9) || coalesce(ar, '') || chr(9) || level || chr(9) || coalesce(root, -1), chr(10) order by name))) as digest, count(*) as n from basis")
+def basis_digest(spark, d):
+    """The SHA-256 of the basis in a fixed text form, to be held against a published one."""
+    line = F.concat_ws("\t", F.col("name").cast("string"), F.coalesce("ar", F.lit("")), F.col("level").cast("string"), F.coalesce(F.col("root").cast("string"), F.lit("-1")))
+    rows = basis(spark, d).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", line.alias("line")))), lambda r: r["line"]), "\n").alias("text"), F.count("*").alias("n"))  # 99 rows
+    return rows.select(F.upper(F.sha2("text", 256)).alias("digest"), "n")
+
+
+@query("with a as (select distinct word_i as word from pairs where word_i is not null), b as (select form as word from lexicon), l as (select word, 'left' as side from (select word from a except all select word from b)), r as (select word, 'right' as side from (select word from b except all select word from a)) select side, count(*) as n, min(word) as first from (select * from l union all select * from r) group by 1")
+def full_mismatch(spark, d):
+    """What the words of the pairs lack of the lexicon's forms, and the other way round."""
+    words = table(spark, d, "pairs").select(F.col("word_i").alias("word")).where("word is not null").distinct()
+    return Y.mismatches(words, table(spark, d, "lexicon").select(F.col("form").alias("word"))).groupBy("side").agg(F.count("*").alias("n"), F.min("word").alias("first"))
+
+
 @query(cte("log", "nodes") + " select ar, count(*) as n, 'left' as side from (select distinct unnest(list_transform(top_name_attractors, lambda x: x.ar)) as ar from log) where ar not in (select ar from nodes where ar is not null) group by 1")
 def unknown_attractors(spark, d):
     """Attractors that no node is named by: an anti join."""

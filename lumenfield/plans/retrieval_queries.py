@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import letters as L
+from ..functions import morphology as M
 from ..functions import text as T
 from ..operators import retrieval as R
 from ..session import table
 from .inputs import cte, documents, passages
 from .registry import query
-from .text_queries import _clean_arabic, _sum
+from .text_queries import _clean_arabic, _root_sql, _sum
 
 
 def _corpus(spark, d):
@@ -72,20 +73,48 @@ def lexical_score(spark, d):
     return both.select("query", "id", F.round(R.lexical_score(T.tokenize("asked"), T.tokenize("text")), 6).alias("share"))
 
 
-@query()
+def _found(spark, d):
+    return R.explained(R.tfidf(_corpus(spark, d), _asked(spark, d)).where("score > 0"), _corpus(spark, d), _asked(spark, d))
+
+
+def _explained_sql() -> str:
+    """The results of the items with shared tokens, root hits and value links."""
+    hit = _TF + f""", best as (select tk.query, tk.id, tk.rn::int as rank, round(tk.score, 6) as score, {_tok('e.text')} as q, {_tok('p.text')} as t, p.text from tk join eval_items e on e.item_id = tk.query join (select id, text from psg) p using (id) where rn <= 5 and tk.score > 0),
+ roots as ({_root_sql('select distinct unnest(q) as word from best union select distinct unnest(t) from best', M.ROOTS_PASSAGES)}),
+ qr as (select distinct query, id, root from (select query, id, unnest(q) as word from best) join roots using (word) where root <> ''),
+ hr as (select query, id, word || ':' || root as hit, row_number() over (partition by query, id order by word) n from (select distinct query, id, unnest(t) as word from best) join roots using (word) join qr using (query, id, root)),
+ hs as (select query, id, list(hit order by n) as hits from hr where n <= 12 group by 1, 2),
+ v as (select token, {_sum('token', L.ABJAD)} as v from (select distinct unnest(q) as token from best union select distinct unnest(t) from best)),
+ qe as (select query, id, unnest(q) token, unnest(range(len(q))) qp from best), pe as (select query, id, token, min(pp) pp from (select query, id, unnest(t) token, unnest(range(len(t))) pp from best) group by 1, 2, 3),
+ j as (select qe.query, qe.id, qe.qp, qe.token as qt, a.v as qv, pe.token as pt, b.v as pv, abs(a.v-b.v) delta, row_number() over (partition by qe.query, qe.id, qe.qp order by abs(a.v-b.v), pe.pp) rn from qe join v a on a.token = qe.token join pe on pe.query = qe.query and pe.id = qe.id join v b on b.token = pe.token where a.v <> 0),
+ lk as (select query, id, qt, qv, pt, pv, delta, row_number() over (partition by query, id order by delta, qp) n from j where rn = 1), ls as (select query, id, count(*) as links, string_agg('- ' || qt || '(' || qv || ') -> ' || pt || '(' || pv || '), delta=' || delta, chr(10) order by n) as lines from lk where n <= 8 group by 1, 2),
+ ex as (select best.*, list_sort(list_distinct(list_filter(q, lambda x: list_contains(t, x)))) as overlap, coalesce(hits, []) as hits, coalesce(links, 0)::int as links, coalesce(lines, '') as lines from best left join hs using (query, id) left join ls using (query, id))"""
+    return hit
+
+
+@query(_explained_sql() + " select query, id, rank, score, overlap as token_overlap, hits as shared_root_hits, links from ex")
 def rag_query(spark, d):
-    """The five best passages of every item with their explanations."""
-    found = R.tfidf(_corpus(spark, d), _asked(spark, d)).where("score > 0")
-    e = R.explained(found, _corpus(spark, d), _asked(spark, d))
-    return e.select("query", "id", "rank", "score", "token_overlap", "shared_root_hits", F.size("links").alias("links"))
+    """The five best passages of every item with their explanations; a root hit is written token:root."""
+    hits = F.transform("shared_root_hits", lambda h: F.concat_ws(":", h["token"], h["root"]))
+    return _found(spark, d).select("query", "id", "rank", "score", "token_overlap", hits.alias("shared_root_hits"), F.size("links").alias("links"))
 
 
-@query()
+@query(_explained_sql() + """ select query, '# ' || query || chr(10) || chr(10) || string_agg('## ' || rank || '. ' || id || chr(10) || chr(10) || 'Token overlap: ' || case when len(overlap) = 0 then 'none' else array_to_string(overlap, ', ') end || chr(10) || chr(10) || 'Shared root hits: ' || case when len(hits) = 0 then 'none' else array_to_string(hits, ', ') end || chr(10) || chr(10) || 'Nearest value links:' || chr(10) || lines || chr(10) || chr(10) || text || chr(10), chr(10) order by rank) as report from ex group by query""")
+def rag_report(spark, d):
+    """The results of every item as a Markdown report."""
+    return R.reported(_found(spark, d))
+
+
+@query(_BM + f""", one as (select b.query, b.id, {_tok('e.text')} as q, p.toks as t from bm b join eval_items e on e.item_id = b.query join p using (id) where rn = 1),
+ v as (select token, {_sum('token', L.ABJAD)} as v from (select distinct unnest(q) as token from one union select distinct unnest(t) from one)),
+ qe as (select query, id, unnest(q) token, unnest(range(len(q))) qp from one), pe as (select query, id, unnest(t) token, unnest(range(len(t))) pp from one),
+ j as (select qe.query, qe.id, qe.qp, qe.token as qt, a.v as qv, pe.token as pt, b.v as pv, abs(a.v-b.v) delta, row_number() over (partition by qe.query, qe.qp order by abs(a.v-b.v), pe.pp) rn from qe join v a on a.token = qe.token join pe on pe.query = qe.query join v b on b.token = pe.token where a.v <> 0),
+ k as (select *, row_number() over (partition by query order by delta, qp) r8 from j where rn = 1) select query, id, qt as query_token, qv as query_value, pt as passage_token, pv as passage_value, delta from k where r8 <= 8""")
 def explain_passage(spark, d):
-    """Value links of the best passage of every item."""
+    """Value links of the best passage of every item; shared tokens and roots are in ``rag_query``."""
     found = R.bm25(_corpus(spark, d), _asked(spark, d), 1)
     e = R.explained(found, _corpus(spark, d), _asked(spark, d))
-    return e.select("query", "id", F.explode("links").alias("l")).select("query", "id", "l.query_token", "l.query_value", "l.passage_token", "l.passage_value", "l.delta")
+    return e.select("query", "id", F.explode("links").alias("l")).select("query", "id", "l.query_token", F.col("l.query_value").cast("long").alias("query_value"), "l.passage_token", F.col("l.passage_value").cast("long").alias("passage_value"), F.col("l.delta").cast("long").alias("delta"))
 
 
 @query(_BM + f""", one as (select b.query, b.id, {_tok('e.text')} as q, p.toks as t from bm b join eval_items e on e.item_id = b.query join p using (id) where rn = 1),

@@ -72,6 +72,18 @@ def partial_spearman(spark, d):
     return r.select(F.round("rho", 5).alias("rho"), "n", F.round("p", 5).alias("p"), "error")
 
 
+_PARTIAL = cte("pairs") + ", " + _LIFT + """, k as (select value_distance::double t, mean_attention o, pos_distance::double x, coalesce(lift, 0) y from prs left join lf on w1 = least(word_i, word_j) and w2 = greatest(word_i, word_j) where root_relation = 'different' and value_distance is not null and mean_attention is not null and pos_distance is not null),
+ cv as (select covar_pop(x, x) xx, covar_pop(x, y) xy, covar_pop(y, y) yy, covar_pop(t, x) tx, covar_pop(t, y) ty, covar_pop(o, x) ox, covar_pop(o, y) oy, avg(t) mt, avg(o) mo, avg(x) mx, avg(y) my from k),
+ bs as (select *, (tx*yy-ty*xy)/(xx*yy-xy*xy) b1, (ty*xx-tx*xy)/(xx*yy-xy*xy) b2, (ox*yy-oy*xy)/(xx*yy-xy*xy) c1, (oy*xx-ox*xy)/(xx*yy-xy*xy) c2 from cv), z as (select round(t-mt-b1*(x-mx)-b2*(y-my), 12) a, round(o-mo-c1*(x-mx)-c2*(y-my), 12) b from k, bs),
+ r as (select rank() over (order by a) + (count(*) over (partition by a) - 1)/2.0::double ra, rank() over (order by b) + (count(*) over (partition by b) - 1)/2.0::double rb from z), pr2 as (select corr(ra, rb) c, count(*) n from r)"""
+
+
+@query(_PARTIAL + " select round(c, 4) as rho, n from pr2")
+def partial_rho(spark, d):
+    """The same, to the digits that two ways of solving agree on."""
+    return _observed_frame(spark, d).select(F.round("rho", 4).alias("rho"), "n")
+
+
 @query(cte("pairs") + """, k as (select value_distance::double t, mean_attention o, pos_distance::double x from prs where root_relation = 'same' and value_distance is not null and mean_attention is not null and pos_distance is not null),
  f as (select regr_slope(t, x) bt, regr_intercept(t, x) at_, regr_slope(o, x) bo, regr_intercept(o, x) ao from k), z as (select round(t-at_-bt*x, 12) a, round(o-ao-bo*x, 12) b from k, f),
  r as (select rank() over (order by a) + (count(*) over (partition by a) - 1)/2.0::double ra, rank() over (order by b) + (count(*) over (partition by b) - 1)/2.0::double rb from z) select round(corr(ra, rb), 4) as rho, count(*) as n from r""")
@@ -101,6 +113,10 @@ def _controlled(spark, d) -> DataFrame:
     return written(S.with_lift(_cross(spark, d), _lift(spark, d)).select("word_i", "word_j", "value_distance", "mean_attention", *CONTROLS), "controlled-pairs")
 
 
+def _observed_frame(spark, d) -> DataFrame:
+    return S.partial_spearman(_controlled(spark, d), "value_distance", "mean_attention", CONTROLS)
+
+
 def _observed(known: DataFrame):
     return S.partial_spearman(known, "value_distance", "mean_attention", CONTROLS).first()
 
@@ -162,7 +178,7 @@ def verdict(spark, d):
     return spark.createDataFrame([(r.rho, S.spearman_p(r.rho, r.n), r.n)], "rho double, p double, n long").select(S.verdict(F.col("rho"), F.col("p")).alias("verdict"), "n")
 
 
-@query()
+@query(_PARTIAL + " select case when c is null then 'insufficient' when abs(c)*sqrt(n) >= 1.96 and c < 0 then 'positive' when abs(c)*sqrt(n) >= 1.96 and c > 0 then 'falsifying' else 'null' end as verdict, n from pr2")
 def verdict_partial(spark, d):
     """The verdict on the partial correlation, as the reference gives it; ``verdict`` is that of the raw one."""
     r = _observed(_controlled(spark, d))
@@ -193,32 +209,45 @@ def intra_family_sims(spark, d):
     return s.select("family", "pairs", *[F.round(c, 6).alias(c) for c in ("mean", "std", "min", "max")])
 
 
-def _crossed(spark, d) -> DataFrame:
-    """Cosines of seeded draws from two families."""
-    from pyspark.sql import Window as W
+_HASH = lambda text: f"('0x' || substr(md5({text}), 1, 8))::bigint"
+#: The normal tail by a rational approximation, exact to seven digits.
+_TAIL = "case when z >= 0 then 0.5::double*e else 1 - 0.5::double*e end"
 
-    placed = written(_vectors(spark, d).withColumn("place", F.row_number().over(W.partitionBy("family").orderBy("vec_id")) - 1).select("family", "place", "vec"), "placed")
-    sizes = {r.family: r.n for r in placed.groupBy("family").agg(F.count("*").alias("n")).collect()}  # a row per family
-    drawn = spark.createDataFrame(S.draw_pairs(sizes, 1000), "fa int, pa int, fb int, pb int")
-    one = lambda f, p, v: placed.select(F.col("family").alias(f), F.col("place").alias(p), F.col("vec").alias(v))
-    return drawn.join(one("fa", "pa", "a"), ["fa", "pa"]).join(one("fb", "pb", "b"), ["fb", "pb"]).select("fa", "pa", "fb", "pb", E.cosine(F.col("a"), F.col("b")).alias("sim"))
 
+def _density_sql(where: str = "true", tag: str = "") -> str:
+    """Expressions that end in ``ds{tag}``: the density summary of the vectors that fulfil a condition."""
+    t = tag
+    return f"""v{t} as (select *, row_number() over (order by label, vec_id) - 1 as g from v where {where}), fs{t} as (select label, min(g) as start, count(*) as n, row_number() over (order by label) - 1 as f from v{t} group by 1), it{t} as (select sum(n*(n-1)//2) as n, count(*) as m from fs{t}),
+ dr{t} as (select k, {_HASH("'cross-' || k || '-a'")} % m as x, {_HASH("'cross-' || k || '-b'")} % (m - 1) as y, {_HASH("'cross-' || k || '-pa'")} as pa, {_HASH("'cross-' || k || '-pb'")} as pb from range(1000) r(k), it{t} where k < 3*n),
+ cs{t} as (select k, {_COS} as s from dr{t} join fs{t} fa on fa.f = x join fs{t} fb on fb.f = y + (y >= x)::int join v{t} a on a.g = fa.start + pa % fa.n join v{t} b on b.g = fb.start + pb % fb.n),
+ ws{t} as (select a.label, {_COS} as s from v{t} a join v{t} b on a.label = b.label and a.vec_id < b.vec_id),
+ rn{t} as (select f, rank() over (order by s) + (count(*) over (partition by s) - 1)/2.0::double as r from (select round(s, 12) s, 1 as f from ws{t} union all select round(s, 12), 0 from cs{t})), us{t} as (select sum(r) filter (where f = 1) - count(*) filter (where f = 1)*(count(*) filter (where f = 1)+1)/2.0::double as u from rn{t}),
+ sm{t} as (select (select m from it{t}) as families, (select count(*) from ws{t}) as n1, (select count(*) from cs{t}) as n2, (select avg(s) from ws{t}) as im, (select stddev_pop(s) from ws{t}) as sd, (select avg(s) from cs{t}) as cm, (select stddev_pop(s) from cs{t}) as cd, u from us{t}),
+ zs{t} as (select *, (u - n1*n2/2.0::double - 0.5::double)/sqrt(n1::double*n2*(n1+n2+1)/12) as z from sm{t}), es{t} as (select *, 1/(1+0.3275911::double*abs(z)/sqrt(2)) as k from zs{t}),
+ ps{t} as (select *, (((((1.061405429::double*k-1.453152027::double)*k)+1.421413741::double)*k-0.284496736::double)*k+0.254829592::double)*k*exp(-z*z/2) as e from es{t}),
+ ds{t} as (select *, im - cm as gap, (im-cm)/sqrt((sd*sd+cd*cd)/2) as cohen_d, {_TAIL} as p from ps{t})"""
 
-@query()
+
+@query(f"with {_V}, " + _density_sql("true", "w") + " select k as draw, round(s, 6) as sim from csw")
 def cross_family_sims(spark, d):
-    """A thousand seeded draws."""
-    return _crossed(spark, d).select("fa", "pa", "fb", "pb", F.round("sim", 6).alias("sim"))
+    """Cosines of a thousand seeded draws of vectors of two families; the draws are digests, so that any engine can repeat them."""
+    known = _vectors(spark, d).where("family is not null and vec is not null")
+    sizes = {r.family: r["count"] for r in known.groupBy("family").count().collect()}  # a row a family
+    within = sum(n * (n - 1) // 2 for n in sizes.values())
+    sims = S.sims_at(known, ["family", "vec_id"], "vec", S.crossed(sizes, min(S.DRAWN, 3 * within)))
+    return spark.createDataFrame([(k, round(s, 6)) for k, s in enumerate(sims)], "draw long, sim double")
 
 
-@query()
+_DENSITY = "families int, coverage_pct double, intra_pairs long, cross_pairs long, intra_mean double, intra_std double, cross_mean double, cross_std double, gap double, cohen_d double, z double, p double, significant boolean"
+
+
+@query(f"with {_V}, " + _density_sql("true", "w") + " select families::int as families, 100.0::double as coverage_pct, n1 as intra_pairs, n2 as cross_pairs, round(im, 6) as intra_mean, round(sd, 6) as intra_std, round(cm, 6) as cross_mean, round(cd, 6) as cross_std, round(gap, 6) as gap, round(cohen_d, 5) as cohen_d, round(z, 4) as z, round(p, 4) as p, p < 0.05 as significant from dsw")
 def density_summary(spark, d):
-    """How much closer vectors of a family are than vectors of two: gap, effect size."""
-    inner = S.pairwise(_vectors(spark, d), "family", "vec_id", "vec")
-    i = inner.agg((F.sum(F.col("mean") * F.col("pairs")) / F.sum("pairs")).alias("mean"), (F.sum((F.col("std") ** 2 + F.col("mean") ** 2) * F.col("pairs")) / F.sum("pairs")).alias("square"))
-    c = _crossed(spark, d).agg(F.avg("sim").alias("cross_mean"), F.stddev_pop("sim").alias("cross_std"))
-    both = i.join(F.broadcast(c), F.lit(True)).withColumn("std", F.sqrt(F.col("square") - F.col("mean") ** 2))
-    gap = F.col("mean") - F.col("cross_mean")
-    return both.select(F.round("mean", 6).alias("intra_mean"), F.round("cross_mean", 6).alias("cross_mean"), F.round(gap, 6).alias("gap"), F.round(gap / F.sqrt((F.col("std") ** 2 + F.col("cross_std") ** 2) / 2), 6).alias("cohen_d"))
+    """How much closer vectors of a family are than vectors of two: gap, effect size, coverage, significance."""
+    s = S.density(_vectors(spark, d), "family", "vec_id", "vec")
+    made = spark.createDataFrame([tuple(s[c.split(" ")[0]] for c in _DENSITY.split(", "))], _DENSITY)
+    digits = {"intra_mean": 6, "intra_std": 6, "cross_mean": 6, "cross_std": 6, "gap": 6, "cohen_d": 5, "z": 4, "p": 4}
+    return made.withColumns({c: F.round(c, n) for c, n in digits.items()})
 
 
 @query("with k as (select value_distance v, root_relation = 'same' as f from (select distinct on (pair_id) * from pairs) where root_relation in ('same', 'different') and value_distance is not null), r as (select f, rank() over (order by v) + (count(*) over (partition by v) - 1)/2.0::double r from k) select sum(r) filter (where f) - count(*) filter (where f)*(count(*) filter (where f)+1)/2 as u, count(*) filter (where f) as n1, count(*) filter (where not f) as n2 from r")
@@ -228,12 +257,15 @@ def mann_whitney_greater(spark, d):
     return S.mann_whitney_greater(p.where("root_relation = 'same'"), p.where("root_relation = 'different'"), "value_distance").select("u", "n1", "n2")
 
 
-@query()
+@query(f"with {_V}, " + _density_sql("label % 2 = 0", "a") + ", " + _density_sql("label % 2 = 1", "b") + " select round(a.gap, 6) as first_gap, round(b.gap, 6) as second_gap, round(a.cohen_d, 5) as first_d, round(b.cohen_d, 5) as second_d, case when b.gap > 0 then round(a.gap/b.gap, 4) end as ratio, a.gap > b.gap as claim_supported from dsa a, dsb b")
 def density_comparison(spark, d):
-    """Gap of even against gap of odd families, and whether the first is greater."""
-    s = S.pairwise(_vectors(spark, d), "family", "vec_id", "vec").withColumn("half", F.col("family") % 2).groupBy("half").agg((F.sum(F.col("mean") * F.col("pairs")) / F.sum("pairs")).alias("m"))
-    w = s.agg(F.max(F.when(F.col("half") == 0, F.col("m"))).alias("a"), F.max(F.when(F.col("half") == 1, F.col("m"))).alias("b"))
-    return w.select(F.round("a", 6).alias("first_gap"), F.round("b", 6).alias("second_gap"), F.when(F.col("b") > 0, F.round(F.col("a") / F.col("b"), 4)).alias("ratio"), (F.col("a") > F.col("b")).alias("claim_supported"))
+    """The gap of even against the gap of odd families: their ratio (null where the second isn't above 0), and whether the first is greater."""
+    v = _vectors(spark, d)
+    a, b = (S.density(v.where(F.col("family") % 2 == half), "family", "vec_id", "vec") for half in (0, 1))
+    ratio = round(a["gap"] / b["gap"], 4) if a["gap"] is not None and (b["gap"] or 0) > 0 else None
+    better = a["gap"] > b["gap"] if None not in (a["gap"], b["gap"]) else None
+    short = lambda x, n: None if x is None else round(x, n)
+    return spark.createDataFrame([(short(a["gap"], 6), short(b["gap"], 6), short(a["cohen_d"], 5), short(b["cohen_d"], 5), ratio, better)], "first_gap double, second_gap double, first_d double, second_d double, ratio double, claim_supported boolean")
 
 
 _FP = _V + ", m as (select label as family, pattern, pos, avg(x) x from (select label, pattern, unnest(e) x, unnest(range(len(e))) pos from v) group by 1, 2, 3), fp as (select family, pattern, list(x order by pos) e from m group by 1, 2), of as (select a.family, a.pattern, list_transform(range(len(a.e)), lambda i: a.e[i+1]-b.e[i+1]) e, a.e as target, b.e as base from fp a join fp b on a.family = b.family and b.pattern = 0 where a.pattern <> 0)"
@@ -277,10 +309,9 @@ def _completed(spark, d) -> DataFrame:
     sums = E.array_mean(o.select("pattern", F.col("offset").alias("vec")), ["pattern"]).join(o.groupBy("pattern").agg(F.count("*").alias("n")), "pattern").where("n >= 2")
     each = o.join(F.broadcast(sums), "pattern").withColumn("mean", F.zip_with("vec", "offset", lambda m, x: (m * F.col("n") - x) / (F.col("n") - 1)))
     guess = each.select("family", "pattern", "target", F.zip_with("base", "mean", lambda a, b: a + b).alias("guess")).withColumn("sim", E.cosine(F.col("guess"), F.col("target")))
-    every = F.broadcast(_means(spark, d).agg(F.collect_list("vec").alias("all")))  # a vector per family and pattern
-    ranked = guess.join(every, F.lit(True))
-    better = F.size(F.filter("all", lambda v: F.round(E.cosine(F.col("guess"), v), 9) > F.round(F.col("sim"), 9)))
-    return ranked.select("family", "pattern", "sim", (better + 1).alias("rank"))
+    guess = written(guess.withColumn("key", F.monotonically_increasing_id()), "guesses")
+    ranks = S.ranks_among(guess.select("key", F.col("guess").alias("vec"), "sim"), _means(spark, d))
+    return guess.join(ranks, "key").select("family", "pattern", "sim", "rank")
 
 
 @query("with " + _AC + " select family, pattern, round(sim, 6) as sim, rank from rk")
@@ -303,10 +334,51 @@ def primary_triad_summary(spark, d):
     return _completed(spark, d).where("pattern in (1, 2)").groupBy(F.when(F.col("pattern") == 1, "AP").otherwise("PP").alias("form")).agg(F.round(F.avg("sim"), 6).alias("mean"), F.min("rank").alias("best_rank"))
 
 
-@query(f"with {_V} select a.pattern, count(*) as pairs, round(avg({_COS}), 6) as mean, round(stddev_pop({_COS}), 6) as std from v a join v b on a.pattern = b.pattern and a.vec_id < b.vec_id group by 1")
+_CLUSTERED = f"""with {_V}, vg as (select *, row_number() over (order by pattern, vec_id) - 1 as g from v), ps as (select pattern, min(g) as start, count(*) as n from vg group by 1 having count(*) >= 2), al as (select count(*) as total from vg),
+ ws as (select a.pattern, {_COS} as s from v a join v b on a.pattern = b.pattern and a.vec_id < b.vec_id), wn as (select pattern, count(*) as n1, avg(s) as wm, stddev_pop(s) as wd from ws group by 1),
+ dr as (select pattern, k, start + {_HASH("'pattern-' || pattern || '-' || k || '-a'")} % n as x, {_HASH("'pattern-' || pattern || '-' || k || '-b'")} % (total - n) as y, start, n from range(500) r(k), ps, al where total > n and k < 5*(n*(n-1)//2)),
+ cs as (select pattern, {_COS} as s from (select dr.pattern, a.e as ae, b.e as be from dr join vg a on a.g = x join vg b on b.g = y + case when y >= start then n else 0 end) q, lateral (select q.ae as e) a, lateral (select q.be as e) b),
+ rn as (select pattern, f, rank() over (partition by pattern order by s) + (count(*) over (partition by pattern, s) - 1)/2.0::double as r from (select pattern, round(s, 12) s, 1 as f from ws union all select pattern, round(s, 12), 0 from cs)), us as (select pattern, sum(r) filter (where f = 1) - count(*) filter (where f = 1)*(count(*) filter (where f = 1)+1)/2.0::double as u, count(*) filter (where f = 0) as n2 from rn group by 1),
+ cm as (select pattern, avg(s) as cm, stddev_pop(s) as cd from cs group by 1), zs as (select *, (u - n1*n2/2.0::double - 0.5::double)/sqrt(n1::double*n2*(n1+n2+1)/12) as z from wn join us using (pattern) join cm using (pattern) join ps using (pattern)),
+ es as (select *, 1/(1+0.3275911::double*abs(z)/sqrt(2)) as k from zs), fs as (select *, (((((1.061405429::double*k-1.453152027::double)*k)+1.421413741::double)*k-0.284496736::double)*k+0.254829592::double)*k*exp(-z*z/2) as e from es)"""
+
+
+@query(_CLUSTERED + f" select pattern, n1 as pairs, round(wm, 6) as mean, round(wd, 6) as std, round(cm, 6) as cross_mean, round(cd, 6) as cross_std, round(wm - cm, 6) as gap, round({_TAIL}, 4) as p, {_TAIL} < 0.05 as significant from fs")
 def pattern_clustering(spark, d):
-    s = S.pairwise(_vectors(spark, d), "pattern", "vec_id", "vec")
-    return s.select("pattern", "pairs", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+    """All pairs within every pattern against seeded draws across patterns (five for a pair, 500 at most): gap and significance."""
+    import numpy as np
+
+    known = _vectors(spark, d).where("pattern is not null and vec is not null")
+    sizes = {r.pattern: r["count"] for r in known.groupBy("pattern").count().collect()}  # a row a pattern
+    total, start, drawn = sum(sizes.values()), 0, []
+    for pattern in sorted(sizes):
+        n = sizes[pattern]
+        for k in range(min(500, 5 * (n * (n - 1) // 2)) if total > n else 0):
+            y = S.seeded(f"pattern-{pattern}-{k}-b") % (total - n)
+            drawn.append((pattern, start + S.seeded(f"pattern-{pattern}-{k}-a") % n, y + (n if y >= start else 0)))
+        start += n
+    sims = S.sims_at(known, ["pattern", "vec_id"], "vec", [x[1:] for x in drawn])
+    cross: dict = {}
+    for (pattern, *_), sim in zip(drawn, sims):
+        cross.setdefault(pattern, []).append(sim)
+    rows = []
+    for r in S.pairwise(known, "pattern", "vec_id", "vec", {k: np.array(v) for k, v in cross.items()}).collect():
+        c = np.array(cross.get(r.pattern, []))
+        if len(c):
+            p = S.greater_p(r.u, r.pairs, len(c))[1]
+            rows.append((r.pattern, r.pairs, round(r["mean"], 6), round(r["std"], 6), round(float(c.mean()), 6), round(float(c.std()), 6), round(r["mean"] - float(c.mean()), 6), round(p, 4), p < 0.05))
+    return spark.createDataFrame(rows, "pattern long, pairs long, mean double, std double, cross_mean double, cross_std double, gap double, p double, significant boolean")
+
+
+@query(cte("pairs") + ", w as (select sentence_id, pos_i, pos_j, mean_attention*(1+(l-h)*0.1::double) as onward, mean_attention*(1+(l+h)*0.2::double) as back from (select distinct sentence_id, pos_i, pos_j, mean_attention from prs where sentence_id is not null and mean_attention is not null), range(2) a(l), range(3) b(h)) select sentence_id, pos_i, pos_j, round(avg(onward)/2 + avg(back)/2, 9) as attention from w group by 1, 2, 3")
+def attention_pool(spark, d):
+    """Weights of two layers and three heads in both directions, made from the stored ones, pooled to one of every pair of words."""
+    p = pairs(spark, d).where("sentence_id is not null and mean_attention is not null").select("sentence_id", "pos_i", "pos_j", "mean_attention").distinct()
+    each = p.withColumn("l", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("h", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    ways = each.select(F.col("sentence_id").alias("sentence"), F.explode(F.array(
+        F.struct(F.col("pos_i").alias("i"), F.col("pos_j").alias("j"), (F.col("mean_attention") * (1 + (F.col("l") - F.col("h")) * 0.1)).alias("weight")),
+        F.struct(F.col("pos_j").alias("i"), F.col("pos_i").alias("j"), (F.col("mean_attention") * (1 + (F.col("l") + F.col("h")) * 0.2)).alias("weight")))).alias("w")).select("sentence", "w.*")
+    return S.attention_pool(ways).select(F.col("sentence").alias("sentence_id"), F.col("i").alias("pos_i"), F.col("j").alias("pos_j"), F.round("attention", 9).alias("attention"))
 
 
 @query("select vec_id, label as family from embeddings where label in (select label from embeddings group by 1 order by min(vec_id) limit 4)")

@@ -234,9 +234,10 @@ def root_relation(spark, d):
     return joined.select(M.root_relation(F.col("a"), F.col("b")).alias("relation"), F.col("root_relation").alias("stored")).groupBy("relation", "stored").agg(F.count("*").alias("n"))
 
 
-def _pattern_sql() -> str:
+def _pattern_sql(source: str = "log", start: str | None = None) -> str:
+    """Expressions that end in ``s`` (log_id, cand, best, status) for the terms (log_id, term_ar) of a source."""
     rows = ", ".join("({}, '{}', '{}', [{}], {})".format(k, sk, rx.replace("[ء-ي]", r"[\x{0621}-\x{064A}]"), ", ".join(f"'{n}'" for n in names), str(lit).lower()) for k, (_, sk, rx, names, lit) in enumerate(M.pattern_table()))
-    return cte("log") + f""", tpl(k, sk, rx, names, lit) as (values {rows}), t as (select log_id, term_ar, {_normal('term_ar')} as f from log where term_ar is not null),
+    return (cte("log") if start is None else start) + f""", tpl(k, sk, rx, names, lit) as (values {rows}), t as (select log_id, term_ar, {_normal('term_ar')} as f from {source} where term_ar is not null),
  h as (select t.log_id, tpl.k, tpl.names, tpl.lit from t join tpl on regexp_matches(t.f, tpl.rx)), g as (select *, bool_or(lit) over (partition by log_id) as has_lit from h), kept as (select * from g where lit or not has_lit),
  u as (select log_id, name, min(k * 100 + pos) as spot from (select log_id, k, unnest(names) as name, unnest(range(len(names))) as pos from kept) group by 1, 2), c as (select log_id, list(name order by spot) as cand from u group by 1),
  b as (select log_id, count(*) as hits, arg_min(names, k) as best from kept group by 1),
@@ -255,14 +256,31 @@ def pattern_status(spark, d):
     return known.select(M.parse_pattern(F.col("term_ar"))["query_wazn_status"].alias("status")).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query()
+def _radicals_sql() -> str:
+    cases = " ".join("when {} then array_to_string([{}], '-')".format(k, ", ".join(f"regexp_extract(f, '{rx.replace('[ء-ي]', '[' + chr(92) + 'x{0621}-' + chr(92) + 'x{064A}]')}', {g + 1})" for g in range(sk.count("C")))) for k, (_, sk, rx, _, _) in enumerate(M.pattern_table()))
+    return _pattern_sql() + f" select log_id, case k {cases} end as radicals from (select log_id, min(k) as k from kept group by 1) join t using (log_id)"
+
+
+@query(_radicals_sql())
 def pattern_radicals(spark, d):
     """Root letters by the best pattern of every parsed term."""
     known = log(spark, d).where("term_ar is not null")
     return known.select("log_id", M.parse_pattern(F.col("term_ar")).alias("p")).where("p.radicals is not null").select("log_id", F.array_join("p.radicals", "-").alias("radicals"))
 
 
-@query()
+def _vowels_sql() -> str:
+    """The candidates left by the first two vowel marks of a term."""
+    marks = "array_to_string((list_filter(string_split(term_ar, ''), lambda c: regexp_matches(c, '^[\\x{064B}-\\x{0652}]$')))[1:2], '')"
+    arms = []
+    for marked, family in M.VOWEL_FAMILIES.items():
+        stems = sorted({f.split("ʿ")[0][:2] for f in family})
+        arms.append(f"when '{marked}' then list_filter(cand, lambda n: list_contains([{', '.join(repr(f) for f in family)}], n) or list_contains([{', '.join(repr(x) for x in stems)}], substr(n, 1, 2)))")
+    return _pattern_sql() + f""", nv as (select log_id, case {marks} {' '.join(arms)} else cand end as few from s join t using (log_id)), fw as (select log_id, case when len(few) = 0 then cand else few end as few from nv join s using (log_id))
+ select log_id, case when status in ('ambiguous_vocalization', 'ambiguous_structure') then case when len(few) = 1 then 'parsed' else 'ambiguous_vocalization' end else status end as query_wazn_status,
+  case status when 'not_parsed' then null when 'parsed' then cand[1] else array_to_string(few, ' / ') end as query_wazn from s join fw using (log_id)"""
+
+
+@query(_vowels_sql())
 def narrow_by_vowels(spark, d):
     """Patterns of vocalized terms, narrowed by their own vowel marks."""
     known = log(spark, d).where("term_ar is not null")

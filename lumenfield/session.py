@@ -10,6 +10,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PACKAGE = Path(__file__).resolve().parent
 
@@ -79,6 +80,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A table is broadcast up to this many bytes of files and rows; what is beyond is shuffled.
+BROADCAST_BYTES = 16 << 20
+BROADCAST_ROWS = 200_000
+
+
+def sized(table: DataFrame) -> DataFrame:
+    """A written table, hinted for broadcast if the bytes of its files and its counted rows allow that."""
+    spark = table.sparkSession
+    bytes_ = 0
+    for name in table.inputFiles():
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        bytes_ += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
+        if bytes_ > BROADCAST_BYTES:
+            return table
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def ship(spark: SparkSession) -> None:
     """Make the package importable in Python workers, also where the driver found it through ``sys.path`` alone."""
     context = spark.sparkContext

@@ -176,3 +176,38 @@ def test_scrambled_keeps_every_row(spark):
     df = spark.createDataFrame([(k, f"a{k}", f"b{k}", 0.1, 1) for k in range(20)], "pair_id long, word_i string, word_j string, mean_attention double, pos_distance int")
     rows = S.scrambled(df).collect()
     assert len(rows) == 20 and {r.word_j for r in rows} == {f"b{k}" for k in range(20)} and all(r.word_i[1:] != r.word_j[1:] for r in rows)
+
+
+def test_resume_trusts_only_its_own_run(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    letters = "ابجدهوز"
+    rows = [("".join(rng.choice(list(letters), 3)), "".join(rng.choice(list(letters), 3)), float(rng.normal()), int(k % 7), float(rng.uniform())) for k in range(120)]
+    pairs = spark.createDataFrame(rows, "word_i string, word_j string, mean_attention double, pos_distance int, cooc double")
+    at = str(tmp_path / "nulls")
+    controls = ["pos_distance", "cooc"]
+    first = S.permuted_mappings(4, seed=1)
+    S.resumed(at, first[:2], pairs, controls)
+    whole = {r.perm: r.rho for r in S.resumed(at, first, pairs, controls).collect()}
+    other = {r.perm: r.rho for r in S.resumed(at, S.permuted_mappings(4, seed=2), pairs, controls).collect()}
+    again = {r.perm: r.rho for r in S.resumed(at, first, pairs, controls).collect()}
+    fewer = {r.perm: r.rho for r in S.resumed(at, first, pairs.limit(100), controls).collect()}
+    assert set(whole) == set(other) == set(fewer) == {0, 1, 2, 3} and whole == again and other != whole and fewer != whole
+
+
+def test_attention_pool(spark):
+    w = spark.createDataFrame([(1, 0, 0, 0, 1, 0.2), (1, 0, 1, 0, 1, 0.4), (1, 0, 0, 1, 0, 0.6), (1, 0, 0, 2, 2, 0.9), (1, 0, 0, 2, 0, None), (2, 0, 0, 5, 3, 0.5)], "sentence int, layer int, head int, i int, j int, weight double")
+    got = {(r.sentence, r.i, r.j): round(r.attention, 9) for r in S.attention_pool(w).collect()}
+    assert got == {(1, 0, 1): 0.45, (2, 3, 5): 0.5}
+    assert S.attention_pool(w.where("false")).count() == 0
+
+
+def test_pairwise_counts_against_values(spark):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(40, 4))
+    df = spark.createDataFrame([(k % 2, k, [float(x) for x in v[k]]) for k in range(40)], "g int, id int, vec array<double>")
+    values = np.array([-0.3, 0.0, 0.5])
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    for r in S.pairwise(df, "g", "id", "vec", {None: values}).collect():
+        own = u[r.g :: 2]
+        s = (own @ own.T)[np.triu_indices(len(own), 1)]
+        assert r.pairs == len(s) and r.u == (s[:, None] > values[None]).sum()
