@@ -3,18 +3,23 @@
 Method. For every pair (encoding of the bytes, encoding they were read with) the garbled sequence of every letter of
 the scripts the first encoding serves is computed once per worker; all sequences go into one Aho-Corasick automaton.
 A text is scanned once per round. Matches of one pair that touch form a run; only runs are replaced, so correct text
-around them stays as it is. Text garbled twice is restored by a second and third round.
+around them stays as it is. Text garbled more than once is restored by as many rounds: each makes it shorter, the last changes
+nothing.
 
 Three families of pairs differ in what a run must show before it counts:
 
 * UTF-8 read as a one-byte encoding: one sequence is enough, unless it consists of letters of a non-Latin script alone
   (such words can be genuine).
 * a one-byte encoding read as Latin-1 or Windows-1252: the sequences are pairs of letters, and a run counts only in
-  words without ASCII letters (``maçã`` and ``Øresund`` stay); Turkish, whose words keep their ASCII letters, needs two
-  such words, or one where the row says ``tr``.
+  words without ASCII letters (``maçã`` and ``Øresund`` stay). A word of one letter has no pair; it is a match of its own,
+  with what stands beside it, and counts between two runs. Turkish, whose words keep their ASCII letters, has pairs of one changed
+  letter and one of the alphabet; it needs two words with such a pair, or one where the row says ``tr``.
 * a two-byte encoding (Chinese, Japanese) read as Latin-1 or Windows-1252: at least three characters in a row.
 
-Some damage destroys bytes (U+FFFD, words of question marks): such rows are found, and marked as not restorable.
+Some damage destroys bytes; such rows are found, and marked as not restorable. No sequence of characters proves it but U+FFFD
+and control characters, which are sequences of the automaton as well; words of question marks count by ``_lost_words``: two
+that follow each other or differ in length, or a long one among letters that such a conversion would have lost, never a
+question mark in an address or behind a sentence.
 
 Null text gives ``damaged = false`` and null text; empty and blank text is not damaged. Text of any length is scanned
 whole. The automaton has a fixed size (about 250,000 sequences), whatever the data.
@@ -52,7 +57,12 @@ TWO_BYTE = ("gb2312", "euc_jp", "shift_jis", "big5")
 #: The six letters in which Windows-1254 and Windows-1252 differ.
 TURKISH = {"ð": "ğ", "ý": "ı", "þ": "ş", "Ð": "Ğ", "Ý": "İ", "Þ": "Ş"}
 
-ROUNDS = 3
+#: Punctuation of the scripts of the one-byte encodings.
+MARKS = "،؛؟ـ–—…“”‘’«»"
+#: What stands where bytes were lost: the replacement character, control characters but the next line.
+LOST = ["\ufffd", *(chr(c) for c in range(0x80, 0xA0) if c != 0x85)]
+#: The letters of the Turkish alphabet.
+TURKISH_LETTERS = "abcçdefgğhıijklmnoöprsştuüvyzâîûABCÇDEFGĞHIİJKLMNOÖPRSŞTUÜVYZÂÎÛ"
 #: No text without one of these can hold damage; everything else skips the Python step.
 SUSPECT = "[\\u0080-\\u00A0\\u00A1-\\u00AA\\u00AC-\\u00BA\\u00BC-\\u00FF\\u0152-\\u0192\\u02C6-\\u02DD\\u0393-\\u03CE\\u0400-\\u04FF\\u05F3\\u05F4\\u2013-\\u2044\\u20AA-\\u20AC\\u2116-\\u2122\\u2126-\\u25FF\\uFFFD]|\\?"
 
@@ -131,14 +141,31 @@ def _automaton():
         for read in ("cp1252", "latin-1"):
             pairs.append(("one", own, read))
             wrong = [w for c in letters if (w := _decoded(bytes([_byte_of(own)[c]]), read)) and ord(w) > 127]
+            marks = [w for c in MARKS if c in _byte_of(own) and (w := _decoded(bytes([_byte_of(own)[c]]), read)) and ord(w) > 127 and w != c]
             for a in wrong:
                 for b in wrong:
                     add(a + b, len(pairs) - 1)
+                for b in marks:
+                    add(a + b, len(pairs) - 1)
+                    add(b + a, len(pairs) - 1)
+            pairs.append(("lone", own, read))
+            for a in wrong:
+                for before in " (":
+                    for behind in " .,:)":
+                        add(before + a + behind, len(pairs) - 1)
     for own in TWO_BYTE:
         for read in ("cp1252", "latin-1"):
             pairs.append(("two", own, read))
             for char in _two_byte_chars(own):
                 add(_decoded(char.encode(own), read), len(pairs) - 1)
+    pairs.append(("turkish", "cp1254", "cp1252"))
+    for a in TURKISH:
+        for b in TURKISH_LETTERS + "".join(TURKISH):
+            add(a + b, len(pairs) - 1)
+            add(b + a, len(pairs) - 1)
+    pairs.append(("lost", "", ""))
+    for char in LOST:
+        found.setdefault(char, []).append(len(pairs) - 1)
     machine = ahocorasick.Automaton()
     for sequence, owners in found.items():
         machine.add_word(sequence, (len(sequence), tuple(owners)))
@@ -240,9 +267,9 @@ def _utf8_round(text: str) -> tuple[str, int]:
 
 
 def _better_read_otherwise(text: str, covered: int, lang: str | None) -> bool:
-    """Whether UTF-8 explains little of what looks garbled, and a one or two byte pair more than twice as much."""
+    """Whether UTF-8 explains little of what looks garbled, and a one or two byte pair clearly more."""
     high = sum(0x80 <= ord(c) < 0x250 or c in _SPECIAL for c in text)
-    return covered < 0.6 * high and any(score > 2 * covered + 2 for score, _, _ in _readings(text, lang)[:1])
+    return covered < 0.75 * high and any(score > 1.2 * covered + 1 for score, _, _ in _readings(text, lang)[:1])
 
 
 def _replaced(text: str, taken: list[tuple[int, int, str]]) -> str:
@@ -305,27 +332,47 @@ def _bonus(text: str, spans: list[tuple[int, int]], encoding: str, read: str, la
     return (0.1 if size >= 16 else -0.3) * size if encoding == "cp874" else 0.0
 
 
+def _one_byte_runs(text: str, encoding: str, read: str) -> list[list[int]]:
+    """The runs of a one-byte pair in words without ASCII letters, and the words of one letter between two of them."""
+    _, pairs = _automaton()
+    runs = _runs(text)
+    tokens = _Tokens(text, re.compile("[A-Za-z]").search)
+    good = [run for run in runs.get(pairs.index(("one", encoding, read)), []) if not tokens.facts(tokens.at(run[0]))]
+    held = {tokens.at(run[0]) for run in good}
+    alone: dict[int, int] = {}  # the place of the letter in a word of one letter
+    for start, end, _ in runs.get(pairs.index(("lone", encoding, read)), []):
+        for at in range(start + 1, end - 1):
+            if text[at - 1] in " (" and text[at + 1] in " .,:)" and text[at] not in " (.,:)":
+                alone[tokens.at(at)] = at
+    lone = []
+    for k, at in alone.items():
+        first, last = k - 1, k + 1
+        while first in alone:
+            first -= 1
+        while last in alone:
+            last += 1
+        if first in held and last in held:
+            lone.append([at, at + 1, 1])
+    return sorted(good + lone)
+
+
 def _legacy_round(text: str, lang: str | None) -> str:
-    """Replace the tokens of the one and two byte pairs; the pair that explains most of the text goes first."""
+    """Replace the runs of the one or two byte pair that explains most of the text."""
     for _, encoding, read in _readings(text, lang)[:1]:
         taken = []
         if encoding in TWO_BYTE:
-            machine_pairs = _automaton()[1]
-            pair = machine_pairs.index(("two", encoding, read))
+            pair = _automaton()[1].index(("two", encoding, read))
             for start, end, _ in _runs(text)[pair]:
                 if end - start < 6:
                     continue
                 right = max((_stepped(text[start + skip : end], encoding, read) + (skip,) for skip in (0, 1)), key=lambda x: x[0])
                 taken.append((start + right[2], end, right[1]))
         else:
-            for m in _TOKEN.finditer(text):
-                token = m.group()
-                if re.search("[A-Za-z]", token) or not any(ord(c) > 127 for c in token):
-                    continue
-                raw = _encoded(token, read)
+            for start, end, _ in _one_byte_runs(text, encoding, read):
+                raw = _encoded(text[start:end], read)
                 right = raw and _decoded(raw, encoding)
-                if right and right != token:
-                    taken.append((m.start(), m.end(), right))
+                if right:
+                    taken.append((start, end, right))
         text = _replaced(text, taken)
     return text
 
@@ -352,34 +399,67 @@ _TURKISH_WORD = re.compile(r"[A-Za-zÇÖÜçöüÂÎÛâîûÐÝÞðýþ]+")
 
 
 def _turkish_round(text: str, lang: str | None) -> str:
-    """Turkish read as Western: words with ý, þ, ð (and not as a capital at the start of a foreign name) in which the rest is Turkish."""
-    words = [m for m in _TURKISH_WORD.finditer(text) if re.search("[ýþð]|(?<=.)[ÝÞÐ]|^[ÝÞ]", m.group()) and not re.search("^[ðÐ]|[wx]", m.group())]
-    strong = [m for m in words if re.search("[ýþð]", m.group())]
-    if len(strong) < (1 if lang == "tr" else 2):
-        return text
-    return _replaced(text, [(m.start(), m.end(), "".join(TURKISH.get(c, c) for c in m.group())) for m in words])
-
-
-_LOSS = re.compile("�|[\x80-\x84\x86-\x9f]|(?<![^ \t\r\n«\"“(\\[])\\?{2,}(?=$|[ \t\r\n.,:;!)\\]»\"”،؛؟])|[a-z]\\?[a-z]")
+    """Turkish read as Western: words in which ý, þ or ð (or a capital of them, if it isn't a foreign name's first) stand in a matched
+    pair and the rest is Turkish."""
+    runs = _runs(text).get(_automaton()[1].index(("turkish", "cp1254", "cp1252")), [])
+    taken, strong, seen = [], 0, -1
+    for start, end, _ in runs:
+        if start < seen:
+            continue
+        first = start
+        while first and _TURKISH_WORD.match(text[first - 1]):
+            first -= 1
+        word = _TURKISH_WORD.match(text, first).group()
+        seen = first + len(word)
+        if not re.search("[ýþð]|(?<=.)[ÝÞÐ]|^[ÝÞ]", word) or re.search("^[ðÐ]|[wxWX]", word):
+            continue
+        strong += bool(re.search("[ýþð]", word))
+        taken += [(first + k, first + k + 1, TURKISH[c]) for k, c in enumerate(word) if c in TURKISH]
+    return _replaced(text, taken) if strong >= (1 if lang == "tr" else 2) else text
+
+
+_LOST_WORD = re.compile("(?<![^ \t\r\n«\"“(\\[])\\?{2,}(?=$|[ \t\r\n.,:;!)\\]»\"”،؛؟])")
+
+
+def _lost_words(text: str) -> bool:
+    """Whether words of question marks stand where words were: two side by side, or of different length and one of them of four
+    marks or more; or one of four, or of three inside a sentence, in a text without Latin letters. Nothing but such words counts, too."""
+    found = [m.span() for m in _LOST_WORD.finditer(text)]
+    if not found:
+        return False
+    sizes = [b - a for a, b in found]
+    if max(sizes) < 3:
+        return False
+    if sum(text.count(c) for c in "?") == sum(not c.isspace() for c in text):
+        return True
+    if any(not text[b:c].strip() for (_, b), (c, _) in zip(found, found[1:])) or len(set(sizes)) > 1 and max(sizes) >= 4:
+        return True
+    for a, b in found:
+        around = text[max(0, a - 40) : a] + text[b : b + 40]
+        foreign = sum(c.isalpha() and c > "\u0370" for c in around)
+        latin = sum(c.isalpha() and c < "\u0250" for c in around)
+        behind = text[b:].lstrip(" ")[:1]
+        inner = (behind.isalpha() or behind in ")]") and text[:a].rstrip() != ""
+        if foreign > 4 * latin and (b - a >= 4 or inner):
+            return True
+    return False
 
 
 def repair(text: str | None, lang: str | None = None) -> tuple[bool, str | None, bool]:
     """(damaged, restored text, whether all of it could be restored)."""
     if not text or text.isspace():
         return False, text, True
-    now = text
-    for _ in range(ROUNDS):
+    now, before = text, None
+    while now != before:  # a round that replaces makes the text shorter
         before = now
         now, covered = _utf8_round(now)
-        if now == before:
-            break
-        if before is text and _better_read_otherwise(text, covered, lang):
+        if before is text and now != before and _better_read_otherwise(text, covered, lang):
             now = text
             break
     if any("\x80" <= c <= "\xff" or c in _SPECIAL for c in now):
         now = _legacy_round(now, lang)
         now = _turkish_round(now, lang)
-    lost = bool(_LOSS.search(now))
+    lost = len(_automaton()[1]) - 1 in _runs(now) or _lost_words(now)
     return now != text or lost, now, not lost
 
 

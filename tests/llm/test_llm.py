@@ -240,6 +240,26 @@ def test_right_text_stays(text):
     assert mojibake.repair(text) == (False, text, True)
 
 
+@pytest.mark.parametrize("rounds", [1, 4, 6])
+def test_garbled_many_times(rounds):
+    text = now = CLEAN[0]
+    for _ in range(rounds):
+        now = "".join(mojibake._decoded(c.encode(), "cp1252") for c in now)
+    assert mojibake.repair(now) == (True, text, True)
+
+
+def test_only_matched_spans_are_replaced():
+    garbled = "السلام عليكم".encode("cp1256").decode("latin-1")
+    assert mojibake.repair(f"Ö à É {garbled}") == (True, "Ö à É السلام عليكم", True)
+    once = "الكتاب المفتوح د. سلقان في البيت و القلم".encode("cp1256").decode("latin-1")
+    assert mojibake.repair(once) == (True, "الكتاب المفتوح د. سلقان في البيت و القلم", True)
+
+
+@pytest.mark.parametrize("text", ["see http://x.com/page?id=3&q=a?b", "Really ??", "Really ????", "item a?b", "What ??? No ???", "Why ???? he asked", "هل قرأت الكتاب؟؟ نعم", "באמת ?? כן"])
+def test_questions_are_no_damage(text):
+    assert mojibake.repair(text) == (False, text, True)
+
+
 @pytest.mark.parametrize("text", ["fa�?ade", "اس?�م", "??? ??????", "قسم ???? نور"])
 def test_lost_bytes_are_found(text):
     damaged, _, complete = mojibake.repair(text)
