@@ -448,6 +448,40 @@ def test_harmless_text_passes(text):
     assert abuse.grammar().score(text)[0] < abuse.SCORE
 
 
+#: Written for this test, not taken from any table.
+ABUSIVE = [
+    "do your job you stupid idiot", "I'll kill you", "you're an idiot", "You are not a friend, you are a liar.", "I play chess and you are an idiot", "I said you are an idiot",
+    "Don't call me that, you moron", "Those foreigners are filthy thieves and should be deported.", "I swear I will break your nose", "I hope you die", "Immigrants are a plague", "Go and hang yourself",
+    "Sen bir aptalsın", "Seni öldüreceğim", "Bütün göçmenler pislik", "شما احمق هستید", "ای کثافت", "می‌کشمت", "تم بیوقوف ہو", "سب مہاجر کتے ہیں", "你是个白痴", "我要杀了你", "所有移民都是垃圾",
+    "يا غبي", "وأنت كلب", "سأقتلكم", "أنتم حثالة", "אתם סתם זבל", "כל הזרים הם חלאות",
+]
+HARMLESS = [
+    "I don't think you are an idiot", "Nobody should ever say you are an idiot", "We should not say those people are animals", "he said you are an idiot", "I will not kill you", "You are not an idiot",
+    '"You are an idiot," she said.', "They shouted: you are scum!", "The word idiot comes from Greek.", "You are no fool", "I will kill you at chess", "All cats are animals.", "Those robots are not human.",
+    "Kill the process before you leave", "The old files must be wiped out", "Never trust a computer, they are slow", "The dog and the pig are animals", "No child deserves to live in poverty", "She dropped her keys and begged him to wait",
+    "Sen aptal değilsin", "شما احمق نیستید", "你不是白痴", "أنت لست غبيا", "قال: أنت كلب", "الكلب في البيت", "אתה לא טיפש", "הוא אמר אתה טיפש", "\"Sen aptalsın\" dedi.",
+]
+
+
+@pytest.mark.parametrize("text", ABUSIVE)
+def test_clauses_are_found_in_all_languages(text):
+    assert abuse.grammar().score(text)[0] >= abuse.SCORE
+
+
+@pytest.mark.parametrize("text", HARMLESS)
+def test_negated_reported_and_literal_speech_passes(text):
+    assert abuse.grammar().score(text)[0] < abuse.SCORE
+
+
+def test_the_union_matches_what_its_patterns_match():
+    rng = random.Random(13)
+    g = abuse.grammar()
+    symbols = [g.symbol(w) for w in "you are an idiot stupid i will kill your all they must be beaten women kitchen not |".split()] + ["_", "|"]
+    for _ in range(300):
+        line = "".join(rng.choice(symbols) for _ in range(12))
+        assert g.union.matched(line) == {k for k, a in enumerate(g.automata) if a.search(line)}
+
+
 def test_scores_follow_labels(spark):
     """Held-out accuracy: no label was used to make the grammar's weights; single labels are partly wrong."""
     d = "/root/testdata/sf0.01"
