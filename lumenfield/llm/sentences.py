@@ -5,17 +5,19 @@ pairs of tags, and Viterbi decoding finds the best sequence. Characters that can
 of marked text and so on) are bound to *inside*, so the chain is decoded over the remaining candidates alone: runs of
 end marks with their closing quotes, empty lines, spaces of Thai, the end of the text.
 
-Two weight sets are trained, both as averaged structured perceptrons on a bounded sample of the texts (``TRAIN_TEXTS``
-texts of at most ``TRAIN_CHARS`` characters, the first by a hash of their key):
-
-* ``marked`` for text with end marks. There are no hand-made labels; the sample is labelled by rules of writing
-  (``_taught``), and the model learns the contexts: kinds of mark, what stands around it, the word before it, quotations.
-* ``bare`` for scripts without spaces that come without any end mark. It is trained on the sample's own text with its
-  marks stripped, tags where they stood; a margin is set on held-out texts so that at least ``BARE_PRECISION`` of the
-  boundaries are right (where no margin gets there, it sets none).
-
-Null and blank text has no sentence. Text without any mark is one sentence. Texts are decoded whole, whatever their length,
-in one pass. Repeated rows give repeated results; callers that want a key once drop duplicates first.
+Two weight sets are trained, both as averaged structured perceptrons:
+
+* ``marked`` for text with end marks, on texts composed of hand-written sentences (``sentence_gold``), whose boundaries are known
+  from how they were made. Its features are facts about a place (the mark, what stands before and behind it, the word before, whether
+  a quotation is open there and closes, whether a reporting verb follows it), none is a verdict; their weights are learned.
+* ``bare`` for paragraphs in scripts without spaces that hold no end mark at all (nor, in Thai, a space): character tags, trained on
+  the same sentences stripped of punctuation, with and without a bounded sample of the table's own texts (about ``TRAIN_TEXTS``
+  texts by hash of their key, ``TRAIN_CHARS`` characters of each), stripped as well. Of both models and all margins the one is
+  taken that finds most boundaries of held-out hand-written sentences while ``BARE_PRECISION`` of what it finds is right. Commas
+  and blanks inside such a paragraph are skipped; below ``BARE_LEAST`` letters it stays whole.
+
+Null and blank text has no sentence. Text of other scripts without any mark is one sentence. Texts are decoded whole, whatever
+their length, in one pass. Repeated rows give repeated results; callers that want a key once drop duplicates first.
 """
 
 from __future__ import annotations
@@ -29,11 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
+from . import mojibake, sentence_gold
 
-TRAIN_TEXTS = 2000
-TRAIN_CHARS = 8000
+TRAIN_TEXTS = 600
+TRAIN_CHARS = 4000
+GOLD_TEXTS = 3000
 EPOCHS = 6
 BARE_PRECISION = 0.9
+BARE_LEAST = 16
+MARGINS = (-8, -6, -4, -3, -2, -1, 0, 1, 2, 4, 8, 16)
 
 #: Abbreviations that no sentence ends with, by language.
 ABBREVIATIONS = {
@@ -45,13 +51,15 @@ ABBREVIATIONS = {
 }
 #: Abbreviations that stand before a number only.
 BEFORE_NUMBERS = frozenset("vol no nos pp fig ca sec ch".split())
+#: Words that begin a sentence behind an abbreviation more often than not.
+STARTERS = frozenset(sentence_gold.STARTERS)
 #: Verbs that report a quotation from behind it.
 REPORTING = "سأل قال أجاب صاح همس رد שאל אמר השיב پرسید گفت asked said replied wrote answered diye dedi sordu"
 
 _EVENT = re.compile(r"(?P<mark>[.!?؟۔।॥။።。！？…．｡‼⁇⁈⁉]+)|(?P<blank>\n[ \t\r]*\n\s*)|(?P<thai>(?<=[฀-๿]) +(?=\S))|(?P<quote>[«»“”„「」『』\"])")
 _CLOSERS = "”’»」』）)]\"'›"
 _SPACELESS = re.compile("[฀-໿က-႟ក-៿぀-ヿ㐀-鿿]")
-_MARKS = re.compile("[.!?؟۔।॥။።。！？…．｡、，,；;：:「」『』\\s]+")
+_MARKS = re.compile("[.!?؟۔।॥။።。！？…．｡、，,；;：:「」『』“”\"\\s]+")
 
 
 @lru_cache(maxsize=1)
@@ -93,13 +101,20 @@ def _kind(char: str) -> str:
     return "blank" if char.isspace() else "sign"
 
 
-def candidates(text: str) -> list[tuple[int, tuple[str, ...], bool]]:
-    """(end, features, what the rules say) of every place that can end a sentence, in order, the end of the text last."""
-    out: list[tuple[int, tuple[str, ...], bool]] = []
+#: No listed abbreviation is longer, so a longer word before a mark is none.
+_LONGEST = 12
+_AHEAD = re.compile("[.!?؟\n:]")
+_RIGHT = {"«": "»", "“": "”", "„": "“", "「": "」", "『": "』", '"': '"'}
+
+
+def candidates(text: str) -> list[tuple[int, tuple[str, ...]]]:
+    """(end, features) of every place that can end a sentence, in order, the end of the text last."""
+    out: list[tuple[int, tuple[str, ...]]] = []
     last = len(text.rstrip())
     straight = 0  # straight quotes so far in this paragraph
     opened = -1  # where the quotation began that is open here
-    covered = 0
+    closes: dict[int, int] = {}  # where it closes, looked for once
+    covered = stop = 0
     for m in _EVENT.finditer(text, 0, last):
         at = m.start()
         if at < covered:
@@ -116,15 +131,17 @@ def candidates(text: str) -> list[tuple[int, tuple[str, ...], bool]]:
                 opened = -1
             continue
         if group == "blank":
-            end = len(text[:at].rstrip()) if text[at - 1 : at].isspace() else at
+            end = at
+            while end and text[end - 1].isspace():
+                end -= 1
             straight, opened = 0, -1
             if end and (not out or out[-1][0] < end):
-                out.append((end, ("blank line",), True))
+                out.append((end, ("blank line",)))
             continue
         if group == "thai":
             before, after = text[at - 1], _kind(text[m.end() : m.end() + 1])
-            features = (f"thai>{after}", f"thai{_kind(before)}>{after}")
-            out.append((at, features, after != "digit" and before.isalnum() | ("ะ" <= before <= "๎") and not before.isdigit()))
+            sort = "mark" if "ะ" <= before <= "๎" else _kind(before)
+            out.append((at, (f"thai>{after}", f"thai{sort}>{after}", f"thai{sort}")))
             continue
         mark, end = m.group(), m.end()
         while end < last and text[end] in _CLOSERS:
@@ -134,10 +151,16 @@ def candidates(text: str) -> list[tuple[int, tuple[str, ...], bool]]:
                 straight += 1
             end += 1
         closed = text[m.end() : end]
+        inside = False
         if closed and any(c in "”»」』\"" for c in closed):
-            inside, opened = False, -1
-        else:
-            inside = opened >= 0 and _closes(text, opened, end, last)
+            opened = -1
+        elif opened >= 0:
+            if opened not in closes:
+                if stop <= opened:  # the end of the paragraph
+                    stop = text.find("\n\n", opened, last)
+                    stop = stop if stop >= 0 else last
+                closes[opened] = _closed_at(text, opened, stop)
+            inside = closes[opened] >= at
         covered = end
         rest = end
         while rest < last and text[rest].isspace():
@@ -148,53 +171,71 @@ def candidates(text: str) -> list[tuple[int, tuple[str, ...], bool]]:
         if space == "none" and rest < last and following in ("closer", "sign"):
             following = "sign"
         start = at
-        while start > 0 and not text[start - 1].isspace() and text[start - 1] not in "«“„「『(\"‘[（,،;":
+        while start > 0 and at - start <= _LONGEST and not text[start - 1].isspace() and text[start - 1] not in "«“„「『(\"‘[（,،;":
             start -= 1
-        token = text[start:at].lower() if at - start <= 12 else ""
+        token = text[start:at].lower() if at - start <= _LONGEST else ""
         kind = ("." if len(mark) == 1 else "..." if set(mark) == {"."} else "mixed") if "." in mark else "…" if "…" in mark else mark[0]
         ender = _kind(text[at - 1 : at]) if at else "start"
-        short = kind == "." and not closed and (token in _abbreviations() or len(token) == 1 and token.isalpha()) and (token not in BEFORE_NUMBERS or following == "digit")
-        report = False
-        if closed and following not in ("end",):
-            word = re.match(r"\w+", text[rest : rest + 20])
-            report = bool(word) and word.group() in _reporting() and not re.match(r"[^.!?؟\n]{0,80}:\s*[«“\"]", text[rest : rest + 90])
+        word = ""
+        if kind == "." or closed:
+            found = _NEXT.match(text, rest)
+            word = found.group() if found else ""
+        sort = "word"  # what stands before a full stop
+        if kind == "." and not closed and token:
+            if len(token) == 1 and token.isalpha():
+                sort = "letter"
+            elif token in BEFORE_NUMBERS:
+                sort = "before number"
+            elif token in _abbreviations():
+                sort = "listed"
+            elif _ACRONYM.fullmatch(token):
+                sort = "acronym"
+            elif not any(c.isalpha() for c in token):
+                sort = "number"
+        starter = word in STARTERS
+        report = bool(closed) and word in _reporting()
+        anew = report and _opens_quotation(text, rest + len(word))
+        context = "text end" if following == "end" else "paragraph end" if space == "blank" else "inside" if inside else "quoted" if closed else "open"
         features = (
-            f"{kind}>{following}",
-            f"{kind}{'q' if closed else ''}>{space}>{following}",
-            f"{kind}<{ender}>{following}",
-            f"inside {inside}",
-            f"{kind} token {token}>{following}" if short else f"{kind} plain",
-            f"short {short}>{space}",
-            f"report {report}>{bool(closed)}",
-            f"space {space}",
+            f"{context}",
+            f"{context} {kind}>{space}>{following}",
+            f"{context} {kind}<{ender}>{space}>{following}",
+            f"{context} {sort}>{following}>{space}",
+            f"{context} {sort}",
+            f"{context} {sort} starter {starter}>{space}",
+            f"{context} {kind} token {token}" if sort in ("letter", "listed", "before number") else f"{context} {kind} plain",
+            f"{context} report {report} anew {anew}",
+            f"{context} {kind}",
         )
-        if space == "blank" or following == "end":
-            right = True
-        elif short or inside or report:
-            right = False
-        elif following == "lower" and kind not in ("۔", "।", "॥", "。"):
-            right = False
-        elif kind == "." and following == "digit" and (ender == "digit" or space == "none"):
-            right = False
-        elif space == "none" and (following in ("sign", "digit") or following == "opener" and kind == "." and ender == "digit"):
-            right = kind in ("。", "！", "？")
-        else:
-            right = True
-        out.append((end, features, right))
+        out.append((end, features))
         if space == "blank":
             straight, opened = 0, -1
     if last and (not out or out[-1][0] < last):
-        out.append((last, ("end of text",), True))
+        out.append((last, ("end of text",)))
     return out
 
 
-def _closes(text: str, opened: int, at: int, last: int) -> bool:
-    """Whether the quotation that began at ``opened`` is closed behind ``at`` in the same paragraph."""
-    right = {"«": "»", "“": "”", "„": "“", "「": "」", "『": "』", '"': '"'}[text[opened]]
-    stop = text.find("\n\n", at)
-    close = text.find(right, at, stop if stop >= 0 else last)
-    again = text.find(text[opened], at, close) if close >= 0 and text[opened] != '"' else -1
-    return close >= 0 and again < 0
+_NEXT = re.compile(r"\w+")
+_ACRONYM = re.compile(r"(?:[^\W\d_]{1,2}\.)+[^\W\d_]{1,2}")
+
+
+def _opens_quotation(text: str, at: int) -> bool:
+    """Whether the next mark behind a place is a colon and a quotation follows it, so the clause reports what comes, not what was."""
+    found = _AHEAD.search(text, at)
+    if not found or found.group() != ":":
+        return False
+    behind = found.end()
+    while behind < len(text) and text[behind].isspace():
+        behind += 1
+    return text[behind : behind + 1] in tuple("«“\"")
+
+
+def _closed_at(text: str, opened: int, stop: int) -> int:
+    """Where the quotation that began at ``opened`` is closed before a place, and before another of its kind opens; else -1."""
+    if text[opened] != '"':  # the next opener is looked for first: it bounds the search, however many stay open
+        again = text.find(text[opened], opened + 1, stop)
+        stop = again if again >= 0 else stop
+    return text.find(_RIGHT[text[opened]], opened + 1, stop)
 
 
 # --------------------------------------------------------------------------------------------------------- the model
@@ -257,53 +298,88 @@ def _tags(model: dict, features: list[tuple[str, ...]], margin: float = 0.0) ->
 
 
 def _bare_features(text: str) -> list[tuple[str, ...]]:
-    padded = f"  {text}  "
-    return [(f"1{padded[i]}", f"2{padded[i - 1 : i + 1]}", f"3{padded[i : i + 2]}", f"4{padded[i + 1]}", f"5{padded[i + 1 : i + 3]}", "bias") for i in range(2, len(text) + 2)]
-
-
-def _bare_sequences(text: str) -> tuple[list[tuple[str, ...]], list[bool]] | None:
-    """A text of a spaceless script without its marks, and the tags of its characters."""
-    ends = {end for end, _, right in candidates(text) if right}
-    letters, tags = [], []
-    for at, char in enumerate(text):
-        if _MARKS.match(char):
-            if letters and any(e > at and not text[at + 1 : e].strip("」』。！？ ") or e == at for e in ends if at <= e <= at + 2):
-                tags[-1] = True
-            continue
-        letters.append(char)
-        tags.append(False)
-    if tags:
-        tags[-1] = True
-    return (_bare_features("".join(letters)), tags) if len(letters) > 20 else None
+    padded = f"   {text}   "
+    return [(f"1{padded[i]}", f"2{padded[i - 1 : i + 1]}", f"3{padded[i : i + 2]}", f"4{padded[i + 1]}", f"5{padded[i + 1 : i + 3]}", f"6{padded[i - 2 : i + 1]}", f"7{padded[i - 1 : i + 3]}", "bias") for i in range(3, len(text) + 3)]
 
 
-def spaceless(text: str) -> bool:
-    """Whether a text is in a script without spaces, without any end mark or space to cut at."""
-    return len(_SPACELESS.findall(text)) * 2 > len(text) and not _MARKS.search(text.strip())
+def _bare_sequence(parts: list[str]) -> tuple[list[tuple[str, ...]], list[bool]] | None:
+    """Sentences of a spaceless script without their marks as one sequence, and the tags of its characters."""
+    letters, tags = "", []
+    for part in parts:
+        own = _MARKS.sub("", part)
+        if own:
+            letters += own
+            tags += [False] * (len(own) - 1) + [True]
+    return (_bare_features(letters), tags) if len(letters) > BARE_LEAST else None
 
 
-def train(texts: list[str]) -> dict:
-    """Both weight sets from sample texts."""
+def _spaceless(text: str) -> bool:
+    return len(_SPACELESS.findall(text)) * 2 > len(text)
+
+
+@lru_cache(maxsize=1)
+def marked_model() -> dict:
+    """The weights for text with end marks, trained on composed texts with known boundaries."""
     sequences = []
+    for text, ends in sentence_gold.texts(GOLD_TEXTS, 11):
+        found, right = candidates(text), set(ends)
+        sequences.append(([f for _, f in found], [e in right for e, _ in found]))
+    return perceptron(sequences)
+
+
+def train(texts: list[str]) -> dict:
+    """Both weight sets; ``texts`` is the sample of the table's own texts for the bare one."""
+    marked = marked_model()
+    own = []
     for text in texts:
-        found = candidates(text[:TRAIN_CHARS])
-        if found:
-            sequences.append(([f for _, f, _ in found], [r for _, _, r in found]))
-    marked = perceptron(sequences)
-    bare = [s for text in texts if len(_SPACELESS.findall(text)) * 2 > len(text) and (s := _bare_sequences(text[:TRAIN_CHARS]))][:300]
-    held, kept = bare[::4], [s for k, s in enumerate(bare) if k % 4]
-    model = perceptron(kept, 3) if kept else {"weights": {}, "transition": (0.0,) * 4}
-    margin = next((m for m in (0, 2, 4, 8, 16, 32) if _precise(model, held, m)), None)
-    return {"marked": marked, "bare": model, "margin": margin}
-
-
-def _precise(model: dict, held: list, margin: float) -> bool:
+        if _spaceless(text):
+            ends = marked_ends(text, marked)
+            own.append([text[a:b] for a, b in zip([0, *ends], ends)])
+    fresh = [s for parts in own if (s := _bare_sequence(parts))]
+    gold = [s for parts in sentence_gold.bare(400, 12) if (s := _bare_sequence(parts))]
+    held = [s for parts in sentence_gold.bare(120, 13, held=True) if (s := _bare_sequence(parts))]
+    best: tuple[int, dict | None, float | None] = (0, None, None)
+    for kept in (gold, fresh + gold) if fresh else (gold,):
+        model = perceptron(kept, 4)
+        for margin in MARGINS:
+            right, found = _counts(model, held, margin)
+            if right > best[0] and right >= BARE_PRECISION * found:
+                best = right, model, margin
+    return {"marked": marked, "bare": best[1], "margin": best[2]}
+
+
+def _counts(model: dict, held: list, margin: float) -> tuple[int, int]:
+    """(right, found) boundaries inside held-out sequences."""
     right = found = 0
     for features, tags in held:
         for got, want in zip(_tags(model, features, margin)[:-1], tags[:-1]):
             found += got
             right += got and want
-    return found > 0 and right >= BARE_PRECISION * found
+    return right, found
+
+
+def marked_ends(text: str, marked: dict) -> list[int]:
+    """Ends by the candidates alone."""
+    found = candidates(text)
+    return [end for (end, _), tag in zip(found, _tags(marked, [f for _, f in found])) if tag]
+
+
+_PARAGRAPH = re.compile(r"\n[ \t\r]*\n")
+_END = re.compile("[.!?؟۔।॥。！？…．｡‼⁇⁈⁉]")
+_THAI = re.compile("[฀-๿]")
+_COMMAS = "、，,；;：:"
+
+
+def _bare_ends(text: str, start: int, end: int, model: dict) -> list[int]:
+    """Ends that the bare model sets in a paragraph without end marks."""
+    own = text[start:end].strip()
+    if not _spaceless(own) or _END.search(own) or _THAI.search(own) and any(c.isspace() for c in own):
+        return []
+    places = [k for k in range(start, end) if not _MARKS.match(text[k])]
+    if len(places) < BARE_LEAST:
+        return []
+    tags = _tags(model["bare"], _bare_features("".join(text[k] for k in places)), model["margin"])
+    return [k + 1 for k, tag in zip(places[:-1], tags) if tag and text[k + 1] not in _COMMAS]
 
 
 def sentence_ends(text: str | None, model: dict) -> list[int]:
@@ -311,22 +387,30 @@ def sentence_ends(text: str | None, model: dict) -> list[int]:
     if not text or text.isspace():
         return []
     last = len(text.rstrip())
-    if spaceless(text):
-        if model["margin"] is None:
-            return [last]
-        tags = _tags(model["bare"], _bare_features(text[:last]), model["margin"])
-        return [k + 1 for k, tag in enumerate(tags[:-1]) if tag] + [last]
-    found = candidates(text)
-    tags = _tags(model["marked"], [f for _, f, _ in found])
-    ends = [end for (end, _, _), tag in zip(found, tags) if tag]
-    return ends if ends and ends[-1] == last else [*ends, last]
+    ends = marked_ends(text, model["marked"])
+    if not ends or ends[-1] != last:
+        ends.append(last)
+    if model["margin"] is not None and _SPACELESS.search(text):
+        breaks = [0, *(m.end() for m in _PARAGRAPH.finditer(text, 0, last)), last]
+        more = [e for a, b in zip(breaks, breaks[1:]) for e in _bare_ends(text, a, b, model)]
+        ends = sorted({*ends, *more}) if more else ends
+    return ends
 
 
 def fitted(df: DataFrame, key: str, text: str) -> dict:
-    """The model for a table of texts, trained on the driver from the bounded sample."""
-    sample = df.where(F.col(text).isNotNull() & (F.trim(text) != "")).select(F.substring(text, 1, TRAIN_CHARS).alias("t"), F.xxhash64(key).alias("h"), F.col(key).alias("k"))
-    rows = sample.orderBy("h", "k", "t").limit(TRAIN_TEXTS).collect()  # at most TRAIN_TEXTS x TRAIN_CHARS characters
-    return train([r.t for r in rows])
+    """The model for a table of texts: the bare part is trained on the driver from the bounded sample.
+
+    Texts are chosen by a hash of their key, below a share that makes about ``TRAIN_TEXTS`` of them; keys are counted first, so
+    that no task sends more than its share. Redelivered and garbled texts are left out.
+    """
+    spaceless = df.where(F.col(text).isNotNull() & F.col(text).rlike(_SPACELESS.pattern)).select(F.xxhash64(key).alias("h"), F.col(text).alias("t"))
+    number = spaceless.count()
+    if not number:
+        return train([])
+    share = min(1.0, TRAIN_TEXTS / number)
+    chosen = spaceless.where(F.pmod("h", F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1)).select("h", F.substring("t", 1, TRAIN_CHARS).alias("t"))
+    rows = chosen.limit(2 * TRAIN_TEXTS).collect()  # about TRAIN_TEXTS x TRAIN_CHARS characters
+    return train(sorted({r.t for r in rows if not mojibake.repair(r.t)[0]}))
 
 
 def with_ends(df: DataFrame, text: str, model: dict, name: str = "ends") -> DataFrame:
