@@ -465,5 +465,5 @@ def scored(df: DataFrame, text: str) -> DataFrame:
             yield pd.DataFrame([grammar().score(t) if isinstance(t, str) else (0.0, "") for t in batch], columns=["score", "kinds"])
 
     score.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    made = df.withColumn("__scored", F.pandas_udf(score, "score double, kinds string")(F.col(text)))
+    made = df.withColumn("__scored", F.pandas_udf(score, "score double, kinds string").asNondeterministic()(F.col(text)))
     return made.withColumns({"score": F.round(F.col("__scored.score"), 6), "kinds": F.col("__scored.kinds")}).drop("__scored")

@@ -173,8 +173,9 @@ def _automaton():
     return machine, pairs
 
 
+@lru_cache(maxsize=4)
 def _runs(text: str) -> dict[int, list[list[int]]]:
-    """For every pair the runs of its matches: [start, end, number of matches]."""
+    """For every pair the runs of its matches: [start, end, number of matches]; a text is scanned once, however often it is asked for."""
     machine, _ = _automaton()
     runs: dict[int, list[list[int]]] = {}
     for last, (length, owners) in machine.iter(text):
@@ -449,6 +450,9 @@ def repair(text: str | None, lang: str | None = None) -> tuple[bool, str | None,
     """(damaged, restored text, whether all of it could be restored)."""
     if not text or text.isspace():
         return False, text, True
+    if not _runs(text):
+        lost = "?" in text and _lost_words(text)
+        return lost, text, not lost
     now, before = text, None
     while now != before:  # a round that replaces makes the text shorter
         before = now
@@ -478,7 +482,7 @@ def repaired(df: DataFrame, text: str, lang: str | None = None, prefix: str = ""
     those names that the table already has are replaced.
     """
     ship(df.sparkSession)
-    udf = F.pandas_udf(_repair_batch, RESULT)
+    udf = F.pandas_udf(_repair_batch, RESULT).asNondeterministic()  # else filters repeat it
     suspect: Column = F.when(F.col(text).rlike(SUSPECT), F.col(text))
     spoken = F.col(lang).cast("string") if lang else F.lit(None).cast("string")
     out = df.withColumn("__repair", udf(suspect, spoken))

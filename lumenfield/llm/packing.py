@@ -54,7 +54,7 @@ def with_tokens(df: DataFrame, text: str, name: str = "tokens", path: str = TOKE
             yield pd.Series([len(encode(t)) if isinstance(t, str) else None for t in batch], dtype="Int32")
 
     count.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return df.withColumn(name, F.pandas_udf(count, "int")(F.col(text)))
+    return df.withColumn(name, F.pandas_udf(count, "int").asNondeterministic()(F.col(text)))
 
 
 class Packer:

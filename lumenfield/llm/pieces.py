@@ -155,4 +155,4 @@ def with_pieces(df: DataFrame, text: str, limit: str, overlap: str, model: dict,
             yield pd.Series([[dict(zip(("start", "end", "first", "last"), p)) for p in _segments(t, f, a, b)] for t, f, a, b in zip(texts, found, firsts, lasts)])
 
     pieces.__annotations__ = {"batches": Iterator[tuple[pd.Series, ...]], "return": Iterator[pd.Series]}
-    return df.withColumn(name, F.pandas_udf(pieces, PIECE)(*[F.col(c) for c in (text, limit, overlap, first, last)]))
+    return df.withColumn(name, F.pandas_udf(pieces, PIECE).asNondeterministic()(*[F.col(c) for c in (text, limit, overlap, first, last)]))

@@ -423,4 +423,4 @@ def with_ends(df: DataFrame, text: str, model: dict, name: str = "ends") -> Data
             yield pd.Series([sentence_ends(t, shared.value) if isinstance(t, str) else [] for t in batch])
 
     ends.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return df.withColumn(name, F.pandas_udf(ends, "array<int>")(F.col(text)))
+    return df.withColumn(name, F.pandas_udf(ends, "array<int>").asNondeterministic()(F.col(text)))
