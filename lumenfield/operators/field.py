@@ -91,7 +91,7 @@ def _scored(terms: DataFrame, basis: Basis, vec: str, place: bool) -> DataFrame:
             yield frame.assign(x=spots.real, y=spots.imag, r=np.abs(spots)) if place else frame
 
     score.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    made = F.pandas_udf(score, "sims array<double>" + (", x double, y double, r double" if place else ""))(F.col(vec))
+    made = F.pandas_udf(score, "sims array<double>" + (", x double, y double, r double" if place else "")).asNondeterministic()(F.col(vec))  # else a filter on the result repeats it
     out = terms.withColumn("__scored", made).withColumn("sims", F.col("__scored.sims"))
     if place:
         some = F.col("sims").isNotNull()
