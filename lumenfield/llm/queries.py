@@ -5,27 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import sized, table, written
 from . import abuse, cooccur, knn, leakage, lookalikes, mojibake, packing, pieces, sentences
 
 # ---------------------------------------------------------------------------------------------------------------- P1
 
 
+def _cells(spark: SparkSession, d: str, columns: tuple[str, ...] = ("word_i", "word_j")) -> DataFrame:
+    """(basket, word): the words of every sentence, once each, before anything is joined to them."""
+    pairs = table(spark, d, "pairs").select("sentence_id", *columns).where("sentence_id is not null")
+    cells = pairs.select(F.col("sentence_id").alias("basket"), F.explode(F.array(*columns)).alias("word")).where("word is not null")
+    return written(cells.distinct(), "cells")
+
+
 def _lexicon_cells(spark: SparkSession, d: str) -> DataFrame:
     """(basket, grp, item) of the cells of ``pairs`` that look like a lexicon word: sentence, language, word id."""
-    pairs = table(spark, d, "pairs").select("sentence_id", "word_i", "word_j").where("sentence_id is not null")
-    cells = pairs.select(F.col("sentence_id").alias("basket"), F.explode(F.array("word_i", "word_j")).alias("word")).where("word is not null")
+    cells = _cells(spark, d)
     lexicon = table(spark, d, "lexicon").select(F.col("form").alias("plain"), F.col("lang").alias("grp"), F.col("word_id").alias("item"))
-    known = lookalikes.plain_spelling(cells, "word").join(F.broadcast(lexicon), "plain").select("word", "grp", "item")
-    return cells.join(lookalikes.sized(known, "lexicon-words"), "word").select("basket", "grp", "item")
+    known = written(lookalikes.plain_spelling(cells, "word").join(sized(lexicon), "plain").select("word", "grp", "item"), "lexicon-words")
+    return cells.join(sized(known), "word").select("basket", "grp", "item")
 
 
-def _word_cells(spark: SparkSession, d: str) -> DataFrame:
+def _word_cells(spark: SparkSession, d: str, columns: tuple[str, ...] = ("word_i", "word_j")) -> DataFrame:
     """(basket, grp, item) of all cells of ``pairs``: sentence, one group, the word in plain spelling."""
-    pairs = table(spark, d, "pairs").select("sentence_id", "word_i", "word_j").where("sentence_id is not null")
-    cells = pairs.select(F.col("sentence_id").alias("basket"), F.explode(F.array("word_i", "word_j")).alias("word")).where("word is not null")
-    plain = lookalikes.plain_spelling(cells, "word").select("word", F.col("plain").alias("item")).where("item <> ''")
-    return cells.join(lookalikes.sized(plain, "plain-words"), "word").select("basket", F.lit("").alias("grp"), "item")
+    cells = _cells(spark, d, columns)
+    plain = written(lookalikes.plain_spelling(cells, "word").select("word", F.col("plain").alias("item")).where("item <> ''"), "plain-words")
+    return cells.join(sized(plain), "word").select("basket", F.lit("").alias("grp"), "item")
 
 
 def _scores(spark: SparkSession, cells: DataFrame) -> DataFrame:
@@ -37,6 +42,15 @@ def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _scores(spark, _word_cells(spark, d)).select(F.col("a").alias("word_a"), F.col("b").alias("word_b"), "n_ab", "n_a", "n_b", "n_all", F.round("lift", 6).alias("lift"))
 
 
+def p1_incremental(spark: SparkSession, d: str) -> DataFrame:
+    """The same table made in two steps: first the sentences as their first words alone show them, then the change to the whole
+    sentences, merged into the counts that are there. The rows are the scores that this change affects."""
+    first, whole = (cooccur.baskets(_word_cells(spark, d, c)) for c in (("word_i",), ("word_i", "word_j")))
+    pairs = cooccur.PairTable(spark)
+    pairs.apply(cooccur.changes(None, first), "first words").apply(cooccur.changes(first, whole), "whole sentences")
+    return pairs.scores(pairs.affected).select(F.col("a").alias("word_a"), F.col("b").alias("word_b"), "n_ab", "n_a", "n_b", "n_all", F.round("lift", 6).alias("lift"))
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of lexicon words of one language that belong together."""
     strong = (F.col("n_ab") >= 4) & (F.col("n_ab") * 500 >= F.col("n_all")) & (F.col("n_ab") * F.col("n_all") >= 4 * F.col("n_a") * F.col("n_b"))

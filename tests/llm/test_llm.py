@@ -45,6 +45,50 @@ def test_incremental_pairs_equal_a_fresh_count(spark):
     assert state.where == before  # nothing changed, nothing is written
 
 
+def test_a_table_is_opened_again_and_changes_apply_once(spark, tmp_path):
+    schema = "basket long, grp string, item long"
+    one = cooccur.baskets(spark.createDataFrame([(1, "x", 1), (1, "x", 2), (2, "x", 2), (2, "x", 3)], schema))
+    two = cooccur.baskets(spark.createDataFrame([(1, "x", 1), (1, "x", 2), (2, "x", 2), (2, "x", 3), (3, "x", 1), (3, "x", 2)], schema))
+    cooccur.PairTable(spark, str(tmp_path)).apply(cooccur.changes(None, one), "first")
+    again = cooccur.PairTable(spark, str(tmp_path)).apply(cooccur.changes(None, one), "first")  # a repeated load
+    assert again.version == 1 and rows_of(again) == {("x", 1, 2): (1, 1, 2, 2), ("x", 2, 3): (1, 2, 1, 2)}
+    again.apply(cooccur.changes(one, two), "second")
+    assert rows_of(cooccur.PairTable(spark, str(tmp_path))) == {("x", 1, 2): (2, 2, 3, 3), ("x", 2, 3): (1, 3, 1, 3)}
+    assert again.apply(cooccur.changes(one, two), "second").affected.count() == 0
+    (tmp_path / "v3" / "bucket=0").mkdir(parents=True)  # what a failed change leaves behind isn't seen
+    assert cooccur.PairTable(spark, str(tmp_path)).version == 2
+
+
+@pytest.mark.parametrize("added", [False, True])
+def test_affected_scores_are_the_difference(spark, added):
+    rng = random.Random(3)
+    schema = "basket long, grp string, item long"
+    one = [(k, "x" if k % 2 else "y", rng.randrange(20)) for k in range(40) for _ in range(4)]
+    two = [r for r in one if r[0] != 7] + [(7, "x", i) for i in (1, 2, 3)] + ([(99, "y", 4), (99, "y", 5)] if added else [])
+    a, b = (cooccur.baskets(spark.createDataFrame(v, schema)) for v in (one, two))
+    table = cooccur.PairTable(spark).apply(cooccur.changes(None, a))
+    before = {(r.grp, r.a, r.b): r.lift for r in table.scores().collect()}
+    table.apply(cooccur.changes(a, b))
+    after = {(r.grp, r.a, r.b): r.lift for r in table.scores().collect()}
+    got = {(r.grp, r.a, r.b): r.lift for r in table.scores(table.affected).collect()}
+    assert {k for k, v in after.items() if before.get(k) != v} <= set(got) and all(after[k] == v for k, v in got.items())
+    assert all(g != "y" for g, _, _ in got) != added  # a group whose total and items stay isn't touched
+
+
+def test_a_hot_basket_is_split(spark, monkeypatch):
+    monkeypatch.setattr(cooccur, "PART", 7)
+    monkeypatch.setattr(cooccur, "BUCKET_ROWS", 40)
+    schema = "basket long, grp string, item long"
+    one = [(1, "x", i) for i in range(40)] + [(k, "x", i) for k in range(2, 9) for i in (k, k + 1, 50)]
+    two = [r for r in one if r != (1, "x", 5)] + [(1, "x", 77)]
+    a, b = (cooccur.baskets(spark.createDataFrame(v, schema)) for v in (one, two))
+    assert a.where("basket = 1").count() > 4
+    sets = lambda v: [("x", {i for k, _, i in v if k == basket}) for basket in {k for k, _, _ in v}]
+    table = cooccur.PairTable(spark).apply(cooccur.changes(None, a))
+    assert table.buckets > 4 and rows_of(table) == brute_pairs(sets(one))
+    assert rows_of(table.apply(cooccur.changes(a, b))) == brute_pairs(sets(two))
+
+
 def test_pairs_of_an_empty_table(spark):
     empty = spark.createDataFrame([], "basket long, grp string, item long")
     assert cooccur.PairTable(spark).apply(cooccur.changes(None, cooccur.baskets(empty))).scores().count() == 0
