@@ -50,6 +50,8 @@ PRIOR = 20_000
 PART = 3.2
 JOINT = 7.0
 DENSE = 0.7
+#: Stretches of one document and item meet in blocks of this many.
+MEET = 1024
 
 _MARKS = re.compile("[\\u0610-\\u061A\\u064B-\\u065F\\u0670\\u06D6-\\u06ED\\u0640\\u0591-\\u05BD\\u05BF-\\u05C7\\u200B-\\u200F\\u202A-\\u202E\\u2060\\uFEFF\\u00AD\\u0300-\\u036F]")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -119,6 +121,13 @@ class Items:
             w = texts[i]
             stock = max((n for n in range(3, len(w) + 1) if shared[tuple(w[:n])] >= STOCK), default=0)
             self.matrix[k, : len(w)] = [-3 if n < stock else self.vocabulary.setdefault(x, len(self.vocabulary)) for n, x in enumerate(w)]
+        # every three consecutive words, once each, and the items and places that have them
+        item, at = np.nonzero((self.matrix[:, :-2] >= 0) & (self.matrix[:, 1:-1] >= 0) & (self.matrix[:, 2:] >= 0)) if self.length >= 3 else (np.zeros(0, dtype=np.int64),) * 2
+        three = np.stack([self.matrix[item, at + j] for j in range(3)], axis=1) if len(item) else np.zeros((0, 3), dtype=np.int32)
+        self.threes, own = np.unique(three, axis=0, return_inverse=True)
+        order = np.argsort(own.ravel(), kind="stable")
+        self.three_item, self.three_at = item[order], at[order]
+        self.three_starts = np.searchsorted(own.ravel()[order], np.arange(len(self.threes) + 1))
 
 
 def text_counts(row, vocabulary: dict[str, int]) -> pd.DataFrame:
@@ -200,37 +209,33 @@ def stretches(row, items: Items, gain: np.ndarray, least: int = WORDS) -> pd.Dat
     starts = np.frombuffer(row.starts, dtype=np.int32)
     counts = np.frombuffer(row.counts, dtype=np.int32)
     postings = np.frombuffer(row.postings, dtype=np.int32)
+    columns = ["doc_id", "item", "a", "b", "p", "q", "n", "score"]
     bounds = np.concatenate([[0], np.cumsum(counts)])
-    lists: dict[int, np.ndarray] = {}
     token = np.full(row.size + 2 * GAP, -1, dtype=np.int32)
+    begins, sizes = np.zeros(len(items.vocabulary) + 1, dtype=np.int64), np.zeros(len(items.vocabulary) + 1, dtype=np.int64)
     for k, term in enumerate(row.terms.split("\n") if row.terms else []):
         number = items.vocabulary.get(term)
         if number is not None:
-            lists[number] = postings[bounds[k] : bounds[k + 1]]
-            token[lists[number] + GAP] = number
-    empty = np.zeros(0, dtype=np.int32)
-    seen: dict[tuple, np.ndarray] = {}
-    seeds = []
-    for k in range(len(items.ids)):
-        line = items.matrix[k].tolist()
-        for i in range(len(line) - 2):
-            three = (line[i], line[i + 1], line[i + 2])
-            if min(three) < 0 or gain[list(three)].sum() < SEED:
-                continue
-            if three not in seen:
-                own = [lists.get(x, empty) for x in three]
-                rare = min(range(3), key=lambda j: len(own[j]))
-                begin = own[rare] - rare + GAP  # offset-adjusted positions of the first word
-                for j in range(3):
-                    if j != rare and len(begin):
-                        begin = begin[token[begin + j] == three[j]]
-                seen[three] = begin
-            if len(seen[three]):
-                seeds.append(np.stack([np.full(len(seen[three]), k), np.full(len(seen[three]), i), seen[three]]))
-    columns = ["doc_id", "item", "a", "b", "p", "q", "n", "score"]
-    if not seeds:
+            begins[number], sizes[number] = bounds[k], counts[k]
+            token[postings[bounds[k] : bounds[k + 1]] + GAP] = number
+    # the list of the rarest of three words, offset-adjusted to the first, intersected with the lists of the others
+    held = np.flatnonzero((gain[items.threes].sum(axis=1) >= SEED) & (sizes[items.threes] > 0).all(axis=1))
+    threes = items.threes[held]
+    rare = sizes[threes].argmin(axis=1)
+    word = threes[np.arange(len(threes)), rare]
+    own = np.repeat(np.arange(len(threes)), sizes[word])
+    first = np.repeat(np.cumsum(sizes[word]) - sizes[word], sizes[word])
+    begin = postings[begins[word][own] + np.arange(len(own)) - first].astype(np.int64) - rare[own] + GAP
+    for j in range(3):
+        hit = token[begin + j] == threes[own, j]
+        own, begin = own[hit], begin[hit]
+    # every item and place that has the three words
+    places = items.three_starts[held[own] + 1] - items.three_starts[held[own]]
+    seed = np.repeat(np.arange(len(own)), places)
+    at = items.three_starts[held[own]][seed] + np.arange(len(seed)) - np.repeat(np.cumsum(places) - places, places)
+    item, at, pos = items.three_item[at], items.three_at[at], begin[seed]
+    if not len(item):
         return pd.DataFrame({c: [] for c in columns})
-    item, at, pos = np.concatenate(seeds, axis=1)
     # of seeds that continue each other the first is enough
     diagonal = np.lexsort((at, pos - at, item))
     item, at, pos = item[diagonal], at[diagonal], pos[diagonal]
@@ -243,28 +248,40 @@ def stretches(row, items: Items, gain: np.ndarray, least: int = WORDS) -> pd.Dat
     score = more + less + sum(gain[items.matrix[item, at + j]] for j in range(3))
     keep = n >= DENSE * (np.maximum(b - a, q - p) + 1)
     doc = np.searchsorted(starts, p - GAP, side="right") - 1
-    held = doc * len(items.ids) + item
-    keep &= np.isin(held, held[keep & (2 * n >= least)])  # of two stretches that hold enough words the longer holds half of them
+    both = doc * len(items.ids) + item
+    keep &= np.isin(both, both[keep & (2 * n >= least)])  # of two stretches that hold enough words the longer holds half of them
     doc = doc[keep]
     out = pd.DataFrame({"doc_id": np.frombuffer(row.doc_ids, dtype=np.int64)[doc], "item": item[keep], "a": a[keep], "b": b[keep], "p": p[keep], "q": q[keep], "n": n[keep], "score": score[keep]})
     return out.drop_duplicates()
 
 
 def joined(found: pd.DataFrame) -> pd.DataFrame:
-    """The most words one stretch, or two in order at any distance, hold of each (doc_id, item)."""
+    """The most words one stretch, or two in order at any distance, hold of each (doc_id, item).
+
+    Of stretches alike but for their place only the one that ends first can matter as the first of two, and the one that begins
+    last as the second; so a document that repeats an item ever so often has few to pair. They meet in blocks of ``MEET``.
+    """
     alone = found[(found.n >= STRETCH) & (found.score >= SCORE)].groupby(["doc_id", "item"], sort=False).n.max()
     single = alone.to_dict()
-    several = found.groupby(["doc_id", "item"], sort=False).n.agg(["max", "size"]).reset_index()
-    several = several[(several["size"] > 1) & (several["max"] < 1000)]
-    pairs = found.merge(several[["doc_id", "item"]], on=["doc_id", "item"])
-    for key, own in pairs.groupby(["doc_id", "item"], sort=False):
-        a, b, p, q, n, score = (own[c].to_numpy() for c in ("a", "b", "p", "q", "n", "score"))
-        span = np.maximum(b - a, q - p) + 1
-        both = n[:, None] + n[None, :]
-        sure = (np.minimum(score[None, :], score[:, None]) >= PART) | (score[None, :] + score[:, None] >= JOINT) & (6 * both >= 5 * (span[:, None] + span[None, :]))
-        behind = (a[None, :] > b[:, None]) & (p[None, :] > q[:, None]) & sure
-        if behind.any():
-            single[key] = max(single.get(key, 0), int(both[behind].max()))
+    several = found.groupby(["doc_id", "item"], sort=False).n.size()
+    several = several[several > 1].reset_index()[["doc_id", "item"]]
+    pairs = found.merge(several, on=["doc_id", "item"])
+    pairs = pairs.assign(span=np.maximum(pairs.b - pairs.a, pairs.q - pairs.p) + 1)
+    alike = ["doc_id", "item", "a", "b", "n", "score", "span"]
+    firsts = pairs.groupby(alike, sort=False).q.min().reset_index()
+    seconds = dict(list(pairs.groupby(alike, sort=False).p.max().reset_index().groupby(["doc_id", "item"], sort=False)))
+    for key, own in firsts.groupby(["doc_id", "item"], sort=False):
+        other = seconds[key]
+        a, p, m, late, wide = (other[c].to_numpy()[None, :] for c in ("a", "p", "n", "score", "span"))
+        for at in range(0, len(own), MEET):
+            for to in range(0, a.shape[1], MEET):
+                b, q, n, early, span = (own[c].to_numpy()[at : at + MEET, None] for c in ("b", "q", "n", "score", "span"))
+                part = slice(to, to + MEET)
+                both = n + m[:, part]
+                sure = (np.minimum(early, late[:, part]) >= PART) | (early + late[:, part] >= JOINT) & (6 * both >= 5 * (span + wide[:, part]))
+                behind = (a[:, part] > b) & (p[:, part] > q) & sure
+                if behind.any():
+                    single[key] = max(single.get(key, 0), int(both[behind].max()))
     return pd.DataFrame([(d, i, int(w)) for (d, i), w in single.items()], columns=["doc_id", "item", "words"])
 
 
