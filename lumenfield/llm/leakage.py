@@ -9,7 +9,7 @@ folder once and can serve any number of evaluation sets. Queries run segment by
 * seeds are extended both ways word by word; a word may be replaced, left out or added (the offset shifts), and an
   extension ends where errors outweigh matches: proximity matches, the stretches;
 * a document leaks an item if one stretch, or two in the item's order at any distance, hold at least ``WORDS`` of its words;
-  two count as no chance by what their words weigh, the shorter may be of three words.
+  two must hold more than chance puts into a text at their distance, the shorter may be of three words.
 
 Words are runs of letters after compatibility normalisation, in lower case, without vowel marks and kashida; numbers,
 punctuation, list marks and spacing don't count. Openings that ``STOCK`` or more items share word by word are stock and
@@ -46,9 +46,11 @@ SEED = 0.9
 SCORE = 2.5
 #: Words of a corpus taken as known besides its own, so that the words of a small one don't pass for common.
 PRIOR = 20_000
-#: Two stretches in order make a pair, at any distance, if each scores PART, or if both together score JOINT and hold five words of six they span.
-PART = 3.2
-JOINT = 7.0
+#: Two stretches in order make a pair, at any distance, if their words hold PAIR bits and two more for every doubling of the words
+#: between them (a stretch D words away has D places to be found by chance, and so has the item's), and they hold five words of six.
+PAIR = 70.0
+#: Bits of a word: WORD_BITS and SCORE_BITS for all of its weight.
+WORD_BITS, SCORE_BITS = 4.0, 5.0
 DENSE = 0.7
 #: Stretches of one document and item meet in blocks of this many.
 MEET = 1024
@@ -272,13 +274,15 @@ def joined(found: pd.DataFrame) -> pd.DataFrame:
     seconds = dict(list(pairs.groupby(alike, sort=False).p.max().reset_index().groupby(["doc_id", "item"], sort=False)))
     for key, own in firsts.groupby(["doc_id", "item"], sort=False):
         other = seconds[key]
-        a, p, m, late, wide = (other[c].to_numpy()[None, :] for c in ("a", "p", "n", "score", "span"))
+        a, p, m, late, wide = (other[c].to_numpy()[None, :] for c in ("a", "p", "n", "score", "span"))  # what comes second
         for at in range(0, len(own), MEET):
             for to in range(0, a.shape[1], MEET):
                 b, q, n, early, span = (own[c].to_numpy()[at : at + MEET, None] for c in ("b", "q", "n", "score", "span"))
                 part = slice(to, to + MEET)
                 both = n + m[:, part]
-                sure = (np.minimum(early, late[:, part]) >= PART) | (early + late[:, part] >= JOINT) & (6 * both >= 5 * (span + wide[:, part]))
+                apart = np.maximum(p[:, part] - q, 1)
+                bits = SCORE_BITS * (early + late[:, part]) + WORD_BITS * both
+                sure = (bits >= PAIR + 2 * np.log2(apart)) & (6 * both >= 5 * (span + wide[:, part]))
                 behind = (a[:, part] > b) & (p[:, part] > q) & sure
                 if behind.any():
                     single[key] = max(single.get(key, 0), int(both[behind].max()))
