@@ -54,39 +54,71 @@ def _boundaries(text: str, limit: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(starts, dtype=np.int64), np.array(ends, dtype=np.int64)
 
 
-def _successors(text: str, limit: int, overlap: int, model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(ends, start of the piece behind each end, successor of each end, word starts); the first end is a virtual 0."""
-    starts, words = _boundaries(text, limit)
-    ends = np.concatenate([[0], words])
-    sentences = np.array(sentence_ends(text, model), dtype=np.int64)
-    sentences = sentences[np.isin(sentences, words)]
-    opening = starts[np.searchsorted(starts, sentences[:-1])] if len(sentences) > 1 else np.array([], dtype=np.int64)
-    # the start of the piece that follows an end
-    wanted = ends - overlap
-    at = np.clip(np.searchsorted(starts, wanted), 1, len(starts) - 1) if len(starts) > 1 else np.zeros(len(ends), dtype=np.int64)
-    if len(starts) > 1:
-        near = np.where(wanted - starts[at - 1] <= starts[at] - wanted, starts[at - 1], starts[at])
-    else:
-        near = np.full(len(ends), starts[0])
-    if len(opening):
-        k = np.clip(np.searchsorted(opening, wanted), 0, len(opening) - 1)
-        for candidate in (opening[np.maximum(k - 1, 0)], opening[k]):
-            close = (np.abs(candidate - wanted) * 2 <= overlap) & (candidate < ends)
-            near = np.where(close, candidate, near)
-    near = np.where(near < ends, near, ends)
-    near[0] = starts[0]
-    follow = starts[np.minimum(np.searchsorted(starts, ends), len(starts) - 1)]  # without any overlap
-    # the farthest end within the limit: of a sentence, else of a word, beyond the end before in either case
-    reach = words[np.maximum(np.searchsorted(words, near + limit, side="right") - 1, 0)]
-    short = reach <= ends
-    near = np.where(short & (np.arange(len(ends)) > 0), follow, near)
-    reach = words[np.maximum(np.searchsorted(words, near + limit, side="right") - 1, 0)]
-    if len(sentences):
-        whole = sentences[np.maximum(np.searchsorted(sentences, near + limit, side="right") - 1, 0)]
-        reach = np.where((whole > ends) & (whole <= near + limit), whole, reach)
-    successor = np.searchsorted(ends, reach)
-    successor[-1] = len(ends) - 1
-    return ends, near, np.maximum(successor, np.minimum(np.arange(len(ends)) + 1, len(ends) - 1)), starts
+class _Table:
+    """The boundaries of a text, where the piece behind each begins, and the farthest legal successor of each.
+
+    ``ends`` are word ends behind a virtual first end 0; ``near`` is the start of the piece behind an end; ``successor`` the place of
+    its own end. The last end is its own successor.
+    """
+
+    def __init__(self, text: str, limit: int, overlap: int, model: dict) -> None:
+        self.limit, self.overlap = limit, max(0, min(overlap, limit - 1))
+        self.starts, self.words = _boundaries(text, limit)
+        self.ends = np.concatenate([[0], self.words])
+        sentences = np.array(sentence_ends(text, model), dtype=np.int64)
+        self.sentences = sentences[np.isin(sentences, self.words)]
+        self.near = self._wanted()
+        self.successor = self._farthest()
+
+    def _wanted(self) -> np.ndarray:
+        """For every end the word start nearest to ``end - overlap``, or a sentence start in that neighbourhood."""
+        starts, ends = self.starts, self.ends
+        wanted = ends - self.overlap
+        at = np.clip(np.searchsorted(starts, wanted), 1, max(len(starts) - 1, 1))
+        before, behind = starts[at - 1], starts[np.minimum(at, len(starts) - 1)]
+        near = np.where(wanted - before <= behind - wanted, before, behind)
+        opening = starts[np.searchsorted(starts, self.sentences[:-1])] if len(self.sentences) > 1 else self.sentences[:0]
+        if len(opening):
+            k = np.clip(np.searchsorted(opening, wanted), 0, len(opening) - 1)
+            for candidate in (opening[np.maximum(k - 1, 0)], opening[k]):
+                close = (np.abs(candidate - wanted) * 2 <= self.overlap) & (candidate < ends)
+                near = np.where(close, candidate, near)
+        near = np.where(near < ends, near, self._following(ends))
+        near[0] = starts[0]
+        return near
+
+    def _following(self, ends: np.ndarray) -> np.ndarray:
+        """The first word start not before an end: no overlap at all."""
+        return self.starts[np.minimum(np.searchsorted(self.starts, ends), len(self.starts) - 1)]
+
+    def _farthest(self) -> np.ndarray:
+        """The farthest end within the limit, beyond the end before: of a sentence, else of a word. Starts that lead nowhere give up their overlap."""
+        words, ends = self.words, self.ends
+        last = lambda of, near: of[np.maximum(np.searchsorted(of, near + self.limit, side="right") - 1, 0)]
+        stuck = (last(words, self.near) <= ends) & (np.arange(len(ends)) > 0)
+        self.near = np.where(stuck, self._following(ends), self.near)
+        reach = last(words, self.near)
+        if len(self.sentences):
+            whole = last(self.sentences, self.near)
+            reach = np.where((whole > ends) & (whole <= self.near + self.limit), whole, reach)
+        successor = np.searchsorted(ends, reach)
+        successor[-1] = len(ends) - 1
+        return np.maximum(successor, np.minimum(np.arange(len(ends)) + 1, len(ends) - 1))
+
+    def advance(self, chain: np.ndarray) -> bool:
+        """Move starts of the pieces on a chain of ends that don't lie beyond the start before, to the next word; whether any was moved.
+
+        That happens behind a piece shorter than the overlap. The successors are then those of the moved starts.
+        """
+        begin = self.near[chain]
+        late = np.flatnonzero(begin[1:] <= begin[:-1]) + 1
+        late = late[chain[late] < len(self.ends) - 1]
+        if not len(late):
+            return False
+        moved = self.starts[np.minimum(np.searchsorted(self.starts, begin[late - 1], side="right"), len(self.starts) - 1)]
+        self.near[chain[late]] = np.minimum(moved, self._following(self.ends[chain[late]]))
+        self.successor = self._farthest()
+        return True
 
 
 def reached(successor: np.ndarray, roots: np.ndarray) -> np.ndarray:
@@ -104,28 +136,20 @@ def reached(successor: np.ndarray, roots: np.ndarray) -> np.ndarray:
 
 
 def cut(texts: list[str], limits: list[int], overlaps: list[int], model: dict) -> list[list[tuple[int, int]]]:
-    """Pieces (start, end) of every text; the texts' successor tables are laid end to end and doubled together."""
-    tables = [_successors(t, limit, max(0, min(overlap, limit // 2)), model) if t and not t.isspace() else None for t, limit, overlap in zip(texts, limits, overlaps)]
-    known = [t for t in tables if t is not None]
-    if not known:
-        return [[] for _ in texts]
-    offsets = np.cumsum([0, *[len(t[0]) for t in known]])
-    mark = reached(np.concatenate([t[2] + o for t, o in zip(known, offsets)]), offsets[:-1])
-    out, k = [], 0
-    for table in tables:
-        if table is None:
-            out.append([])
-            continue
-        ends, near, _, starts = table
-        hit = np.flatnonzero(mark[offsets[k] : offsets[k + 1]])
-        begin = near[hit[:-1]]
-        late = np.flatnonzero(begin[1:] <= begin[:-1])
-        for at in range(late[0] + 1 if len(late) else len(begin), len(begin)):  # behind a piece shorter than the overlap: one word later
-            if begin[at] <= begin[at - 1]:
-                begin[at] = starts[np.searchsorted(starts, begin[at - 1], side="right")]
-        out.append(list(zip(begin.tolist(), ends[hit[1:]].tolist())))
-        k += 1
-    return out
+    """Pieces (start, end) of every text; the texts' successor tables are laid end to end and doubled together.
+
+    An overlap of the limit or more counts as one below it. Where a start has to move, the chain of its text is derived anew.
+    """
+    tables = [_Table(t, limit, overlap, model) if t and not t.isspace() else None for t, limit, overlap in zip(texts, limits, overlaps)]
+    chains: dict[int, np.ndarray] = {}
+    open_ = [k for k, table in enumerate(tables) if table is not None]
+    while open_:
+        offsets = np.cumsum([0, *[len(tables[k].ends) for k in open_]])
+        mark = reached(np.concatenate([tables[k].successor + o for k, o in zip(open_, offsets)]), offsets[:-1])
+        for k, a, b in zip(open_, offsets, offsets[1:]):
+            chains[k] = np.flatnonzero(mark[a:b])
+        open_ = [k for k in open_ if tables[k].advance(chains[k])]
+    return [list(zip(t.near[chains[k][:-1]].tolist(), t.ends[chains[k][1:]].tolist())) if t is not None else [] for k, t in enumerate(tables)]
 
 
 def _segments(text: str, pieces: list[tuple[int, int]], first: float, last: float) -> list[tuple[int, int, int | None, int | None]]:

@@ -42,6 +42,12 @@ def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _scores(spark, _word_cells(spark, d)).select(F.col("a").alias("word_a"), F.col("b").alias("word_b"), "n_ab", "n_a", "n_b", "n_all", F.round("lift", 6).alias("lift"))
 
 
+def p1_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The same over the words as they are written, without any change of spelling."""
+    cells = _cells(spark, d).select("basket", F.lit("").alias("grp"), F.col("word").alias("item"))
+    return _scores(spark, cells).select(F.col("a").alias("word_a"), F.col("b").alias("word_b"), "n_ab", "n_a", "n_b", "n_all", F.round("lift", 6).alias("lift"))
+
+
 def p1_incremental(spark: SparkSession, d: str) -> DataFrame:
     """The same table made in two steps: first the sentences as their first words alone show them, then the change to the whole
     sentences, merged into the counts that are there. The rows are the scores that this change affects."""
@@ -119,21 +125,47 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------------------------------------------------------- P5
 
 
-def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
-    """The pieces of every passage longer than the limit of its language."""
+def _oversized(spark: SparkSession, d: str) -> DataFrame:
+    """(id, lang, text, limit, overlap, start_sentence, end_sentence) of the passages above the limit of their language, each once.
+
+    A language without a row of its own takes that of ``*``; without either it has no limit and nothing of it is cut.
+    """
     limits = table(spark, d, "piece_limits")
+    any_ = limits.where("lang = '*'").agg(F.max("max_chars").alias("m"), F.max("overlap_chars").alias("o")).first()  # one row
+    own = limits.where("lang <> '*'").groupBy("lang").agg(F.max("max_chars").alias("max_chars"), F.max("overlap_chars").alias("overlap_chars"))
     passages = table(spark, d, "passages").select("id", "lang", "text", "start_sentence", "end_sentence").where("id is not null and text is not null")
-    fallback = limits.where("lang = '*'").select(F.col("max_chars").alias("any_max"), F.col("overlap_chars").alias("any_overlap"))
-    own = limits.where("lang <> '*'").select("lang", "max_chars", "overlap_chars")
-    limited = passages.join(F.broadcast(own), "lang", "left").join(F.broadcast(fallback), F.lit(True))  # one row per language, one row
-    limited = limited.withColumns({"limit": F.coalesce("max_chars", "any_max"), "overlap": F.coalesce("overlap_chars", "any_overlap")})
-    large = limited.where(F.length("text") > F.col("limit")).select("id", "text", "limit", "overlap", "start_sentence", "end_sentence").dropDuplicates(["id"])
+    limited = passages.join(F.broadcast(own), "lang", "left")  # a row a language
+    limited = limited.withColumns({"limit": F.coalesce("max_chars", F.lit(any_.m)), "overlap": F.coalesce("overlap_chars", F.lit(any_.o), F.lit(0))})
+    return limited.where(F.length("text") > F.col("limit")).select("id", "lang", "text", "limit", "overlap", "start_sentence", "end_sentence").dropDuplicates(["id"])
+
+
+def _cut(spark: SparkSession, d: str) -> DataFrame:
     model = sentences.fitted(table(spark, d, "passages"), "id", "text")
-    cut = pieces.with_pieces(large, "text", "limit", "overlap", model, "start_sentence", "end_sentence")
-    each = cut.select("id", "text", F.posexplode_outer("pieces").alias("number", "p"))  # an oversized blank text has no piece, but stays listed
+    return pieces.with_pieces(_oversized(spark, d), "text", "limit", "overlap", model, "start_sentence", "end_sentence")
+
+
+def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of every passage longer than the limit of its language."""
+    each = _cut(spark, d).select("id", "text", F.posexplode_outer("pieces").alias("number", "p"))  # an oversized blank text has no piece, but stays listed
     return each.select("id", "number", F.col("p.start").alias("start_char"), F.col("p.end").alias("end_char"), F.col("p.first").alias("start_sentence"), F.col("p.last").alias("end_sentence"), F.expr("substring(text, p.start + 1, p.end - p.start)").alias("piece"))
 
 
+def p5_checked(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the pieces, by language: none above the limit, none out of order, and no other character
+    than blanks between them or outside."""
+    one = _cut(spark, d).where("trim(text) <> ''")
+    p, n = F.col("pieces"), F.size("pieces")
+    over = F.size(F.filter(p, lambda x: x["end"] - x["start"] > F.col("limit")))
+    behind = F.transform(p, lambda x, k: F.when(k > 0, (x["start"] <= F.get(p, k - 1)["start"]) | (x["end"] <= F.get(p, k - 1)["end"])).otherwise(F.lit(False)))
+    before = lambda x, k: F.when(k > 0, F.get(p, k - 1)["end"]).otherwise(F.lit(0))
+    seen = lambda c: F.regexp_replace(c, "[\\s\\p{Z}\\u001C-\\u001F\\u0085]+", "")
+    gaps = F.transform(p, lambda x, k: seen(F.substr("text", before(x, k) + 1, F.greatest(x["start"] - before(x, k), F.lit(0)))))
+    tail = seen(F.substr("text", F.get(p, n - 1)["end"] + 1, F.length("text")))
+    lost = F.size(F.filter(gaps, lambda g: g != "")) + (tail != "").cast("int")
+    facts = one.select("lang", over.alias("over"), F.size(F.filter(behind, lambda x: x)).alias("unordered"), lost.alias("lost"))
+    return facts.groupBy("lang").agg(F.count("*").alias("texts"), F.sum("over").alias("over_limit"), F.sum("unordered").alias("out_of_order"), F.sum("lost").alias("lost"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Ids of the passages that had to be cut."""
     return p5_pieces(spark, d).select("id").distinct()
@@ -166,6 +198,17 @@ def p7_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(sized, classes)
 
 
+def p7_checked(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the containers, by class: every document with text is in, none is filled above its capacity, and only
+    documents above it are divided, into parts that follow each other without a gap."""
+    packed = written(p7_packed(spark, d), "packed")
+    full = packed.groupBy("container_class", "capacity_tokens", "container_id").agg(F.sum("tokens").alias("used")).groupBy("container_class", "capacity_tokens").agg(F.sum((F.col("used") > F.col("capacity_tokens")).cast("long")).alias("overfull"))
+    per = packed.groupBy("container_class", "capacity_tokens", "doc_id").agg(F.count("*").alias("parts"), F.sum("tokens").alias("tokens"), F.max(F.col("token_start") + F.col("tokens")).alias("last"))
+    wrong = ((F.col("parts") > 1) & (F.col("tokens") <= F.col("capacity_tokens"))) | (F.col("last") != F.col("tokens")) | (F.col("parts") != F.ceil(F.col("tokens") / F.col("capacity_tokens")))
+    docs = per.groupBy("container_class", "capacity_tokens").agg(F.count("*").alias("documents"), F.sum(wrong.cast("long")).alias("wrongly_divided"))
+    return docs.join(full, ["container_class", "capacity_tokens"])
+
+
 def p7_usage(spark: SparkSession, d: str) -> DataFrame:
     """How full the containers of every class are."""
     each = p7_packed(spark, d).groupBy("container_class", "capacity_tokens", "container_id").agg(F.sum("tokens").alias("used"), F.count("*").alias("parts"))

@@ -366,7 +366,7 @@ def test_repair_edges(spark):
 
 def test_pieces(spark, model):
     rng = random.Random(6)
-    for limit, overlap in ((40, 8), (17, 5), (5, 2)):
+    for limit, overlap in ((40, 8), (17, 5), (5, 2), (40, 30), (40, 60), (9, 8)):
         for _ in range(30):
             text = " ".join("".join(rng.choice("abcdé字ก. ") for _ in range(rng.randrange(1, 30))) for _ in range(12))
             (got,) = pieces.cut([text], [limit], [overlap], model)
@@ -378,6 +378,21 @@ def test_pieces(spark, model):
             assert all(d > b and c > a for (a, b), (c, d) in zip(got, got[1:]))
 
 
+def test_the_wanted_overlap_is_kept(model):
+    words = "aaaa " * 60
+    (got,) = pieces.cut([words.strip()], [40], [30], model)
+    assert all(25 <= b - c <= 34 for (_, b), (c, _) in zip(got, got[1:]))
+
+
+def test_limits_without_a_fallback(spark, data, tmp_path):
+    for name in ("passages", "piece_limits"):
+        df = spark.read.parquet(f"{data}/{name}.parquet")
+        (df.where("lang = 'ar'") if name == "piece_limits" else df).write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = {r.id for r in queries.p5_found(spark, str(tmp_path)).collect()}
+    passages, limit = spark.read.parquet(f"{data}/passages.parquet"), spark.read.parquet(f"{data}/piece_limits.parquet").where("lang = 'ar'").first().max_chars
+    assert got == {r.id for r in passages.where(F.length("text") > limit).where("lang = 'ar'").collect()} and got
+
+
 def test_doubling_follows_the_chain():
     rng = np.random.default_rng(3)
     successor = np.minimum(np.arange(500) + rng.integers(1, 9, 500), 499)
