@@ -11,7 +11,11 @@ the word, and Latin letters under an accent); words wholly in one script are nev
 
 Null stays null; the empty text, and text of nothing but invisible characters, becomes the empty text. Values are
 exploded once each, however often they occur, so a hot value costs as much as any other. A value may have any length:
-its code points are spread over rows and gathered again by one aggregation per value.
+its code points are spread over rows and gathered again by one aggregation per value; words and groups are slices of that array,
+so the work is in proportion to the length.
+
+Letters that Persian, Urdu and other languages write for an Arabic shape are standard letters there. ``arabic_only`` says whether
+they are taken for dirty spellings of Arabic (the default, as the tables of this project hold Arabic words); otherwise they stay.
 """
 
 from __future__ import annotations
@@ -24,7 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import written
+from ..functions.expr import let
+from ..session import sized, written
 
 #: Letters that look like a Latin letter, by script, written as pairs (letter, Latin letter).
 LATIN_LOOKS = {
@@ -33,7 +38,7 @@ LATIN_LOOKS = {
     "Armenian": "օo ոn սu հh ցg քp զq յj ՏS ՕO Սu",
 }
 #: Letters of the Arabic block that other languages write for the same shape, and the standard letter.
-ARABIC_LOOKS = "یي کك ھه ہه ەه ٮب ڪك ېي ۀة"
+ARABIC_LOOKS = "یي کك ھه ہه ەه ٮب ڪك ېي"
 #: Invisible characters that are no format characters by category.
 INVISIBLE = [0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x180F, 0x3164, 0xFFA0, *range(0xFE00, 0xFE10), 0x2800]
 
@@ -101,11 +106,11 @@ def _compositions() -> dict[str, str]:
     return out
 
 
-def _tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+def _tables(spark: SparkSession, arabic_only: bool) -> tuple[DataFrame, DataFrame]:
     part = T.StructType([T.StructField("c", T.StringType()), T.StructField("ccc", T.IntegerType()), T.StructField("script", T.StringType())])
     decompositions = spark.createDataFrame(_decompositions(), T.StructType([T.StructField("char", T.StringType()), T.StructField("parts", T.ArrayType(part))]))
-    looks = spark.createDataFrame(_looks(), "c string, word_script string, look string")
-    return decompositions, looks
+    looks = [row for row in _looks() if arabic_only or row[1] != "Arabic"]
+    return decompositions, spark.createDataFrame(looks, "c string, word_script string, look string")
 
 
 def _recomposed(base, marks):
@@ -126,10 +131,10 @@ def _recomposed(base, marks):
     return F.aggregate(marks, start, step, lambda s: F.concat(s["base"], s["rest"]))
 
 
-def plain_spelling(values: DataFrame, column: str) -> DataFrame:
+def plain_spelling(values: DataFrame, column: str, arabic_only: bool = True) -> DataFrame:
     """(``column``, ``plain``) for every distinct non-null value of a column."""
     spark = values.sparkSession
-    decompositions, looks = _tables(spark)
+    decompositions, looks = _tables(spark, arabic_only)
     distinct = values.select(F.col(column).alias("value")).where(F.col("value").isNotNull()).distinct()
     # positioned code points, decomposed
     points = distinct.select("value", F.posexplode(F.split("value", "")).alias("pos", "char")).where(F.col("char") != "")
@@ -150,7 +155,15 @@ def plain_spelling(values: DataFrame, column: str) -> DataFrame:
         .select("value", "word", "at", F.coalesce("look", "c").alias("c"), "ccc")
     )
     rebuilt = looked.groupBy("value", "word").agg(F.sort_array(F.collect_list(F.struct("at", "c", "ccc"))).alias("letters"))
-    spelled = rebuilt.select("value", "word", F.array_join(F.transform(_clusters(F.col("letters")), lambda k: F.when(F.size(k["marks"]) == 0, k["base"]).otherwise(_recomposed(k["base"], k["marks"]))), "").alias("text"))
+    groups = written(rebuilt.select("value", "word", _clusters(F.col("letters")).alias("groups")), "letter-groups")
+    # the third join: every distinct group of a base and its marks is composed once
+    marked = groups.select(F.explode(F.filter("groups", lambda k: F.size(k["marks"]) > 0)).alias("k")).select(_key(F.col("k")).alias("key"), "k.base", "k.marks").dropDuplicates(["key"])
+    composed = written(marked.select("key", _recomposed(F.col("base"), F.col("marks")).alias("composed")), "composed-groups")
+    simple = ~F.exists("groups", lambda k: F.size(k["marks"]) > 0)
+    plain = groups.where(simple).select("value", "word", F.array_join(F.transform("groups", lambda k: k["base"]), "").alias("text"))
+    each = groups.where(~simple).select("value", "word", F.posexplode("groups").alias("at", "k")).select("value", "word", "at", _key(F.col("k")).alias("key")).join(sized(composed), "key", "left")
+    whole = each.groupBy("value", "word").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("composed", "key").alias("c")))).alias("cs")).select("value", "word", F.array_join(F.transform("cs", lambda x: x["c"]), "").alias("text"))
+    spelled = plain.unionByName(whole)
     joined = spelled.groupBy("value").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("word", "text"))), lambda w: w["text"]), " ").alias("plain"))
     empty = distinct.join(joined, "value", "left").select(F.col("value").alias(column), F.coalesce("plain", F.lit("")).alias("plain"))
     return empty
@@ -170,19 +183,15 @@ def _script_of(name: str):
     )
 
 
-def _words(points):
-    """The points cut at spaces: an array of words, each an array of points; leading, trailing and double spaces fall away."""
-    start = F.struct(F.expr("cast(array() as array<array<struct<pos:int,sub:int,c:string,ccc:int,script:string>>>)").alias("done"), F.expr("cast(array() as array<struct<pos:int,sub:int,c:string,ccc:int,script:string>>)").alias("now"))
-    nothing = F.expr("cast(array() as array<struct<pos:int,sub:int,c:string,ccc:int,script:string>>)")
+def _slices(points, borders):
+    """The slices of an array between borders, given as an ascending array of places that begins before the first and ends behind the last."""
+    return F.transform(F.sequence(F.lit(0), F.size(borders) - 2), lambda k: F.slice(points, F.get(borders, k) + 2, F.get(borders, k + 1) - F.get(borders, k) - 1))
 
-    def step(s, p):
-        flush = F.when(F.size(s["now"]) > 0, F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"])
-        return F.struct(
-            F.when(p["c"] == " ", flush).otherwise(s["done"]).alias("done"),
-            F.when(p["c"] == " ", nothing).otherwise(F.concat(s["now"], F.array(p))).alias("now"),
-        )
 
-    return F.aggregate(points, start, step, lambda s: F.when(F.size(s["now"]) > 0, F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"]))
+def _words(points):
+    """The points cut at spaces: an array of words, each an array of points; leading, trailing and double spaces fall away."""
+    spaces = F.filter(F.transform(points, lambda p, k: F.when(p["c"] == " ", k)), lambda k: k.isNotNull())
+    return let(F.concat(F.array(F.lit(-1)), spaces, F.array(F.size(points))), lambda borders: F.filter(_slices(points, borders), lambda w: F.size(w) > 0))
 
 
 def _word_script(letters):
@@ -204,32 +213,20 @@ def _word_script(letters):
 
 
 def _clusters(letters):
-    """Bases with the marks behind them, the marks in the order of their class (equal classes as they stand)."""
-    kind = "array<struct<base:string,marks:array<struct<ccc:int,at:int,c:string>>>>"
-
-    def step(s, p):
-        mark = F.array(F.struct(p["ccc"].alias("ccc"), p["at"].alias("at"), p["c"].alias("c")))
-        last = F.element_at(s, -1)
-        grown = F.concat(F.slice(s, 1, F.size(s) - 1), F.array(F.struct(last["base"].alias("base"), F.concat(last["marks"], mark).alias("marks"))))
-        fresh = F.concat(s, F.array(F.struct(p["c"].alias("base"), F.expr("cast(array() as array<struct<ccc:int,at:int,c:string>>)").alias("marks"))))
-        return F.when((p["ccc"] > 0) & (F.size(s) > 0), grown).otherwise(fresh)
-
-    found = F.aggregate(letters, F.expr(f"cast(array() as {kind})"), step)
-    return F.transform(found, lambda k: F.struct(k["base"].alias("base"), F.array_sort(k["marks"]).alias("marks")))
-
-
-#: A dictionary of at most this many rows is broadcast; its size is counted first, beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
+    """Bases with the marks behind them, the marks in the order of their class (equal classes as they stand); a mark without a base is one itself."""
+    bases = F.filter(F.transform(letters, lambda p, k: F.when((p["ccc"] == 0) | (k == 0), k)), lambda k: k.isNotNull())
+    groups = let(F.concat(bases, F.array(F.size(letters))), lambda at: F.transform(F.sequence(F.lit(0), F.size(at) - 2), lambda k: F.slice(letters, F.get(at, k) + 1, F.get(at, k + 1) - F.get(at, k))))
+    mark = lambda p: F.struct(p["ccc"].alias("ccc"), p["at"].alias("at"), p["c"].alias("c"))
+    return F.transform(groups, lambda g: F.struct(F.get(g, F.lit(0))["c"].alias("base"), F.array_sort(F.transform(F.slice(g, F.lit(2), F.size(g)), mark)).alias("marks")))
 
 
-def sized(dictionary: DataFrame, name: str) -> DataFrame:
-    """A dictionary written as a table and hinted for broadcast if its counted rows allow that."""
-    table = written(dictionary, name)
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+def _key(group):
+    """A base and its ordered marks as one text."""
+    return F.concat(group["base"], F.array_join(F.transform(group["marks"], lambda m: m["c"]), ""))
 
 
 def irregular_cells(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """(``row_key``, ``field``, ``value``, ``plain``) for the cells of the columns that aren't in plain spelling, each once."""
     cells = df.select(F.col(key).alias("row_key"), F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in columns])).alias("cell")).select("row_key", "cell.field", "cell.value").where("value is not null")
-    dirty = sized(plain_spelling(cells, "value").where("plain <> value"), "irregular")
+    dirty = sized(written(plain_spelling(cells, "value").where("plain <> value"), "irregular"))
     return cells.join(dirty, "value").select("row_key", "field", "value", "plain").dropDuplicates(["row_key", "field", "value"])

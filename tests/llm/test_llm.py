@@ -424,6 +424,13 @@ def test_plain_spelling(spark):
     assert {k: got[k] for k in pairs} == pairs
 
 
+def test_long_values_and_other_languages(spark):
+    long = "ｍé " * 20_000
+    assert plain(spark, [long])[long] == ("mé " * 20_000).strip()
+    df = spark.createDataFrame([("یہ کتاب",)], "value string")
+    assert [r.plain for r in lookalikes.plain_spelling(df, "value", arabic_only=False).collect()] == ["یہ کتاب"]
+
+
 def test_marks_follow_unicode(spark):
     rng = random.Random(8)
     letters = "aeouάشלب" + "".join(map(chr, [0x300, 0x301, 0x323, 0x327, 0x304, 0x64E, 0x651, 0x5B8, 0x5BC]))
