@@ -11,8 +11,8 @@ the word, and Latin letters under an accent); words wholly in one script are nev
 
 Null stays null; the empty text, and text of nothing but invisible characters, becomes the empty text. Values are
 exploded once each, however often they occur, so a hot value costs as much as any other. A value may have any length:
-its code points are spread over rows and gathered again by one aggregation per value; words and groups are slices of that array,
-so the work is in proportion to the length.
+its code points are spread over rows, numbered by running counts, and gathered again word by word and group by group, so the work
+is in proportion to the length.
 
 Letters that Persian, Urdu and other languages write for an Arabic shape are standard letters there. ``arabic_only`` says whether
 they are taken for dirty spellings of Arabic (the default, as the tables of this project hold Arabic words); otherwise they stay.
@@ -25,10 +25,10 @@ import unicodedata
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.expr import let
 from ..session import sized, written
 
 #: Letters that look like a Latin letter, by script, written as pairs (letter, Latin letter).
@@ -136,37 +136,41 @@ def plain_spelling(values: DataFrame, column: str, arabic_only: bool = True) ->
     spark = values.sparkSession
     decompositions, looks = _tables(spark, arabic_only)
     distinct = values.select(F.col(column).alias("value")).where(F.col("value").isNotNull()).distinct()
+    distinct = written(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct-values")
     # positioned code points, decomposed
-    points = distinct.select("value", F.posexplode(F.split("value", "")).alias("pos", "char")).where(F.col("char") != "")
+    points = distinct.select("id", F.posexplode(F.split("value", "")).alias("pos", "char")).where(F.col("char") != "")
+    own = F.array(F.struct(F.col("char").alias("c"), F.lit(0).alias("ccc"), _script_of("char").alias("script")))
     parts = (
         points.join(F.broadcast(decompositions), "char", "left")
-        .select("value", "pos", F.posexplode(F.coalesce("parts", F.array(F.struct(F.col("char").alias("c"), F.lit(0).alias("ccc"), _script_of("char").alias("script"))))).alias("sub", "part"))
-        .select("value", "pos", "sub", "part.c", "part.ccc", "part.script")
+        .select("id", "pos", F.posexplode(F.coalesce("parts", own)).alias("sub", "part"))
+        .select("id", "pos", "sub", "part.c", "part.ccc", "part.script")
     )
-    # words, their script, bases with their marks: all within one value
-    at = F.struct("pos", "sub", "c", "ccc", "script")
-    gathered = parts.groupBy("value").agg(F.sort_array(F.collect_list(at)).alias("points"))
-    words = gathered.select("value", F.posexplode(_words(F.col("points"))).alias("word", "letters"))
-    scripted = words.withColumn("word_script", _word_script(F.col("letters")))
+    # a running count of spaces numbers the words, one of bases the groups of a base and its marks; all that follows stays with its value
+    order = W.partitionBy("id").orderBy("pos", "sub")
+    count = lambda c: F.sum(c.cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0))
+    numbered = parts.select("id", "pos", "sub", "c", "ccc", "script", count(F.col("c") == " ").alias("word"), count(F.col("ccc") == 0).alias("base"), F.lead("ccc", 1, 0).over(order).alias("next"))
+    letter = F.struct("pos", "sub", "base", "c", "ccc", "script", "next")
+    words = numbered.where(F.col("c") != " ").groupBy("id", "word").agg(F.sort_array(F.collect_list(letter)).alias("letters"))
     looked = (
-        scripted.select("value", "word", "word_script", F.posexplode("letters").alias("at", "p"))
-        .select("value", "word", "word_script", "at", "p.c", "p.ccc")
+        words.withColumn("word_script", _word_script(F.col("letters")))
+        .select("id", "word", "word_script", F.explode("letters").alias("p"))
+        .select("id", "word", "word_script", "p.pos", "p.sub", "p.base", "p.c", "p.ccc")
         .join(F.broadcast(looks), ["c", "word_script"], "left")
-        .select("value", "word", "at", F.coalesce("look", "c").alias("c"), "ccc")
+        .select("id", "word", "base", "pos", "sub", "ccc", F.coalesce("look", "c").alias("c"))
     )
-    rebuilt = looked.groupBy("value", "word").agg(F.sort_array(F.collect_list(F.struct("at", "c", "ccc"))).alias("letters"))
-    groups = written(rebuilt.select("value", "word", _clusters(F.col("letters")).alias("groups")), "letter-groups")
+    gathered = looked.groupBy("id", "word", "base").agg(F.sort_array(F.collect_list(F.struct("pos", "sub", "ccc", "c"))).alias("g"))
+    mark = lambda p: F.struct(p["ccc"].alias("ccc"), p["pos"].alias("pos"), p["sub"].alias("sub"), p["c"].alias("c"))
+    marks = F.when(F.size("g") > 1, F.array_sort(F.transform(F.slice("g", F.lit(2), F.size("g")), mark)))
+    groups = gathered.select("id", "word", "base", F.get("g", F.lit(0))["c"].alias("first"), marks.alias("marks"))
+    groups = written(groups.select("id", "word", "base", "first", F.transform("marks", lambda m: m["c"]).alias("marks"), F.transform("marks", lambda m: m["ccc"]).alias("classes")), "letter-groups")
     # the third join: every distinct group of a base and its marks is composed once
-    marked = groups.select(F.explode(F.filter("groups", lambda k: F.size(k["marks"]) > 0)).alias("k")).select(_key(F.col("k")).alias("key"), "k.base", "k.marks").dropDuplicates(["key"])
-    composed = written(marked.select("key", _recomposed(F.col("base"), F.col("marks")).alias("composed")), "composed-groups")
-    simple = ~F.exists("groups", lambda k: F.size(k["marks"]) > 0)
-    plain = groups.where(simple).select("value", "word", F.array_join(F.transform("groups", lambda k: k["base"]), "").alias("text"))
-    each = groups.where(~simple).select("value", "word", F.posexplode("groups").alias("at", "k")).select("value", "word", "at", _key(F.col("k")).alias("key")).join(sized(composed), "key", "left")
-    whole = each.groupBy("value", "word").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("composed", "key").alias("c")))).alias("cs")).select("value", "word", F.array_join(F.transform("cs", lambda x: x["c"]), "").alias("text"))
-    spelled = plain.unionByName(whole)
-    joined = spelled.groupBy("value").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("word", "text"))), lambda w: w["text"]), " ").alias("plain"))
-    empty = distinct.join(joined, "value", "left").select(F.col("value").alias(column), F.coalesce("plain", F.lit("")).alias("plain"))
-    return empty
+    several = groups.where("marks is not null").select("first", "marks", "classes").distinct()
+    composed = written(several.select("first", "marks", _recomposed(F.col("first"), F.zip_with("marks", "classes", lambda m, k: F.struct(m.alias("c"), k.alias("ccc")))).alias("composed")), "composed-groups")
+    whole = groups.join(sized(composed), ["first", "marks"], "left").select("id", "word", "base", F.coalesce("composed", "first").alias("text"))
+    joined = lambda of: F.array_join(F.transform(F.sort_array(F.collect_list(of)), lambda x: x["text"]), "")
+    spelled = whole.groupBy("id", "word").agg(joined(F.struct("base", "text")).alias("text"))
+    plain = spelled.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("word", "text"))), lambda w: w["text"]), " ").alias("plain"))
+    return distinct.join(plain, "id", "left").select(F.col("value").alias(column), F.coalesce("plain", F.lit("")).alias("plain"))
 
 
 def _script_of(name: str):
@@ -183,17 +187,6 @@ def _script_of(name: str):
     )
 
 
-def _slices(points, borders):
-    """The slices of an array between borders, given as an ascending array of places that begins before the first and ends behind the last."""
-    return F.transform(F.sequence(F.lit(0), F.size(borders) - 2), lambda k: F.slice(points, F.get(borders, k) + 2, F.get(borders, k + 1) - F.get(borders, k) - 1))
-
-
-def _words(points):
-    """The points cut at spaces: an array of words, each an array of points; leading, trailing and double spaces fall away."""
-    spaces = F.filter(F.transform(points, lambda p, k: F.when(p["c"] == " ", k)), lambda k: k.isNotNull())
-    return let(F.concat(F.array(F.lit(-1)), spaces, F.array(F.size(points))), lambda borders: F.filter(_slices(points, borders), lambda w: F.size(w) > 0))
-
-
 def _word_script(letters):
     """The script most unmistakable letters of a word have; of all letters where none is unmistakable; the first of equals."""
     mistakable = {}
@@ -203,7 +196,7 @@ def _word_script(letters):
 
     def count(name: str):
         own = "".join(sorted(mistakable.get(name, ())))
-        sure = F.size(F.filter(letters, lambda p, i: (p["script"] == name) & (~F.lit(own).contains(p["c"]) | (F.coalesce(F.get(letters, i + 1)["ccc"], F.lit(0)) > 0 if name == "Latin" else F.lit(False)))))
+        sure = F.size(F.filter(letters, lambda p: (p["script"] == name) & (~F.lit(own).contains(p["c"]) | (p["next"] > 0 if name == "Latin" else F.lit(False)))))
         every = F.size(F.filter(letters, lambda p: p["script"] == name))
         return F.struct((sure * 1000 + every).alias("n"), F.lit(-names.index(name)).alias("order"), F.lit(name).alias("name"))
 
@@ -212,19 +205,6 @@ def _word_script(letters):
     return F.when(mixed, F.array_max(F.array(*[count(n) for n in names]))["name"]).when(arabic, "Arabic").otherwise("")
 
 
-def _clusters(letters):
-    """Bases with the marks behind them, the marks in the order of their class (equal classes as they stand); a mark without a base is one itself."""
-    bases = F.filter(F.transform(letters, lambda p, k: F.when((p["ccc"] == 0) | (k == 0), k)), lambda k: k.isNotNull())
-    groups = let(F.concat(bases, F.array(F.size(letters))), lambda at: F.transform(F.sequence(F.lit(0), F.size(at) - 2), lambda k: F.slice(letters, F.get(at, k) + 1, F.get(at, k + 1) - F.get(at, k))))
-    mark = lambda p: F.struct(p["ccc"].alias("ccc"), p["at"].alias("at"), p["c"].alias("c"))
-    return F.transform(groups, lambda g: F.struct(F.get(g, F.lit(0))["c"].alias("base"), F.array_sort(F.transform(F.slice(g, F.lit(2), F.size(g)), mark)).alias("marks")))
-
-
-def _key(group):
-    """A base and its ordered marks as one text."""
-    return F.concat(group["base"], F.array_join(F.transform(group["marks"], lambda m: m["c"]), ""))
-
-
 def irregular_cells(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """(``row_key``, ``field``, ``value``, ``plain``) for the cells of the columns that aren't in plain spelling, each once."""
     cells = df.select(F.col(key).alias("row_key"), F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in columns])).alias("cell")).select("row_key", "cell.field", "cell.value").where("value is not null")
