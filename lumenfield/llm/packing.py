@@ -22,12 +22,13 @@ from functools import lru_cache
 from pathlib import Path
 
 import pandas as pd
-from pyspark import TaskContext
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
 
+#: The vocabulary file, unless the session's ``spark.lumenfield.tokenizer`` names another. Only the driver must have it.
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: how the tokenizer's vocabulary wants text split before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -44,12 +45,16 @@ def tokenizer(path: str):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def with_tokens(df: DataFrame, text: str, name: str = "tokens", path: str = TOKENIZER) -> DataFrame:
-    """Add the token count of a text column; null for null."""
-    ship(df.sparkSession)
+def with_tokens(df: DataFrame, text: str, name: str = "tokens", path: str | None = None) -> DataFrame:
+    """Add the token count of a text column; null for null. The vocabulary file travels to the executors with the job."""
+    spark = df.sparkSession
+    ship(spark)
+    path = path or spark.conf.get("spark.lumenfield.tokenizer", TOKENIZER)
+    spark.sparkContext.addFile(path)
+    file = Path(path).name
 
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = tokenizer(path).encode_ordinary
+        encode = tokenizer(SparkFiles.get(file)).encode_ordinary
         for batch in batches:
             yield pd.Series([len(encode(t)) if isinstance(t, str) else None for t in batch], dtype="Int32")
 
