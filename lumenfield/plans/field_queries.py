@@ -80,11 +80,11 @@ def field_zero_basis(spark, d):
 
 @query(_S + " select name, round(avg(sim), 6) as mu from sims group by 1")
 def field_zero_queries(spark, d):
-    """The mean similarity of every name over all terms; sums are merged per batch, not per similarity."""
+    """The mean similarity of every name over all terms; sums are made per batch and merged, no similarity leaves its row."""
     b, s = _scored(spark, d)
-    names = F.array(*[F.lit(n) for n in b.names])
-    each = s.select(F.posexplode("sims").alias("at", "sim")).groupBy("at").agg(F.avg("sim").alias("mu"))
-    return each.select(F.get(names, F.col("at")).alias("name"), F.round("mu", 6).alias("mu"))
+    gram = E.profile_gram(s, len(b.names))
+    total, count = gram[-1, :-1], gram[-1, -1]
+    return spark.createDataFrame([(int(n), round(float(t / count), 6)) for n, t in zip(b.names, total)] if count else [], "name long, mu double")
 
 
 _C = _S + _MU + ", ce as (select term, name, sim - mu as c, row_number() over (partition by term order by round(sim - mu, 12) desc, name) rn, row_number() over (partition by term order by round(sim - mu, 12), name desc) rb from sims join fz using (name))"
