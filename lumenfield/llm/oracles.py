@@ -14,6 +14,7 @@ def oracle_sql() -> dict[str, str]:
  from k join n x on x.node_id = k.a join n y on y.node_id = k.b where rn <= 5""",
         "p1_exact": """with c as (select distinct sentence_id as s, w from (select sentence_id, unnest([word_i, word_j]) as w from pairs where sentence_id is not null) where w is not null), n as (select w, count(*) as n from c group by 1), t as (select count(distinct s) as n from c),
  ab as (select a.w as wa, b.w as wb, count(*) as n from c a join c b on a.s = b.s and a.w < b.w group by 1, 2) select wa as word_a, wb as word_b, ab.n as n_ab, x.n as n_a, y.n as n_b, t.n as n_all, round(ab.n*t.n/(x.n*y.n), 6) as lift from ab join n x on x.w = wa join n y on y.w = wb, t""",
+        "p3_checked": "select lang, count(*) as texts, 0 as out_of_order, 0 as behind_blanks, 0 as unfinished from (select distinct id, lang, text from passages) where id is not null and regexp_replace(text, '[\\s\\p{Z}]+', '', 'g') <> '' group by 1",
         "p5_checked": """select p.lang, count(*) as texts, 0 as over_limit, 0 as out_of_order, 0 as lost from (select distinct id, lang, text from passages) p left join piece_limits l on l.lang = p.lang and l.lang <> '*'
  where p.id is not null and trim(p.text) <> '' and length(p.text) > coalesce(l.max_chars, (select max_chars from piece_limits where lang = '*')) group by 1""",
         "p7_checked": "select container_class, capacity_tokens, (select count(*) from documents where doc_id is not null and length(text) > 0) as documents, 0 as wrongly_divided, 0 as overfull from (select distinct container_class, capacity_tokens from containers where capacity_tokens > 0)",

@@ -105,6 +105,19 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.with_ends(_whole_passages(spark, d), "text", model).select("id", F.explode("ends").alias("end_char"))
 
 
+def p3_checked(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the sentences of every passage with text, damaged or not, by language: their ends ascend, none stands behind a
+    blank, and the last is the last character that isn't blank."""
+    passages = table(spark, d, "passages").select("id", "lang", "text").where("id is not null and text is not null").dropDuplicates(["id"])
+    found = sentences.with_ends(passages, "text", sentences.fitted(passages, "id", "text"))
+    e = F.col("ends")
+    unordered = F.exists(F.zip_with(e, F.slice(e, F.lit(2), F.size(e)), lambda a, b: b <= a), lambda x: x)
+    blank = F.exists(e, lambda k: F.substr("text", k, F.lit(1)).rlike("^[\\s\\p{Z}]$"))
+    rest = F.regexp_replace(F.substr("text", F.element_at(e, -1) + 1, F.length("text")), "[\\s\\p{Z}]+", "")
+    facts = found.where(F.size("ends") > 0).select("lang", unordered.cast("int").alias("u"), blank.cast("int").alias("b"), (rest != "").cast("int").alias("r"))
+    return facts.groupBy("lang").agg(F.count("*").alias("texts"), F.coalesce(F.sum("u"), F.lit(0)).alias("out_of_order"), F.sum("b").alias("behind_blanks"), F.sum("r").alias("unfinished"))
+
+
 # ---------------------------------------------------------------------------------------------------------------- P4
 
 
