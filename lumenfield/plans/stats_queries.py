@@ -72,6 +72,7 @@ def partial_spearman(spark, d):
     return r.select(F.round("rho", 5).alias("rho"), "n", F.round("p", 5).alias("p"), "error")
 
 
+_HASH = lambda text: f"('0x' || substr(md5({text}), 1, 8))::bigint"
 _PARTIAL = cte("pairs") + ", " + _LIFT + """, k as (select value_distance::double t, mean_attention o, pos_distance::double x, coalesce(lift, 0) y from prs left join lf on w1 = least(word_i, word_j) and w2 = greatest(word_i, word_j) where root_relation = 'different' and value_distance is not null and mean_attention is not null and pos_distance is not null),
  cv as (select covar_pop(x, x) xx, covar_pop(x, y) xy, covar_pop(y, y) yy, covar_pop(t, x) tx, covar_pop(t, y) ty, covar_pop(o, x) ox, covar_pop(o, y) oy, avg(t) mt, avg(o) mo, avg(x) mx, avg(y) my from k),
  bs as (select *, (tx*yy-ty*xy)/(xx*yy-xy*xy) b1, (ty*xx-tx*xy)/(xx*yy-xy*xy) b2, (ox*yy-oy*xy)/(xx*yy-xy*xy) c1, (oy*xx-ox*xy)/(xx*yy-xy*xy) c2 from cv), z as (select round(t-mt-b1*(x-mx)-b2*(y-my), 12) a, round(o-mo-c1*(x-mx)-c2*(y-my), 12) b from k, bs),
@@ -163,13 +164,26 @@ def checkpoint_resume(spark, d):
     return S.resumed(at, S.permuted_mappings(DRAWS), known, CONTROLS).select("perm", F.round("rho", 6).alias("rho"))
 
 
-@query()
+_SCRAMBLED = _PARTIAL + f""", sx as (select *, row_number() over (order by h, pair_id) - 1 as k from (select pair_id, word_i, word_j, mean_attention, pos_distance, {_HASH("'42-' || pair_id")} as h from prs where root_relation = 'different')), sn as (select count(*) n, min(pos_distance) lo, max(pos_distance) hi from sx),
+ sp as (select a.word_i, b.word_j, a.mean_attention o, (lo + {_HASH("'43-' || a.pair_id")} % (hi - lo + 1))::double x from sx a, sn, sx b where b.k = (a.k + sn.n - 1) % sn.n),
+ sv as (select o, x, abs({_sum("translate(word_i, 'أإآىةؤئٱـ', 'ااايتويا')", L.ABJAD_BASE)} - {_sum("translate(word_j, 'أإآىةؤئٱـ', 'ااايتويا')", L.ABJAD_BASE)})::double t from sp where word_i is not null and word_j is not null and o is not null),
+ sf as (select regr_slope(t, x) bt, regr_intercept(t, x) at_, regr_slope(o, x) bo, regr_intercept(o, x) ao from sv), sz as (select round(t-at_-bt*x, 12) a, round(o-ao-bo*x, 12) b from sv, sf),
+ sr as (select rank() over (order by a) + (count(*) over (partition by a) - 1)/2.0::double ra, rank() over (order by b) + (count(*) over (partition by b) - 1)/2.0::double rb from sz), so as (select corr(ra, rb) c, count(*) n from sr)"""
+
+
+@query(_SCRAMBLED + " select round(pr2.c, 4) as observed_rho, round(so.c, 4) as scrambled_rho, so.n as n, round(pr2.c - so.c, 4) as difference, case when abs(so.c) < 0.5*abs(pr2.c) then 'PASS' else 'CONCERN' end as verdict from pr2, so")
 def scrambled_baseline(spark, d):
-    """The partial correlation after second words and position distances were redrawn; a constant lift controls nothing."""
+    """The partial correlation after second words and position distances were redrawn, against the observed one; a constant lift
+    controls nothing. It passes if less than half of the observed remains."""
     p = S.scrambled(_cross(spark, d))
     value = L.letter_value_variants
     again = p.where("word_i is not null and word_j is not null").withColumn("value_distance", F.abs(value(F.col("word_i")) - value(F.col("word_j"))))
-    return S.partial_spearman(again, "value_distance", "mean_attention", ["pos_distance"]).select(F.round("rho", 6).alias("rho"), "n")
+    drawn = S.partial_spearman(again, "value_distance", "mean_attention", ["pos_distance"]).first()
+    seen = _observed(_controlled(spark, d)).rho
+    both = seen is not None and drawn.rho is not None
+    row = (seen, drawn.rho, drawn.n, seen - drawn.rho if both else None, ("PASS" if abs(drawn.rho) < 0.5 * abs(seen) else "CONCERN") if both else None)
+    made = spark.createDataFrame([row], "observed_rho double, scrambled_rho double, n long, difference double, verdict string")
+    return made.withColumns({c: F.round(c, 4) for c in ("observed_rho", "scrambled_rho", "difference")})
 
 
 @query(_RANKS + " select case when c is null then 'insufficient' when abs(c)*sqrt(n) >= 1.96 and c < 0 then 'positive' when abs(c)*sqrt(n) >= 1.96 and c > 0 then 'falsifying' else 'null' end as verdict, n from (select corr(ra, rb) c, count(*) n from r)")
@@ -209,7 +223,6 @@ def intra_family_sims(spark, d):
     return s.select("family", "pairs", *[F.round(c, 6).alias(c) for c in ("mean", "std", "min", "max")])
 
 
-_HASH = lambda text: f"('0x' || substr(md5({text}), 1, 8))::bigint"
 #: The normal tail by a rational approximation, exact to seven digits.
 _TAIL = "case when z >= 0 then 0.5::double*e else 1 - 0.5::double*e end"
 
