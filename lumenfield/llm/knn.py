@@ -36,6 +36,8 @@ from ..session import ship, written
 SAMPLE = 262_144
 CELL = 2048
 MAX_CELLS = 65_536
+#: Cells a task searches one after another; beyond MOST_PARTS tasks they grow instead.
+TASK_CELLS = 4
 MOST_PARTS = 16_384
 LEAF = 256
 ETA = 4.0
@@ -341,7 +343,7 @@ def neighbours(nodes: DataFrame, k: int = 5) -> DataFrame:
         return answered(asked, score, near, [np.full(len(x), int(key[0])), asked.home.to_numpy()])
 
     # explicit, as the work of a cell is far more than its bytes, by which partitions would be merged
-    parts = min(len(held), MOST_PARTS)
+    parts = min(-(-len(held) // TASK_CELLS), MOST_PARTS)
     points = points.repartition(parts, "cell")
     first = written(points.groupBy("cell").applyInPandas(own_cell, schema), "own-cell")
     # the own cell is skipped in every later round, so it travels along
