@@ -21,21 +21,22 @@ HEBREW_PREFIXES = "וכשה וכש שה כש וה וב ול ומ וש ה ו ב 
 HEBREW_SUFFIXES = "יהם יהן יכם יכן ינו ות ים ין ה ו י ך".split()
 HEBREW_WEAK = "אהוי"
 #: Words whose root is listed, for passages.
-ROOTS_PASSAGES = dict(
-    pair.split("=")
-    for pair in "الله=اله وجود=وجد عالم=علم علم=علم حق=حقق واحد=وحد ذات=ذات نور=نور روح=روح قلب=قلب عقل=عقل نفس=نفس حكمة=حكم معرفة=عرف محبة=حبب فناء=فني بقاء=بقي حضرة=حضر مقام=قوم شهود=شهد كشف=كشف خلق=خلق رحمة=رحم إيمان=امن إسلام=سلم عبادة=عبد صبر=صبر شكر=شكر".split()
-)
+ROOTS_PASSAGES = {
+    "الله": "اله", "وجود": "وجد", "عالم": "علم", "علم": "علم", "حق": "حقق", "واحد": "وحد", "ذات": "ذات", "نور": "نور", "روح": "روح", "قلب": "قلب",
+    "عقل": "عقل", "نفس": "نفس", "حكمة": "حكم", "معرفة": "عرف", "محبة": "حبب", "فناء": "فني", "بقاء": "بقي", "حضرة": "حضر", "مقام": "قوم",
+    "شهود": "شهد", "كشف": "كشف", "خلق": "خلق", "رحمة": "رحم", "إيمان": "امن", "إسلام": "سلم", "عبادة": "عبد", "صبر": "صبر", "شكر": "شكر",
+}
 #: Words whose root is listed, for the corpus of sentences.
-ROOTS_CORPUS = dict(
-    pair.split("=")
-    for pair in (
-        "الله=اله وجود=وجد عالم=علم حق=حقق واحد=وحد كل=كلل شيء=شيء اسم=سمو صفة=وصف ذات=ذات فعل=فعل قول=قول علم=علم ارادة=ارد حياة=حيي قدرة=قدر "
-        "سمع=سمع بصر=بصر كلام=كلم ايجاد=وجد تجلي=جلو بيان=بين نور=نور روح=روح قلب=قلب عقل=عقل نفس=نفس جسم=جسم حكمة=حكم معرفة=عرف محبة=حبب "
-        "فناء=فني بقاء=بقي برزخ=برزخ حضرة=حضر مقام=قوم حال=حول ذكر=ذكر فكر=فكر شهود=شهد كشف=كشف وحي=وحي نبي=نبا رسول=رسل امر=امر خلق=خلق "
-        "رحمة=رحم نعمة=نعم ايمان=امن اسلام=سلم عبادة=عبد طاعة=طوع توبة=توب صبر=صبر شكر=شكر تواضع=وضع محمد=حمد ابراهيم=برهم موسى=موس عيسى=عيس "
-        "ادم=ادم اول=اول اخر=اخر ظاهر=ظهر باطن=بطن كتاب=كتب قران=قرن اية=ايي صلاة=صلو زكاة=زكو صوم=صوم حج=حجج"
-    ).split()
-)
+ROOTS_CORPUS = {
+    "الله": "اله", "وجود": "وجد", "عالم": "علم", "حق": "حقق", "واحد": "وحد", "كل": "كلل", "شيء": "شيء", "اسم": "سمو", "صفة": "وصف", "ذات": "ذات",
+    "فعل": "فعل", "قول": "قول", "علم": "علم", "ارادة": "ارد", "حياة": "حيي", "قدرة": "قدر", "سمع": "سمع", "بصر": "بصر", "كلام": "كلم", "ايجاد": "وجد",
+    "تجلي": "جلو", "بيان": "بين", "نور": "نور", "روح": "روح", "قلب": "قلب", "عقل": "عقل", "نفس": "نفس", "جسم": "جسم", "حكمة": "حكم", "معرفة": "عرف",
+    "محبة": "حبب", "فناء": "فني", "بقاء": "بقي", "برزخ": "برزخ", "حضرة": "حضر", "مقام": "قوم", "حال": "حول", "ذكر": "ذكر", "فكر": "فكر",
+    "شهود": "شهد", "كشف": "كشف", "وحي": "وحي", "نبي": "نبا", "رسول": "رسل", "امر": "امر", "خلق": "خلق", "رحمة": "رحم", "نعمة": "نعم", "ايمان": "امن",
+    "اسلام": "سلم", "عبادة": "عبد", "طاعة": "طوع", "توبة": "توب", "صبر": "صبر", "شكر": "شكر", "تواضع": "وضع", "محمد": "حمد", "ابراهيم": "برهم",
+    "موسى": "موس", "عيسى": "عيس", "ادم": "ادم", "اول": "اول", "اخر": "اخر", "ظاهر": "ظهر", "باطن": "بطن", "كتاب": "كتب", "قران": "قرن", "اية": "ايي",
+    "صلاة": "صلو", "زكاة": "زكو", "صوم": "صوم", "حج": "حجج",
+}
 
 
 def _without_prefix(word: Column, prefixes: list[str]) -> Column:
@@ -91,33 +92,33 @@ def root_relation(a: Column, b: Column) -> Column:
 
 #: Surface skeletons (C is a root letter) and the patterns they can stand for, in order.
 PATTERNS = [
-    ("CCC", "faʿl fiʿl fuʿl faʿal faʿil faʿul"),
-    ("CاCC", "fāʿil"),
-    ("CCيC", "faʿīl"),
-    ("CCوC", "faʿūl fuʿūl"),
-    ("CCاC", "fiʿāl faʿāl fuʿāl"),
-    ("CCCان", "fiʿlān faʿlān fuʿlān"),
-    ("CCاCة", "fiʿālah faʿālah"),
-    ("CCيCة", "faʿīlah"),
-    ("CCCة", "faʿlah fiʿlah fuʿlah"),
-    ("CاCCة", "fāʿilah"),
-    ("مCCC", "mafʿal mifʿal mufʿil mufʿal"),
-    ("مCCCة", "mafʿalah mifʿalah mufʿilah"),
-    ("مCCوC", "mafʿūl"),
-    ("مCاCC", "mufāʿil mafāʿil"),
-    ("مCCّC", "mufaʿʿil mufaʿʿal"),
-    ("مCتCC", "muftaʿil muftaʿal"),
-    ("منCCC", "munfaʿil"),
-    ("مستCCC", "mustafʿil mustafʿal"),
-    ("تCCيC", "tafʿīl"),
-    ("تCاCC", "tafāʿul"),
-    ("CتCاC", "iftiʿāl-stem"),
-    ("اCتCاC", "iftiʿāl"),
-    ("انCCاC", "infiʿāl"),
-    ("استCCاC", "istifʿāl"),
-    ("اCCاC", "ifʿāl afʿāl"),
-    ("ءCCاC", "ifʿāl"),
-    ("CCCC", "faʿlal_(quadriliteral)_or_unvocalized-ambiguous"),
+    ("CCC", ["faʿl", "fiʿl", "fuʿl", "faʿal", "faʿil", "faʿul"]),
+    ("CاCC", ["fāʿil"]),
+    ("CCيC", ["faʿīl"]),
+    ("CCوC", ["faʿūl", "fuʿūl"]),
+    ("CCاC", ["fiʿāl", "faʿāl", "fuʿāl"]),
+    ("CCCان", ["fiʿlān", "faʿlān", "fuʿlān"]),
+    ("CCاCة", ["fiʿālah", "faʿālah"]),
+    ("CCيCة", ["faʿīlah"]),
+    ("CCCة", ["faʿlah", "fiʿlah", "fuʿlah"]),
+    ("CاCCة", ["fāʿilah"]),
+    ("مCCC", ["mafʿal", "mifʿal", "mufʿil", "mufʿal"]),
+    ("مCCCة", ["mafʿalah", "mifʿalah", "mufʿilah"]),
+    ("مCCوC", ["mafʿūl"]),
+    ("مCاCC", ["mufāʿil", "mafāʿil"]),
+    ("مCCّC", ["mufaʿʿil", "mufaʿʿal"]),
+    ("مCتCC", ["muftaʿil", "muftaʿal"]),
+    ("منCCC", ["munfaʿil"]),
+    ("مستCCC", ["mustafʿil", "mustafʿal"]),
+    ("تCCيC", ["tafʿīl"]),
+    ("تCاCC", ["tafāʿul"]),
+    ("CتCاC", ["iftiʿāl-stem"]),
+    ("اCتCاC", ["iftiʿāl"]),
+    ("انCCاC", ["infiʿāl"]),
+    ("استCCاC", ["istifʿāl"]),
+    ("اCCاC", ["ifʿāl", "afʿāl"]),
+    ("ءCCاC", ["ifʿāl"]),
+    ("CCCC", ["faʿlal (quadriliteral) or unvocalized-ambiguous"]),
 ]
 
 
@@ -129,7 +130,7 @@ def pattern_table() -> list[tuple[int, str, str, list[str], bool]]:
     rows = []
     for order, (skeleton, names) in enumerate(PATTERNS):
         regex = "^" + "".join("([ء-ي])" if ch == "C" else "" if ch == "ّ" else ch for ch in skeleton) + "$"
-        rows.append((order, skeleton, regex, [n.replace("_", " ") for n in names.split(" ")], set(skeleton) != {"C"}))
+        rows.append((order, skeleton, regex, names, set(skeleton) != {"C"}))
     return sorted(rows, key=lambda r: (-len(r[1]), r[0]))
 
 
