@@ -211,3 +211,44 @@ def test_pairwise_counts_against_values(spark):
         own = u[r.g :: 2]
         s = (own @ own.T)[np.triu_indices(len(own), 1)]
         assert r.pairs == len(s) and r.u == (s[:, None] > values[None]).sum()
+
+
+def test_density_edges(spark):
+    schema = "family int, id int, vec array<double>, u double"
+    empty = S.density(spark.createDataFrame([], schema), "family", "id", "vec")
+    assert (empty["families"], empty["intra_pairs"], empty["gap"], empty["p"]) == (0, 0, None, 1.0)
+    one = S.density(spark.createDataFrame([(1, 1, [1.0, 0.0], 0.0), (1, 2, [0.0, 1.0], 0.0)], schema), "family", "id", "vec")
+    assert one["intra_pairs"] == 1 and one["cross_pairs"] == 0 and one["gap"] is None
+    rows = [(f, k, [float(f == 1), float(f == 2), 0.1 * k], 0.0) for f in (1, 2) for k in range(4)] + [(1, 9, None, 0.0), (None, 8, [1.0, 1.0, 1.0], 0.0)]
+    both = S.density(spark.createDataFrame(rows, schema), "family", "id", "vec")
+    assert both["families"] == 2 and both["gap"] > 0 and both["significant"] and round(both["coverage_pct"], 3) == 88.889
+
+
+def test_ranks_and_reports_of_nothing(spark):
+    g = spark.createDataFrame([], "key long, vec array<double>, sim double")
+    v = spark.createDataFrame([([1.0, 0.0],)], "vec array<double>")
+    assert S.ranks_among(g, v).count() == 0
+    p = spark.createDataFrame([], "id string, text string")
+    q = spark.createDataFrame([(1, "نور")], "query int, text string")
+    assert R.reported(R.explained(R.tfidf(p, q), p, q)).count() == 0
+
+
+def test_large_vocabularies_count_the_same(spark, monkeypatch):
+    df = spark.createDataFrame([(["a", "b", "it's", "c"] * 30,)], "t array<string>")
+    words = spark.createDataFrame([("a",), ("it's",), ("c",), (None,)], "word string")
+    counted = lambda: sorted((r.w1, r.w2, r.n, round(r.lift, 9)) for r in S.lift(df, F.col("t"), words).collect())
+    small = counted()
+    monkeypatch.setattr(S, "LISTED", 1)
+    assert small == counted() and len(small) == 3
+
+
+def test_written_tables_can_be_released(spark):
+    from pathlib import Path
+
+    from lumenfield.session import own_folder, release, sized, written
+
+    t = written(spark.range(10), "ten")
+    assert sized(t).count() == 10 and Path(own_folder(spark).removeprefix("file://")).exists()
+    release(spark)
+    assert not Path(own_folder(spark).removeprefix("file://")).exists()
+    assert written(spark.range(3), "three").count() == 3
