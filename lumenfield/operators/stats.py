@@ -423,12 +423,12 @@ def scrambled(pairs: DataFrame, seed: int = 42) -> DataFrame:
 
     draw = lambda k: seeded_column(F.concat(F.lit(f"{k}-"), F.col("pair_id").cast("string")))
     keyed = pairs.withColumn("__h", draw(seed))
-    placed = ordinal_ranks(keyed.select("pair_id", "word_i", "mean_attention", "pos_distance", "__h"), ["__h", "pair_id"], "__k")
-    others = ordinal_ranks(keyed.select("pair_id", "word_j", "__h"), ["__h", "pair_id"], "__k")
+    placed = ordinal_ranks(keyed.select("pair_id", "word_i", "word_j", "mean_attention", "pos_distance", "__h"), ["__h", "pair_id"], "__k")
+    others = placed.select("__k", "word_j")
     n = others.count()
     ends = pairs.agg(F.min("pos_distance"), F.max("pos_distance")).first()
     low, high = ends[0] or 0, ends[1] or 0
-    drawn = placed.withColumn("pos_distance", (draw(seed + 1) % (high - low + 1) + low).cast("int"))
+    drawn = placed.drop("word_j").withColumn("pos_distance", (draw(seed + 1) % (high - low + 1) + low).cast("int"))
     return drawn.join(others.select(F.pmod(F.col("__k") + 1, F.lit(max(1, n))).alias("__k"), "word_j"), "__k").drop("__k", "__h")
 
 
