@@ -23,8 +23,10 @@ LAST_BIN = ">200"
 FEWEST = 50
 #: A vocabulary of at most this many words is a set of constants in the plan.
 LISTED = 20_000
-#: Folded pairs that are broadcast to the permutations; more are ranked by shuffles.
-FOLDED = 1_000_000
+#: Folded pairs that a task of permutations holds, at some 50 bytes each; more are ranked by shuffles.
+FOLDED = 10_000_000
+#: Controls that at least so many folded pairs share are folded again for every permutation.
+SHARED = 4096
 
 
 def lift(texts: DataFrame, tokens: Column, vocabulary: DataFrame, window: int = WINDOW, step: int = STEP, least: int = LEAST) -> DataFrame:
@@ -283,63 +285,204 @@ def letter_differences(words_i: pd.Series, words_j: pd.Series) -> np.ndarray:
     return np.where(first[:, None] < 0, -out, out)
 
 
-def _weighted_rho(r: np.ndarray, c: np.ndarray, s: np.ndarray, squares: float) -> float | None:
-    """The rank correlation of values, each for ``c`` rows whose ranks of the other side sum to ``s``; ``squares``: the sum of their squares."""
-    order = np.argsort(r)
-    starts = np.flatnonzero(np.concatenate([[True], np.diff(r[order]) != 0]))
-    c, s = np.add.reduceat(c[order], starts), np.add.reduceat(s[order], starts)
-    n, rank = c.sum(), np.cumsum(c) - c + (c + 1) / 2
-    mean = (n + 1) / 2
-    below = (squares / n - mean * mean) * ((c * rank * rank).sum() / n - mean * mean)
-    return float(((rank * s).sum() / n - mean * mean) / math.sqrt(below)) if below > 1e-12 else None
+class FoldedPairs:
+    """Pairs of equal letter difference and controls as one row (letters, controls.., c, s, q): their number, the sum of the ranks
+    of the outcome's residuals and the sum of the squares of these. Written once, for any number of permutations.
 
+    Rows with nulls are left out. ``rows`` is None below 50 pairs.
+    """
+
+    def __init__(self, pairs: DataFrame, controls: list[str], outcome: str = "mean_attention") -> None:
+        self.controls, self.rows, self.packed = controls, None, None
+        ship(pairs.sparkSession)
+        known = pairs.select("word_i", "word_j", outcome, *[F.col(c).cast("double").alias(c) for c in controls]).dropna()
+        if known.count() < FEWEST:
+            return
+        beta = ols(known, controls, [outcome])[outcome]
+        ranked = average_ranks(known.select("word_i", "word_j", *controls, residual(outcome, controls, beta).alias("__o")), "__o", "rank")
+        equal = ranked.groupBy("word_i", "word_j", *controls).agg(F.count("*").alias("c"), F.sum("rank").alias("s"), F.sum(F.col("rank") * F.col("rank")).alias("q"))
+
+        def lettered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield b[[*controls, "c", "s", "q"]].assign(letters=[x.tobytes() for x in letter_differences(b.word_i, b.word_j)])
+
+        folded = equal.mapInPandas(lettered, ", ".join(f"{c} double" for c in controls) + ", c long, s double, q double, letters binary")
+        self.rows = written(folded.groupBy("letters", *controls).agg(F.sum("c").alias("c"), F.sum("s").alias("s"), F.sum("q").alias("q")), "folded-pairs")
+        n = self.rows.agg(F.count("*").alias("n"), F.sum("q").alias("q")).first()
+        self.count, self.squares = int(n.n), float(n.q)
+
+    def blocks(self) -> tuple[DataFrame, np.ndarray]:
+        """(letters, at, code, x, cs): the rows as arrays, some thousands to a row; and the values of those controls that many rows share.
+
+        ``letters`` has every difference of a block once and ``at`` its place; ``code`` is the place of shared controls, -1 where
+        ``x`` has a row's own.
+        """
+        if self.packed:
+            return self.packed
+        controls = self.controls
+        shared = self.rows.groupBy(*controls).agg(F.count("*").alias("n")).where(F.col("n") >= SHARED).drop("n").collect()  # a row for SHARED rows at least
+        values = np.array(shared, dtype=float).reshape(-1, len(controls))
+        known = F.broadcast(self.rows.sparkSession.createDataFrame([(*r, k) for k, r in enumerate(shared)], ", ".join(f"{c} double" for c in controls) + ", code int"))
+        coded = self.rows.join(known, controls, "left").select("letters", *controls, F.coalesce("code", F.lit(-1)).alias("code"), "c", "s")
+
+        def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                letters = np.frombuffer(b"".join(b.letters), dtype=np.int16).reshape(-1, len(ABJAD_BASE))
+                new = np.concatenate([[True], (letters[1:] != letters[:-1]).any(axis=1)])
+                code = b.code.to_numpy(dtype=np.int32)
+                x = b.loc[code < 0, controls].to_numpy(dtype=float)
+                arrays = (letters[new], (np.cumsum(new) - 1).astype(np.int32), code, x, b[["c", "s"]].to_numpy(dtype=float))
+                yield pd.DataFrame([[np.ascontiguousarray(a).tobytes() for a in arrays]], columns=PACKED)
+
+        near = coded.repartition("letters").sortWithinPartitions("letters")  # so a block has few differences
+        self.packed = written(near.mapInPandas(pack, ", ".join(f"{c} binary" for c in PACKED)), "packed-pairs"), values
+        return self.packed
+
+
+PACKED = ["letters", "at", "code", "x", "cs"]
+
+
+class HeldPairs:
+    """All blocks of folded pairs in one task: permutations are correlated one after the other, with nothing left out.
+
+    Rows of shared controls fold once more, by distance, without a sort; the others are sorted. Large arrays are made once and
+    used again, as new memory for every step costs more than the steps.
+    """
 
-def partial_null(pairs: DataFrame, mappings: list[dict[str, int]], controls: list[str], outcome: str = "mean_attention", most: int = FOLDED, block: int = 50) -> DataFrame:
+    def __init__(self, batches: Iterator[pd.DataFrame], shared: np.ndarray, squares: float) -> None:
+        letters, many, own, offset = [], [], [], 0
+        for b in batches:
+            for r in b.itertuples():
+                first = np.frombuffer(r.letters, dtype=np.int16).reshape(-1, len(ABJAD_BASE))
+                at, code, cs = np.frombuffer(r.at, dtype=np.int32) + np.int32(offset), np.frombuffer(r.code, dtype=np.int32), np.frombuffer(r.cs).reshape(-1, 2)
+                one = code < 0
+                letters.append(first.copy())
+                many.append((at[~one], code[~one], cs[~one]))
+                own.append((at[one], np.frombuffer(r.x).reshape(-1, shared.shape[1]).copy(), cs[one]))
+                offset += len(first)
+        self.letters, self.shared, self.squares, size = letters, shared, squares, offset
+        self.many_at, self.code, cs = (np.concatenate(a) for a in zip(*many))
+        self.many_c, self.many_s = np.ascontiguousarray(cs[:, 0]), np.ascontiguousarray(cs[:, 1])
+        self.own_at, x, self.own_cs = (np.concatenate(a) for a in zip(*own))
+        self.own_x = np.ascontiguousarray(x.T)
+        del many, own, cs, x
+        # sums by letter difference of counts times controls: a product with the distances gives the right sides of all fits
+        own_c, of_code = self.own_cs[:, 0], np.bincount(self.code, self.many_c, len(shared))
+        wide = np.hstack([np.ones((len(shared), 1)), shared])
+        full = [np.ones(len(own_c)), *self.own_x]
+        self.gram = (wide * of_code[:, None]).T @ wide + np.array([[(a * b * own_c).sum() for a in full] for b in full])
+        self.weights = np.column_stack([np.bincount(self.many_at, self.many_c * wide[self.code, k], size) + np.bincount(self.own_at, own_c * x, size) for k, x in enumerate(full)])
+        self.room = len(own_c) + len(self.many_at)
+
+    def distances(self, values: np.ndarray) -> np.ndarray:
+        """A row a permutation: the distance of every letter difference, whole numbers."""
+        return np.ascontiguousarray(np.concatenate([np.abs(x.astype(np.float32) @ values) for x in self.letters]).T)
+
+    def rho(self, d: np.ndarray) -> float | None:
+        fit = np.linalg.lstsq(self.gram, d.astype(float) @ self.weights, rcond=None)[0]
+        k, many, code, c, s = len(self.shared), None, self.code, self.many_c, self.many_s
+        if len(code):
+            whole = d.astype(np.int64)
+            span = (int(whole.max()) + 1) * k
+            if span <= 4 * len(code):
+                cell = (whole * k)[self.many_at]
+                cell += code
+                c, s = np.bincount(cell, c, span), np.bincount(cell, s, span)
+                at = np.flatnonzero(c)
+                many, code, c, s = (at // k).astype(float), at % k, c[at], s[at]
+        if many is None:
+            many = d[self.many_at].astype(float)
+        n, first = len(self.own_at) + len(many), len(self.own_at)
+        if not hasattr(self, "cs") or len(self.cs) < n:  # the room of a first permutation, and some more for others
+            room = min(self.room, n + (n - first) // 2)
+            self.r, self.work, self.key, self.places = np.empty(room), np.empty(room), np.empty(room, dtype=np.int64), np.arange(room, dtype=np.int32)
+            self.cs, self.sorted = np.empty((room, 2)), np.empty(room, dtype=complex)
+            self.cs[:first] = self.own_cs
+        r, work, key = self.r[:n], self.work[:n], self.key[:n]
+        self.cs[first:n, 0], self.cs[first:n, 1] = c, s
+        r[:first], r[first:] = d[self.own_at], many
+        r -= fit[0]
+        for slope, x, values in zip(fit[1:], self.own_x, self.shared.T):
+            np.multiply(x, slope, out=work[:first])
+            np.multiply(values[code], slope, out=work[first:])
+            r -= work
+        np.round(r, 12, out=r)
+        return _ranked_rho(r, self.cs[:n], self.squares, work, key, self.places[:n], self.sorted[:n])
+
+
+def _ranked_rho(r: np.ndarray, cs: np.ndarray, squares: float, work: np.ndarray, key: np.ndarray, places: np.ndarray, found: np.ndarray) -> float | None:
+    """The rank correlation of values ``r``, each for a number of rows whose ranks of the other side have a sum (``cs``).
+
+    ``squares`` is the sum of the squares of those ranks; the last four are room to work in, ``places`` is 0 to n - 1. Integers of
+    value and place are sorted, which is faster than argsort; what they can't tell apart is sorted again by its values.
+    """
+    n, low, high = len(r), r.min(), r.max()
+    bits = max(1, (n - 1).bit_length())
+    np.subtract(r, low, out=work)
+    work *= 2.0 ** (62 - bits) / (high - low) if high > low else 0.0
+    np.copyto(key, work, casting="unsafe")
+    key <<= bits
+    key |= places
+    key.sort()
+    value = np.right_shift(key, bits, out=work.view(np.int64))
+    key &= (1 << bits) - 1
+    near, ties = value[1:] == value[:-1], None
+    if near.any():
+        at = np.flatnonzero(np.concatenate([near, [False]]) | np.concatenate([[False], near]))
+        own = key[at]
+        key[at] = own = own[np.lexsort((r[own], value[at]))]
+        ties = at[1:][(at[1:] == at[:-1] + 1) & (r[own[1:]] == r[own[:-1]])]  # the places that equal the one before
+    np.take(cs.view(complex).ravel(), key, out=found, mode="clip")
+    c, s = found.real, found.imag
+    if ties is not None and len(ties):
+        starts = np.delete(np.arange(n), ties)
+        c, s = np.add.reduceat(c, starts), np.add.reduceat(s, starts)
+    rank = np.cumsum(c, out=work[: len(c)])
+    total = rank[-1]
+    rank -= (c - 1) / 2
+    mean = (total + 1) / 2
+    below = (squares / total - mean * mean) * (np.dot(c * rank, rank) / total - mean * mean)
+    return float((np.dot(rank, s) / total - mean * mean) / math.sqrt(below)) if below > 1e-12 else None
+
+
+def partial_null(pairs: DataFrame, mappings: list[dict[str, int]], controls: list[str], outcome: str = "mean_attention", most: int = FOLDED, block: int = 50, folded: FoldedPairs | None = None) -> DataFrame:
     """(perm, rho): the partial rank correlation of permuted distances with an outcome given controls (rows with nulls left out).
 
     The outcome's residual ranks are made once. A distance depends on the difference of two words' letters alone, so pairs of
-    equal difference and controls fold to one row. Up to ``most`` such rows are broadcast and permutations are the tasks; more
-    are ranked by shuffles, a block of permutations at a time. Below 50 pairs every rho is null.
+    equal difference and controls fold to one row; ``folded`` is given where that is done already. Permutations are the tasks,
+    each reads up to ``most`` such rows as arrays; more are ranked by shuffles, a block of permutations at a time. Below 50
+    pairs every rho is null.
     """
     spark = pairs.sparkSession
     ship(spark)
-    known = pairs.select("word_i", "word_j", outcome, *[F.col(c).cast("double").alias(c) for c in controls]).dropna()
-    if known.count() < FEWEST:
+    folded = folded or FoldedPairs(pairs, controls, outcome)
+    if folded.rows is None:
         return spark.range(len(mappings)).select(F.col("id").cast("int").alias("perm"), F.lit(None).cast("double").alias("rho"))
-    beta = ols(known, controls, [outcome])[outcome]
-    ranked = average_ranks(known.select("word_i", "word_j", *controls, residual(outcome, controls, beta).alias("__o")), "__o", "rank")
-    equal = ranked.groupBy("word_i", "word_j", *controls).agg(F.count("*").alias("c"), F.sum("rank").alias("s"), F.sum(F.col("rank") * F.col("rank")).alias("q"))
+    squares = folded.squares
+    values = np.array([[m[c] for m in mappings] for c in ABJAD_BASE], dtype=np.float32)
 
-    def lettered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b[[*controls, "c", "s", "q"]].assign(letters=[x.tobytes() for x in letter_differences(b.word_i, b.word_j)])
+    if folded.count <= most:
+        blocks, shared = folded.blocks()
 
-    folded = equal.mapInPandas(lettered, ", ".join(f"{c} double" for c in controls) + ", c long, s double, q double, letters binary")
-    folded = written(folded.groupBy("letters", *controls).agg(F.sum("c").alias("c"), F.sum("s").alias("s"), F.sum("q").alias("q")), "folded-pairs")
-    squares = float(folded.agg(F.sum("q")).first()[0])
-    values = np.array([[m[c] for m in mappings] for c in ABJAD_BASE], dtype=np.float32)
+        def run(batches: Iterator[pd.DataFrame], own: range) -> Iterator[pd.DataFrame]:
+            held = HeldPairs(batches, shared, squares)
+            for at in range(0, len(own), 4):
+                perms = list(own[at : at + 4])
+                yield pd.DataFrame({"perm": perms, "rho": pd.array([held.rho(d) for d in held.distances(values[:, perms])], dtype="Float64")})
+
+        tasks = max(1, min(len(mappings), 2 * spark.sparkContext.defaultParallelism))
+        out = None
+        for k in range(tasks):  # each a task that reads all blocks and has each ``tasks``-th permutation
+            part = blocks.coalesce(1).mapInPandas(lambda batches, own=range(k, len(mappings), tasks): run(batches, own), "perm int, rho double")
+            out = part if out is None else out.unionByName(part)
+        return written(out, "nulls")
+
+    rows = folded.rows
 
     def arrays(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         letters = np.frombuffer(b"".join(b.letters), dtype=np.int16).reshape(-1, len(ABJAD_BASE)).astype(np.float32)
         return letters, np.column_stack([np.ones(len(b)), *[b[c].to_numpy() for c in controls]]), b.c.to_numpy(dtype=float), b.s.to_numpy()
 
-    if folded.count() <= most:
-        shared = spark.sparkContext.broadcast(arrays(folded.toPandas()))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            letters, x, c, s = shared.value
-            gram = (x * c[:, None]).T @ x
-            for b in batches:
-                rows = []
-                for k in b.id.tolist():
-                    d = np.abs(letters @ values[:, k]).astype(float)
-                    fit = np.linalg.lstsq(gram, (x * c[:, None]).T @ d, rcond=None)[0]
-                    rows.append((k, _weighted_rho(np.round(d - x @ fit, 12), c, s, squares)))
-                yield pd.DataFrame(rows, columns=["perm", "rho"])
-
-        tasks = min(len(mappings), 8 * spark.sparkContext.defaultParallelism)
-        return written(spark.range(0, len(mappings), 1, max(1, tasks)).mapInPandas(run, "perm int, rho double"), "nulls")
-
     def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             letters, x, c, _ = arrays(b)
@@ -347,10 +490,10 @@ def partial_null(pairs: DataFrame, mappings: list[dict[str, int]], controls: lis
             yield pd.DataFrame({"perm": np.repeat(np.arange(len(sums)), x.shape[1]), "i": np.tile(np.arange(x.shape[1]), len(sums)), "t": sums.ravel()})
 
     right = np.zeros((len(mappings), len(controls) + 1))
-    for row in folded.mapInPandas(moments, "perm int, i int, t double").groupBy("perm", "i").agg(F.sum("t").alias("t")).collect():  # a few numbers a permutation
+    for row in rows.mapInPandas(moments, "perm int, i int, t double").groupBy("perm", "i").agg(F.sum("t").alias("t")).collect():  # a few numbers a permutation
         right[row.perm, row.i] = row.t
     x = [F.lit(1.0), *[F.col(c) for c in controls]]
-    sums = folded.agg(*[F.sum(F.col("c") * a * b) for a in x for b in x]).first()
+    sums = rows.agg(*[F.sum(F.col("c") * a * b) for a in x for b in x]).first()
     fits = np.linalg.lstsq(np.array(sums, dtype=float).reshape(len(x), len(x)), right.T, rcond=None)[0]
 
     def spread(batches: Iterator[pd.DataFrame], at: int) -> Iterator[pd.DataFrame]:
@@ -361,7 +504,7 @@ def partial_null(pairs: DataFrame, mappings: list[dict[str, int]], controls: lis
 
     out = None
     for at in range(0, len(mappings), block):
-        per = folded.mapInPandas(lambda batches, at=at: spread(batches, at), "perm int, r double, c double, s double").groupBy("perm", "r").agg(F.sum("c").alias("c"), F.sum("s").alias("s"))
+        per = rows.mapInPandas(lambda batches, at=at: spread(batches, at), "perm int, r double, c double, s double").groupBy("perm", "r").agg(F.sum("c").alias("c"), F.sum("s").alias("s"))
         own = W.partitionBy("perm").orderBy("r").rowsBetween(W.unboundedPreceding, -1)
         placed = per.withColumn("rank", F.coalesce(F.sum("c").over(own), F.lit(0.0)) + (F.col("c") + 1) / 2)
         n = F.sum("c")
@@ -385,8 +528,9 @@ def mapping_digest(mapping: dict[str, int]) -> str:
     return hashlib.md5(" ".join(f"{c}{v}" for c, v in sorted(mapping.items())).encode()).hexdigest()
 
 
-def resumed(nulls_path: str, mappings: list[dict[str, int]], pairs: DataFrame, controls: list[str] | None = None) -> DataFrame:
+def resumed(nulls_path: str, mappings: list[dict[str, int]], pairs: DataFrame, controls: list[str] | None = None, folded: FoldedPairs | None = None) -> DataFrame:
     """(perm, rho): permutations (partial ones with controls) that a table of results still lacks are run and appended; then all results.
+    ``folded``: the pairs folded with these controls, where that is done already.
 
     A stored result counts only if it was made with the same mapping (so the same seed), the same number of pairs and the same
     controls; others stay in the table but are neither trusted nor returned.
@@ -407,7 +551,7 @@ def resumed(nulls_path: str, mappings: list[dict[str, int]], pairs: DataFrame, c
     left = [k for k in range(len(mappings)) if k not in done]
     if left:
         own = [mappings[k] for k in left]
-        fresh = partial_null(pairs, own, controls) if controls else permutation_null(pairs, own)
+        fresh = partial_null(pairs, own, controls, folded=folded) if controls else permutation_null(pairs, own)
         number = F.array(*[F.lit(k) for k in left])
         named = fresh.select(F.get(number, F.col("perm")).alias("perm"), "rho").join(F.broadcast(wanted), "perm")
         named.select("perm", "rho", "mapping", F.lit(run).alias("run")).write.mode("append").parquet(nulls_path)

@@ -160,6 +160,36 @@ def test_partial_null_against_brute_force(spark):
     assert [r.rho for r in S.partial_null(df.limit(9), maps[:1], ["pos_distance", "cooc"]).collect()] == [None]
 
 
+def test_ranked_rho_against_brute_force():
+    """Weighted ranks of values with ties and with neighbours that the sorted integers can't tell apart."""
+    rng = np.random.default_rng(8)
+    for values in (rng.integers(0, 30, 500) / 7, np.concatenate([[-1e9, 1e9], 1 + rng.integers(0, 9, 498) * 1e-12]), rng.normal(size=500), np.ones(500)):
+        c, o = rng.integers(1, 4, 500), rng.normal(size=500)
+        every = pd.DataFrame({"r": np.repeat(values, c), "o": np.repeat(o, c), "k": np.repeat(np.arange(500), c)})
+        ranks = every[["r", "o"]].rank()
+        cs = np.column_stack([c.astype(float), ranks.o.groupby(every.k).sum()])
+        got = S._ranked_rho(values.copy(), cs, float((ranks.o**2).sum()), np.empty(500), np.empty(500, dtype=np.int64), np.arange(500, dtype=np.int32), np.empty(500, dtype=complex))
+        want = ranks.corr().iloc[0, 1] if len(set(values)) > 1 else None
+        assert got == (None if want is None else pytest.approx(want, abs=1e-12))
+
+
+def test_partial_null_folds_once(spark, monkeypatch):
+    """Blocks of shared and own controls and the path by shuffles give the same, from one folding for any number of runs."""
+    rng = np.random.default_rng(6)
+    letters = list("ابجدهوز")
+    rows = [("".join(rng.choice(letters, 3)), "".join(rng.choice(letters, 3)), float(rng.normal()), int(k % 3), float(rng.uniform()) if k % 4 == 0 else 0.0) for k in range(400)]
+    df = spark.createDataFrame(rows, "word_i string, word_j string, mean_attention double, pos_distance int, cooc double")
+    controls, maps = ["pos_distance", "cooc"], S.permuted_mappings(3)
+    monkeypatch.setattr(S, "SHARED", 20)
+    folded = S.FoldedPairs(df, controls)
+    monkeypatch.setattr(S, "average_ranks", None)  # nothing is ranked again
+    got = {r.perm: r.rho for r in S.partial_null(df, maps, controls, folded=folded).collect()}
+    values = folded.blocks()[1]
+    other = {r.perm: r.rho for r in S.partial_null(df, maps, controls, most=0, folded=folded).collect()}
+    assert len(values) == 3 and not values[:, 1].any() and sorted(got) == [0, 1, 2]
+    assert all(got[k] == pytest.approx(other[k], abs=1e-12) for k in got)
+
+
 def test_scramble_draws_positions(spark):
     df = spark.range(200).selectExpr("id as pair_id", "'w' as word_i", "'v' as word_j", "0.5 as mean_attention", "cast(if(id = 0, 9, 1) as int) as pos_distance")
     drawn = {r.pos_distance for r in S.scrambled(df).collect()}
