@@ -160,8 +160,9 @@ def checkpoint_resume(spark, d):
 
     at = f"{shared_folder(spark).rstrip('/')}/nulls-{uuid.uuid4().hex}"
     known = _controlled(spark, d)
-    S.resumed(at, S.permuted_mappings(DRAWS)[:10], known, CONTROLS)
-    return S.resumed(at, S.permuted_mappings(DRAWS), known, CONTROLS).select("perm", F.round("rho", 6).alias("rho"))
+    folded = S.FoldedPairs(known, CONTROLS)
+    S.resumed(at, S.permuted_mappings(DRAWS)[:10], known, CONTROLS, folded)
+    return S.resumed(at, S.permuted_mappings(DRAWS), known, CONTROLS, folded).select("perm", F.round("rho", 6).alias("rho"))
 
 
 _SCRAMBLED = _PARTIAL + f""", sx as (select *, row_number() over (order by h, pair_id) - 1 as k from (select pair_id, word_i, word_j, mean_attention, pos_distance, {_HASH("'42-' || pair_id")} as h from prs where root_relation = 'different')), sn as (select count(*) n, min(pos_distance) lo, max(pos_distance) hi from sx),
