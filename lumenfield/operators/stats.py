@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -464,18 +465,19 @@ def partial_null(pairs: DataFrame, mappings: list[dict[str, int]], controls: lis
     if folded.count <= most:
         blocks, shared = folded.blocks()
 
-        def run(batches: Iterator[pd.DataFrame], own: range) -> Iterator[pd.DataFrame]:
-            held = HeldPairs(batches, shared, squares)
+        tasks = max(1, min(len(mappings), 2 * spark.sparkContext.defaultParallelism))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            first = next(batches)
+            own = range(int(first.task.iloc[0]), len(mappings), tasks)
+            held = HeldPairs(chain([first], batches), shared, squares)
             for at in range(0, len(own), 4):
                 perms = list(own[at : at + 4])
                 yield pd.DataFrame({"perm": perms, "rho": pd.array([held.rho(d) for d in held.distances(values[:, perms])], dtype="Float64")})
 
-        tasks = max(1, min(len(mappings), 2 * spark.sparkContext.defaultParallelism))
-        out = None
-        for k in range(tasks):  # each a task that reads all blocks and has each ``tasks``-th permutation
-            part = blocks.coalesce(1).mapInPandas(lambda batches, own=range(k, len(mappings), tasks): run(batches, own), "perm int, rho double")
-            out = part if out is None else out.unionByName(part)
-        return written(out, "nulls")
+        # a product by partitions: each task reads all blocks and has each ``tasks``-th permutation (a union of one-partition scans would be one task)
+        each = spark.range(0, tasks, 1, tasks).withColumnRenamed("id", "task").hint("shuffle_replicate_nl").crossJoin(blocks.coalesce(1))
+        return written(each.mapInPandas(run, "perm int, rho double"), "nulls")
 
     rows = folded.rows
 

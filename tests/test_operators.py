@@ -184,6 +184,7 @@ def test_partial_null_folds_once(spark, monkeypatch):
     folded = S.FoldedPairs(df, controls)
     monkeypatch.setattr(S, "average_ranks", None)  # nothing is ranked again
     got = {r.perm: r.rho for r in S.partial_null(df, maps, controls, folded=folded).collect()}
+    assert len(S.partial_null(df, maps, controls, folded=folded).inputFiles()) == 3  # as many tasks as permutations, not one
     values = folded.blocks()[1]
     other = {r.perm: r.rho for r in S.partial_null(df, maps, controls, most=0, folded=folded).collect()}
     assert len(values) == 3 and not values[:, 1].any() and sorted(got) == [0, 1, 2]
