@@ -10,6 +10,8 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,8 +24,12 @@ WINDOW, STEP, LEAST = 40, 20, 2
 BINS = [(10, "<=10"), (25, "11-25"), (50, "26-50"), (100, "51-100"), (200, "101-200")]
 LAST_BIN = ">200"
 FEWEST = 50
-#: A vocabulary of at most this many words is a set of constants in the plan.
+#: A vocabulary of at most this many words is numbered, and the pairs of its words are counted within tasks.
 LISTED = 20_000
+#: Counts of pairs that a task holds, and windows whose pairs it numbers at once.
+COUNTED, WINDOWS = 1 << 22, 8192
+#: Rows of an Arrow batch that a task returns.
+BATCH = 10_000
 #: Folded pairs that a task of permutations holds, at some 50 bytes each; more are ranked by shuffles.
 FOLDED = 10_000_000
 #: Controls that at least so many folded pairs share are folded again for every permutation.
@@ -36,30 +42,99 @@ def lift(texts: DataFrame, tokens: Column, vocabulary: DataFrame, window: int =
     Windows begin every ``step`` tokens and are complete; what a text has beyond its last is dropped. Windows, their words and
     the pairs of a window are made within one row; a window holds ``window`` words at most, so its pairs are bounded.
     """
+    known = written(vocabulary.select("word").where("word is not null").distinct(), "vocabulary")
+    if known.count() <= LISTED:
+        return _listed_lift(texts, tokens, sorted(r.word for r in known.collect()), window, step, least)
     whole = texts.select(tokens.alias("t")).where(F.size("t") > window)
     at = whole.select("t", F.explode(F.sequence(F.lit(0), F.floor((F.size("t") - window - 1) / step).cast("int"))).alias("k"))
-    words = F.array_distinct(F.slice("t", F.col("k") * step + 1, window))
-    known = written(vocabulary.select("word").where("word is not null").distinct(), "vocabulary")
-    if known.count() <= LISTED:  # a set of constants: windows are reduced where they are made, nothing is shuffled before pairs are counted
-        listed = ", ".join("'" + r.word.replace("\\", "\\\\").replace("'", "\\'") + "'" for r in known.collect())
-        sets = at.select(words.alias("words")).select(F.sort_array(F.expr(f"filter(words, x -> x in ({listed}))") if listed else F.array().cast("array<string>")).alias("words"))
-        sets = written(sets, "windows")
-        n = sets.count()
-    else:
-        held = written(at.select(F.monotonically_increasing_id().alias("w"), words.alias("words")), "windows")
-        n = held.count()
-        sets = held.select("w", F.explode("words").alias("word")).join(sized(known), "word", "left_semi").groupBy("w").agg(F.sort_array(F.collect_list("word")).alias("words"))
+    held = written(at.select(F.monotonically_increasing_id().alias("w"), F.array_distinct(F.slice("t", F.col("k") * step + 1, window)).alias("words")), "windows")
+    n = held.count()
+    sets = held.select("w", F.explode("words").alias("word")).join(sized(known), "word", "left_semi").groupBy("w").agg(F.sort_array(F.collect_list("word")).alias("words"))
     single = sets.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     first = sets.select("words", F.posexplode("words").alias("i", "w1"))
     pairs = first.select("w1", F.explode(F.slice("words", F.col("i") + 2, F.size("words"))).alias("w2")).groupBy("w1", "w2").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     both = pairs.join(single.select(F.col("word").alias("w1"), F.col("n").alias("n1")), "w1").join(single.select(F.col("word").alias("w2"), F.col("n").alias("n2")), "w2")
-    return both.select("w1", "w2", "n", ((F.col("n") / n) / ((F.col("n1") / n) * (F.col("n2") / n) + 1e-10)).alias("lift"))
+    return both.select("w1", "w2", "n", _lifted(n))
+
+
+def _lifted(n: int) -> Column:
+    return ((F.col("n") / n) / ((F.col("n1") / n) * (F.col("n2") / n) + 1e-10)).alias("lift")
 
 
-def with_lift(pairs: DataFrame, lifts: DataFrame) -> DataFrame:
+def _listed_lift(texts: DataFrame, tokens: Column, words: list[str], window: int, step: int, least: int) -> DataFrame:
+    """The same for a sorted list of words: a task counts the pairs of its windows by number, so no window and no pair of one is emitted.
+
+    Counts are one number a pair while all pairs of words are at most ``COUNTED``, else sorted numbers, emitted before they are more.
+    """
+    spark = texts.sparkSession
+    ship(spark)
+    size = len(words)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, windows = pa.array(words, pa.string()), 0
+        every = np.zeros(size * size, dtype=np.int64) if size * size <= COUNTED else None
+        keys, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        for b in batches:
+            t = b.column(0)
+            lengths = t.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            codes = pc.index_in(t.flatten(), value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
+            number = np.where(lengths > window, (lengths - window - 1) // step + 1, 0)
+            before = np.cumsum(number) - number
+            starts = np.repeat(np.cumsum(lengths) - lengths - before * step, number) + np.arange(number.sum()) * step
+            windows += len(starts)
+            for at in range(0, len(starts) if size else 0, WINDOWS):
+                held = np.sort(codes[starts[at : at + WINDOWS, None] + np.arange(window)], axis=1).astype(np.int64)
+                held[:, 1:][held[:, 1:] == held[:, :-1]] = -1
+                held.sort(axis=1)  # each word once, at the end of its row
+                held = held[:, max(0, window - int((held >= 0).sum(axis=1).max())) :]
+                wide = held.shape[1]
+                new = np.concatenate([(held[:, : wide - k] * size + held[:, k:])[held[:, : wide - k] >= 0] for k in range(wide)] or [keys[:0]])  # a word with itself: its windows
+                if every is not None:
+                    every += np.bincount(new, minlength=len(every))
+                    continue
+                new, n = np.unique(new, return_counts=True)
+                keys, where = np.unique(np.concatenate([keys, new]), return_inverse=True)
+                counts = np.bincount(where, np.concatenate([counts, n]), len(keys)).astype(np.int64)
+                if len(keys) > COUNTED:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["key", "n"])
+                    keys, counts = keys[:0], counts[:0]
+        if every is not None:
+            keys = np.flatnonzero(every)
+            counts = every[keys]
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(keys, -1)), pa.array(np.append(counts, windows))], ["key", "n"])
+
+    counted = written(texts.select(tokens.alias("t")).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "window-counts")
+    n = counted.where("key = -1").agg(F.sum("n")).first()[0] or 0
+    placed = counted.where("key >= 0").select(F.expr(f"key div {max(1, size)}").alias("a"), F.expr(f"key % {max(1, size)}").alias("b"), "n")
+    named = spark.createDataFrame(pa.table({"k": pa.array(range(size), pa.int64()), "word": pa.array(words, pa.string())})).join(placed.where("a = b").select(F.col("a").alias("k"), F.col("n").alias("m")), "k")
+    one = F.broadcast(written(named, "window-words"))  # LISTED rows at most
+    both = placed.where((F.col("a") < F.col("b")) & (F.col("n") >= least))
+    for side, name, total in (("a", "w1", "n1"), ("b", "w2", "n2")):
+        both = both.join(one.select(F.col("k").alias(side), F.col("word").alias(name), F.col("m").alias(total)), side)
+    return both.select("w1", "w2", "n", _lifted(n))
+
+
+def with_lift(pairs: DataFrame, lifts: DataFrame, small: bool = False) -> DataFrame:
     """Add ``cooc``: the lift of a pair's words in either order, 0 where there is none."""
     keyed = pairs.withColumn("w1", F.least("word_i", "word_j")).withColumn("w2", F.greatest("word_i", "word_j"))
-    return keyed.join(lifts.select("w1", "w2", "lift"), ["w1", "w2"], "left").withColumn("cooc", F.coalesce("lift", F.lit(0.0))).drop("w1", "w2", "lift")
+    held = lifts.select("w1", "w2", "lift")
+    if small:  # what a partition of lifts holds fits a hash table, so neither side is sorted
+        held = held.hint("shuffle_hash")
+    return keyed.join(held, ["w1", "w2"], "left").withColumn("cooc", F.coalesce("lift", F.lit(0.0))).drop("w1", "w2", "lift")
+
+
+def once(df: DataFrame, key: str) -> DataFrame:
+    """One row of each key, as ``dropDuplicates``, which would sort rows that hold strings."""
+    ship(df.sparkSession)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if held:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            codes = pc.dictionary_encode(rows[key], null_encoding="encode").combine_chunks().indices.to_numpy()
+            yield from rows.take(pa.array(np.unique(codes, return_index=True)[1])).to_batches(max_chunksize=BATCH)
+
+    return df.repartition(key).mapInArrow(first, df.schema)
 
 
 def sentence_pairs(words: Column, value) -> Column:
@@ -106,6 +181,40 @@ def average_ranks(df: DataFrame, column: str, name: str, groups: list[str] | Non
     return df.join(table, [*groups, column])
 
 
+def placed_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
+    """The rows of ``df`` (numbers without nulls in ``column``) with ``name``, their rank with ties averaged (from 1), in place of the column.
+
+    Rows are sent into ranges once, whole; a range is ranked as arrays and its rows are written with their rank in it. So it is
+    for columns of many distinct values; ``average_ranks`` folds equal ones first and joins.
+    """
+    ship(df.sparkSession)
+    kept = [c for c in df.columns if c != column]
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        held = list(batches)
+        if not held:
+            return
+        rows = pa.Table.from_batches(held)
+        values = rows[column].to_numpy()
+        order = np.argsort(values)
+        in_order = values[order]
+        starts = np.flatnonzero(np.concatenate([[True], in_order[1:] != in_order[:-1]]))
+        many = np.diff(np.append(starts, len(values)))
+        out = np.empty(len(values))
+        out[order] = np.repeat(starts + (many + 1) / 2, many)
+        part = np.full(len(values), TaskContext.get().partitionId(), dtype=np.int32)
+        yield from rows.select(kept).append_column("__in", pa.array(out)).append_column("__part", pa.array(part)).to_batches(max_chunksize=BATCH)
+
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    ranged = df.withColumn(column, F.col(column) + 0.0).repartitionByRange(column)  # no -0.0
+    placed = written(ranged.mapInArrow(rank, ", ".join([f"`{c}` {kinds[c]}" for c in kept] + ["__in double, __part int"])), "ranges")
+    parts = placed.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = parts.withColumn("__before", F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__n")  # a row per range
+    return placed.join(F.broadcast(before), "__part").select(*kept, (F.col("__before") + F.col("__in")).alias(name))
+
+
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """(rho, n): the rank correlation of two columns, rows with a null left out."""
     known = df.select(a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count("*").alias("__w"))
@@ -118,6 +227,42 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     return m.select(F.when(below > 0, (F.col("xy") / F.col("n") - F.col("x") * F.col("y") / F.col("n") / F.col("n")) / below).alias("rho"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def rank_correlation(df: DataFrame, a: str, b: str) -> float | None:
+    """The same of two columns of many distinct numbers without nulls: each is sent into ranges once and nothing is joined.
+
+    A range of ``a`` returns its sums with the ranks within it; how many rows are before it is added on the driver.
+    """
+    ranked = placed_ranks(df.select(a, b), b, "rank")
+    each = ranked.groupBy((F.col(a) + 0.0).alias(a)).agg(F.count("*").alias("c"), F.sum("rank").alias("s"), F.sum(F.col("rank") * F.col("rank")).alias("q"))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        held = list(batches)
+        if held:
+            rows = pa.Table.from_batches(held)
+            value, c, s, q = (rows[k].to_numpy() for k in (a, "c", "s", "q"))
+            order = np.argsort(value)
+            own = np.empty(len(c))
+            own[order] = np.cumsum(c[order]) - (c[order] - 1) / 2
+            found = (TaskContext.get().partitionId(), int(c.sum()), s.sum(), q.sum(), (own * s).sum(), (own * c).sum(), (own * own * c).sum())
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in found], RANGE_SUMS)
+
+    rows = sorted(each.repartitionByRange(a).mapInArrow(sums, ", ".join(f"{k} {'long' if k in ('part', 'n') else 'double'}" for k in RANGE_SUMS)).collect())  # a row a range
+    n, before, xx, xy, yy = sum(r.n for r in rows), 0, 0.0, 0.0, 0.0
+    mean = (n + 1) / 2
+    for r in rows:  # about the mean, so no large sums are subtracted
+        off = before - mean
+        xx += r.xx + 2 * off * r.x + off * off * r.n
+        xy += r.xs + off * r.s - mean * (r.x + off * r.n)
+        yy += r.q - 2 * mean * r.s + mean * mean * r.n
+        before += r.n
+    return xy / math.sqrt(xx * yy) if xx > 0 and yy > 0 else None
+
+
+RANGE_SUMS = ["part", "n", "s", "q", "xs", "x", "xx"]
+
+
 def ols(df: DataFrame, controls: list[str], targets: list[str]) -> dict[str, np.ndarray]:
     """Coefficients (intercept first) of each target on the controls: one aggregate of products, solved on the driver."""
     x = [F.lit(1.0), *[F.col(c).cast("double") for c in controls]]
@@ -145,7 +290,7 @@ def partial_spearman(df: DataFrame, target: str, outcome: str, controls: list[st
     if n < FEWEST:
         return spark.createDataFrame([(None, n, None, "insufficient data")], "rho double, n long, p double, error string")
     beta = ols(known, controls, [target, outcome])
-    rho = spearman(known.select(residual(target, controls, beta[target]).alias("a"), residual(outcome, controls, beta[outcome]).alias("b")), "a", "b").first()[0]
+    rho = rank_correlation(known.select(residual(target, controls, beta[target]).alias("a"), residual(outcome, controls, beta[outcome]).alias("b")), "a", "b")
     return spark.createDataFrame([(rho, n, spearman_p(rho, n), None)], "rho double, n long, p double, error string")
 
 
@@ -273,14 +418,15 @@ def letter_differences(words_i: pd.Series, words_j: pd.Series) -> np.ndarray:
     """Counts of the base letters of one word less those of the other, a row a pair, the first that differs counted up."""
     from ..functions.letters import ABJAD_VARIANTS
 
+    size = len(ABJAD_BASE)
     place = {c: k for k, c in enumerate(ABJAD_BASE)} | {v: list(ABJAD_BASE).index(b) for v, b in {**ABJAD_VARIANTS, "ٱ": "ا"}.items()}
     codes, distinct = pd.factorize(pd.concat([words_i, words_j], ignore_index=True))
-    counts = np.zeros((len(distinct), len(ABJAD_BASE)), dtype=np.int16)
-    for row, word in enumerate(distinct):
-        for c in word:
-            k = place.get(c)
-            if k is not None:
-                counts[row, k] += 1
+    last = max(map(ord, place)) + 1
+    places = np.full(last + 1, -1)
+    places[[ord(c) for c in place]] = list(place.values())
+    letter = places[np.minimum(np.frombuffer("".join(distinct).encode("utf-32-le"), dtype=np.uint32), last)]
+    cell = np.repeat(np.arange(len(distinct)) * size, [len(w) for w in distinct]) + letter
+    counts = np.bincount(cell[letter >= 0], minlength=len(distinct) * size).astype(np.int16).reshape(-1, size)
     out = counts[codes[: len(words_i)]] - counts[codes[len(words_i) :]]
     first = out[np.arange(len(out)), (out != 0).argmax(axis=1)] if len(out) else out[:, 0]
     return np.where(first[:, None] < 0, -out, out)
@@ -300,7 +446,7 @@ class FoldedPairs:
         if known.count() < FEWEST:
             return
         beta = ols(known, controls, [outcome])[outcome]
-        ranked = average_ranks(known.select("word_i", "word_j", *controls, residual(outcome, controls, beta).alias("__o")), "__o", "rank")
+        ranked = placed_ranks(known.select("word_i", "word_j", *controls, residual(outcome, controls, beta).alias("__o")), "__o", "rank")
         equal = ranked.groupBy("word_i", "word_j", *controls).agg(F.count("*").alias("c"), F.sum("rank").alias("s"), F.sum(F.col("rank") * F.col("rank")).alias("q"))
 
         def lettered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -23,7 +23,7 @@ _LIFT = f"""tk as (select doc_id, list_filter(string_split({_clean_arabic('text'
 
 def _lift(spark, d) -> DataFrame:
     vocabulary = table(spark, d, "lexicon").select(F.col("form").alias("word"))
-    return S.lift(documents(spark, d), T.tokenize("text"), vocabulary)
+    return S.lift(documents(spark, d).where(F.col("text").rlike("[\\u0600-\\u06FF]")), T.tokenize("text"), vocabulary)  # other texts have no token
 
 
 @query("with " + _LIFT + " select w1, w2, n, round(lift, 4) as lift from lf")
@@ -106,12 +106,17 @@ def _cross(spark, d) -> DataFrame:
 
 
 DRAWS = 1000
+#: Lifts that a partition of a join holds as a hash table.
+HASHED = 200_000
 CONTROLS = ["pos_distance", "cooc"]
 
 
 def _controlled(spark, d) -> DataFrame:
     """Pairs across roots with their lift, written once for the observed value and the null."""
-    return written(S.with_lift(_cross(spark, d), _lift(spark, d)).select("word_i", "word_j", "value_distance", "mean_attention", *CONTROLS), "controlled-pairs")
+    lifts = written(_lift(spark, d), "lifts")
+    small = lifts.count() <= HASHED * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    p = table(spark, d, "pairs").select("pair_id", "word_i", "word_j", "pos_distance", "value_distance", "mean_attention", (F.col("root_relation") == "different").alias("across"))
+    return written(S.with_lift(S.once(p, "pair_id").where("across"), lifts, small).select("word_i", "word_j", "value_distance", "mean_attention", *CONTROLS), "controlled-pairs")
 
 
 def _observed_frame(spark, d) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import json
 import math
+from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -283,3 +285,46 @@ def test_written_tables_can_be_released(spark):
     release(spark)
     assert not Path(own_folder(spark).removeprefix("file://")).exists()
     assert written(spark.range(3), "three").count() == 3
+
+
+def test_lift_counts_pairs_within_tasks(spark, monkeypatch):
+    """Windows and their pairs are never written; dense counts, sorted ones that overflow, and a long vocabulary give what brute force gives."""
+    rng = np.random.default_rng(12)
+    vocabulary = [chr(97 + k) for k in range(9)] + ["é", "𐎠", "it's"]
+    texts = [[str(w) for w in rng.choice([*vocabulary, "x", "y", "z"], int(rng.integers(0, 30)))] for _ in range(60)] + [None, []]
+    sets = [set(t[k : k + 8]) & set(vocabulary) for t in texts if t for k in range(0, len(t) - 8, 4)]
+    single, both = Counter(w for s in sets for w in s), Counter(p for s in sets for p in combinations(sorted(s), 2))
+    want = {p: (n, (n / len(sets)) / (single[p[0]] / len(sets) * (single[p[1]] / len(sets)) + 1e-10)) for p, n in both.items() if n >= 2}
+    df, words = spark.createDataFrame([(t,) for t in texts], "t array<string>"), spark.createDataFrame([(w,) for w in [*vocabulary, "a", None, "unseen"]], "word string")
+    names, old = [], S.written
+    monkeypatch.setattr(S, "written", lambda df, name: names.append(name) or old(df, name))
+    for limits in ({}, {"COUNTED": 5, "WINDOWS": 7}, {"LISTED": 1}):
+        for name, value in limits.items():
+            monkeypatch.setattr(S, name, value)
+        if "LISTED" not in limits:
+            names.clear()
+        got = {(r.w1, r.w2): (r.n, r.lift) for r in S.lift(df, F.col("t"), words, window=8, step=4).collect()}
+        assert ("windows" in names) == ("LISTED" in limits)
+        assert got.keys() == want.keys() and all(got[p] == (want[p][0], pytest.approx(want[p][1], rel=1e-12)) for p in want)
+    monkeypatch.undo()
+    assert S.lift(df, F.col("t"), words.where("false")).count() == 0 and S.lift(df.where("false"), F.col("t"), words).count() == 0
+
+
+def test_once_sorts_nothing(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (1, "a"), (None, "c"), (None, "c"), (3, None)], "id long, w string")
+    got = S.once(df, "id")
+    assert sorted((r.id or 0, r.w or "") for r in got.collect()) == [(0, "c"), (1, "a"), (2, "b"), (3, "")]
+    assert "Sort" not in got._jdf.queryExecution().executedPlan().toString() and S.once(df.where("false"), "id").count() == 0
+
+
+def test_rank_correlation_joins_nothing(spark):
+    """Ties, negative zeros and many ranges; the rows of ranked ranges keep their other columns."""
+    rng = np.random.default_rng(13)
+    a = np.concatenate([rng.integers(-3, 4, 300) / 2, rng.normal(size=300)])
+    b = np.concatenate([-0.0 * np.ones(50), np.zeros(50), a[100:] + rng.normal(size=500)])
+    df = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(zip(a, b))], "k long, a double, b double").repartition(5)
+    ranks = pd.DataFrame({"a": a, "b": b}).rank()
+    got = {r.k: r["rank"] for r in S.placed_ranks(df.select("k", "b"), "b", "rank").collect()}
+    assert [got[k] for k in range(600)] == ranks.b.tolist()
+    assert S.rank_correlation(df, "a", "b") == pytest.approx(ranks.corr().iloc[0, 1], abs=1e-12)
+    assert S.rank_correlation(df.select(F.lit(1.0).alias("a"), "b"), "a", "b") is None
