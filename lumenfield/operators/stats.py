@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import tempfile
 from collections.abc import Iterator
 from itertools import chain
 
@@ -489,30 +490,43 @@ class FoldedPairs:
 PACKED = ["letters", "at", "code", "x", "cs"]
 
 
+class Mapped:
+    """An array that grows in a file without a name and is read from there: what many tasks only read needn't be memory of each."""
+
+    def __init__(self, kind: type) -> None:
+        self.file, self.kind = tempfile.TemporaryFile(), np.dtype(kind)
+
+    def add(self, part: np.ndarray) -> None:
+        self.file.write(np.ascontiguousarray(part, dtype=self.kind).tobytes())
+
+    def array(self) -> np.ndarray:
+        self.file.flush()
+        size = self.file.tell() // self.kind.itemsize
+        return np.asarray(np.memmap(self.file, dtype=self.kind, mode="r", shape=(size,))) if size else np.zeros(0, dtype=self.kind)
+
+
 class HeldPairs:
     """All blocks of folded pairs in one task: permutations are correlated one after the other, with nothing left out.
 
-    Rows of shared controls fold once more, by distance, without a sort; the others are sorted. Large arrays are made once and
-    used again, as new memory for every step costs more than the steps.
+    Rows of shared controls fold once more, by distance, without a sort; the others are sorted. What is only read lies in files;
+    large arrays to work in are made once and used again, as new memory for every step costs more than the steps.
     """
 
     def __init__(self, batches: Iterator[pd.DataFrame], shared: np.ndarray, squares: float) -> None:
-        letters, many, own, offset = [], [], [], 0
+        letters, offset = [], 0
+        many_at, code, many_c, many_s, own_at, own_cs, *own_x = (Mapped(t) for t in (np.int32, np.int32, float, float, np.int32, float, *[float] * shared.shape[1]))
         for b in batches:
             for r in b.itertuples():
                 first = np.frombuffer(r.letters, dtype=np.int16).reshape(-1, len(ABJAD_BASE))
-                at, code, cs = np.frombuffer(r.at, dtype=np.int32) + np.int32(offset), np.frombuffer(r.code, dtype=np.int32), np.frombuffer(r.cs).reshape(-1, 2)
-                one = code < 0
-                letters.append(first.copy())
-                many.append((at[~one], code[~one], cs[~one]))
-                own.append((at[one], np.frombuffer(r.x).reshape(-1, shared.shape[1]).copy(), cs[one]))
+                at, where, cs = np.frombuffer(r.at, dtype=np.int32) + np.int32(offset), np.frombuffer(r.code, dtype=np.int32), np.frombuffer(r.cs).reshape(-1, 2)
+                one = where < 0
+                letters.append(first.astype(np.int8 if np.abs(first).max(initial=0) < 128 else np.int16))
+                for to, part in zip((many_at, code, many_c, many_s, own_at, own_cs, *own_x), (at[~one], where[~one], cs[~one, 0], cs[~one, 1], at[one], cs[one], *np.frombuffer(r.x).reshape(-1, shared.shape[1]).T)):
+                    to.add(part)
                 offset += len(first)
         self.letters, self.shared, self.squares, size = letters, shared, squares, offset
-        self.many_at, self.code, cs = (np.concatenate(a) for a in zip(*many))
-        self.many_c, self.many_s = np.ascontiguousarray(cs[:, 0]), np.ascontiguousarray(cs[:, 1])
-        self.own_at, x, self.own_cs = (np.concatenate(a) for a in zip(*own))
-        self.own_x = np.ascontiguousarray(x.T)
-        del many, own, cs, x
+        self.many_at, self.code, self.many_c, self.many_s, self.own_at, self.own_cs, *self.own_x = (x.array() for x in (many_at, code, many_c, many_s, own_at, own_cs, *own_x))
+        self.own_cs = self.own_cs.reshape(-1, 2)
         # sums by letter difference of counts times controls: a product with the distances gives the right sides of all fits
         own_c, of_code = self.own_cs[:, 0], np.bincount(self.code, self.many_c, len(shared))
         wide = np.hstack([np.ones((len(shared), 1)), shared])
@@ -542,10 +556,11 @@ class HeldPairs:
         n, first = len(self.own_at) + len(many), len(self.own_at)
         if not hasattr(self, "cs") or len(self.cs) < n:  # the room of a first permutation, and some more for others
             room = min(self.room, n + (n - first) // 2)
-            self.r, self.work, self.key, self.places = np.empty(room), np.empty(room), np.empty(room, dtype=np.int64), np.arange(room, dtype=np.int32)
-            self.cs, self.sorted = np.empty((room, 2)), np.empty(room, dtype=complex)
-            self.cs[:first] = self.own_cs
-        r, work, key = self.r[:n], self.work[:n], self.key[:n]
+            self.both, self.key, self.places = np.empty(2 * room), np.empty(room, dtype=np.int64), np.arange(room, dtype=np.int32)
+            cs = np.empty((room, 2))
+            cs[:first], self.cs = self.cs[:first] if hasattr(self, "cs") else self.own_cs, cs
+            self.own_cs = None  # it is the first part of cs from here on
+        r, work, key = self.both[:n], self.both[n : 2 * n], self.key[:n]
         self.cs[first:n, 0], self.cs[first:n, 1] = c, s
         r[:first], r[first:] = d[self.own_at], many
         r -= fit[0]
@@ -554,14 +569,15 @@ class HeldPairs:
             np.multiply(values[code], slope, out=work[first:])
             r -= work
         np.round(r, 12, out=r)
-        return _ranked_rho(r, self.cs[:n], self.squares, work, key, self.places[:n], self.sorted[:n])
+        return _ranked_rho(r, self.cs[:n], self.squares, work, key, self.places[:n], self.both[: 2 * n].view(complex))
 
 
 def _ranked_rho(r: np.ndarray, cs: np.ndarray, squares: float, work: np.ndarray, key: np.ndarray, places: np.ndarray, found: np.ndarray) -> float | None:
     """The rank correlation of values ``r``, each for a number of rows whose ranks of the other side have a sum (``cs``).
 
-    ``squares`` is the sum of the squares of those ranks; the last four are room to work in, ``places`` is 0 to n - 1. Integers of
-    value and place are sorted, which is faster than argsort; what they can't tell apart is sorted again by its values.
+    ``squares`` is the sum of the squares of those ranks; the last four are room to work in, ``places`` is 0 to n - 1, ``found`` may
+    be the room of ``r`` and ``work``. Integers of value and place are sorted, which is faster than argsort; what they can't tell
+    apart is sorted again by its values.
     """
     n, low, high = len(r), r.min(), r.max()
     bits = max(1, (n - 1).bit_length())
@@ -584,7 +600,7 @@ def _ranked_rho(r: np.ndarray, cs: np.ndarray, squares: float, work: np.ndarray,
     if ties is not None and len(ties):
         starts = np.delete(np.arange(n), ties)
         c, s = np.add.reduceat(c, starts), np.add.reduceat(s, starts)
-    rank = np.cumsum(c, out=work[: len(c)])
+    rank = np.cumsum(c, out=key.view(float)[: len(c)])
     total = rank[-1]
     rank -= (c - 1) / 2
     mean = (total + 1) / 2

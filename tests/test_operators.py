@@ -328,3 +328,24 @@ def test_rank_correlation_joins_nothing(spark):
     assert [got[k] for k in range(600)] == ranks.b.tolist()
     assert S.rank_correlation(df, "a", "b") == pytest.approx(ranks.corr().iloc[0, 1], abs=1e-12)
     assert S.rank_correlation(df.select(F.lit(1.0).alias("a"), "b"), "a", "b") is None
+
+
+def test_held_pairs_lie_in_files():
+    """What a task only reads is mapped, and the room to work in is 44 bytes a row; later permutations give what first ones give."""
+    rng = np.random.default_rng(14)
+    shared, ranks = np.array([[1.0, 0.0], [2.0, 0.0]]), rng.permutation(900).reshape(3, 300) + 1.0
+
+    def blocks():
+        for own in ranks:
+            letters, at = rng.integers(-3, 4, (40, 28)).astype(np.int16), np.sort(rng.integers(0, 40, 300)).astype(np.int32)
+            code = rng.integers(-1, 2, 300).astype(np.int32)
+            x = np.column_stack([rng.integers(1, 9, (code < 0).sum()).astype(float), rng.random((code < 0).sum())])
+            yield pd.DataFrame([[a.tobytes() for a in (letters, at, code, x, np.column_stack([np.ones(300), own]))]], columns=S.PACKED)
+
+    held = S.HeldPairs(blocks(), shared, float((ranks**2).sum()))
+    assert all(isinstance(a.base, np.memmap) or isinstance(a.base.base, np.memmap) for a in (held.many_at, held.code, held.many_c, held.many_s, held.own_at, held.own_cs, *held.own_x))
+    values = np.array([[m[c] for m in S.permuted_mappings(3)] for c in S.ABJAD_BASE], dtype=np.float32)
+    d = held.distances(values)
+    first = [held.rho(x) for x in d]
+    assert first == [held.rho(x) for x in d] and all(-1 < r < 1 for r in first) and held.own_cs is None
+    assert held.cs.nbytes + held.both.nbytes + held.key.nbytes + held.places.nbytes == 44 * len(held.cs)
